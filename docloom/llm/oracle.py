@@ -11,3 +11,19 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(hot.k)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE hot.k IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN hot USING (k) GROUP BY doc_id
 """
+
+ORACLE["op3_embedding_near_dedup"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT vec_id, label, e, sqrt(list_sum([x * x for x in e])) AS n FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in e if x <> 0]) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98
+), reach(id, other) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.other = links.a
+)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id)::BIGINT AS n_links, min(reach.other)::BIGINT AS component_id, (v.vec_id = min(reach.other)) AS kept
+FROM v JOIN reach ON reach.id = v.vec_id GROUP BY v.vec_id
+"""

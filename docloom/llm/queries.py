@@ -17,6 +17,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_embedding_near_dedup(spark, folder):
+    from docloom.llm.embeddings import near_vectors
+
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
 def op4_fingerprints(spark, folder):
     from docloom.llm.fingerprints import fingerprints
 
@@ -55,4 +61,4 @@ def op10_token_files(spark, folder):
     return read_digests(spark, write_token_files(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), end_id=2))
 
 
-QUERIES = {f.__name__: f for f in (op4_fingerprints, op6_line_dedup, op7_sharding, op8_packing, op9_language_id, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op3_embedding_near_dedup, op4_fingerprints, op6_line_dedup, op7_sharding, op8_packing, op9_language_id, op10_token_files)}
