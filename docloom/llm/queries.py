@@ -29,6 +29,12 @@ def op4_fingerprints(spark, folder):
     return fingerprints(table(spark, folder, "documents"))
 
 
+def op5_minhash_near_dedup(spark, folder):
+    from docloom.llm.neardup import near_documents
+
+    return near_documents(table(spark, folder, "documents"))
+
+
 def op6_line_dedup(spark, folder):
     from docloom.llm.linededup import clean_lines
 
@@ -61,4 +67,4 @@ def op10_token_files(spark, folder):
     return read_digests(spark, write_token_files(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), end_id=2))
 
 
-QUERIES = {f.__name__: f for f in (op3_embedding_near_dedup, op4_fingerprints, op6_line_dedup, op7_sharding, op8_packing, op9_language_id, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op3_embedding_near_dedup, op4_fingerprints, op5_minhash_near_dedup, op6_line_dedup, op7_sharding, op8_packing, op9_language_id, op10_token_files)}
