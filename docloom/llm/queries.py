@@ -17,6 +17,23 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark, folder):
+    from docloom.llm import pieces
+
+    path = vocabulary("piece_bpe_32k.model")
+    docs = table(spark, folder, "documents")
+    packed = lambda ids: F.crc32(F.concat_ws(",", ids.cast("array<string>")).cast("binary"))
+    encoded = pieces.encode(docs, path)
+    decoded = encoded.mapInArrow(pieces.with_text(path), "doc_id long, ids array<int>, text string")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), packed(F.col("ids")).alias("ids_crc32"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"), "ids")
+
+
+def op2_html_text(spark, folder):
+    from docloom.llm.htmltext import extract
+
+    return extract(table(spark, folder, "pages")).select("page_id", F.length("text").cast("long").alias("n_chars"), "text")
+
+
 def op3_embedding_near_dedup(spark, folder):
     from docloom.llm.embeddings import near_vectors
 
@@ -67,4 +84,4 @@ def op10_token_files(spark, folder):
     return read_digests(spark, write_token_files(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), end_id=2))
 
 
-QUERIES = {f.__name__: f for f in (op3_embedding_near_dedup, op4_fingerprints, op5_minhash_near_dedup, op6_line_dedup, op7_sharding, op8_packing, op9_language_id, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_html_text, op3_embedding_near_dedup, op4_fingerprints, op5_minhash_near_dedup, op6_line_dedup, op7_sharding, op8_packing, op9_language_id, op10_token_files)}
