@@ -63,9 +63,9 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = 0,
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from docloom.llm.tokens import WordEncoder
+        from docloom.llm.tokens import encoder
 
-        encoder = WordEncoder(tokenizer)
+        encode = encoder(tokenizer).encode
         end = int(end_id).to_bytes(4, "little")
         following = TaskContext.get().partitionId() << 33
         names = [x.split()[0] for x in PIECES.split(", ")]
@@ -90,7 +90,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = 0,
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(doc_ids), 512):
                 rows = []
-                for doc_id, ids in zip(doc_ids[at : at + 512], encoder.encode(texts[at : at + 512].to_pylist()), strict=False):
+                for doc_id, ids in zip(doc_ids[at : at + 512], encode(texts[at : at + 512].to_pylist()), strict=False):
                     ids += end
                     tokens = len(ids) // 4
                     whole = tokens - tokens % size

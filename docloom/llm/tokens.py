@@ -20,6 +20,16 @@ _TWO_MARKS = re.compile(r"(?:[^\w\s]|_)(?:[^\w\s]|_)")
 _MARK = "\x01"
 
 
+_encoders: dict[tuple, WordEncoder] = {}
+
+
+def encoder(path: str, dtype: str = "<u4") -> WordEncoder:
+    """This process's encoder: tasks that a Python worker runs one after another share its memory."""
+    if (path, dtype) not in _encoders:
+        _encoders[path, dtype] = WordEncoder(path, dtype)
+    return _encoders[path, dtype]
+
+
 class WordEncoder:
     """Ids of texts as little-endian arrays of ``dtype``, equal to ``Tokenizer.encode`` of the whole text.
 
@@ -38,6 +48,7 @@ class WordEncoder:
         #: Whether a blank belongs to the word behind it (byte-level vocabularies) or is dropped.
         self.blank = self._ids(" a") != self._ids("a")
         self.heads: dict[str, bytes] = {} if self.blank else self.known
+        self.ends: dict[str, bytes] = {}
         self.mark = self._ids(" " + _MARK)
 
     def _ids(self, text: str) -> list[int]:
@@ -47,10 +58,37 @@ class WordEncoder:
         return self.np.asarray(ids, dtype=self.dtype).tobytes()
 
     def _learn(self, words: list[str]) -> None:
+        """Learns words behind a blank; what follows a word's letters is looked up by itself."""
+        known, ended, broken, parts = self.known, [], [], set()
+        for w in words if self.blank else ():
+            if w[-1:] in (",", ".") and w[:-1].isalpha():
+                ended.append(w)
+                parts.add(w[:-1])
+            elif "\n" in w[1:-1] and w.count("\n") == 1:
+                broken.append(w)
+                parts.add(w.partition("\n")[0])
+        parts.difference_update(ended)
+        self._encode({*words, *parts}.difference(ended, broken) if parts else words)
+        for w in ended:
+            known[w] = known[w[:-1]] + self._end(w[-1])
+        if broken:
+            first = {w.partition("\n")[2] for w in broken}
+            self._alone(self.heads, [w for w in first if w not in self.heads], "")
+            for w in broken:
+                left, _, right = w.partition("\n")
+                known[w] = known[left] + self._end("\n") + self.heads[right]
+
+    def _end(self, mark: str) -> bytes:
+        if mark not in self.ends:
+            self.ends[mark] = self._bytes(self._ids(mark))
+        return self.ends[mark]
+
+    def _encode(self, words) -> None:
         np, size = self.np, self.dtype.itemsize
         plain, rest = [], []
         for w in words:
-            (rest if not w or _MARK in w or "\n" in w else plain).append(w)
+            if w not in self.known:
+                (rest if not w or _MARK in w or "\n" in w else plain).append(w)
         parts = [plain[at : at + 500] for at in range(0, len(plain), 500)]
         gap = f" {_MARK} "
         for part, found in zip(parts, self.tokenizer.encode_batch_fast([" " + gap.join(part) for part in parts], add_special_tokens=False), strict=True):
