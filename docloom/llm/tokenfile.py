@@ -37,14 +37,14 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2, id
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from docloom.llm.tokens import WordEncoder
+        from docloom.llm.tokens import encoder
 
-        encoder = WordEncoder(tokenizer, f"<u{width}")
+        encode = encoder(tokenizer, f"<u{width}").encode
         end, part, place = int(end_id).to_bytes(width, "little"), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)
-                ids = [x + end for x in encoder.encode(rows.column(1).to_pylist())]
+                ids = [x + end for x in encode(rows.column(1).to_pylist())]
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()), rows.column(0), pa.array(ids, pa.binary())], ["part", "place", "doc_id", "ids"])
                 place += n
