@@ -152,16 +152,21 @@ def _reach(sketches: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
 def _compare(list_value: int, same: bool, one: list, two: list, first_pass: bool):
     """Links (exact) and candidates between the classes of two blocks of a list.
 
-    A row is (c, n, component, sketch). Returns (a, b, exact) triples.
+    A row is (c, n, component, sketch, lists). A pair counts in the first list that both are in. Returns
+    (a, b, exact) triples.
     """
+    before1, before2 = ([r[4][r[4] < list_value] for r in rows] for rows in (one, two))
+    first_here = _overlaps(before1, before1 if same else before2) == 0
+    if not np.triu(first_here, 1).any() if same else not first_here.any():
+        return [], [], []
     s1, s2 = [r[3] for r in one], [r[3] for r in two]
-    shared = _overlaps(s1, s2)
+    shared = _overlaps(s1, s1 if same else s2)
     n1, n2 = np.array([r[1] for r in one]), np.array([r[1] for r in two])
     c1, c2 = np.array([r[0] for r in one]), np.array([r[0] for r in two])
     g1, g2 = np.array([r[2] for r in one]), np.array([r[2] for r in two])
     # A generous first cut: so many shared values an admissible pair has at least.
     least = np.minimum(np.minimum(n1, SKETCH)[:, None], np.minimum(n2, SKETCH)[None, :]) * np.float32(0.45)
-    maybe = (shared >= least) & (g1[:, None] != g2[None, :])
+    maybe = first_here & (shared >= least) & (g1[:, None] != g2[None, :])
     maybe &= np.maximum(n1[:, None], n2[None, :]) * NUMERATOR <= np.minimum(n1[:, None], n2[None, :]) * DENOMINATOR
     if same:
         maybe = np.triu(maybe, 1)
@@ -223,13 +228,13 @@ def _compared(first_pass: bool):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(exact, pa.bool_())], ["a", "b", "exact"])
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(8)]
-            for value, left, right, side, c, n, component, sketch in zip(*columns, strict=True):
+            columns = [batch.column(k).to_pylist() for k in range(9)]
+            for value, left, right, side, c, n, component, sketch, entries in zip(*columns, strict=True):
                 if (value, left, right) != key:
                     if key is not None and (out := done()).num_rows:
                         yield out
                     key, rows = (value, left, right), []
-                rows.append((side, c, n, component, np.frombuffer(sketch, dtype="<u8")))
+                rows.append((side, c, n, component, np.frombuffer(sketch, dtype="<u8"), np.array(entries, dtype=np.int64)))
         if key is not None and (out := done()).num_rows:
             yield out
 
@@ -262,6 +267,7 @@ def _candidates(lists: DataFrame, classes: DataFrame, labels: DataFrame | None)
         members = lists.join(labels.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
         mixed = members.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("value")
         members = members.join(mixed, "value")
+    entries = members.groupBy("c").agg(F.collect_list("value").alias("entries"))
     # Blocks hold sizes that differ by less than the threshold allows, so only neighbours are compared.
     members = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR))).cast("int"))
     crowd = members.groupBy("value", "band").agg(F.count(F.lit(1)).alias("m"))
@@ -275,14 +281,13 @@ def _candidates(lists: DataFrame, classes: DataFrame, labels: DataFrame | None)
     # A block pair is worth a task's time only with classes on both sides, or two on one.
     pair = ["value", "left", "right"]
     busy = met.groupBy(*pair).agg(F.min("side").alias("lo"), F.max("side").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("rows > 1 and (left = right or lo <> hi)").select(*pair)
-    met = met.join(busy, pair).join(classes.select("c", "sketch"), "c")
-    met = met.select(*pair, "side", "c", "n", "component", "sketch").repartition(*pair).sortWithinPartitions(*pair)
+    met = met.join(busy, pair).join(classes.select("c", "sketch").join(entries, "c"), "c")
+    met = met.select(*pair, "side", "c", "n", "component", "sketch", "entries").repartition(*pair).sortWithinPartitions(*pair)
     return met.mapInArrow(_compared(labels is None), "a long, b long, exact boolean")
 
 
-def _links(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b) of exact and verified pairs."""
-    pairs = storage.materialise(candidates.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("exact").alias("exact")), "near-pairs")
     open_pairs = pairs.filter("not exact").select("a", "b")
     left, right = texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), texts.select(F.col("c").alias("b"), F.col("text").alias("tb"))
     checked = open_pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long")
@@ -315,8 +320,9 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return rows.select("text", *place).join(ones.join(wanted, "c"), ["doc", "text_hash"]).groupBy("c").agg(F.any_value("text").alias("text"))
 
     def linked(labels):
-        found = storage.materialise(_candidates(lists, classes, labels), "near-candidates")
-        return storage.materialise(_links(found, texts_for(found)), "near-links")
+        found = _candidates(lists, classes, labels).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("exact").alias("exact"))
+        pairs = storage.materialise(found, "near-pairs")
+        return storage.materialise(_links(pairs, texts_for(pairs)), "near-links")
 
     first = linked(None)
     second = linked(components(first))
