@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 16
+SAMPLES = 32
 #: Ranges of documents for each shuffle partition.
 RANGES = 4
 _NONE = -(2**63)
