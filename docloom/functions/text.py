@@ -62,7 +62,7 @@ def split_front_matter(c: Column | str) -> Column:
     has = start.startswith("---") & (end > 0)
     body = F.regexp_replace(F.substring(start, F.lit(3) + end + F.lit(4), F.lit(2**31 - 1)), r"^[\r\n]+", "")
     return F.struct(
-        F.when(has, F.trim(F.substring(start, F.lit(4), end))).alias("front"),
+        F.when(has, F.regexp_replace(F.substring(start, F.lit(4), end), r"(?U)^\s+|\s+$", "")).alias("front"),
         F.when(has, body).otherwise(c).alias("body"),
     )
 

@@ -334,7 +334,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             return None
 
     packed = files.filter(F.col("format").isin(*BINARY)).withColumn("md", unpack("format", "content")).drop("content")
-    texts = files.filter(F.col("format").isin(*TEXT)).withColumn("text", F.decode("content", F.lit("UTF-8")))
+    texts = files.filter(F.col("format").isin(*TEXT)).withColumn("text", F.decode("content", "UTF-8"))
     out = packed
     for kind, convert in TEXT.items():
         out = out.unionByName(texts.filter(F.col("format") == kind).withColumn("md", convert(F.col("text"))).drop("content", "text"))
