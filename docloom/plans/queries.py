@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.html.markdown import html_to_markdown
-from docloom.operators import citations, compare, events, geometry, graph, library
+from docloom.operators import citations, compare, events, extras, geometry, graph, library
+from docloom.sinks import packed
 from docloom.sinks import text as sinks
-from docloom.sources import bibliography
-from docloom.sources import diagrams
+from docloom.sources import bibliography, diagrams
 
 QUERIES: dict = {}
 
@@ -591,3 +591,27 @@ def flowchart_edges(spark, folder):
     source = edges.groupBy("graph_id").agg(F.concat(F.lit("graph TD\n"), F.array_join(F.array_sort(F.collect_list(F.concat("src", F.lit("["), "src", F.lit(" box] -->|"), "dst", F.lit("| "), "dst"))), "\n")).alias("source"))
     _, out, _ = diagrams.flowchart(source)
     return out.select("graph_id", "src", "dst", "style", "label")
+
+
+@query
+def grammar_matches(spark, folder):
+    slips = ((r"\b(the the)\b", "the", "Repeated word"), (r"\b(of of)\b", "of", "Repeated word"))
+    return extras.grammar_matches(table(spark, folder, "documents"), rules=slips)
+
+
+@query
+def formulas(spark, folder):
+    return extras.formulas(table(spark, folder, "documents").withColumn("md", F.concat("text", F.lit(" $x^2$ and $$y$$"))))
+
+
+def _pack(fmt: str) -> None:
+    def run(spark, folder):
+        files = packed.FORMATS[fmt](events.parse_markdown(conversations_md(spark, folder)))
+        return files.select("doc_id", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+    run.__name__ = f"md_to_{fmt}"
+    query(run)
+
+
+for _name in packed.FORMATS:
+    _pack(_name)

@@ -235,3 +235,43 @@ def test_activations_pair_up(spark):
     rows = spark.createDataFrame([("p", 1, 1), ("p", 2, 1), ("p", 3, -1), ("p", 4, 0), ("p", 5, 1)], "k string, t int, step int")
     got = sorted((r.start, r.end, r.depth) for r in graph.activations(rows, ["k"], "t", "step").collect())
     assert got == [(1, 5, 1), (2, 3, 2), (5, 5, 2)]
+
+
+def test_packed_formats_come_back(spark):
+    from docloom.sinks import packed
+    from docloom.sources.documents import BINARY
+
+    text = "# T & U\n\np **b** *i*\n\n- x\n  - n\n- y\n\n1. one\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n# Next\n\nend\n"
+    e = events.parse_markdown(md(spark, text))
+    back = {}
+    for name, write in packed.FORMATS.items():
+        content = bytes(write(e).first().content)
+        assert content == bytes(write(e).first().content)
+        back[name] = BINARY[name](content)
+        at = -1
+        for word in ("T & U", "p ", "b", "x", "n", "y", "one", "a", "1", "Next", "end"):
+            at = back[name].index(word, at + 1)
+    assert "# T & U" in back["docx"] and "**b**" in back["docx"] and "    - n" in back["docx"] and "1. one" in back["docx"] and "| 1 | 2 |" in back["docx"]
+    assert "# T & U" in back["odt"] and "*i*" in back["odt"] and "| a | b |" in back["odt"]
+    assert back["epub"].count("---") >= 1 and "**b**" in back["epub"]
+    assert back["pptx"].count("---") == 1 and "# Next" in back["pptx"]
+
+
+def test_extras(spark):
+    from docloom.operators import extras
+
+    docs = spark.createDataFrame([(1, "Teh cat could of teh")], "doc_id int, text string")
+    assert sorted((r["at"], r.matched, r.correction) for r in extras.grammar_matches(docs).collect()) == [(0, "Teh", "the"), (8, "could of", "could have"), (17, "teh", "the")]
+    marked = md(spark, 'a <mark class="comment" data-id="1" data-author="me" data-content="why">b</mark> $x$ and $$y^2$$ 5$')
+    found = extras.comments(marked)
+    assert [tuple(r)[1:] for r in found.collect()] == [("1", "me", "why", "b")]
+    stored = spark.createDataFrame([(0, "1"), (0, "2")], "doc_id long, comment_id string")
+    assert [r.comment_id for r in extras.prune_comments(stored, found).collect()] == ["1"]
+    assert [(r.number, r.display, r.latex) for r in extras.formulas(marked).orderBy("number").collect()] == [(1, False, "x"), (2, True, "y^2")]
+    png = bytes.fromhex("89504E470D0A1A0A0000000D49484452000000200000001008")
+    sizes = spark.createDataFrame([(bytearray(png),), (bytearray(b"no"),)], "c binary").select(extras.png_size(F.col("c")).alias("s")).collect()
+    assert [tuple(r.s) if r.s else None for r in sizes] == [(32, 16), None]
+    extras.register_filter("no_rules", lambda e: e.filter("kind <> 'rule'"))
+    assert extras.apply_filters(events.parse_markdown(md(spark, "a\n\n---\n")), "no_rules").filter("kind = 'rule'").count() == 0
+    with pytest.raises(KeyError, match="unknown filter"):
+        extras.apply_filters(marked, "none")
