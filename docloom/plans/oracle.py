@@ -20,6 +20,8 @@ COLLECTIONS = "collections AS (SELECT source AS id, 'from ' || source AS name, l
 #: Authors with last and first names and initials, as lists of structs.
 PARSED = REFS + """, parsed AS (SELECT *, list_transform(authors, lambda a: {'last': trim(CASE WHEN contains(a, ',') THEN string_split(a, ',')[1] ELSE string_split(a, ' ')[-1] END), 'first': trim(CASE WHEN contains(a, ',') THEN string_split(a, ',')[2] ELSE string_split(a, ' ')[1] END)}) AS p FROM refs)"""
 MD = "md AS (SELECT conv_id AS doc_id, '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg('## ' || coalesce(role, '') || chr(10) || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS md FROM conversations GROUP BY conv_id)"
+#: Headings of the conversations: the document's, then one for each turn.
+HEADS = "heads AS (SELECT DISTINCT conv_id AS doc_id, 1::BIGINT AS pos, 1 AS level, 'Conversation ' || conv_id AS label FROM conversations UNION ALL SELECT conv_id, 1 + row_number() OVER (PARTITION BY conv_id ORDER BY turn), 2, substr(trim(coalesce(role, '')), 1, 60) FROM conversations)"
 TURNS = "turns AS (SELECT conv_id, turn, a, coalesce(lag(a) OVER (PARTITION BY conv_id ORDER BY turn), '') AS b FROM (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g') AS a FROM conversations))"
 SPANS = "spans AS (SELECT l_orderkey AS doc_id, (l_linenumber % 2)::INT AS page, l_linenumber::BIGINT AS span_no, l_returnflag AS text, (l_partkey % 400)::DOUBLE AS x, (l_suppkey % 40)::DOUBLE AS y, (l_quantity * 2)::DOUBLE AS width, (8.0 + l_quantity % 4)::DOUBLE AS font_size, l_linestatus AS font_name FROM lineitem)"
 GRAPH = """edges AS (SELECT n_regionkey AS graph_id, 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT n_regionkey, 'n' || n_nationkey, 's' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
@@ -124,6 +126,9 @@ ORACLE = {
     "layout_boxes": f"WITH RECURSIVE {BOXES} SELECT graph_id, id, x, y, width, height FROM boxes",
     "in_degrees": f"WITH RECURSIVE {GRAPH} SELECT n.graph_id, n.id, (SELECT count(*) FROM edges e WHERE e.graph_id = n.graph_id AND e.dst = n.id) AS n_in FROM nodes n",
     "flowchart_edges": f"WITH RECURSIVE {GRAPH} SELECT graph_id, src, dst, 'solid' AS style, dst AS label FROM edges",
-    "conversation_outline": "SELECT conv_id AS doc_id, 1 AS level, 'Conversation ' || conv_id AS label FROM conversations GROUP BY conv_id",
+    "conversation_outline": f"WITH {HEADS} SELECT doc_id, pos, level, label FROM heads",
+    "table_of_contents": f"WITH {HEADS} SELECT doc_id, pos, level, CASE WHEN pos <= 2 THEN '<ul>' ELSE '' END || '<li>' || label || '</li>' AS html FROM heads",
+    "slides": f"WITH {HEADS} SELECT doc_id, pos AS slide, label AS title FROM heads",
+    "chapters": "SELECT DISTINCT conv_id AS doc_id, 1::BIGINT AS chapter, 'Conversation ' || conv_id AS title FROM conversations",
+    "cross_references": f"WITH {HEADS} SELECT doc_id, 'heading' AS kind, pos AS n, label FROM heads",
 }
-del ORACLE["conversation_outline"]

@@ -352,27 +352,32 @@ def structure_metrics(spark, folder):
 
 @query
 def conversation_outline(spark, folder):
-    return events.outline(events.parse_markdown(conversations_md(spark, folder)))
+    o = events.outline(events.parse_markdown(conversations_md(spark, folder)))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")).cast("long")
+    return o.select("doc_id", place.alias("pos"), "level", "label")
 
 
 @query
 def table_of_contents(spark, folder):
-    return events.table_of_contents(events.parse_markdown(conversations_md(spark, folder)))
+    t = events.table_of_contents(events.parse_markdown(conversations_md(spark, folder)))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")).cast("long")
+    return t.select("doc_id", place.alias("pos"), "level", "html")
 
 
 @query
 def slides(spark, folder):
-    return events.slides(events.parse_markdown(conversations_md(spark, folder)))
+    return events.slides(events.parse_markdown(conversations_md(spark, folder))).select("doc_id", "slide", "title")
 
 
 @query
 def chapters(spark, folder):
-    return events.chapters(events.parse_markdown(conversations_md(spark, folder)))
+    return events.chapters(events.parse_markdown(conversations_md(spark, folder))).select("doc_id", "chapter", "title")
 
 
 @query
 def cross_references(spark, folder):
-    return events.cross_references(events.parse_markdown(conversations_md(spark, folder)))
+    c = events.cross_references(events.parse_markdown(conversations_md(spark, folder)))
+    return c.select("doc_id", "kind", F.col("n").cast("long").alias("n"), "label")
 
 
 @query
