@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 SAMPLES = 32
 #: Ranges of documents for each shuffle partition.
 RANGES = 4
+#: Stands for a missing id (and is taken for one).
 _NONE = -(2**63)
 
 
@@ -63,8 +64,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     spark = docs.sparkSession
     n = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(_NONE)))
+    # The key alone stands for the id, so that all who read this distribution need the same columns of it.
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))
+    rows = docs.select(key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     quantiles = rows.select(F.col("key").cast("double").alias("key")).approxQuantile("key", [k / n for k in range(1, n)], 1 / (4 * n)) if n > 1 else []
     bounds = sorted({int(x) for x in quantiles})
     rows = rows.withColumn("range", _range_of(F.col("key"), bounds))
@@ -79,7 +81,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         both = both.unionByName(ghosts.withColumns({"range": for_key[F.col("key")], "ghost": F.lit(True)}))
     both = both.repartition(n, "range")
     in_range = Window.partitionBy("range").orderBy("ghost", F.col("key").desc(), F.xxhash64("text"))
-    return both.select("range", F.row_number().over(in_range).alias("place"), "ghost", "doc_id", "text", F.lead("text").over(in_range).alias("following"))
+    return both.select("range", F.row_number().over(in_range).alias("place"), "ghost", F.nullif("key", F.lit(_NONE)).alias("doc_id"), "text", F.lead("text").over(in_range).alias("following"))
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
