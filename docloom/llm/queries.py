@@ -22,10 +22,8 @@ def op1_sentencepiece(spark, folder):
 
     path = vocabulary("piece_bpe_32k.model")
     docs = table(spark, folder, "documents")
-    packed = lambda ids: F.crc32(F.concat_ws(",", ids.cast("array<string>")).cast("binary"))
-    encoded = pieces.encode(docs, path)
-    decoded = encoded.mapInArrow(pieces.with_text(path), "doc_id long, ids array<int>, text string")
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), packed(F.col("ids")).alias("ids_crc32"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"), "ids")
+    decoded = pieces.round_trip(docs, path)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"), "ids")
 
 
 def op2_html_text(spark, folder):

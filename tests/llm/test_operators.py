@@ -318,3 +318,42 @@ def test_numbered_is_gapless(spark):
     found = numbered(frame, ["g"], F.struct("id"), "n").collect()
     for g in range(3):
         assert sorted(r.n for r in found if r.g == g) == list(range(sum(r.g == g for r in found)))
+
+
+def test_op1_viterbi_of_a_unigram_model():
+    """With scores that are no ranks the best path is that of the largest sum."""
+    import random
+
+    from docloom.llm.pieces import Pieces
+
+    random.seed(1)
+    p = Pieces(vocabulary("piece_bpe_32k.model"))
+    p.is_bpe, p.score = False, [-10 * random.random() for _ in p.score]
+    p.worst = min(p.score) - 10
+    words = sorted({"".join(random.choice("abcdert▁é☃") for _ in range(random.randint(1, 12))) for _ in range(200)})
+
+    def best(w):
+        rows = [0.0]
+        for end in range(1, len(w) + 1):
+            rows.append(max(rows[s] + (p.score[p.id[w[s:end]]] if w[s:end] in p.id else p.worst) for s in range(end) if w[s:end] in p.id or s == end - 1))
+        return rows[-1]
+
+    for w, ids in p.encode_words(words).items():
+        unknown = sum(c not in p.id for c in w)
+        assert sum(p.score[i] for i in ids if i not in p.of_byte) + unknown * p.worst == pytest.approx(best(w))
+
+
+def test_op1_chunks_equal_the_library():
+    import random
+
+    import sentencepiece
+
+    from docloom.llm.pieces import Encoder
+
+    encoder, library = Encoder(vocabulary("piece_bpe_32k.model")), sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    random.seed(6)
+    texts = ["".join(random.choice("abcdeinorst  \n.,;:'\"!?()-_01é日ß▁xX/\\") for _ in range(random.randint(0, 40))) for _ in range(1000)]
+    texts += [None, "", " ", "a ", "a b ", "\n", "a\n b"]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        ids = np.frombuffer(ids, dtype="<i4").tolist()
+        assert ids == library.encode(text or "") and encoder.pieces.decode(ids) == library.decode(ids)
