@@ -19,13 +19,18 @@ def jaro_winkler(a: Column, b: Column) -> Column:
         if x == y:
             return 1.0
         reach = max(max(len(x), len(y)) // 2 - 1, 0)
+        # A letter's places in the other text, last one first. Reaches only move on: a place passed by or taken is done with.
+        places: dict[str, list[int]] = {}
+        for j in range(len(y) - 1, -1, -1):
+            places.setdefault(y[j], []).append(j)
         taken, left = [False] * len(y), []
         for i, c in enumerate(x):
-            for j in range(max(0, i - reach), min(len(y), i + reach + 1)):
-                if not taken[j] and y[j] == c:
-                    taken[j] = True
-                    left.append(c)
-                    break
+            at = places.get(c)
+            while at and at[-1] < i - reach:
+                at.pop()
+            if at and at[-1] <= i + reach:
+                taken[at.pop()] = True
+                left.append(c)
         n = len(left)
         if not n:
             return 0.0

@@ -457,7 +457,7 @@ def text_similarity(spark, folder):
 
 @query
 def jaro_winkler(spark, folder):
-    return _turns(spark, folder).select("conv_id", "turn", F.round(compare.jaro_winkler(F.substring("a", 1, 80), F.substring("b", 1, 80)), 9).alias("similarity"))
+    return _turns(spark, folder).select("conv_id", "turn", F.round(compare.jaro_winkler(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
 # Windows, geometry, graphs ------------------------------------------------------------------------------

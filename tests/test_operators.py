@@ -275,3 +275,34 @@ def test_extras(spark):
     assert extras.apply_filters(events.parse_markdown(md(spark, "a\n\n---\n")), "no_rules").filter("kind = 'rule'").count() == 0
     with pytest.raises(KeyError, match="unknown filter"):
         extras.apply_filters(marked, "none")
+
+
+def brute_jaro_winkler(x, y):
+    if x == y:
+        return 1.0
+    reach, left, taken = max(max(len(x), len(y)) // 2 - 1, 0), [], set()
+    for i, c in enumerate(x):
+        j = next((j for j in range(max(0, i - reach), min(len(y), i + reach + 1)) if y[j] == c and j not in taken), None)
+        if j is not None:
+            taken.add(j)
+            left.append(c)
+    if not left:
+        return 0.0
+    n, moved = len(left), sum(p != y[j] for p, j in zip(left, sorted(taken), strict=True)) // 2
+    jaro = (n / len(x) + n / len(y) + (n - moved) / n) / 3
+    prefix = next((k for k in range(4) if x[k : k + 1] != y[k : k + 1] or k >= len(x)), 4)
+    return jaro + 0.1 * prefix * (1 - jaro) if jaro > 0.7 else jaro
+
+
+def test_jaro_winkler_query_compares_whole_turns(spark, tmp_path):
+    from random import Random
+
+    from docloom.plans.queries import QUERIES
+
+    draw = Random(1)
+    turns = ["same opening " * 8 + "then one thing", "same opening " * 8 + "but quite another end, and a longer one", ""]
+    turns += ["".join(draw.choices("abcde ", k=draw.randrange(1, 400))) for _ in range(40)]
+    spark.createDataFrame([(1, k, t) for k, t in enumerate(turns)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: r.similarity for r in QUERIES["jaro_winkler"](spark, str(tmp_path)).collect()}
+    assert got == {k: pytest.approx(brute_jaro_winkler(t, turns[k - 1] if k else ""), abs=2e-9) for k, t in enumerate(turns)}
+    assert got[1] < 1
