@@ -3,7 +3,8 @@
 A text becomes a unit vector of hashed letter pairs and triples of the whole text. A linear support
 vector machine for each language family names the family; within it, one machine for each pair of
 languages votes. All machines are trained here, on a bounded sample: for every language the rows with
-the smallest hashes of ``doc_id``, at most ``PER_LANGUAGE`` of them. Held-out rows (``crc32`` of
+the smallest hashes of ``doc_id``, at most ``PER_LANGUAGE`` of them (of rows with equal ``doc_id``, those
+with the smallest vectors). Held-out rows (``crc32`` of
 ``doc_id`` as text divisible by five) and rows without ``doc_id`` or ``lang`` never train.
 
 A text without any letter, null and empty ones included, is ``und`` with score 0; so is every text where
@@ -134,35 +135,45 @@ class Model:
 
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, text) of the sample; bounded by ``per_language`` times the number of languages.
+    """(lang, h, text) of the rows with the ``per_language`` smallest hashes of each language, ties with the last one included.
 
     Salted top-k lists find, for every language, how small a hash must be; no text is shuffled for that.
     """
-    parts = 16
+    parts, k = 16, max(1, per_language)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"))).withColumn("h", F.xxhash64(F.lit("langid"), "id"))
     salted = rows.select("lang", "h", F.pmod("h", F.lit(parts)).alias("salt"))
-    lists = Window.partitionBy("lang", "salt").orderBy("h")
-    small = salted.withColumn("rn", F.row_number().over(lists)).filter(F.col("rn") <= max(1, per_language // parts))
+    smallest = lambda df, *by: df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).filter(F.col("rn") <= k).drop("rn")
+    small = smallest(smallest(salted, "lang", "salt"), "lang")
     limits = {r["lang"]: r["h"] for r in small.groupBy("lang").agg(F.max("h").alias("h")).collect()}
     if not limits:
-        return rows.select("lang", "text").limit(0)
+        return rows.select("lang", "h", "text").limit(0)
     limit = F.create_map(*(F.lit(v) for kv in limits.items() for v in kv))
-    return rows.filter(F.col("h") <= limit[F.col("lang")]).select("lang", "text").limit(per_language * len(limits))
+    return rows.filter(F.col("h") <= limit[F.col("lang")]).select("lang", "h", "text")
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Trains on the driver; what reaches it are the sample's vectors, not its texts."""
-    import numpy as np
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, x) of the training rows, at most ``per_language`` of a language; texts become vectors where they lie."""
 
     def vectors(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(lang, x.astype(np.float16).tobytes()) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (x := features(text)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "x"])
+            rows = [(lang, h, x.astype(np.float16).tobytes()) for lang, h, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if (x := features(text)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["lang", "h", "x"])
+
+    rows = training_rows(docs, per_language, id_col, text_col, lang_col).mapInArrow(vectors, "lang string, h long, x binary")
+    # Only repeated ids make more rows than that.
+    first = Window.partitionBy("lang").orderBy("h", "x")
+    return rows.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= max(1, per_language)).select("lang", "x")
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Trains on the driver; what reaches it are the sample's vectors, not its texts."""
+    import numpy as np
 
-    rows = sorted(training_rows(docs, per_language, id_col, text_col, lang_col).mapInArrow(vectors, "lang string, x binary").collect())
+    rows = sorted(sample(docs, per_language, id_col, text_col, lang_col).collect())
     if not rows:
         return Model()
     return Model.train(np.stack([np.frombuffer(r["x"], dtype=np.float16) for r in rows]).astype(np.float32), [r["lang"] for r in rows])

@@ -357,3 +357,21 @@ def test_op1_chunks_equal_the_library():
     for text, ids in zip(texts, encoder.encode(texts), strict=True):
         ids = np.frombuffer(ids, dtype="<i4").tolist()
         assert ids == library.encode(text or "") and encoder.pieces.decode(ids) == library.decode(ids)
+
+
+def test_op9_sample_is_the_smallest_hashes_of_each_language(spark):
+    from docloom.llm.langid import held_out, sample, training_rows
+
+    # Laid out by language; ids of "it" are all the same but for a few.
+    docs = spark.range(0, 9000, 1, 6).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") < 3000, "de").when(F.col("id") < 6000, "en").otherwise("it").alias("lang"))
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") >= 6050, 6001).otherwise(F.col("doc_id")))
+    hashes = defaultdict(list)
+    for r in docs.filter(~held_out(F.col("doc_id"))).select("lang", F.xxhash64(F.lit("langid"), "doc_id").alias("h")).collect():
+        hashes[r.lang].append(r.h)
+    bound = {k: sorted(v)[99] for k, v in hashes.items()}
+    got = defaultdict(list)
+    for r in training_rows(docs, 100).collect():
+        got[r.lang].append(r.h)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(h for h in v if h <= bound[k]) for k, v in hashes.items()}
+    assert Counter(r.lang for r in sample(docs, 100).collect()) == {"de": 100, "en": 100, "it": 100}
+    assert sorted(sample(docs, 100).collect()) == sorted(sample(docs.repartition(3), 100).collect())
