@@ -17,7 +17,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language: null texts and those without any letter."""
-    return langid.predict(docs, langid.fit(docs)).filter(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+    model = langid.fit(docs)
+    if not model.langs or any(langid.UNKNOWN in members for members in model.langs.values()):
+        # Nothing was learned, or a label is named like no language: the prediction does not tell who has no letter.
+        return docs.filter(langid.has_letter(F.col("text"))).select(*COLUMNS)
+    return langid.predict(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

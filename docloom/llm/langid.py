@@ -47,6 +47,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+def has_letter(text: Column) -> Column:
+    """False for null; what ``predict`` needs of a text to name a language, whatever was learned."""
+
+    @F.pandas_udf("boolean")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(t and _LETTER.search(t)) for t in texts], dtype=bool)
+
+    return of(text.cast("string"))
+
+
 def features(text: str | None):
     """The unit vector of a whole text, or None where it has no letter."""
     import numpy as np

@@ -45,3 +45,12 @@ def test_stages_take_empty_tables(spark, data):
 
 def test_run_gives_the_last_stage(spark, data):
     assert set(corpus_pipeline.run(spark, data).columns) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
+
+
+def test_language_stage_keeps_unlabelled_documents(spark, data):
+    rows = [(k, t) for k, t in enumerate(["some words", "mots", None, "", "1 2 3 !!", "日本", "more words"] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "string(null) lang", "'s' source", "1L n_chars")
+    want = [k for k, t in rows if t and any(c.isalpha() for c in t)]
+    stage = dict(STAGES)["language_id"]
+    assert sorted(r.doc_id for r in stage(spark, docs, data).collect()) == want
+    assert sorted(r.doc_id for r in stage(spark, docs.selectExpr("doc_id", "text", "'und' lang", "source", "n_chars"), data).collect()) == want
