@@ -27,8 +27,6 @@ SPACED = HEADINGS | frozenset("blockquote dl figure ol p pre table ul".split())
 _LINES = BLOCKS | frozenset("body caption dd dt html legend li optgroup option tbody tfoot thead tr".split())
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.IGNORECASE)
 _BLANKS = re.compile("[ \t\n\r\f]+")
-#: Deeper elements are rendered as if they stood at this depth.
-DEEPEST = 200
 
 
 def visible(node: Node) -> bool:
@@ -79,7 +77,18 @@ class _Page:
         return "\n".join(x.rstrip() for x in self.lines)
 
 
-def _render(node: Node, page: _Page, depth: int, pre: bool) -> None:
+def _run(step) -> None:
+    """Runs a rendering step and those that it yields, each to its end before its parent goes on; any depth fits."""
+    todo = [step]
+    while todo:
+        inner = next(todo[-1], None)
+        if inner is None:
+            todo.pop()
+        else:
+            todo.append(inner)
+
+
+def _render(node: Node, page: _Page, pre: bool):
     number = 0
     for x in node.children:
         if not isinstance(x, Node):
@@ -104,9 +113,9 @@ def _render(node: Node, page: _Page, depth: int, pre: bool) -> None:
             page.put(x.attrs.get("value", ""))
         elif tag == "table":
             page.end_line(True)
-            _table(x, page, depth)
+            yield _table(x, page)
             page.gap = True
-        elif tag in _LINES or depth >= DEEPEST:
+        elif tag in _LINES:
             nested = tag in ("ul", "ol") and node.tag == "li"
             page.end_line(tag in SPACED and not nested)
             if tag == "li":
@@ -115,21 +124,19 @@ def _render(node: Node, page: _Page, depth: int, pre: bool) -> None:
                 first = int(start) - 1 if number and start.lstrip("-").isdecimal() else 0
                 mark = f"{number + first}. " if node.tag == "ol" else "- "
                 old, page.prefix, page.mark = page.prefix, page.prefix + " " * len(mark), mark
-                _render(x, page, depth + 1, pre)
+                yield _render(x, page, pre)
                 page.end_line()
                 page.prefix, page.mark = old, None
             elif tag in ("blockquote", "dd"):
                 old, page.prefix = page.prefix, page.prefix + "  "
-                _render(x, page, depth + 1, pre)
+                yield _render(x, page, pre)
                 page.end_line()
                 page.prefix = old
-            elif tag != "hr" and depth < DEEPEST:
-                _render(x, page, depth + 1, pre or tag in ("pre", "textarea"))
             elif tag != "hr":
-                page.put(x.text())
+                yield _render(x, page, pre or tag in ("pre", "textarea"))
             page.end_line(tag in SPACED and not nested)
         else:
-            _render(x, page, depth + 1, pre or tag in ("pre", "textarea"))
+            yield _render(x, page, pre or tag in ("pre", "textarea"))
 
 
 def _rows(table: Node, out: list[list[Node]], outside: list[Node]) -> None:
@@ -157,19 +164,19 @@ def _cell(text: str) -> Node:
     return node
 
 
-def _table(table: Node, page: _Page, depth: int) -> None:
+def _table(table: Node, page: _Page):
     """Sets each row's cells side by side, padded to the widest of their column."""
     rows: list[list[Node]] = []
     outside: list[Node] = []
     _rows(table, rows, outside)
     for x in outside:
-        _render_alone(x, page, depth)
+        yield _render_alone(x, page)
     laid, widths = [], []
     for row in rows:
         cells, column = [], 0
         for cell in row:
             own = _Page()
-            _render(cell, own, min(depth + 1, DEEPEST), False)
+            yield _render(cell, own, False)
             lines = [x for x in own.text().split("\n") if x]
             span = cell.attrs.get("colspan", "")
             span = min(int(span), 1000) if span.isdecimal() and int(span) > 0 else 1
@@ -190,10 +197,10 @@ def _table(table: Node, page: _Page, depth: int) -> None:
             page.place(line)
 
 
-def _render_alone(node: Node, page: _Page, depth: int) -> None:
+def _render_alone(node: Node, page: _Page):
     holder = Node("div")
     holder.children.append(node)
-    _render(holder, page, depth, False)
+    yield _render(holder, page, False)
     page.end_line()
 
 
@@ -201,7 +208,7 @@ def visible_text(html: str | None) -> str | None:
     if html is None:
         return None
     page = _Page()
-    _render(parse(html), page, 0, False)
+    _run(_render(parse(html), page, False))
     return page.text()
 
 

@@ -375,3 +375,19 @@ def test_op9_sample_is_the_smallest_hashes_of_each_language(spark):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(h for h in v if h <= bound[k]) for k, v in hashes.items()}
     assert Counter(r.lang for r in sample(docs, 100).collect()) == {"de": 100, "en": 100, "it": 100}
     assert sorted(sample(docs, 100).collect()) == sorted(sample(docs.repartition(3), 100).collect())
+
+
+@pytest.mark.parametrize("opening", ["<div>" * 300, "<div>" + "<span>" * 300, "<div><span>" * 2500])
+def test_op2_keeps_its_rules_at_any_depth(opening):
+    from docloom.llm.htmltext import visible_text
+
+    below = "a<script>x()</script><style>b {}</style><b hidden>c</b><i style='display:none'>d</i> e<br>f<div>g</div><ul><li>h<li>i</ul><table><tr><td>jj<td>k<tr><td>l<td>m</table><pre>n  o\n p</pre>"
+    assert visible_text(opening + below) == "a e\nf\ng\n\n- h\n- i\n\njj  k\nl   m\n\nn  o\n p"
+
+
+def test_op2_nests_lists_quotes_and_tables_at_any_depth():
+    from docloom.llm.htmltext import visible_text
+
+    assert visible_text("<blockquote>" * 1500 + "deep") == "  " * 1500 + "deep"
+    assert visible_text("<table><tr><td>" * 1500 + "deep") == "deep"
+    assert visible_text("<ul><li>x" * 1200).split("\n")[-1] == "  " * 1199 + "- x"
