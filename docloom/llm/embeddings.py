@@ -1,10 +1,11 @@
 """Operator 3: near-duplicate vectors by cross-polytope hashing.
 
 1. Equal vectors of one label become a class with a size (a hot vector is summed up before the shuffle).
-2. A class is hashed in ``TABLES`` tables: for each polytope three sign flips, each followed by a fast
+2. A class is hashed in some tables, ``TABLES`` at least: for each polytope three sign flips, each followed by a fast
    Hadamard transform, then the signed axis nearest to the result. A table's code joins the axes of some
    polytopes, the number of which follows the logarithm of the number of classes. A class also stands in
-   its ``PROBES`` next best buckets.
+   its ``PROBES`` next best buckets. More polytopes or wider vectors make a table miss more pairs, so the
+   number of tables is that by which a pair right at the threshold is missed with a chance of ``MISSED`` at most.
 3. Bucket sizes come from ids and codes alone; classes alone in a bucket go. A bucket larger than
    ``BLOCK`` is cut into blocks, and every pair of blocks is a task's work by itself.
 4. Vectors meet in their buckets and are compared in double precision. A pair counts in the first bucket
@@ -19,6 +20,7 @@ vectors. A component's id is its smallest ``vec_id``, null if it has none.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -29,7 +31,12 @@ from docloom.llm import storage
 from docloom.llm.components import components
 
 THRESHOLD = 0.98
+#: Tables at least, and further buckets of a vector in each.
 TABLES, PROBES = 4, 2
+#: Bound on the share of pairs right at the threshold that meet in no table.
+MISSED = 1e-4
+#: Narrower vectors are padded with zeros: few axes know few rotations, and tables would miss the same pairs.
+NARROWEST = 64
 #: Classes that are compared with each other in one step; beyond it a bucket is cut.
 BLOCK = 512
 #: Classes for each bucket of a table, about, if codes were even.
@@ -47,13 +54,18 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(n)
 
 
+def axes_of(dim: int) -> int:
+    """The power of two to which vectors of that length are padded."""
+    return max(NARROWEST, 1 << max(0, dim - 1).bit_length())
+
+
 def bucket_codes(unit: np.ndarray, polytopes: int, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
     """(rows, tables, 1 + probes) codes: the own bucket of each table, then the best ones next to it.
 
     A probe replaces the nearest axis of one polytope by its second nearest, where that loses least.
     """
     rows, dim = unit.shape
-    size = 1 << max(0, dim - 1).bit_length()
+    size = axes_of(dim)
     x = np.zeros((rows, size))
     x[:, :dim] = unit
     rng = np.random.default_rng(dim)
@@ -81,12 +93,44 @@ def bucket_codes(unit: np.ndarray, polytopes: int, tables: int = TABLES, probes:
     return out
 
 
+def pairs_at(cosine: float, n: int, dim: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors of that cosine."""
+    rng = np.random.default_rng(seed)
+    x, y = rng.standard_normal((2, n, dim))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y /= np.sqrt((y * y).sum(axis=1))[:, None]
+    return x, cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * y
+
+
+def meet(x: np.ndarray, y: np.ndarray, polytopes: int, tables: int) -> np.ndarray:
+    """(rows, tables): whether the vectors of a row share a bucket of the table."""
+    a, b = bucket_codes(x, polytopes, tables), bucket_codes(y, polytopes, tables)
+    return (a[:, :, :, None] == b[:, :, None, :]).any(axis=(2, 3))
+
+
+@functools.lru_cache
+def tables_for(dim: int, polytopes: int, threshold: float = THRESHOLD) -> int:
+    """Tables by which a pair at the threshold is missed with a chance of ``MISSED`` at most.
+
+    The chance of one table comes from random pairs, plus three standard errors; tables are independent.
+    """
+    size = axes_of(dim)
+    n = max(500, (1 << 17) // size)
+    met = meet(*pairs_at(threshold, n, size), polytopes, TABLES)
+    miss = 1 - met.mean() + 1 / met.size
+    miss += 3 * math.sqrt(miss * max(0.0, 1 - miss) / met.size)
+    if miss >= 1:
+        raise ValueError(f"vectors of cosine {threshold} do not meet by hashing")
+    return max(TABLES, math.ceil(math.log(MISSED) / math.log(miss)))
+
+
 def _unit(raw: list[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _hashed(polytopes: int):
+def _hashed(polytopes: int, tables: int):
     def of(batches):
         import pyarrow as pa
 
@@ -96,7 +140,7 @@ def _hashed(polytopes: int):
             for dim in sorted({len(v) for v in scale}):
                 at = [i for i, v in enumerate(scale) if len(v) == dim]
                 raw = [scale[i].tobytes() for i in at]
-                codes = bucket_codes(_unit(raw), polytopes)
+                codes = bucket_codes(_unit(raw), polytopes, tables)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), batch.column(1).take(pa.array(at)), pa.array(raw, pa.binary()), pa.array(codes.reshape(len(at), -1).tolist(), pa.list_(pa.int64())), pa.array([dim] * len(at), pa.int32())], ["c", "size", "vector", "codes", "dim"])
 
     return of
@@ -107,7 +151,7 @@ def _compare(key: tuple, rows: list, threshold: float):
     _, _, table, code, left, right = key
     c, size, side = (np.concatenate([r[k] for r in rows]) for k in range(3))
     unit = _unit([v for r in rows for v in r[3]])
-    sets = np.concatenate([r[4] for r in rows]).reshape(len(c), TABLES, 1 + PROBES)
+    sets = np.concatenate([r[4] for r in rows]).reshape(len(c), -1, 1 + PROBES)
     one, two = (np.arange(len(c)),) * 2 if left == right else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     near = unit[one] @ unit[two].T >= threshold
     if left == right:
@@ -182,10 +226,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     classes = storage.materialise(classes.withColumn("c", F.monotonically_increasing_id()), "vector-classes")
 
     widest = classes.agg(F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    base = 2 << max(0, (widest["d"] or 1) - 1).bit_length()
+    base = 2 * axes_of(widest["d"] or 1)
     polytopes = max(2, math.ceil(math.log(max(1, widest["n"] / CROWD)) / math.log(base)))
+    tables = tables_for(widest["d"] or 1, polytopes, threshold)
     schema = "c long, size long, vector binary, codes array<long>, dim int"
-    hashed = storage.materialise(classes.select("c", "size", "v").mapInArrow(_hashed(polytopes), schema), "vector-codes")
+    hashed = storage.materialise(classes.select("c", "size", "v").mapInArrow(_hashed(polytopes, tables), schema), "vector-codes")
 
     places = hashed.join(classes.select("c", "label"), "c").select("c", "label", "dim", F.posexplode("codes").alias("at", "code"))
     places = places.select("c", "label", "dim", F.floor(F.col("at") / (1 + PROBES)).cast("int").alias("table"), "code").distinct()

@@ -391,3 +391,22 @@ def test_op2_nests_lists_quotes_and_tables_at_any_depth():
     assert visible_text("<blockquote>" * 1500 + "deep") == "  " * 1500 + "deep"
     assert visible_text("<table><tr><td>" * 1500 + "deep") == "deep"
     assert visible_text("<ul><li>x" * 1200).split("\n")[-1] == "  " * 1199 + "- x"
+
+
+@pytest.mark.parametrize(("dim", "polytopes", "n"), [(3, 2, 10000), (64, 2, 10000), (64, 3, 10000), (384, 3, 1500)])
+def test_op3_misses_few_pairs_at_the_threshold(dim, polytopes, n):
+    from docloom.llm.embeddings import MISSED, meet, pairs_at, tables_for
+
+    met = meet(*pairs_at(0.98, n, dim, 7), polytopes, tables_for(dim, polytopes))
+    assert (~met.any(axis=1)).sum() <= max(1, n * MISSED)
+
+
+def test_op3_links_pairs_at_three_polytopes(spark, monkeypatch):
+    from docloom.llm import embeddings
+
+    monkeypatch.setattr(embeddings, "CROWD", 1e-3)
+    x, y = embeddings.pairs_at(0.9801, 1000, 64, 3)
+    frame = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate([*x, *y])], "vec_id long, embedding array<double>, label long")
+    found = embeddings.near_vectors(frame).collect()
+    # A pair in 10,000 may be missed.
+    assert len(found) == 2000 and sum(r.n_links == 1 and r.component_id == r.vec_id % 1000 for r in found) >= 1998
