@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,14 +13,17 @@ _RUN = uuid.uuid4().hex
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where it is unset (tests), a temporary one.
+    """The folder named in ``spark.checkpoint.dir``; where it is unset on a local master (tests), a temporary one.
 
-    Every driver process uses a sub-folder of its own, which goes when the process ends.
+    Every driver process uses a sub-folder of its own, which goes when the process ends. A cluster's
+    executors see no folder of the driver, so there the setting must be made.
     """
+    global _local
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-docloom-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local = _local or "file://" + tempfile.mkdtemp(prefix="spark-docloom-", dir="/tmp")
     folder = f"{root.rstrip('/')}/docloom-{_RUN}"
     if folder not in _folders:
         _folders.add(folder)
@@ -28,9 +32,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _folders: set[str] = set()
+_local: str | None = None
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder or table that nothing reads any more."""
     if spark.sparkContext._jsc is None:  # the session has been stopped
         return
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -50,4 +56,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a table of ``materialise`` that no later step reads."""
+    _remove(table.sparkSession, _paths.pop(table))

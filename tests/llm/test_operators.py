@@ -107,6 +107,109 @@ def test_op5_equals_brute_force(spark, data, docs):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), component[r.doc_id], r.doc_id == component[r.doc_id])
 
 
+def near_copies(n, words, changes, seed):
+    """Copies of one text, each with some words replaced by its own."""
+    rng = np.random.default_rng(seed)
+    texts = {}
+    for k in range(n):
+        own = [f"w{j}" for j in range(words)]
+        for at in rng.choice(words, rng.integers(*changes), replace=False):
+            own[at] = f"x{k}_{at}"
+        texts[k] = " ".join(own)
+    return texts
+
+
+def test_shingle_sets_equal_their_definition(monkeypatch):
+    import random
+
+    from docloom.llm import shingles
+
+    random.seed(1)
+    texts = [None, "", " ", "a", "A a\tb", "one two three four five", "x" * 9000 + " y " + "X" * 9000]
+    texts += ["".join(random.choice("abAB \n\t\x0b\x0c\xa0é日") for _ in range(random.randint(0, 300))) for _ in range(300)]
+    found = {}
+    for step in (16, 64, 1 << 20):
+        monkeypatch.setattr(shingles, "STEP", step)
+        for k, (words, x) in enumerate(shingles.shingle_sets(texts)):
+            own = (texts[k] or "").encode().lower().split()
+            assert len(own) == len(words) and len(x) == len(shingle_set(texts[k] or "")) and (np.diff(x.astype(object)) > 0).all()
+            assert all(found.setdefault(w, h) == h for w, h in zip(own, words.tolist(), strict=True))
+            assert found.setdefault(k, x.tolist()) == x.tolist()
+    words = [h for w, h in found.items() if isinstance(w, bytes)]
+    assert len(set(words)) == len(words)
+
+
+def test_op5_loses_no_link_at_the_threshold(spark):
+    """Pairs between 0.72 and 0.80, far beyond a sketch's size."""
+    from docloom.llm.neardup import near_documents
+
+    rng = np.random.default_rng(8)
+    texts = {}
+    for k in range(1000):
+        size = int(rng.integers(180, 700))
+        words = [f"p{k}_{j}" for j in range(size)]
+        texts[k] = " ".join(words)
+        # A run at the end is replaced: no shingle but those at its border changes besides.
+        shared = size - int(round(size * (1 - 2 * (j := rng.uniform(0.72, 0.80)) / (1 + j))))
+        texts[1000 + k] = " ".join([*words[:shared], *(f"q{k}_{j}" for j in range(size - shared))])
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_documents(frame).collect()}
+    links = 0
+    for k in range(1000):
+        a, b = shingle_set(texts[k]), shingle_set(texts[1000 + k])
+        linked = 100 * len(a & b) >= 75 * len(a | b)
+        links += linked
+        assert found[k] == k and found[1000 + k] == (k if linked else 1000 + k)
+    assert 500 < links < 800
+
+
+def test_op5_rows_grow_with_members(spark, monkeypatch):
+    """Groups of mutual near copies, many blocks each: neither edges nor texts may grow with the group's square."""
+    from docloom.llm import neardup, storage
+
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    write, rows = storage.materialise, {}
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(storage, "materialise", counted)
+    for n in (128, 1024):
+        rows.clear()
+        texts = near_copies(n, 300, (2, 7), n)
+        found = neardup.near_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+        assert {r.component_id for r in found} == {0}
+        # Each class has a text and a link for each of its first lists, about, whatever the group's size.
+        # Edges are links in both directions, and written twice.
+        for name, share in (("near-told", 2), ("near-links", 2), ("edges", 4)):
+            assert rows[name] <= share * neardup.FIRST_LISTS * n, (n, name, rows)
+
+
+@pytest.mark.parametrize("block", [5, 1024])
+def test_op5_blocks_lose_nothing(spark, monkeypatch, block):
+    """Most pairs lie near the threshold, many classes stay alone; blocks are far smaller than lists."""
+    from docloom.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    texts = near_copies(90, 300, (5, 16), 5)
+    sets, component = near_components(texts)
+    assert 5 < len(set(component.values())) < 85
+    for r in neardup.near_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), component[r.doc_id])
+
+
+def test_op5_spanning_forest():
+    from docloom.llm.neardup import spanning_forest
+
+    a, b, w = np.array([0, 1, 0, 3, 3, 5]), np.array([1, 2, 2, 4, 4, 5]), np.array([0.5, 0.9, 0.8, 0.1, 0.2, 1.0])
+    edges, root = spanning_forest(a, b, w, 7)
+    assert sorted(edges.tolist()) == [1, 2, 4] and root.tolist() == [0, 0, 0, 3, 3, 5, 6]
+    edges, root = spanning_forest(a[:0], b[:0], w[:0], 3)
+    assert len(edges) == 0 and root.tolist() == [0, 1, 2]
+
+
 def test_op5_finds_borderline_links_in_a_crowd(spark):
     """Many texts near one another, and others just beyond: long enough for sketches to be cut."""
     from docloom.llm.neardup import near_documents
