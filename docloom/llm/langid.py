@@ -14,7 +14,6 @@ nothing could be learned. Languages that the table of families lacks are familie
 from __future__ import annotations
 
 import itertools
-import re
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -36,7 +35,8 @@ PER_LANGUAGE, DIMENSIONS = 1000, 2048
 UNKNOWN = "und"
 PREDICTION = "lang_pred string, score double"
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Texts whose vectors are held at a time.
+BATCH = 512
 
 
 def family_of(lang: str) -> str:
@@ -47,12 +47,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+def lettered(text: str | None) -> bool:
+    """Whether a text has a letter; digits, fractions, and numbers in circles are none."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def has_letter(text: Column) -> Column:
     """False for null; what ``predict`` needs of a text to name a language, whatever was learned."""
 
     @F.pandas_udf("boolean")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(t and _LETTER.search(t)) for t in texts], dtype=bool)
+        return pd.Series([lettered(t) for t in texts], dtype=bool)
 
     return of(text.cast("string"))
 
@@ -61,7 +66,7 @@ def features(text: str | None):
     """The unit vector of a whole text, or None where it has no letter."""
     import numpy as np
 
-    if not text or not _LETTER.search(text):
+    if not lettered(text):
         return None
     raw = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), dtype=np.uint8)
     # Everything in ASCII that is no letter counts as a blank.
@@ -121,27 +126,32 @@ class Model:
                 model.pairs[a, b] = train_svm(x[own], np.where(of[own] == a, 1, -1))
         return model
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text; all its vectors are multiplied by all machines at once."""
         import numpy as np
 
-        x = features(text) if self.langs else None
-        if x is None:
-            return UNKNOWN, 0.0
-        sure, name = 1.0, next(iter(self.langs))
-        sigmoid = lambda v: float(1 / (1 + np.exp(-4 * v)))
-        if self.family:
-            values = {k: float(np.dot(w[:-1], x) + w[-1]) for k, w in self.family.items()}
-            name = max(values, key=values.get)
-            sure = sigmoid(values[name])
-        members = self.langs[name]
-        wins = {lang: [] for lang in members}
-        for a, b in itertools.combinations(members, 2):
-            w = self.pairs[a, b]
-            p = sigmoid(float(np.dot(w[:-1], x) + w[-1]))
-            wins[a].append(p)
-            wins[b].append(1 - p)
-        lang = max(members, key=lambda k: (sum(p > 0.5 for p in wins[k]), sum(wins[k])))
-        return lang, sure * (sum(wins[lang]) / len(wins[lang]) if wins[lang] else 1.0)
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        found = [(k, x) for k, t in enumerate(texts) if (x := features(t)) is not None] if self.langs else []
+        if not found:
+            return out
+        names = list(self.langs)
+        machines = [*self.family.values(), *self.pairs.values()]
+        x = np.stack([x for _, x in found])
+        values = x @ np.stack([w[:-1] for w in machines]).T + np.array([w[-1] for w in machines]) if machines else np.zeros((len(x), 0))
+        sure = 1 / (1 + np.exp(-4.0 * values))
+        of = {pair: sure[:, len(self.family) + k] for k, pair in enumerate(self.pairs)}
+        best = values[:, : len(self.family)].argmax(axis=1) if self.family else np.zeros(len(x), dtype=int)
+        for at, (k, _) in enumerate(found):
+            members = self.langs[names[best[at]]]
+            wins: dict[str, list[float]] = {lang: [] for lang in members}
+            for a, b in itertools.combinations(members, 2):
+                p = float(of[a, b][at])
+                wins[a].append(p)
+                wins[b].append(1 - p)
+            lang = max(members, key=lambda m: (sum(p > 0.5 for p in wins[m]), sum(wins[m])))
+            likely = sum(wins[lang]) / len(wins[lang]) if wins[lang] else 1.0
+            out[k] = lang, likely * (float(sure[at, best[at]]) if self.family else 1.0)
+        return out
 
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -191,8 +201,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced."""
+
     @F.pandas_udf(PREDICTION)
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+        found = [r for at in range(0, len(texts), BATCH) for r in model.predict(texts[at : at + BATCH].tolist())]
+        return pd.DataFrame(found, columns=["lang_pred", "score"])
 
     return docs.withColumn("__p", of(F.col(text_col).cast("string"))).withColumns({"lang_pred": F.col("__p.lang_pred"), "score": F.col("__p.score")}).drop("__p")
