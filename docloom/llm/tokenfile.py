@@ -223,20 +223,20 @@ def read_digests(spark: SparkSession, files: list[dict]) -> DataFrame:
         first += f["n_ids"]
     if not rows:
         return spark.createDataFrame([], schema)
+    listed = spark.sparkContext.broadcast(rows)  # some entries for each task that wrote files
 
     def decoded(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, start in (listed.value[k] for k in batch.column(0).to_pylist()):
                 out = []
                 for doc_id, ids in read_file(path):
                     out.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    listed = spark.createDataFrame(rows, "path string, start long").repartition(len(rows), "path")
-    return listed.mapInArrow(decoded, schema)
+    return spark.range(0, len(rows), 1, len(rows)).mapInArrow(decoded, schema)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, width: int = 2) -> list[dict]:
