@@ -3,8 +3,8 @@
 A document becomes its token ids and an end id. Whole multiples of the sequence length fill sequences
 of their own; the rests of a window of documents are shared out over just as many sequences as their
 tokens need. They go, in descending estimated attention cost (a linear and a quadratic term of the
-length), to the sequence of lowest cost that has room; where no cheap sequence has room for all of it,
-a rest is cut. So a window pads fewer tokens than one sequence holds. Windows belong to one partition,
+length), to the sequence of lowest cost that has room; where no sequence has room for all of it, a rest is
+cut at the end of the one with most room. So a window pads fewer tokens than one sequence holds. Windows belong to one partition,
 nothing is shuffled, and a task that is run anew makes the same sequences.
 
 Null or empty texts are one end id. Rows with equal or null ``doc_id`` are packed one by one.
@@ -12,17 +12,16 @@ Null or empty texts are one end id. Rows with equal or null ``doc_id`` are packe
 
 from __future__ import annotations
 
-import heapq
 import zlib
 
 from pyspark.sql import DataFrame
 
+from docloom.llm import tokens
+
 SEQUENCE = 1024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Documents whose rests are packed together.
 WINDOW = 2048
-#: How many cheap sequences are tried before a rest is cut.
-TRIES = 8
 
 
 def attention_cost(tokens: int, linear: float = 1.0, quadratic: float = 1.0 / 512) -> float:
@@ -35,41 +34,39 @@ def share_out(lengths: list[int], size: int = SEQUENCE) -> list[list[tuple[int,
 
     Returns for each sequence its pieces ``(which, start in the rest, length, offset)``.
     """
+    import numpy as np
+
     sequences: list[list[tuple[int, int, int, int]]] = [[] for _ in range(-(-sum(lengths) // size))]
-    room = [size] * len(sequences)
-    heap = [(0.0, k) for k in range(len(sequences))]
+    room, cost = np.full(len(sequences), size), np.zeros(len(sequences))
     todo = sorted(range(len(lengths)), key=lambda i: (-attention_cost(lengths[i]), i))
     for i in todo:
         at, left = 0, lengths[i]
         while left:
-            tried = [heapq.heappop(heap) for _ in range(min(TRIES, len(heap)))]
-            pick = next((x for x in tried if room[x[1]] >= left), None) or max(tried, key=lambda x: (room[x[1]], -x[1]))
-            cost, k = pick
-            n = min(left, room[k])
-            sequences[k].append((i, at, n, size - room[k]))
-            room[k], at, left = room[k] - n, at + n, left - n
-            for x in tried:
-                if x is not pick:
-                    heapq.heappush(heap, x)
-            if room[k]:
-                heapq.heappush(heap, (cost + attention_cost(n), k))
+            fits = np.flatnonzero(room >= left)
+            k = int(fits[cost[fits].argmin()] if len(fits) else room.argmax())
+            n = min(left, int(room[k]))
+            sequences[k].append((i, at, n, size - int(room[k])))
+            room[k] -= n
+            cost[k] += attention_cost(n)
+            at, left = at + n, left - n
     return sequences
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece, see ``PIECES``; ``start`` counts the document's ids before the piece."""
+def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep: int = tokens.KEEP) -> DataFrame:
+    """One row per piece, see ``PIECES``; ``start`` counts the document's ids before the piece.
+
+    ``keep`` bounds the words that a Python worker remembers.
+    """
 
     def packed(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from docloom.llm.tokens import encoder
-
-        encode = encoder(tokenizer).encode
+        encode = tokens.encoder(tokenizer, keep=keep).encode
         end = int(end_id).to_bytes(4, "little")
         following = TaskContext.get().partitionId() << 33
         names = [x.split()[0] for x in PIECES.split(", ")]
-        rests: list[tuple] = []  # doc_id, tokens, start of the rest, its ids
+        rests: list[tuple] = []  # doc_id, number of ids, start of the rest, its ids
 
         def table(rows):
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
@@ -80,8 +77,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = 0,
             rows = []
             for pieces in share_out([len(r[3]) // 4 for r in rests], size):
                 for i, at, n, offset in pieces:
-                    doc_id, tokens, start, ids = rests[i]
-                    rows.append((doc_id, start + at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), tokens, following, offset))
+                    doc_id, count, start, ids = rests[i]
+                    rows.append((doc_id, start + at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), count, following, offset))
                 following += 1
             rests.clear()
             return rows
@@ -92,13 +89,13 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = 0,
                 rows = []
                 for doc_id, ids in zip(doc_ids[at : at + 512], encode(texts[at : at + 512].to_pylist()), strict=False):
                     ids += end
-                    tokens = len(ids) // 4
-                    whole = tokens - tokens % size
+                    count = len(ids) // 4
+                    whole = count - count % size
                     for start in range(0, whole, size):
-                        rows.append((doc_id, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), tokens, following, 0))
+                        rows.append((doc_id, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), count, following, 0))
                         following += 1
-                    if whole < tokens:
-                        rests.append((doc_id, tokens, whole, ids[4 * whole :]))
+                    if whole < count:
+                        rests.append((doc_id, count, whole, ids[4 * whole :]))
                     if len(rests) >= WINDOW:
                         rows += closed()
                 yield table(rows)

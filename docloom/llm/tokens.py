@@ -20,14 +20,17 @@ _TWO_MARKS = re.compile(r"(?:[^\w\s]|_)(?:[^\w\s]|_)")
 _MARK = "\x01"
 
 
+#: Words that an encoder remembers.
+KEEP = 1_000_000
+
 _encoders: dict[tuple, WordEncoder] = {}
 
 
-def encoder(path: str, dtype: str = "<u4") -> WordEncoder:
+def encoder(path: str, dtype: str = "<u4", keep: int = KEEP) -> WordEncoder:
     """This process's encoder: tasks that a Python worker runs one after another share its memory."""
-    if (path, dtype) not in _encoders:
-        _encoders[path, dtype] = WordEncoder(path, dtype)
-    return _encoders[path, dtype]
+    if (path, dtype, keep) not in _encoders:
+        _encoders[path, dtype, keep] = WordEncoder(path, dtype, keep)
+    return _encoders[path, dtype, keep]
 
 
 class WordEncoder:
@@ -36,7 +39,7 @@ class WordEncoder:
     ``keep`` bounds the number of remembered words; beyond it the memory starts anew.
     """
 
-    def __init__(self, path: str, dtype: str = "<u4", keep: int = 1_000_000):
+    def __init__(self, path: str, dtype: str = "<u4", keep: int = KEEP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
