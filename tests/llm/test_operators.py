@@ -513,3 +513,95 @@ def test_op3_links_pairs_at_three_polytopes(spark, monkeypatch):
     found = embeddings.near_vectors(frame).collect()
     # A pair in 10,000 may be missed.
     assert len(found) == 2000 and sum(r.n_links == 1 and r.component_id == r.vec_id % 1000 for r in found) >= 1998
+
+
+def test_op8_cuts_only_what_no_sequence_holds():
+    from docloom.llm.packing import attention_cost, share_out
+
+    rng = np.random.default_rng(2)
+    for lengths in ([100] * 30 + [7] * 3, rng.integers(1, 1024, 400).tolist(), rng.integers(600, 1024, 50).tolist() + [1] * 900, [1023] * 9):
+        room = [1024] * -(-sum(lengths) // 1024)
+        cost = [0.0] * len(room)
+        want = [[] for _ in room]
+        for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            at, left = 0, lengths[i]
+            while left:
+                fits = [k for k in range(len(room)) if room[k] >= left]
+                k = min(fits, key=lambda k: (cost[k], k)) if fits else max(range(len(room)), key=lambda k: (room[k], -k))
+                n = min(left, room[k])
+                want[k].append((i, at, n, 1024 - room[k]))
+                room[k], cost[k], at, left = room[k] - n, cost[k] + attention_cost(n), at + n, left - n
+        assert share_out(lengths) == want
+
+
+def test_op10_reads_one_file_a_task(spark):
+    from docloom.llm.tokenfile import read_digests, write_token_files
+
+    docs = spark.range(0, 3000, 1, 7).select((F.col("id") * 3 % 1000 - 500).alias("doc_id"), F.repeat(F.concat(F.lit(" w"), F.col("id").cast("string")), 40).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = write_token_files(docs, vocabulary("word_bpe_49k.json"), end_id=2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = read_digests(spark, files)
+    assert len(files) > 1 and read.rdd.getNumPartitions() == len(files)
+    found = read.withColumn("task", F.spark_partition_id()).orderBy("start").collect()
+    assert [r.doc_id for r in found] == sorted(r.doc_id for r in docs.collect())
+    assert found[0].start == 0 and all(b.start == a.start + a.n_tokens for a, b in zip(found, found[1:], strict=False))
+    assert sorted(Counter(r.task for r in found).values()) == sorted(f["n_docs"] for f in files)
+
+
+def test_op10_documents_beyond_a_block(spark, monkeypatch):
+    from docloom.llm import tokenfile
+    from docloom.llm.huffman import code_lengths
+    from docloom.llm.tokenfile import _Run, read_file
+
+    monkeypatch.setattr(tokenfile, "BLOCK", 100)
+    import tempfile
+
+    import pyarrow as pa
+    from docloom.llm.huffman import Code
+
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 50, n).astype("<u2") for n in (5, 0, 730, 100, 99, 1, 250)]
+    run = _Run("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"), 0, 0, Code(code_lengths(np.bincount(np.concatenate(docs)))), 2, 1)
+    run.add([7, None, 9, 9, 11, 12, 13], [d.tobytes() for d in docs])
+    run.close(pa)
+    got = list(read_file(run.path))
+    assert len(run.blocks) > 10 and [k for k, _ in got] == [7, None, 9, 9, 11, 12, 13]
+    assert all((a == b).all() and len(a) == len(b) for (_, a), b in zip(got, docs, strict=True))
+
+
+def test_op9_family_first_then_pairs():
+    """The family's machine decides even where a language of another family is nearer; within it each pair votes."""
+    from docloom.llm.langid import DIMENSIONS, Model, features
+
+    x = features("some text")
+    toward = lambda sign: np.append(sign * x, 0).astype(np.float32)
+    model = Model({"germanic": ["de", "en", "nl"], "romance": ["fr"]}, {"germanic": toward(1), "romance": toward(-1)}, {("de", "en"): toward(-1), ("de", "nl"): toward(1), ("en", "nl"): toward(1)})
+    (lang, score), none, again = model.predict(["some text", "12 ½ Ⅷ ②", "some text"])
+    sure = 1 / (1 + np.exp(-4))
+    assert lang == "en" and score == pytest.approx(sure * sure, abs=1e-6) and none == ("und", 0.0) and again == (lang, score)
+    model.family = {"germanic": toward(-1), "romance": toward(1)}
+    assert model.predict(["some text"])[0][0] == "fr" and len(x) == DIMENSIONS
+
+
+def test_op9_predictions_do_not_depend_on_the_batch():
+    from docloom.llm.langid import Model, features
+
+    texts = ["the quick brown fox", "der schnelle braune Fuchs", "le renard brun rapide", "el zorro marrón", None, "", "3½"] * 5
+    langs = ["en", "de", "fr", "es"]
+    model = Model.train(np.stack([features(t) for t in texts[:4]] * 6), langs * 6)
+    together = model.predict(texts)
+    assert [x[0] for x in together[:7]] == [*langs, "und", "und", "und"]
+    for t, (lang, score) in zip(texts, together, strict=True):
+        (alone, own), = model.predict([t])
+        assert alone == lang and own == pytest.approx(score, abs=1e-5)
+
+
+def test_op9_numbers_are_no_letters(spark):
+    from docloom.llm.langid import fit, has_letter, predict
+
+    rows = [(k, t) for k, t in enumerate(["½", "² Ⅷ ①", "a½", "日", "_", "٣", "ª", None])]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    want = [bool(t) and any(c.isalpha() for c in t) for _, t in rows]
+    assert [r.x for r in docs.select("doc_id", has_letter(F.col("text")).alias("x")).orderBy("doc_id").collect()] == want
+    assert [r.lang_pred != "und" for r in predict(docs, fit(docs)).orderBy("doc_id").collect()] == want
