@@ -7,7 +7,8 @@
    its ``PROBES`` next best buckets. More polytopes or wider vectors make a table miss more pairs, so the
    number of tables is that by which a pair right at the threshold is missed with a chance of ``MISSED`` at most.
 3. Bucket sizes come from ids and codes alone; classes alone in a bucket go. A bucket larger than
-   ``BLOCK`` is cut into blocks, and every pair of blocks is a task's work by itself.
+   ``BLOCK`` is cut into blocks, and every pair of blocks is a task's work by itself: numbers of links need all
+   comparisons, but a vector travels once for each block of its bucket, not for each class.
 4. Vectors meet in their buckets and are compared in double precision. A pair counts in the first bucket
    that both stand in, so no list of pairs is needed: a block pair gives, for each class, the number of
    vectors linked with it and the smallest class it is connected to.
@@ -37,8 +38,10 @@ TABLES, PROBES = 4, 2
 MISSED = 1e-4
 #: Narrower vectors are padded with zeros: few axes know few rotations, and tables would miss the same pairs.
 NARROWEST = 64
-#: Classes that are compared with each other in one step; beyond it a bucket is cut.
-BLOCK = 512
+#: Classes of a bucket that travel together: beyond it a bucket is cut, and a class goes to each pair of blocks.
+BLOCK = 4096
+#: Classes that are compared with each other in one step.
+PART = 512
 #: Classes for each bucket of a table, about, if codes were even.
 CROWD = 64
 
@@ -153,33 +156,52 @@ def _compare(key: tuple, rows: list, threshold: float):
     unit = _unit([v for r in rows for v in r[3]])
     sets = np.concatenate([r[4] for r in rows]).reshape(len(c), -1, 1 + PROBES)
     one, two = (np.arange(len(c)),) * 2 if left == right else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    near = unit[one] @ unit[two].T >= threshold
-    if left == right:
-        near = np.triu(near, 1)
-    i, j = np.nonzero(near)
-    i, j = one[i], two[j]
+    links, ends = np.zeros(len(c), dtype=np.int64), []
+    for x in range(0, len(one), PART):
+        for y in range(x if left == right else 0, len(two), PART):
+            near = unit[one[x : x + PART]] @ unit[two[y : y + PART]].T >= threshold
+            if left == right and x == y:
+                near = np.triu(near, 1)
+            i, j = np.nonzero(near)
+            i, j = one[x + i], two[y + j]
+            met = _met_before(sets[i], sets[j], table, code)
+            i, j = i[~met], j[~met]
+            if len(i):
+                np.add.at(links, i, size[j])
+                np.add.at(links, j, size[i])
+                root = _smallest(c, i, j)
+                at = np.flatnonzero(root != c)
+                # Of the links a forest is enough to go on: each class and the smallest one that it reaches.
+                ends.append((at, root[at]))
+    if not ends:
+        return None
+    places = np.argsort(c)
+    i = np.concatenate([at for at, _ in ends])
+    j = places[np.searchsorted(c, np.concatenate([to for _, to in ends]), sorter=places)]
+    has = links > 0
+    return c[has], links[has], _smallest(c, i, j)[has]
+
+
+def _met_before(a: np.ndarray, b: np.ndarray, table: int, code: int) -> np.ndarray:
+    """Whether pairs with these buckets (rows, tables, buckets) share one before ``code`` of ``table``."""
+    met = np.zeros(len(a), dtype=bool)
     for t in range(table + 1):
-        if not len(i):
-            break
-        a, b = sets[i, t], sets[j, t]
-        met = np.zeros(len(i), dtype=bool)
         for p in range(1 + PROBES):
-            same = (b == a[:, [p]]).any(axis=1)
-            met |= same & (a[:, p] < code) if t == table else same
-        i, j = i[~met], j[~met]
-    if not len(i):
-        return None
-    links = np.bincount(i, weights=size[j], minlength=len(c)) + np.bincount(j, weights=size[i], minlength=len(c))
+            same = (b[:, t] == a[:, t, [p]]).any(axis=1)
+            met |= same & (a[:, t, p] < code) if t == table else same
+    return met
+
+
+def _smallest(c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest of ``c`` that each one is connected to by the edges (i, j)."""
     root = c.copy()
     while True:
         new = root.copy()
         np.minimum.at(new, i, root[j])
         np.minimum.at(new, j, root[i])
         if (new == root).all():
-            break
+            return root
         root = new
-    has = links > 0
-    return c[has], links[has].astype(np.int64), root[has]
 
 
 def _compared(threshold: float):
