@@ -179,4 +179,32 @@ def test_large_buckets_are_cut(spark, monkeypatch):
     links = ((u @ u.T) >= 0.98).sum(axis=1) - 1
     frame = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     found = {r.vec_id: r.n_links for r in embeddings.near_vectors(frame).collect()}
-    assert sum(abs(found[k] - links[k]) for k in found) <= 0.01 * links.sum()
+    assert links.sum() > 200
+    # A link in 10,000 may be missed; it counts for both its ends.
+    assert sum(abs(found[k] - links[k]) for k in found) <= 2
+
+
+def test_parts_of_a_block_pair_add_up(monkeypatch):
+    from docloom.llm import embeddings
+
+    rng = np.random.default_rng(1)
+    center = rng.normal(size=(4, 32))
+    x = np.concatenate([c + 0.12 * rng.normal(size=(25, 32)) for c in center])
+    c = rng.permutation(1000)[:100]
+    codes = embeddings.bucket_codes(x / np.linalg.norm(x, axis=1, keepdims=True), 2)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    for key in ((1, 32, 0, int(codes[0, 0, 0]), 0, 0), (1, 32, 1, int(codes[0, 1, 0]), 0, 1)):
+        side = (np.arange(100) % 2) * (key[4] != key[5])
+        rows = [(c[a : a + 30], np.full(len(c[a : a + 30]), 2), side[a : a + 30], [v.astype("<f8").tobytes() for v in x[a : a + 30]], codes[a : a + 30].reshape(len(c[a : a + 30]), -1)) for a in range(0, 100, 30)]
+        found = []
+        for part in (7, 512):
+            monkeypatch.setattr(embeddings, "PART", part)
+            out = embeddings._compare(key, rows, 0.98)
+            found.append({} if out is None else {int(k): (int(n), int(r)) for k, n, r in zip(*out, strict=True)})
+        assert found[0] == found[1]
+        if key[2] == 0:
+            # All pairs but those that met in a smaller bucket of the table.
+            first = np.array([[not any(v in codes[b, 0] and v < key[3] for v in codes[a, 0]) for b in range(100)] for a in range(100)])
+            links = {int(c[a]): 2 * int((near[a] & first[a]).sum() - (near[a, a] & first[a, a])) for a in range(100)}
+            assert {k: n for k, (n, _) in found[0].items()} == {k: n for k, n in links.items() if n} and found[0]
