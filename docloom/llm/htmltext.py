@@ -3,17 +3,25 @@
 The page's tree (void elements, implied end tags, reopened formatting) is rendered by rules like a
 browser's default style: invisible elements go, blocks start new lines, paragraphs and headings are set
 off by an empty line, list items have a bullet or their number and nested lists are indented, the cells
-of a table are padded to columns, preformatted text keeps its blanks. Nothing else visible is dropped:
-navigation, notes and footers stay.
+of a table are padded to columns (cells over several rows and columns keep their places), preformatted text
+keeps its blanks. Nothing else visible is dropped: navigation, notes and footers stay.
+
+Visibility: the ``hidden`` attribute, ``display`` and ``visibility`` in ``style`` attributes, and in ``<style>``
+rules whose selectors name an element, classes and an id, without ancestors or states (at-rules are left out).
+A rule of higher specificity wins, then the later one, attributes before rules. ``visibility`` is
+inherited: a visible element inside a hidden one shows. Of closed ``<details>`` only the summary shows.
+Scripts do not run, so ``<noscript>`` shows.
 
 A null page gives a null text, a page without visible text an empty one. Text outside any element, in
-elements that are never closed and behind unknown tags is visible.
+elements that are never closed and behind unknown tags is visible. Numbers that are none, or of more than
+nine digits, count as absent.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,16 +33,78 @@ INVISIBLE = frozenset("area audio base canvas col colgroup datalist embed head i
 #: Set off by an empty line; other blocks only start a line.
 SPACED = HEADINGS | frozenset("blockquote dl figure ol p pre table ul".split())
 _LINES = BLOCKS | frozenset("body caption dd dt html legend li optgroup option tbody tfoot thead tr".split())
-_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.IGNORECASE)
 _BLANKS = re.compile("[ \t\n\r\f]+")
-
-
-def visible(node: Node) -> bool:
-    if node.tag in INVISIBLE or "hidden" in node.attrs:
-        return False
-    if node.tag == "input":
-        return node.attrs.get("type", "").lower() in ("submit", "button", "reset")
-    return not ("style" in node.attrs and _HIDDEN.search(node.attrs["style"]))
+_NUMBER = re.compile(r"[ \t\n\r\f]*([+-]?[0-9]{1,9})(?![0-9])")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.DOTALL)
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.IGNORECASE)
+_SELECTOR = re.compile(r"([a-z][a-z0-9-]*)?((?:[.#][\w-]+)*)", re.IGNORECASE)
+
+
+def number(text: str | None) -> int | None:
+    """The integer that an attribute begins with."""
+    found = _NUMBER.match(text or "")
+    return int(found[1]) if found else None
+
+
+def _declared(source: str) -> dict[str, str]:
+    return {k.lower(): v.lower() for k, v in _DECLARED.findall(source)}
+
+
+class Styles:
+    """What a page's ``<style>`` elements say of ``display`` and ``visibility``, by the selectors' last name."""
+
+    def __init__(self, root: Node):
+        self.rules: dict[str, list[tuple]] = {}
+        order, todo = 0, [root]
+        while todo:
+            node = todo.pop()
+            if node.tag == "style":
+                for selectors, told in _rules(_COMMENT.sub(" ", node.text())):
+                    order += 1
+                    for one in selectors.split(","):
+                        self._add(one.strip(), told, order)
+            todo.extend(x for x in reversed(node.children) if isinstance(x, Node))
+
+    def _add(self, selector: str, told: dict[str, str], order: int) -> None:
+        found = _SELECTOR.fullmatch(selector)
+        if not found or not selector:
+            return
+        tag, marks = (found[1] or "").lower(), re.findall(r"[.#][\w-]+", found[2])
+        weight = (sum(m[0] == "#" for m in marks), sum(m[0] == "." for m in marks), bool(tag))
+        self.rules.setdefault(marks[-1] if marks else tag, []).append((weight, order, tag, frozenset(marks), told))
+
+    def of(self, node: Node) -> dict[str, str]:
+        """The ``display`` and ``visibility`` that rules and the element's own attribute give it."""
+        told: dict[str, str] = {}
+        if self.rules:
+            marks = {f".{x}" for x in node.attrs.get("class", "").split()} | {f"#{x}" for x in (node.attrs.get("id"),) if x}
+            fits = [r for k in (node.tag, *marks) for r in self.rules.get(k, ()) if r[2] in ("", node.tag) and r[3] <= marks]
+            for r in sorted(fits, key=lambda r: r[:2]):
+                told |= r[4]
+        return told | _declared(node.attrs["style"]) if "style" in node.attrs else told
+
+
+def _rules(source: str):
+    """(selectors, declarations) of the rules outside at-rules."""
+    at, depth, begin, left_out = 0, 0, 0, False
+    for brace in re.finditer(r"[{};]", source):
+        if brace[0] == ";":
+            if depth == 0:
+                begin = brace.end()
+            continue
+        if brace[0] == "{":
+            if depth == 0:
+                name, at = source[begin : brace.start()].strip(), brace.end()
+                left_out = name.startswith("@")
+            depth += 1
+        elif depth:
+            depth -= 1
+            if depth == 0:
+                if not left_out and (told := _declared(source[at : brace.start()])):
+                    yield name, told
+                begin = brace.end()
+        else:
+            begin = brace.end()
 
 
 def width(text: str) -> int:
@@ -43,21 +113,43 @@ def width(text: str) -> int:
 
 
 class _Page:
-    """Lines that are being set; ``prefix`` indents them, ``mark`` stands before the next one."""
+    """Lines that are being set; ``prefix`` indents them, ``mark`` stands before the next one.
+
+    ``shown`` is false inside elements of hidden visibility.
+    """
 
-    def __init__(self):
+    def __init__(self, styles: Styles, shown: bool = True):
+        self.styles, self.shown = styles, shown
         self.lines: list[str] = []
         self.line: list[str] = []
         self.prefix, self.mark = "", None
         self.gap = False
 
     def put(self, text: str) -> None:
+        if not self.shown:
+            return
         text = _BLANKS.sub(" ", text)
         if not self.line or self.line[-1].endswith(" "):
             text = text.lstrip(" ")
         if text:
             self.line.append(text)
 
+    def enter(self, node: Node) -> bool:
+        """Whether anything of an element can show; sets ``shown`` for what is inside."""
+        if node.tag in INVISIBLE:
+            return False
+        if node.tag == "input" and node.attrs.get("type", "").lower() not in ("submit", "button", "reset"):
+            return False
+        told = self.styles.of(node)
+        display, visibility = told.get("display"), told.get("visibility")
+        if display == "none" or ("hidden" in node.attrs and display is None):
+            return False
+        if visibility == "visible":
+            self.shown = True
+        elif visibility in ("hidden", "collapse"):
+            self.shown = False
+        return True
+
     def end_line(self, gap: bool = False) -> None:
         text = "".join(self.line).rstrip(" ")
         self.line = []
@@ -89,25 +181,35 @@ def _run(step) -> None:
 
 
 def _render(node: Node, page: _Page, pre: bool):
-    number = 0
+    follow, step = 0, 1
+    if node.tag == "ol":
+        if "reversed" in node.attrs:
+            step = -1
+            follow = sum(isinstance(x, Node) and x.tag == "li" for x in node.children) + 1
+        start = number(node.attrs.get("start"))
+        follow = follow if start is None else start - step
+    closed = node.tag == "details" and "open" not in node.attrs
+    summary = next((x for x in node.children if isinstance(x, Node) and x.tag == "summary"), None) if closed else None
     for x in node.children:
+        if closed and x is not summary:
+            continue
         if not isinstance(x, Node):
-            if pre:
+            if not pre:
+                page.put(x)
+            elif page.shown:
                 first, *rest = x.split("\n")
                 page.line.append(first)
                 for line in rest:
                     page.place("".join(page.line))
                     page.line = [line]
-            else:
-                page.put(x)
             continue
-        tag = x.tag
-        if not visible(x):
+        tag, shown = x.tag, page.shown
+        if not page.enter(x):
             continue
         if tag == "br":
             if page.line:
                 page.end_line()
-            else:
+            elif page.shown:
                 page.gap = True
         elif tag == "input":
             page.put(x.attrs.get("value", ""))
@@ -119,10 +221,9 @@ def _render(node: Node, page: _Page, pre: bool):
             nested = tag in ("ul", "ol") and node.tag == "li"
             page.end_line(tag in SPACED and not nested)
             if tag == "li":
-                number = int(x.attrs["value"]) if x.attrs.get("value", "").lstrip("-").isdecimal() else number + 1
-                start = node.attrs.get("start", "")
-                first = int(start) - 1 if number and start.lstrip("-").isdecimal() else 0
-                mark = f"{number + first}. " if node.tag == "ol" else "- "
+                value = number(x.attrs.get("value")) if node.tag == "ol" else None
+                follow = follow + step if value is None else value
+                mark = f"{follow}. " if node.tag == "ol" else "- "
                 old, page.prefix, page.mark = page.prefix, page.prefix + " " * len(mark), mark
                 yield _render(x, page, pre)
                 page.end_line()
@@ -137,62 +238,108 @@ def _render(node: Node, page: _Page, pre: bool):
             page.end_line(tag in SPACED and not nested)
         else:
             yield _render(x, page, pre or tag in ("pre", "textarea"))
+        page.shown = shown
 
 
-def _rows(table: Node, out: list[list[Node]], outside: list[Node]) -> None:
-    for x in table.children:
+def _rows(table: Node, page: _Page):
+    """(rows, what stands outside of cells); a row is (number of its group, cells as (cell, shown))."""
+    rows: list[tuple[int, list]] = []
+    outside: list[tuple[Node, bool]] = []
+    groups, shown = 0, page.shown
+    todo = [(x, shown, 0) for x in reversed(table.children)]
+    while todo:
+        x, page.shown, group = todo.pop()
         if not isinstance(x, Node):
             if not x.isspace():
-                stray = Node("div")
-                stray.children.append(x)
-                outside.append(stray)
-        elif not visible(x):
+                outside.append((_holding("div", x), page.shown))
             continue
-        elif x.tag == "tr":
-            out.append([c if isinstance(c, Node) else _cell(c) for c in x.children if (visible(c) if isinstance(c, Node) else not c.isspace())])
+        before = page.shown
+        if not page.enter(x):
+            continue
+        if x.tag == "tr":
+            own, cells = page.shown, []
+            for c in x.children:
+                page.shown = own
+                if isinstance(c, Node):
+                    if page.enter(c):
+                        cells.append((c, page.shown))
+                elif not c.isspace():
+                    cells.append((_holding("td", c), own))
+            rows.append((group, cells))
         elif x.tag in ("thead", "tbody", "tfoot"):
-            _rows(x, out, outside)
+            groups += 1
+            todo.extend((c, page.shown, groups) for c in reversed(x.children))
         elif x.tag in ("td", "th"):
-            out.append([x])
+            rows.append((group, [(x, page.shown)]))
         else:
-            outside.append(x)
+            outside.append((x, before))
+    page.shown = shown
+    return rows, outside
+
+
+def _placed(rows: list[tuple[int, list]]):
+    """The first column of each cell, around cells that reach down from rows above."""
+    group, reaching = None, []  # (first column, column behind, row behind), in order
+    for at, (own, cells) in enumerate(rows):
+        reaching = [r for r in reaching if r[2] > at] if own == group else []
+        group, column, ahead, new, places = own, 0, 0, [], []
+        for cell, _ in cells:
+            while ahead < len(reaching) and reaching[ahead][0] <= column:
+                column = max(column, reaching[ahead][1])
+                ahead += 1
+            span, down = number(cell.attrs.get("colspan")), number(cell.attrs.get("rowspan"))
+            span = min(span, 1000) if span and span > 0 else 1
+            behind = len(rows) if down == 0 else at + (down if down and down > 0 else 1)
+            places.append((column, span))
+            if behind > at + 1:
+                if new and new[-1][1:] == (column, behind):
+                    new[-1] = (new[-1][0], column + span, behind)
+                else:
+                    new.append((column, column + span, behind))
+            column += span
+        reaching = sorted(reaching + new) if new else reaching
+        yield places
 
 
-def _cell(text: str) -> Node:
-    node = Node("td")
+def _holding(tag: str, text: str) -> Node:
+    node = Node(tag)
     node.children.append(text)
     return node
 
 
 def _table(table: Node, page: _Page):
     """Sets each row's cells side by side, padded to the widest of their column."""
-    rows: list[list[Node]] = []
-    outside: list[Node] = []
-    _rows(table, rows, outside)
-    for x in outside:
+    rows, outside = _rows(table, page)
+    for x, shown in outside:
+        old, page.shown = page.shown, shown
         yield _render_alone(x, page)
-    laid, widths = [], []
-    for row in rows:
-        cells, column = [], 0
-        for cell in row:
-            own = _Page()
+        page.shown = old
+    laid, widths, wide = [], {}, []
+    for (_, row), places in zip(rows, _placed(rows), strict=True):
+        cells = []
+        for (cell, shown), (column, span) in zip(row, places, strict=True):
+            own = _Page(page.styles, shown)
             yield _render(cell, own, False)
             lines = [x for x in own.text().split("\n") if x]
-            span = cell.attrs.get("colspan", "")
-            span = min(int(span), 1000) if span.isdecimal() and int(span) > 0 else 1
-            widths += [0] * (column + 1 - len(widths))
-            if span == 1:
-                widths[column] = max(widths[column], *map(width, lines), 0) if lines else widths[column]
+            widest = max(map(width, lines), default=0) if span == 1 else 0
+            widths[column] = max(widths.get(column, 0), widest)
+            if span > 1 and lines and column != places[-1][0]:
+                wide.append((column, column + span, max(map(width, lines))))
             cells.append((column, lines))
-            column += span
         laid.append(cells)
-    starts = [sum(w + 2 for w in widths[:k] if w) for k in range(len(widths) + 1)]
+    columns, starts = sorted(widths), [0]
+    for low, high, needed in wide:
+        # What a cell over several columns lacks, its last column gets, so that the next cell stays aligned.
+        own = columns[bisect_left(columns, low) : bisect_left(columns, high)]
+        widths[own[-1]] += max(0, needed - sum(widths[c] + 2 for c in own if widths[c]) + (2 if widths[own[-1]] else 0))
+    for column in columns:
+        starts.append(starts[-1] + (widths[column] + 2 if widths[column] else 0))
     for cells in laid:
         for k in range(max((len(lines) for _, lines in cells), default=0)):
             line = ""
             for column, lines in cells:
                 if k < len(lines):
-                    start = starts[min(column, len(widths))]
+                    start = starts[bisect_left(columns, column)]
                     line += " " * max(start - width(line), 1 if line else 0) + lines[k]
             page.place(line)
 
@@ -207,8 +354,9 @@ def _render_alone(node: Node, page: _Page):
 def visible_text(html: str | None) -> str | None:
     if html is None:
         return None
-    page = _Page()
-    _run(_render(parse(html), page, False))
+    root = parse(html)
+    page = _Page(Styles(root if "<style" in html.lower() else Node("#none")))
+    _run(_render(root, page, False))
     return page.text()
 
 
