@@ -605,3 +605,81 @@ def test_op9_numbers_are_no_letters(spark):
     want = [bool(t) and any(c.isalpha() for c in t) for _, t in rows]
     assert [r.x for r in docs.select("doc_id", has_letter(F.col("text")).alias("x")).orderBy("doc_id").collect()] == want
     assert [r.lang_pred != "und" for r in predict(docs, fit(docs)).orderBy("doc_id").collect()] == want
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<ol start='--5'><li value='--5'>a<li>b</ol>", "1. a\n2. b"),
+        (f"<ol start={'9' * 5000}><li>a</ol><table><tr><td colspan={'9' * 5000}>x<td>y</table>", "1. a\n\nx  y"),
+        ("<ol start=5><li>a<li value=9>b<li>c</ol>", "5. a\n9. b\n10. c"),
+        ("<ol reversed><li>a<li>b<li value=-3>c<li>d</ol>", "4. a\n3. b\n-3. c\n-4. d"),
+        ("<ul><li value=4>a</ul>", "- a"),
+        ("<table><tr><td rowspan=2>ab<td>c<tr><td>d<tr><td>e<td>f</table>", "ab  c\n    d\ne   f"),
+        ("<table><tr><td>a<td rowspan=0 colspan=2>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a  b  c\nd     e\nf     g"),
+        ("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>cc<td>d</table>", "a   b\ncc  d"),
+        ("<table><tr><td>one<td>two</tr><tr><td colspan=2>both, and long<tr><td>x<td>y</table>", "one  two\nboth, and long\nx    y"),
+        ("<table><tr><td colspan=2>wide one<td>x<tr><td>a<td>b<td>c</table>", "wide one  x\na  b      c"),
+        ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes<b>also</b></p>no</div>after", "yesalso\n\nafter"),
+        ("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>", "yes"),
+        ("<table><tr style='visibility:collapse'><td>no<tr><td>yes</table>", "yes"),
+        ("<details>no<summary>more</summary><p>no</details><details open><summary>s</summary>t</details>", "more\ns\nt"),
+        ("<p hidden style='display:block'>yes<p hidden>no", "yes"),
+        ("<style>.x, p.y#z {color: red; display:none} #v {visibility:hidden}</style><p class='a x'>no<p class=y>yes<p class=y id=z>no</p><i id=v>no<b style='visibility:visible'>!</b></i>", "yes\n\n!"),
+        ("<style>.x {display:none} b.x {display:inline} @media print {p {display:none}} /* i {display:none} */ u>i {display:none}</style><i class=x>no</i><b class=x>yes</b><p><u><i>p</i></u>", "yes\n\np"),
+        ("<style>p {display:none} p {display:block} .k {display:none}</style><p>a<p class=k style='display:block'>b<p class=k>c", "a\n\nb"),
+        ("<style>@import 'x'; .n {display:none} } .m {display:none} .o {display:none</style><p class=n>a<p class=m>b<p class=o>c", "c"),
+        ("<noscript>shown</noscript>", "shown"),
+    ],
+)
+def test_op2_numbers_tables_and_visibility(html, text):
+    from docloom.llm.htmltext import visible_text
+
+    assert visible_text(html) == text
+
+
+def test_op2_takes_large_and_malformed_pages():
+    import random
+    import time
+
+    from docloom.llm.htmltext import visible_text
+
+    began = time.process_time()
+    assert visible_text("<table><tr>" + "<td colspan=1000>a" * 500 + "<tr>" + "<td>b" * 3 + "</table>").startswith("a")
+    visible_text("<table>" + "<tr>" * 3000 + "<td rowspan=65534>a" * 3000 + "<tr><td>b" * 3000 + "</table>")
+    visible_text("<table>" + "".join(f"<tr><td rowspan={k % 7 + 1}>a<td rowspan={k % 5}>b<td>c" for k in range(2000)) + "</table>")
+    visible_text("<table>" * 600 + "deep")
+    assert time.process_time() - began < 20
+    random.seed(3)
+    parts = ["<table>", "</table>", "<tr>", "<td rowspan=2>", "<td colspan=3>", "</td>", "<ol start=3>", "<li value=x>", "</ol>", "<p>", "<b hidden>", "</b>", "<div style='visibility:hidden'>", "</div>", "<pre>", "</pre>", "a", " b\n", "&lt;", "<", ">", "<details>", "<style>.a{", "}</style>", "<br>", "<!--", "-->", "<script>", "</script>", "'", '"']
+    for _ in range(1500):
+        visible_text("".join(random.choice(parts) for _ in range(random.randint(1, 40))))
+
+
+def test_op2_places_cells_like_a_grid():
+    """Columns around spans against a grid that is filled cell by cell."""
+    import random
+
+    from docloom.html.tree import Node
+    from docloom.llm.htmltext import _placed
+
+    random.seed(5)
+    for _ in range(300):
+        rows, group = [], 0
+        for _ in range(random.randint(1, 8)):
+            group += random.random() < 0.2
+            rows.append((group, [(Node("td", {"rowspan": str(random.choice([1, 1, 2, 3, 0])), "colspan": str(random.choice([1, 1, 2, 3]))}), True) for _ in range(random.randint(0, 4))]))
+        taken, want = set(), []
+        for at, (own, cells) in enumerate(rows):
+            column, places = 0, []
+            for cell, _ in cells:
+                while (at, column) in taken:
+                    column += 1
+                span, down = int(cell.attrs["colspan"]), int(cell.attrs["rowspan"])
+                places.append((column, span))
+                for y in range(at, len(rows) if down == 0 else min(len(rows), at + down)):
+                    if rows[y][0] == own and all(rows[z][0] == own for z in range(at, y)):
+                        taken.update((y, x) for x in range(column, column + span))
+                column += span
+            want.append(places)
+        assert list(_placed(rows)) == want
