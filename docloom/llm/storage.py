@@ -48,22 +48,45 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back.
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes ``df`` as a table in the shared folder, in folders by its column ``by``, and reads it back.
 
     Unlike a cached or locally checkpointed frame it outlives the executors that made it.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _paths[table] = path
     return table
 
 
+def materialise_sorted(df: DataFrame, name: str, buckets: int, keys: list[str], dealt: bool = False) -> DataFrame:
+    """Writes ``df`` as a table dealt into ``buckets`` by ``keys``, each a file in their order, and reads it back.
+
+    Spark knows how such a table is dealt: tables of equal numbers of buckets are joined on ``keys`` and
+    grouped by them where they lie. ``dealt`` says that ``df`` is the result of just that.
+    """
+    spark, table = df.sparkSession, f"docloom_{uuid.uuid4().hex}"
+    path = new_path(spark, name)
+    (df if dealt else df.repartition(buckets, *keys)).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    _paths[out], _names[out] = path, table
+    atexit.register(_forget, spark, table)
+    return out
+
+
+def _forget(spark: SparkSession, table: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+_names: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def drop(table: DataFrame) -> None:
-    """Deletes a table of ``materialise`` that no later step reads."""
+    """Deletes a table of these functions that no later step reads."""
+    if table in _names:
+        _forget(table.sparkSession, _names.pop(table))
     _remove(table.sparkSession, _paths.pop(table))
