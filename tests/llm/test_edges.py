@@ -145,13 +145,33 @@ def test_repeated_lines_count_by_documents(spark):
 def test_line_runs_settle_early_and_late(spark):
     from docloom.llm.linededup import LineRuns
 
-    runs = LineRuns(spark, min_docs=3)
+    runs = LineRuns(3, min_docs=3)
     batch = lambda *keys: spark.createDataFrame([(k, k) for k in keys], "h1 long, h2 long")
     for b in (batch(1, 1, 1, 2, 9), batch(1, 2, 3), batch(2, 3, 4), batch(3, 4), batch(4, 5)):
         runs.add(b)
     assert sorted(r.h1 for r in runs.frequent().collect()) == [1, 2, 3, 4]
 
 
+def test_line_runs_merge_without_a_shuffle(spark):
+    import random
+
+    from docloom.llm.linededup import LineRuns, merge
+
+    random.seed(2)
+    runs, counts = LineRuns(3, min_docs=4), {}
+    for _ in range(7):
+        keys = [random.randint(0, 60) for _ in range(30)]
+        for k in keys:
+            counts[k] = counts.get(k, 0) + 1
+        runs.add(spark.createDataFrame([(k, -k) for k in keys], "h1 long, h2 long"))
+    assert [len(level) for level in runs.levels] == [1, 1, 1] and len(runs.settled) == 4
+    # Merged with each other and anti-joined with the settled ones where they lie.
+    plan = merge([run for level in runs.levels for run, _ in level])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "LeftAnti" in plan and plan.count("Bucketed: true") >= 4
+    found = sorted(r.h1 for r in runs.frequent().collect())
+    assert len(found) == len(set(found)) and set(found) == {k for k, n in counts.items() if n >= 4}
+
+
 def test_vectors_that_link_with_nothing(spark):
     from docloom.llm.embeddings import near_vectors
 
