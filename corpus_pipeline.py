@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from docloom.llm import langid, linededup, neardup, packing, storage
 from docloom.llm.queries import table, vocabulary
 
+#: Words that a Python worker remembers while packing.
+WORDS = 200_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -40,7 +42,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+    """Sequences of 1024 tokens. The workers are those of the stages before: they remember fewer words."""
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), keep=WORDS)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("pack", pack)]
