@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: ``\b`` as other engines take it: between ASCII word characters and the rest.
-ASCII_BOUNDARY = "(?:(?<=[a-zA-Z0-9_])(?![a-zA-Z0-9_])|(?<![a-zA-Z0-9_])(?=[a-zA-Z0-9_]))"
 
 
 def _col(c: Column | str) -> Column:
@@ -210,7 +209,13 @@ def char_count(c: Column | str) -> Column:
 
 
 def readability_words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(f"{ASCII_BOUNDARY}([-?a-zA-Z0-9_]+){ASCII_BOUNDARY}"), F.lit(1))
+    """Runs of ASCII letters, digits and ``_``, joined by ``-`` and ``?``."""
+    return F.regexp_extract_all(c, F.lit("([a-zA-Z0-9_]+(?:[-?]+[a-zA-Z0-9_]+)*)"), F.lit(1))
+
+
+def bound(value: Column, of) -> Column:
+    """``of(value)`` with the value worked out once, however often ``of`` names it."""
+    return F.transform(F.array(value), of)[0]
 
 
 def syllables(word: Column) -> Column:
@@ -223,16 +228,21 @@ def syllables(word: Column) -> Column:
 def readability(c: Column | str) -> Column:
     """(n_words, n_sentences, n_syllables, ease, grade); the scores are not below 0, nor rounded."""
     c = _col(c)
-    w = readability_words(c)
-    n_words = F.size(w)
     found = F.size(F.filter(F.split(c, "[.!?]+", -1), lambda s: F.trim(F.regexp_replace(s, r"(?U)\s+", " ")) != ""))
-    n_sentences = F.when((found == 0) & (n_words > 0), F.lit(1)).otherwise(found)
-    n_syllables = F.aggregate(w, F.lit(0), lambda total, x: total + syllables(x))
-    per_sentence, per_word = n_words / n_sentences, n_syllables / n_words
-    has = (n_words > 0) & (n_sentences > 0)
-    ease = F.when(has, F.greatest(F.lit(206.835) - F.lit(1.015) * per_sentence - F.lit(84.6) * per_word, F.lit(0.0))).otherwise(F.lit(0.0))
-    grade = F.when(has, F.greatest(F.lit(0.39) * per_sentence + F.lit(11.8) * per_word - F.lit(15.59), F.lit(0.0))).otherwise(F.lit(0.0))
-    return F.struct(n_words.cast("long").alias("n_words"), n_sentences.cast("long").alias("n_sentences"), n_syllables.cast("long").alias("n_syllables"), ease.alias("ease"), grade.alias("grade"))
+    n_syllables = lambda w: F.aggregate(w, F.lit(0), lambda total, x: total + syllables(x))
+    counted = bound(readability_words(c), lambda w: F.struct(F.size(w).alias("words"), found.alias("found"), n_syllables(w).alias("syllables")))
+
+    def scored(n: Column) -> Column:
+        n_words, n_syllables = n["words"], n["syllables"]
+        n_sentences = F.when((n["found"] == 0) & (n_words > 0), F.lit(1)).otherwise(n["found"])
+        per_sentence, per_word = n_words / n_sentences, n_syllables / n_words
+        has = (n_words > 0) & (n_sentences > 0)
+        ease = F.greatest(F.lit(206.835) - F.lit(1.015) * per_sentence - F.lit(84.6) * per_word, F.lit(0.0))
+        grade = F.greatest(F.lit(0.39) * per_sentence + F.lit(11.8) * per_word - F.lit(15.59), F.lit(0.0))
+        counts = (n_words.cast("long").alias("n_words"), n_sentences.cast("long").alias("n_sentences"), n_syllables.cast("long").alias("n_syllables"))
+        return F.struct(*counts, F.when(has, ease).otherwise(F.lit(0.0)).alias("ease"), F.when(has, grade).otherwise(F.lit(0.0)).alias("grade"))
+
+    return F.when(c.isNotNull(), bound(counted, scored))
 
 
 #: Twentieths of a point in a unit of length.

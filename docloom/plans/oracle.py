@@ -6,9 +6,9 @@ from __future__ import annotations
 REFS = """refs AS (
   SELECT 'ref-' || doc_id AS id,
     ['Journal Article','Book','Book Chapter','Conference Paper','Thesis','Report','Website','Preprint','Patent'][doc_id % 9 + 1] AS reference_type,
-    substr(string_split(text, chr(10))[1], 1, 60) AS title,
+    string_split(text, chr(10))[1] AS title,
     list_transform(range(1, doc_id % 9 + 1), lambda i: coalesce(w[2*i-1], 'X') || CASE WHEN i % 2 = 1 THEN ' ' ELSE ', ' END || coalesce(w[2*i], 'X')) AS authors,
-    substr(text, 61, 40) AS abstract_text,
+    replace(substr(text, length(string_split(text, chr(10))[1]) + 2), chr(10), ' ') AS abstract_text,
     CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Journal of ' || source END AS journal, CASE WHEN doc_id % 11 = 0 THEN '' ELSE (doc_id % 45 + 1980)::VARCHAR END AS year,
     CASE WHEN doc_id % 3 = 0 THEN '' ELSE (doc_id % 40)::VARCHAR END AS volume, CASE WHEN doc_id % 4 = 0 THEN '' ELSE (doc_id % 12)::VARCHAR END AS issue,
     CASE WHEN doc_id % 6 = 0 THEN '' ELSE (doc_id % 300) || '-' || (doc_id % 300 + 9) END AS pages, CASE WHEN doc_id % 7 = 0 THEN 'Press ' || lang ELSE '' END AS publisher,
@@ -112,7 +112,7 @@ ORACLE = {
     "page_metadata": "SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, '' AS authors, '' AS journal, '' AS year, '' AS doi FROM pages",
     "template_substitution": "SELECT c_custkey, 'Dear ' || c_name || ' of {{name}}' || c_mktsegment || ', {{open' AS value FROM customer",
     "text_similarity": rf"WITH {TURNS}, n AS (SELECT conv_id, turn, trim(regexp_replace(a, '\s+', ' ', 'g')) AS a, trim(regexp_replace(b, '\s+', ' ', 'g')) AS b FROM turns) SELECT conv_id, turn, round(CASE WHEN length(a) = 0 AND length(b) = 0 THEN 1.0::DOUBLE WHEN length(a) = 0 OR length(b) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(a, b) / greatest(length(a), length(b)) END, 9) AS similarity FROM n",
-    "jaro_winkler": f"WITH {TURNS}, j AS (SELECT conv_id, turn, substr(a, 1, 80) AS a, substr(b, 1, 80) AS b, jaro_similarity(substr(a, 1, 80), substr(b, 1, 80)) AS j, list_sum([CASE WHEN substr(a, 1, k) = substr(b, 1, k) AND least(length(a), length(b)) >= k THEN 1 ELSE 0 END for k in [1, 2, 3, 4]]) AS p FROM turns) SELECT conv_id, turn, round(CASE WHEN a = b THEN 1.0::DOUBLE WHEN j > 0.7 THEN j + 0.1::DOUBLE * p * (1 - j) ELSE j END, 9) AS similarity FROM j",
+    "jaro_winkler": f"WITH {TURNS}, j AS (SELECT conv_id, turn, a, b, jaro_similarity(a, b) AS j, list_sum([CASE WHEN substr(a, 1, k) = substr(b, 1, k) AND least(length(a), length(b)) >= k THEN 1 ELSE 0 END for k in [1, 2, 3, 4]]) AS p FROM turns) SELECT conv_id, turn, round(CASE WHEN a = b THEN 1.0::DOUBLE WHEN j > 0.7 THEN j + 0.1::DOUBLE * p * (1 - j) ELSE j END, 9) AS similarity FROM j",
     "section_starts": "SELECT conv_id, turn, role, row_number() OVER w = 1 OR lag(role) OVER w IS DISTINCT FROM role AS starts FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "run_islands": "WITH a AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a) SELECT user_id, run::BIGINT AS run, event_type, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n FROM b GROUP BY 1, 2, 3",
     "mindmap_parents": "WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) % 4 AS level FROM conversations) SELECT a.conv_id, a.turn, (SELECT max(b.turn) FROM t b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND b.level < a.level) AS parent_turn, (a.level - coalesce(lag(a.level) OVER (PARTITION BY a.conv_id ORDER BY a.turn), 0))::BIGINT AS depth_step FROM t a",

@@ -29,19 +29,23 @@ TYPES = ("Journal Article", "Book", "Book Chapter", "Conference Paper", "Thesis"
 
 
 def refs(spark: SparkSession, folder: str) -> DataFrame:
-    """A library with one reference for each document."""
+    """A library with one reference for each document: its first line is the title, the rest the abstract."""
     labels = table(spark, folder, "labels")
     d = table(spark, folder, "documents").join(labels, "doc_id", "left")
-    n, word = F.col("doc_id") % 9, lambda k: F.coalesce(F.try_element_at("w", k), F.lit("X"))
+    n, word = F.col("doc_id") % 9, lambda w, k: F.coalesce(F.try_element_at(w, k), F.lit("X"))
     if_ = lambda m, r, value: F.when(F.col("doc_id") % m == r, F.lit("")).otherwise(value)
     num = lambda m: (F.col("doc_id") % m).cast("string")
-    d = d.withColumn("w", F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)))
-    authors = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), lambda i: F.when(i % 2 == 1, F.concat(word(2 * i - 1), F.lit(" "), word(2 * i))).otherwise(F.concat(word(2 * i - 1), F.lit(", "), word(2 * i)))))
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
+    author = lambda w, i: F.concat(word(w, 2 * i - 1), F.when(i % 2 == 1, F.lit(" ")).otherwise(F.lit(", ")), word(w, 2 * i))
+    named = T.bound(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), lambda i: author(w, i)))
+    authors = F.when(n == 0, F.array().cast("array<string>")).otherwise(named)
+    title = F.substring_index("text", "\n", 1)
+    abstract = F.replace(F.substr("text", F.length(title) + 2), F.lit("\n"), F.lit(" "))
     day = lambda plus: F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int") + plus), "yyyy-MM-dd")
     return d.select(
         F.concat(F.lit("ref-"), F.col("doc_id").cast("string")).alias("id"),
         F.element_at(F.array(*map(F.lit, TYPES)), (n + 1).cast("int")).alias("reference_type"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title"), authors.alias("authors"), F.substring("text", 61, 40).alias("abstract_text"),
+        title.alias("title"), authors.alias("authors"), abstract.alias("abstract_text"),
         if_(5, 0, F.concat(F.lit("Journal of "), "source")).alias("journal"), if_(11, 0, (F.col("doc_id") % 45 + 1980).cast("string")).alias("year"),
         if_(3, 0, num(40)).alias("volume"), if_(4, 0, num(12)).alias("issue"), if_(6, 0, F.concat(num(300), F.lit("-"), (F.col("doc_id") % 300 + 9).cast("string"))).alias("pages"),
         F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("Press "), "lang")).otherwise(F.lit("")).alias("publisher"), F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("10.1000/X"), num(400))).otherwise(F.lit("")).alias("doi"),
