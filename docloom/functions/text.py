@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ``\b`` as other engines take it: between ASCII word characters and the rest.
-
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c

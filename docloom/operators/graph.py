@@ -6,9 +6,13 @@ graphs; each step works on all of them at once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom import storage
+
 
 def build_graph(mentions: DataFrame) -> DataFrame:
     """One row for each node of (graph_id, id, label, shape, ord) mentions.
@@ -67,18 +71,26 @@ def remove_cycles(edges: DataFrame) -> DataFrame:
     return rows.groupBy("graph_id").applyInPandas(acyclic, f"graph_id {kind}, src string, dst string, ord long, reversed boolean")
 
 
-def assign_ranks(nodes: DataFrame, edges: DataFrame, deepest: int = 100) -> DataFrame:
-    """(graph_id, id, rank): the longest path from a node without incoming edges; edges must have no cycle."""
-    spark = nodes.sparkSession
-    nodes.select("graph_id", "id").createOrReplaceTempView("docloom_nodes")
-    edges.select("graph_id", "src", "dst").distinct().createOrReplaceTempView("docloom_edges")
-    walks = spark.sql(f"""
-        WITH RECURSIVE walk(graph_id, id, rank) MAX RECURSION LEVEL {deepest} AS (
-          SELECT n.graph_id, n.id, 0 FROM docloom_nodes n LEFT ANTI JOIN docloom_edges e ON n.graph_id = e.graph_id AND n.id = e.dst
-          UNION ALL
-          SELECT w.graph_id, e.dst, w.rank + 1 FROM walk w JOIN docloom_edges e ON w.graph_id = e.graph_id AND w.id = e.src
-        ) SELECT * FROM walk""")
-    return walks.groupBy("graph_id", "id").agg(F.max("rank").alias("rank"))
+def assign_ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, id, rank): the longest path from a node without incoming edges; edges must have no cycle.
+
+    A round goes one edge further from all nodes that paths of a length reach, each of which it holds once;
+    it is written to the shared folder. A path longer than there are nodes is an error: a cycle.
+    """
+    edges = edges.select("graph_id", "src", "dst").distinct()
+    nodes = nodes.select("graph_id", "id").distinct()
+    reached = nodes.join(edges.select("graph_id", F.col("dst").alias("id")), ["graph_id", "id"], "left_anti")
+    reached = storage.materialise(reached, "ranks")
+    rounds, most = [], nodes.count()
+    while reached.head(1):
+        rounds.append(reached.withColumn("rank", F.lit(len(rounds))))
+        if len(rounds) > most:
+            raise ValueError("edges have a cycle")
+        further = reached.join(edges, (reached["graph_id"] == edges["graph_id"]) & (reached["id"] == edges["src"]))
+        reached = storage.materialise(further.select(edges["graph_id"], F.col("dst").alias("id")).distinct(), "ranks")
+    if not rounds:
+        return nodes.limit(0).withColumn("rank", F.lit(0))
+    return reduce(DataFrame.unionByName, rounds).groupBy("graph_id", "id").agg(F.max("rank").alias("rank"))
 
 
 def barycenters(ranks: DataFrame, edges: DataFrame, sweeps: int = 4) -> DataFrame:
@@ -131,20 +143,26 @@ def edge_paths(edges: DataFrame, boxes: DataFrame, horizontal: bool = False) ->
     return joined.select("e.graph_id", "e.src", "e.dst", F.when(straight, F.array(s, e)).otherwise(bend).alias("path"))
 
 
-def frames(members: DataFrame, parents: DataFrame, boxes: DataFrame, pad: float = 20.0, deepest: int = 8) -> DataFrame:
+def frames(members: DataFrame, parents: DataFrame, boxes: DataFrame, pad: float = 20.0) -> DataFrame:
     """(graph_id, subgraph, llx, lly, urx, ury): what a subgraph's nodes and inner subgraphs need, and a margin.
 
     ``members``: (graph_id, subgraph, id); ``parents``: (graph_id, subgraph, parent). Boxes grow from the
-    innermost subgraphs outwards, at most ``deepest`` levels.
+    innermost subgraphs outwards, one box a subgraph and level, until no parent is left. A subgraph that
+    holds itself is an error.
     """
-    own = members.join(boxes, ["graph_id", "id"]).select("graph_id", "subgraph", F.col("x").alias("llx"), F.col("y").alias("lly"), (F.col("x") + F.col("width")).alias("urx"), (F.col("y") + F.col("height")).alias("ury"), F.lit(0).alias("level"))
-    rows, inner = own, own
-    for level in range(1, deepest):
-        up = inner.join(parents.filter("parent is not null"), ["graph_id", "subgraph"])
-        inner = up.select("graph_id", F.col("parent").alias("subgraph"), "llx", "lly", "urx", "ury", F.lit(level).alias("level"))
-        rows = rows.unionByName(inner)
-    room = F.lit(pad) * (F.col("level") + 1)
-    return rows.groupBy("graph_id", "subgraph").agg(F.min(F.col("llx") - room).alias("llx"), F.min(F.col("lly") - room).alias("lly"), F.max(F.col("urx") + room).alias("urx"), F.max(F.col("ury") + room).alias("ury"))
+    sides = {"llx": F.min, "lly": F.min, "urx": F.max, "ury": F.max}
+    parents = parents.filter("parent is not null").select("graph_id", "subgraph", "parent")
+    corners = {"llx": F.col("x"), "lly": F.col("y"), "urx": F.col("x") + F.col("width"), "ury": F.col("y") + F.col("height")}
+    own = members.join(boxes, ["graph_id", "id"]).groupBy("graph_id", "subgraph").agg(*(sides[k](c).alias(k) for k, c in corners.items()))
+    levels, most = [storage.materialise(own, "frames")], parents.count()
+    while levels[-1].head(1):
+        if len(levels) > most + 1:
+            raise ValueError("a subgraph holds itself")
+        up = levels[-1].join(parents, ["graph_id", "subgraph"]).groupBy("graph_id", F.col("parent").alias("subgraph"))
+        levels.append(storage.materialise(up.agg(*(of(k).alias(k) for k, of in sides.items())), "frames"))
+    rows = reduce(DataFrame.unionByName, [x.withColumn("room", F.lit(pad * (k + 1))) for k, x in enumerate(levels)])
+    grown = {"llx": F.col("llx") - F.col("room"), "lly": F.col("lly") - F.col("room"), "urx": F.col("urx") + F.col("room"), "ury": F.col("ury") + F.col("room")}
+    return rows.groupBy("graph_id", "subgraph").agg(*(sides[k](c).alias(k) for k, c in grown.items()))
 
 
 def svg(nodes: DataFrame, boxes: DataFrame, paths: DataFrame) -> DataFrame:
@@ -200,8 +218,9 @@ def tree_parents(lines: DataFrame, tree: str, order: str, level: str) -> DataFra
 
     A level at a time, a running maximum of the orders of its lines is what deeper lines look back to.
     """
-    w = Window.partitionBy(tree).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    levels = sorted(r[0] for r in lines.select(level).distinct().collect() if r[0] is not None)  # as many as trees are deep
+    before = Window.partitionBy(tree).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     steps = Window.partitionBy(tree).orderBy(order)
-    before = F.collect_list(F.struct(F.col(level).alias("l"), F.col(order).alias("o"))).over(w)
-    smaller = F.filter(before, lambda x: x["l"] < F.col(level))
-    return lines.withColumn("parent", F.array_max(F.transform(smaller, lambda x: x["o"]))).withColumn("depth_step", F.col(level) - F.coalesce(F.lag(level).over(steps), F.lit(0)))
+    last = [F.when(F.col(level) > k, F.max(F.when(F.col(level) == k, F.col(order))).over(before)) for k in levels]
+    parent = F.greatest(*last) if len(last) > 1 else last[0] if last else F.lit(None)
+    return lines.withColumns({"parent": parent.cast(lines.schema[order].dataType), "depth_step": F.col(level) - F.coalesce(F.lag(level).over(steps), F.lit(0))})

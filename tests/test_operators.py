@@ -202,6 +202,26 @@ def test_cycles_and_ranks(spark):
     assert {r.id: r["rank"] for r in graph.assign_ranks(nodes, got).collect()} == {"A": 0, "B": 1, "C": 2}
 
 
+def test_ranks_of_many_paths_and_long_ones(spark):
+    """A lattice has more paths than could be listed; a chain goes beyond any fixed depth."""
+    lattice = [("d", f"{k}{a}", f"{k + 1}{b}") for k in range(25) for a in "xy" for b in "xy"]
+    chain = [("c", f"{k}", f"{k + 1}") for k in range(30)]
+    edges = spark.createDataFrame(lattice + chain, "graph_id string, src string, dst string")
+    nodes = spark.createDataFrame(sorted({(g, x) for g, a, b in lattice + chain for x in (a, b)}), "graph_id string, id string")
+    found = {(r.graph_id, r.id): r["rank"] for r in graph.assign_ranks(nodes, edges).collect()}
+    assert found == {(g, x): int(x.rstrip("xy")) for g, x in [(r.graph_id, r.id) for r in nodes.collect()]}
+    with pytest.raises(ValueError, match="cycle"):
+        graph.assign_ranks(nodes.limit(0).union(spark.createDataFrame([("g", "a"), ("g", "b"), ("g", "r")], nodes.schema)), spark.createDataFrame([("g", "r", "a"), ("g", "a", "b"), ("g", "b", "a")], edges.schema))
+
+
+def test_frames_of_any_depth(spark):
+    members = spark.createDataFrame([("g", "s0", "a")], "graph_id string, subgraph string, id string")
+    parents = spark.createDataFrame([("g", f"s{k}", f"s{k + 1}") for k in range(12)], "graph_id string, subgraph string, parent string")
+    boxes = spark.createDataFrame([("g", "a", 0.0, 0.0, 10.0, 10.0)], "graph_id string, id string, x double, y double, width double, height double")
+    got = {r.subgraph: (r.llx, r.ury) for r in graph.frames(members, parents, boxes).collect()}
+    assert got == {f"s{k}": (-20.0 * (k + 1), 10 + 20.0 * (k + 1)) for k in range(13)}
+
+
 def test_frames_hold_inner_frames(spark):
     members = spark.createDataFrame([("g", "in", "a"), ("g", "out", "b")], "graph_id string, subgraph string, id string")
     parents = spark.createDataFrame([("g", "in", "out"), ("g", "out", None)], "graph_id string, subgraph string, parent string")
