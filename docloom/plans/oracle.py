@@ -132,3 +132,73 @@ ORACLE = {
     "chapters": "SELECT DISTINCT conv_id AS doc_id, 1::BIGINT AS chapter, 'Conversation ' || conv_id AS title FROM conversations",
     "cross_references": f"WITH {HEADS} SELECT doc_id, 'heading' AS kind, pos AS n, label FROM heads",
 }
+
+_UNIT = lambda n: rf"'\u' || (CASE WHEN {n} > 32767 THEN {n} - 65536 ELSE {n} END) || '?'"
+_HIGH, _LOW = "(((unicode(c) - 65536) // 1024) + 55296)", "((unicode(c) - 65536) % 1024 + 56320)"
+_BARE = r"regexp_replace(regexp_extract(w, '((?:https?://|www\.)[^<]*)', 1), '[^\p{L}\p{N}/]+$', '')"
+_OF = lambda n: f"SELECT s_nationkey AS chart_id, {n} FROM supplier"
+_NAMED = "array_to_string(list_transform(p, lambda a: a.last), '|') AS authors"
+_FRONT = "chr(10) || '--- ' || chr(10) || 'title: ' || source || chr(10) || 'lang: ' || lang"
+
+ORACLE |= {
+    "rtf_escape": _documents(
+        rf"array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c IN ('\', '{{', '}}') THEN '\' || c WHEN c = chr(10) THEN '\line ' WHEN unicode(c) < 128 THEN c "
+        rf"WHEN unicode(c) < 65536 THEN {_UNIT('unicode(c)')} ELSE {_UNIT(_HIGH)} || {_UNIT(_LOW)} END), '')"
+    ),
+    "auto_link": rf"""SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), lambda w: CASE WHEN {_BARE} = '' OR contains(w, '<a href') THEN w
+      ELSE replace(w, {_BARE}, '<a href="' || CASE WHEN starts_with({_BARE}, 'www.') THEN 'https://' ELSE '' END || {_BARE} || '">' || {_BARE} || '</a>') END), ' ') AS value FROM documents""",
+    "bullets_and_titles": r"""WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+      l AS (SELECT doc_id, line_no::INT AS line_no, CASE line_no % 6 WHEN 1 THEN '• ' || raw WHEN 4 THEN '12. ' || raw ELSE raw END AS line FROM r),
+      b AS (SELECT *, regexp_matches(line, '^[•●▪◆]') AS sign, regexp_extract(line, '^([0-9]+)\. ', 1) AS n, list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '') AS w FROM l)
+      SELECT doc_id, line_no, sign OR n <> '' AS is_item, CASE WHEN NOT sign AND n <> '' THEN n || '.' END AS item_number,
+        CASE WHEN sign THEN trim(substr(line, 2)) WHEN n <> '' THEN regexp_replace(line, '^[0-9]+\. ', '') ELSE line END AS rest,
+        len(w) BETWEEN 1 AND 7 AND NOT regexp_matches(line, '[.,:]$')
+          AND len(list_filter(w, lambda x: NOT ((strlen(x) <= 3 AND regexp_matches(x, '^\p{Ll}')) OR regexp_matches(x, '^(?:\p{Lu}|\P{L})')))) = 0 AS is_title FROM b""",
+    "lengths_in_twips": """SELECT p_partkey, round((p_size + 0.5::DOUBLE) * [1440 / 25.4::DOUBLE, 1440 / 2.54::DOUBLE, 1440.0::DOUBLE, 20.0::DOUBLE, 15.0::DOUBLE, NULL][p_partkey % 6 + 1])::BIGINT AS twips FROM part""",
+    "file_stems": "SELECT doc_id, regexp_replace(source, '[^a-zA-Z0-9_-]', '_', 'g') || '_é_' || doc_id || '__v2' AS stem FROM documents",
+    "css_values": "SELECT p_partkey, p_size || 'px' AS margin, 'red' AS color, 'blue' AS background_color, '' AS width, 'n' || p_size AS tag_id FROM part",
+    "colours": "SELECT l_orderkey, l_linenumber, "
+    + ", ".join(f"round((1 - ({c} % {m}) / {m}::DOUBLE) * (1 - (l_linenumber % 9) / 9::DOUBLE), 9) AS {n}" for n, c, m in (("r", "l_partkey", 7), ("g", "l_suppkey", 5), ("b", "l_orderkey", 11)))
+    + " FROM lineitem",
+    "front_matter": rf"""WITH m AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'x' || {_FRONT} || chr(10) || '---' || chr(10) || text WHEN 2 THEN {_FRONT} || replace(text, '-', '+') ELSE text END AS other, text, source, lang FROM documents)
+      SELECT doc_id, CASE WHEN other IS NULL THEN 'title: ' || source || chr(10) || 'lang: ' || lang END AS front, sha256(coalesce(other, regexp_replace(text, '^[\r\n]+', ''))) AS body_sha256 FROM m""",
+    "without_media": r"""SELECT doc_id, regexp_replace(regexp_replace(' <i>x</i>' || chr(10) || replace(text, '`', chr(39)), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '<[^>]*(>|$)', '', 'g') AS value FROM documents""",
+    "comments": "SELECT doc_id, k || doc_id AS comment_id, lang AS author, 'see ' || source AS body, source || chr(10) || '!' AS anchor FROM documents, (VALUES ('c'), ('d')) AS v(k)",
+    "pruned_comments": "SELECT doc_id, source AS comment_id FROM documents WHERE doc_id % 3 = 0",
+    "lines_sorted": "SELECT doc_id, sha256(array_to_string(list_sort(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')), chr(10))) AS lines_sha256 FROM documents",
+    "pie_slices": _OF("s_name AS label, s_suppkey + 0.5::DOUBLE AS value"),
+    "sequence_messages": _OF("'N' || s_nationkey AS src, CASE WHEN s_suppkey % 2 = 0 THEN '->>' ELSE '-->>' END AS arrow, 'S' || s_suppkey AS dst, s_name AS text, 0 AS step")
+    + " UNION ALL "
+    + _OF("'S' || s_suppkey, '', '', '', 1"),
+    "gantt_tasks": _OF("'T' || s_suppkey % 3 AS section, s_name AS task, (s_suppkey % 40 - min(s_suppkey % 40) OVER (PARTITION BY s_nationkey))::INT AS start, s_suppkey::INT AS length"),
+    "timeline_events": _OF("'P' || s_suppkey AS period, 'first' AS event")
+    + "".join(" UNION ALL " + _OF(f"CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey::VARCHAR ELSE 'P' || s_suppkey END, {e}") for e in ("s_name", "'again'")),
+    "journey_tasks": _OF("'S' || s_suppkey AS section, s_name AS task, (s_suppkey % 5)::INT AS score, CASE WHEN s_suppkey % 2 = 0 THEN 'Me|You' ELSE '' END AS actors"),
+    "state_transitions": _OF("CASE WHEN s_suppkey % 4 = 0 THEN '[*]' ELSE 'S' || s_suppkey END AS src, 'T' || s_nationkey AS dst, CASE WHEN s_suppkey % 2 = 0 THEN 'go on' ELSE '' END AS label"),
+    "class_relations": _OF("'N' || s_nationkey AS src, ['<|--', '*--', 'o--', '-->', '..>'][s_suppkey % 5 + 1] AS arrow, 'S' || s_suppkey AS dst, 'has' AS label"),
+    "mindmap_lines": _OF("(s_suppkey % 4)::INT AS level, s_name AS label"),
+    "styles_of_nodes": """WITH u AS (SELECT s_nationkey AS graph_id, s_suppkey AS k, unnest(['A', 'B' || s_suppkey % 3]) AS node FROM supplier)
+      SELECT graph_id, node, p AS property, CASE p WHEN 'fill' THEN '#f' || max(k) ELSE 'red' END AS value FROM u, (VALUES ('fill'), ('stroke')) AS v(p) GROUP BY 1, 2, 3""",
+    "graph_nodes": """SELECT user_id AS graph_id, event_type AS id, min(event_id) AS ord, min_by('s' || event_id % 5, event_id) FILTER (WHERE event_id % 4 = 0) AS shape,
+      coalesce(min_by(event_type || ' ' || event_id % 7, event_id) FILTER (WHERE event_id % 3 = 0), event_type) AS label FROM events GROUP BY 1, 2""",
+    "subgraph_frames": """WITH b AS (SELECT n_name AS nation, r_name AS region, (s_suppkey % 97)::DOUBLE AS x, (s_suppkey % 53)::DOUBLE AS y, s_suppkey % 11 + 1.0::DOUBLE AS w
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+      SELECT 0 AS graph_id, nation AS subgraph, min(x) - 20 AS llx, min(y) - 20 AS lly, max(x + w) + 20 AS urx, max(y) + 24 AS ury FROM b GROUP BY nation
+      UNION ALL SELECT 0, region, min(x) - 40, min(y) - 40, max(x + w) + 40, max(y) + 44 FROM b GROUP BY region""",
+    "crossref_references": f"""WITH {PARSED} SELECT id, title, journal, volume, issue, pages, publisher, doi, language, year,
+      array_to_string(list_transform(p, lambda a: a.last || ', ' || a.first), '|') AS authors, tags[2] AS abstract_text FROM parsed""",
+    "pubmed_references": f"WITH {PARSED} SELECT id, title, journal, volume, issue, pages, CASE WHEN year = '' THEN 'Mar' ELSE year END AS year, {_NAMED} FROM parsed",
+    "open_library_references": f"WITH {PARSED} SELECT id, title, publisher, year, isbn, 'Book' AS reference_type, {_NAMED} FROM parsed",
+    "arxiv_references": f"WITH {REFS} SELECT id, language || ' paper' AS title, doi AS abstract_text, substr(date_added, 1, 4) AS year, 'arXiv' AS journal, array_to_string(tags, '|') AS authors FROM refs",
+    "activations": """WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS step FROM events), d AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM e),
+      k AS (SELECT *, CASE WHEN step > 0 THEN s ELSE s + 1 END AS depth FROM d), f AS (SELECT * FROM k WHERE depth > 0), l AS (SELECT *, max(event_id) OVER (PARTITION BY user_id) AS last_kept FROM f)
+      SELECT user_id, depth::BIGINT AS depth, event_id AS start_id, coalesce((SELECT min(c.event_id) FROM f c WHERE c.user_id = l.user_id AND c.depth = l.depth AND c.event_id > l.event_id AND c.step < 0), last_kept) AS end_id
+      FROM l WHERE step > 0""",
+    "edge_paths": f"""WITH RECURSIVE {BOXES}, p AS (SELECT e.graph_id, e.src, e.dst, a.x + a.width / 2 AS x1, a.y + a.height AS y1, b.x + b.width / 2 AS x2, b.y AS y2
+        FROM edges e JOIN boxes a ON a.graph_id = e.graph_id AND a.id = e.src JOIN boxes b ON b.graph_id = e.graph_id AND b.id = e.dst)
+      SELECT graph_id, src, dst, printf('%.1f,%.1f ', x1, y1) || CASE WHEN x1 = x2 THEN '' ELSE printf('%.1f,%.1f %.1f,%.1f ', x1, (y1 + y2) / 2, x2, (y1 + y2) / 2) END || printf('%.1f,%.1f', x2, y2) AS path FROM p""",
+    "text_under_marks": f"""WITH {SPANS}, q AS (SELECT *, doc_id || '-' || page AS p FROM spans),
+      h AS (SELECT DISTINCT p, v.k, span_no, 'n' || span_no AS t FROM q, (VALUES (0), (1)) AS v(k) WHERE x < v.k * 250 + 200 AND x + width > v.k * 250 AND y < 30 AND y + font_size > 0),
+      g AS (SELECT p, k, string_agg(t, '' ORDER BY span_no) AS t FROM h GROUP BY p, k) SELECT p AS annotation_id, string_agg(t, ' ' ORDER BY k) AS text FROM g GROUP BY p""",
+    "spans_ruled": f"WITH {SPANS} SELECT concat_ws('-', doc_id, span_no, x::INT, y::INT, width::INT) AS page, doc_id % 3 = 0 AND width > 0 AS underline, doc_id % 3 <> 0 AND doc_id % 5 = 0 AND width > 0 AS strike FROM spans",
+}

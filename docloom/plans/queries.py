@@ -117,9 +117,12 @@ def readability(spark, folder):
 
 @query
 def bullets_and_titles(spark, folder):
-    line = F.substring_index("text", "\n", 1)
-    d = table(spark, folder, "documents").select("doc_id", T.detect_bullet(line).alias("b"), T.is_title_case(line).alias("is_title"))
-    return d.select("doc_id", "b.is_item", F.col("b.number").alias("item_number"), "b.rest", "is_title")
+    """Every line of every document; each third one is made an item."""
+    d = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
+    n = F.col("line_no") % 6
+    d = d.withColumn("line", F.when(n == 1, F.concat(F.lit("• "), "raw")).when(n == 4, F.concat(F.lit("12. "), "raw")).otherwise(F.col("raw")))
+    d = d.select("doc_id", "line_no", T.detect_bullet("line").alias("b"), T.is_title_case("line").alias("is_title"))
+    return d.select("doc_id", "line_no", "b.is_item", F.col("b.number").alias("item_number"), "b.rest", "is_title")
 
 
 @query
@@ -567,7 +570,8 @@ def layout_boxes(spark, folder):
 def edge_paths(spark, folder):
     nodes, edges = _hierarchy(spark, folder)
     p = graph.edge_paths(edges, graph.assign_coordinates(nodes, graph.assign_ranks(nodes, edges)))
-    return p.select("graph_id", "src", "dst", F.to_json("path").alias("path"))
+    points = F.transform("path", lambda q: F.format_string("%.1f,%.1f", q["x"], q["y"]))
+    return p.select("graph_id", "src", "dst", F.array_join(points, " ").alias("path"))
 
 
 @query
@@ -624,3 +628,214 @@ def _pack(fmt: str) -> None:
 
 for _name in packed.FORMATS:
     _pack(_name)
+
+
+# Single functions and readers, on what the tables can be made to say -------------------------------------
+
+
+@query
+def lengths_in_twips(spark, folder):
+    units = F.element_at(F.array(*map(F.lit, ("mm", "cm", "in", "pt", "px", "em"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, folder, "part").select("p_partkey", T.to_twips(F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(".5 "), units)).alias("twips"))
+
+
+@query
+def file_stems(spark, folder):
+    name = F.concat(F.lit("/data/"), "lang", F.lit("\\"), "source", F.lit(" é("), F.col("doc_id").cast("string"), F.lit(").v2.docx"))
+    return table(spark, folder, "documents").select("doc_id", T.file_stem(name).alias("stem"))
+
+
+@query
+def css_values(spark, folder):
+    size = F.col("p_size").cast("string")
+    tag = F.concat(F.lit('<P ID="n'), size, F.lit('" STYLE="margin: '), size, F.lit("px; Color:RED ;background-color : blue\">"))
+    of = lambda n: T.css_value(tag, n).alias(n.replace("-", "_"))
+    return table(spark, folder, "part").select("p_partkey", of("margin"), of("color"), of("background-color"), of("width"), T.attribute(tag, "id").alias("tag_id"))
+
+
+@query
+def colours(spark, folder):
+    part = lambda c, m: (F.col(c) % m / F.lit(float(m))).cast("double")
+    li = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", T.cmyk_to_rgb(part("l_partkey", 7), part("l_suppkey", 5), part("l_orderkey", 11), part("l_linenumber", 9)).alias("c"))
+    return li.select("l_orderkey", "l_linenumber", *(F.round(f"c.{k}", 9).alias(k) for k in "rgb"))
+
+
+@query
+def front_matter(spark, folder):
+    n, opened = F.col("doc_id") % 4, F.concat(F.lit("\n--- \ntitle: "), "source", F.lit("\nlang: "), "lang")
+    md = F.when(n == 0, F.concat(opened, F.lit("\n---\n\n"), "text")).when(n == 1, F.concat(F.lit("x"), opened, F.lit("\n---\n"), "text")).when(n == 2, F.concat(opened, F.replace("text", F.lit("-"), F.lit("+")))).otherwise(F.col("text"))
+    d = table(spark, folder, "documents").select("doc_id", T.split_front_matter(md).alias("f"))
+    return d.select("doc_id", "f.front", F.sha2(F.col("f.body").cast("binary"), 256).alias("body_sha256"))
+
+
+@query
+def without_media(spark, folder):
+    md = F.concat(F.lit("![a](b) <i>x</i>\n```mermaid\ngraph TD\n```\n"), F.replace("text", F.lit("`"), F.lit("'")))
+    return table(spark, folder, "documents").select("doc_id", T.strip_images(T.strip_diagrams(md)).alias("value"))
+
+
+@query
+def comments(spark, folder):
+    mark = F.concat(F.lit('<mark class="comment" data-id="c'), F.col("doc_id").cast("string"), F.lit('" data-author="'), "lang", F.lit('" data-content="see '), "source", F.lit('">'), F.col("source"), F.lit("\n!</mark>"))
+    return extras.comments(table(spark, folder, "documents").withColumn("md", F.concat("text", F.lit(" "), mark, F.lit(" and "), F.replace(mark, F.lit('id="c'), F.lit('id="d')))))
+
+
+@query
+def pruned_comments(spark, folder):
+    d = table(spark, folder, "documents").select("doc_id", F.col("source").alias("comment_id"))
+    return extras.prune_comments(d, d.filter("doc_id % 3 = 0"))
+
+
+@query
+def lines_sorted(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", F.sha2(extras.sorted_lines(F.col("text")).cast("binary"), 256).alias("lines_sha256"))
+
+
+def _charts(spark, folder, head: str, line, name: str = "supplier", key: str = "s_nationkey", order: str = "s_suppkey") -> DataFrame:
+    """A diagram for each group of rows, a line for each row."""
+    rows = table(spark, folder, name).withColumn("__line", line)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "__line"))), lambda x: x["__line"]), "\n")
+    return rows.groupBy(F.col(key).alias("chart_id")).agg(F.concat(F.lit(head + "\n%% made\n"), body).alias("source"))
+
+
+def _number(c: str):
+    return F.col(c).cast("string")
+
+
+@query
+def pie_slices(spark, folder):
+    source = _charts(spark, folder, "pie title Suppliers", F.concat(F.lit('  "'), "s_name", F.lit('" : '), _number("s_suppkey"), F.lit(".5")))
+    return diagrams.pie(source).select("chart_id", "label", "value")
+
+
+@query
+def sequence_messages(spark, folder):
+    line = F.concat(F.lit("N"), _number("s_nationkey"), F.when(F.col("s_suppkey") % 2 == 0, "->>").otherwise("-->>"), F.lit("S"), _number("s_suppkey"), F.lit(": "), "s_name", F.lit("\n activate S"), _number("s_suppkey"))
+    return diagrams.sequence(_charts(spark, folder, "sequenceDiagram", line)).select("chart_id", "src", "arrow", "dst", "text", "step")
+
+
+@query
+def gantt_tasks(spark, folder):
+    day = F.date_add(F.lit("2024-03-01").cast("date"), (F.col("s_suppkey") % 40).cast("int")).cast("string")
+    line = F.concat(F.lit("section T"), (F.col("s_suppkey") % 3).cast("string"), F.lit("\n"), "s_name", F.when(F.col("s_suppkey") % 2 == 0, " : done, ").otherwise(" : "), day, F.lit(", "), _number("s_suppkey"), F.lit("d"))
+    return diagrams.gantt(_charts(spark, folder, "gantt", line)).select("chart_id", "section", "task", "start", "length")
+
+
+@query
+def timeline_events(spark, folder):
+    line = F.concat(F.when(F.col("s_suppkey") % 2 == 0, _number("s_suppkey")).otherwise(F.lit("")), F.lit(" : "), "s_name", F.lit(" : again"))
+    return diagrams.timeline(_charts(spark, folder, "timeline", F.concat(F.lit("P"), _number("s_suppkey"), F.lit(" : first\n"), line))).select("chart_id", "period", "event")
+
+
+@query
+def journey_tasks(spark, folder):
+    line = F.concat("s_name", F.lit(": "), (F.col("s_suppkey") % 5).cast("string"), F.when(F.col("s_suppkey") % 2 == 0, ": Me, You").otherwise(""))
+    j = diagrams.journey(_charts(spark, folder, "journey", F.concat(F.lit("section S"), _number("s_suppkey"), F.lit("\n"), line)))
+    return j.select("chart_id", "section", "task", "score", F.array_join("actors", "|").alias("actors"))
+
+
+@query
+def state_transitions(spark, folder):
+    line = F.concat(F.when(F.col("s_suppkey") % 4 == 0, F.lit("[*]")).otherwise(F.concat(F.lit("S"), _number("s_suppkey"))), F.lit(" --> T"), _number("s_nationkey"), F.when(F.col("s_suppkey") % 2 == 0, F.lit(" : go on")).otherwise(F.lit("")))
+    return diagrams.states(_charts(spark, folder, "stateDiagram-v2", line)).select("chart_id", "src", "dst", "label")
+
+
+@query
+def class_relations(spark, folder):
+    arrow = F.element_at(F.array(*map(F.lit, ("<|--", "*--", "o--", "-->", "..>"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    line = F.concat(F.lit("N"), _number("s_nationkey"), F.lit(" "), arrow, F.lit(" S"), _number("s_suppkey"), F.lit(" : has"))
+    return diagrams.relations(_charts(spark, folder, "classDiagram", line)).select("chart_id", "src", "arrow", "dst", "label")
+
+
+@query
+def mindmap_lines(spark, folder):
+    line = F.concat(F.repeat(F.lit("  "), (F.col("s_suppkey") % 4).cast("int")), F.lit("n(("), "s_name", F.lit("))"))
+    return diagrams.mindmap(_charts(spark, folder, "mindmap", line)).select("chart_id", "level", "label")
+
+
+@query
+def styles_of_nodes(spark, folder):
+    k = _number("s_suppkey")
+    line = F.concat(F.lit("classDef k"), k, F.lit(" fill:#f"), k, F.lit(",stroke:red\nclass A,B"), (F.col("s_suppkey") % 3).cast("string"), F.lit(" k"), k)
+    return diagrams.node_styles(_charts(spark, folder, "graph TD", line).withColumnRenamed("chart_id", "graph_id"))
+
+
+@query
+def graph_nodes(spark, folder):
+    e = table(spark, folder, "events")
+    label = F.when(F.col("event_id") % 3 == 0, F.concat("event_type", F.lit(" "), (F.col("event_id") % 7).cast("string"))).when(F.col("event_id") % 3 == 1, F.col("event_type"))
+    shape = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("s"), (F.col("event_id") % 5).cast("string")))
+    return graph.build_graph(e.select(F.col("user_id").alias("graph_id"), F.col("event_type").alias("id"), label.alias("label"), shape.alias("shape"), F.col("event_id").alias("ord")))
+
+
+@query
+def subgraph_frames(spark, folder):
+    """Suppliers in nations in regions, as boxes in frames in frames."""
+    n, s = table(spark, folder, "nation"), table(spark, folder, "supplier")
+    members = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.lit(0).alias("graph_id"), F.col("n_name").alias("subgraph"), F.col("s_name").alias("id"))
+    r = table(spark, folder, "region")
+    parents = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.lit(0).alias("graph_id"), F.col("n_name").alias("subgraph"), F.col("r_name").alias("parent"))
+    at = lambda m: (F.col("s_suppkey") % m).cast("double")
+    boxes = s.select(F.lit(0).alias("graph_id"), F.col("s_name").alias("id"), at(97).alias("x"), at(53).alias("y"), (at(11) + 1).alias("width"), F.lit(4.0).alias("height"))
+    return graph.frames(members, parents, boxes)
+
+
+def _payload(r: DataFrame, *fields) -> DataFrame:
+    return r.select("id", "pmid", "isbn", F.to_json(F.struct(*fields)).alias("payload"))
+
+
+def _people(*names: str):
+    """Authors as records: the parsed last name, then the first."""
+    return F.transform("authors", lambda a: F.struct(*(T.parse_author(a)[p].alias(n) for n, p in zip(names, ("last", "first"), strict=False))))
+
+
+@query
+def crossref_references(spark, folder):
+    r = refs(spark, folder)
+    date = F.struct(F.array(F.array(F.coalesce(F.col("year").try_cast("int"), F.lit(0)))).alias("date-parts"))
+    message = F.struct(F.array("title").alias("title"), F.array("journal").alias("container-title"), "volume", "issue", F.col("pages").alias("page"), "publisher", F.col("doi").alias("DOI"), "language", date.alias("issued"), _people("family", "given").alias("author"), F.concat(F.lit("<jats:p>"), "source", F.lit("</jats:p>")).alias("abstract"))
+    out = bibliography.from_crossref(_payload(r.withColumn("source", F.element_at("tags", 2)), message.alias("message")))
+    return out.select("id", "title", "journal", "volume", "issue", "pages", "publisher", "doi", "language", "year", F.array_join("authors", "|").alias("authors"), "abstract_text")
+
+
+@query
+def pubmed_references(spark, folder):
+    r = refs(spark, folder)
+    record = F.struct("title", F.col("journal").alias("fulljournalname"), "volume", "issue", "pages", F.concat("year", F.lit(" Mar")).alias("pubdate"), _people("name").alias("authors"))
+    out = bibliography.from_pubmed(_payload(r, F.struct(record.alias("record")).alias("result")))
+    return out.select("id", "title", "journal", "volume", "issue", "pages", F.trim("year").alias("year"), F.array_join("authors", "|").alias("authors"))
+
+
+@query
+def open_library_references(spark, folder):
+    r = refs(spark, folder)
+    out = bibliography.from_open_library(_payload(r, "title", F.concat(F.lit("May "), "year").alias("publish_date"), _people("name").alias("authors"), F.array(F.struct(F.col("publisher").alias("name"))).alias("publishers")))
+    return out.select("id", "title", "publisher", "year", "isbn", "reference_type", F.array_join("authors", "|").alias("authors"))
+
+
+@query
+def arxiv_references(spark, folder):
+    r = refs(spark, folder)
+    feed = F.concat(F.lit("<feed><title>f</title><entry><published>"), "date_added", F.lit("T00</published><title>\n "), "language", F.lit("  paper </title><summary>"), "doi", F.lit("\n</summary>"), F.array_join(F.transform("tags", lambda a: F.concat(F.lit("<author><name> "), a, F.lit("</name></author>"))), ""), F.lit("</entry></feed>"))
+    out = bibliography.from_arxiv(r.select("id", feed.alias("payload")))
+    return out.select("id", "title", "abstract_text", "year", "journal", F.array_join("authors", "|").alias("authors"))
+
+
+@query
+def text_under_marks(spark, folder):
+    """Line items that a mark, two quads of an order, lies on."""
+    s = _spans(spark, folder).select(F.concat_ws("-", _number("doc_id"), _number("page")).alias("page"), F.col("span_no").alias("run_no"), F.concat(F.lit("n"), _number("span_no")).alias("text"), F.col("x").alias("llx"), F.col("y").alias("lly"), (F.col("x") + F.col("width")).alias("urx"), (F.col("y") + F.col("font_size")).alias("ury"))
+    quads = s.select("page").distinct().select("page", F.col("page").alias("annotation_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("quad_no"))
+    quads = quads.select("*", (F.col("quad_no") * 250.0).alias("llx"), F.lit(0.0).alias("lly"), (F.col("quad_no") * 250.0 + 200).alias("urx"), F.lit(30.0).alias("ury"))
+    return geometry.annotated_text(quads, s)
+
+
+@query
+def spans_ruled(spark, folder):
+    """Line items on pages of their own, with a thin line below or through those of some orders."""
+    page = F.concat_ws("-", *(F.col(c).cast("int").cast("string") for c in ("doc_id", "span_no", "x", "y", "width")))
+    s = _spans(spark, folder).select(page.alias("page"), "span_no", "x", "y", "width", "font_size", F.col("doc_id").alias("k"))
+    at = F.when(F.col("k") % 3 == 0, F.col("y") - 1).when(F.col("k") % 5 == 0, F.col("y") + F.col("font_size") * 0.3)
+    rects = s.withColumn("lly", at).filter("lly is not null").select("page", F.col("x").alias("llx"), "lly", (F.col("x") + F.col("width")).alias("urx"), (F.col("lly") + 0.5).alias("ury"))
+    widths = s.select("page", F.lit(1000.0).alias("page_width"))
+    return geometry.ruled_spans(s, rects, widths).select("page", "underline", "strike")

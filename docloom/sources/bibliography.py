@@ -53,7 +53,7 @@ def read_bibtex(files: DataFrame, file_col: str = "file", text_col: str = "text"
     """
     entries = files.select(file_col, F.posexplode(F.split(text_col, "@", -1)).alias("record", "entry")).filter("record > 0")
     kind = F.lower(F.trim(F.regexp_extract("entry", r"^([^{(]*)", 1)))
-    lines = F.filter(F.transform(F.split("entry", r"\r?\n", -1), F.trim), lambda x: x.contains("="))
+    lines = F.filter(F.transform(F.split("entry", r"\r?\n", -1), lambda x: F.trim(x)), lambda x: x.contains("="))
 
     def value(line: Column) -> Column:
         raw = F.trim(F.regexp_replace(F.trim(F.regexp_extract(line, "(?s)^[^=]*=(.*)$", 1)), ",+$", ""))
@@ -63,7 +63,7 @@ def read_bibtex(files: DataFrame, file_col: str = "file", text_col: str = "text"
     rows = entries.select(file_col, "record", _table(BIBTEX_TYPES, kind, "Journal Article").alias("reference_type"), fields.alias("f"))
     last = lambda *names: F.coalesce(F.try_element_at(F.filter("f", lambda x: x["k"].isin(*names)), F.lit(-1))["v"], F.lit(""))
     bare = lambda c: F.regexp_replace(c, "[{}]", "")
-    parts = lambda c, sep: F.filter(F.transform(F.split(c, sep, -1), F.trim), lambda x: x != "")
+    parts = lambda c, sep: F.filter(F.transform(F.split(c, sep, -1), lambda x: F.trim(x)), lambda x: x != "")
     out = rows.select(
         F.concat_ws("#", file_col, F.col("record").cast("string")).alias("id"), "reference_type",
         *(bare(last(*names)).alias(f) for f, names in (("title", ("title",)), ("journal", ("journal", "booktitle")), ("publisher", ("publisher",)), ("abstract_text", ("abstract",)))),
@@ -108,7 +108,7 @@ def from_arxiv(payloads: DataFrame, xml_col: str = "payload") -> DataFrame:
     """References of cached Atom answers; the first title is the feed's."""
     found = lambda p: F.regexp_extract_all(xml_col, F.lit(p), F.lit(1))
     clean = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    out = payloads.select("id", clean(F.try_element_at(found(r"(?s)<title[^>]*>(.*?)</title>"), F.lit(2))).alias("title"), clean(F.try_element_at(found(r"(?s)<summary[^>]*>(.*?)</summary>"), F.lit(1))).alias("abstract_text"), F.transform(found("(?s)<name>(.*?)</name>"), F.trim).alias("authors"), F.substring(clean(F.try_element_at(found("<published>(.*?)</published>"), F.lit(1))), 1, 4).alias("year"), F.lit("Preprint").alias("reference_type"), F.lit("arXiv").alias("journal"))
+    out = payloads.select("id", clean(F.try_element_at(found(r"(?s)<title[^>]*>(.*?)</title>"), F.lit(2))).alias("title"), clean(F.try_element_at(found(r"(?s)<summary[^>]*>(.*?)</summary>"), F.lit(1))).alias("abstract_text"), F.transform(found("(?s)<name>(.*?)</name>"), lambda x: F.trim(x)).alias("authors"), F.substring(clean(F.try_element_at(found("<published>(.*?)</published>"), F.lit(1))), 1, 4).alias("year"), F.lit("Preprint").alias("reference_type"), F.lit("arXiv").alias("journal"))
     return as_references(out)
 
 
