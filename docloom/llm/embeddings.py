@@ -164,7 +164,7 @@ def _compare(key: tuple, rows: list, threshold: float):
                 near = np.triu(near, 1)
             i, j = np.nonzero(near)
             i, j = one[x + i], two[y + j]
-            met = _met_before(sets[i], sets[j], table, code)
+            met = _met_before(sets, i, j, table, code)
             i, j = i[~met], j[~met]
             if len(i):
                 np.add.at(links, i, size[j])
@@ -182,13 +182,20 @@ def _compare(key: tuple, rows: list, threshold: float):
     return c[has], links[has], _smallest(c, i, j)[has]
 
 
-def _met_before(a: np.ndarray, b: np.ndarray, table: int, code: int) -> np.ndarray:
-    """Whether pairs with these buckets (rows, tables, buckets) share one before ``code`` of ``table``."""
-    met = np.zeros(len(a), dtype=bool)
+def _met_before(sets: np.ndarray, i: np.ndarray, j: np.ndarray, table: int, code: int) -> np.ndarray:
+    """Whether the classes of a pair, with buckets ``sets`` (rows, tables, buckets), share one before ``code`` of ``table``."""
+    met = np.ones(len(i), dtype=bool)
+    at = np.arange(len(i))
     for t in range(table + 1):
+        if not len(at):
+            break
+        own, other = sets[i[at], t], sets[j[at], t]
+        found = np.zeros(len(at), dtype=bool)
         for p in range(1 + PROBES):
-            same = (b[:, t] == a[:, t, [p]]).any(axis=1)
-            met |= same & (a[:, t, p] < code) if t == table else same
+            same = (other == own[:, [p]]).any(axis=1)
+            found |= same & (own[:, p] < code) if t == table else same
+        at = at[~found]
+    met[at] = False
     return met
 
 
