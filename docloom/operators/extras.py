@@ -56,9 +56,13 @@ def png_size(content: Column) -> Column:
 
 
 def sorted_lines(text: Column, numbers: bool = False) -> Column:
-    """A list's lines in the order of their text."""
+    """A list's lines in the order of their text; with ``numbers`` in that of the number at their start, others last."""
     items = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    return F.array_join(F.array_sort(items), "\n")
+    if not numbers:
+        return F.array_join(F.array_sort(items), "\n")
+    number = lambda x: F.regexp_extract(x, r"^\s*(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+    keyed = F.transform(items, lambda x: F.struct(number(x).isNull().alias("last"), number(x).alias("number"), x.alias("line")))
+    return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["line"]), "\n")
 
 
 FILTERS: dict[str, Callable[[DataFrame], DataFrame]] = {}

@@ -118,16 +118,25 @@ def append_absent(main: DataFrame, more: DataFrame, key: str = "id") -> DataFram
     return main.unionByName(more.join(main.select(key), key, "left_anti"))
 
 
-def library_hash(refs: DataFrame, key: str = "id") -> DataFrame:
-    """(library_hash, n): a digest of a library's content, whatever the order of its rows.
+def library_hash(refs: DataFrame, collections: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """(library_hash, n): a digest of a library's references and collections, whatever the order of rows and columns.
 
-    Rows are hashed one by one, and hashes of 256 buckets of keys one level up, so no task holds the library.
+    Rows are hashed one by one, and sums of hashes of 256 buckets of keys one level up, so no task holds the
+    library: one SHA-256 over all of it, as a single file's, would need its bytes in a row. ``n`` counts references.
     """
-    row = F.sha2(F.to_json(F.struct(*sorted(refs.columns))), 256)
-    buckets = refs.select(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 2).alias("bucket"), row.alias("h"))
-    sums = buckets.groupBy("bucket").agg(F.sum(F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(38,0)")).alias("s1"), F.sum(F.conv(F.substring("h", 16, 15), 16, 10).cast("decimal(38,0)")).alias("s2"), F.count(F.lit(1)).alias("n"))
-    line = F.concat_ws(":", "bucket", "s1", "s2", "n")
-    return sums.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("library_hash"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    digest = F.substring(F.sha2(F.concat("kind", "key"), 256), 1, 2)
+
+    def hashed(df: DataFrame, kind: str) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("h"))
+
+    rows = hashed(refs, "reference")
+    if collections is not None:
+        rows = rows.unionByName(hashed(collections, "collection"))
+    part = lambda at: F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(38,0)"))
+    own = F.sum((F.col("kind") == "reference").cast("long"))
+    sums = rows.groupBy(digest.alias("bucket")).agg(part(1).alias("s1"), part(16).alias("s2"), F.count(F.lit(1)).alias("rows"), own.alias("n"))
+    lines = F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "s1", "s2", "rows")))
+    return sums.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("library_hash"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def resolve_citations(cites: DataFrame, refs: DataFrame, doc: str = "doc_id", cite: str = "ref_id", seq: str = "seq") -> DataFrame:

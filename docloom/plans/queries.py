@@ -245,7 +245,7 @@ def collection_union(spark, folder):
 
 @query
 def sync_hash(spark, folder):
-    return library.library_hash(refs(spark, folder).drop("doc_id"))
+    return library.library_hash(refs(spark, folder).drop("doc_id"), collections(spark, folder))
 
 
 @query

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import citations, compare, events, geometry, graph, library
+from docloom.operators import citations, compare, events, extras, geometry, graph, library
 from docloom.schemas import as_references
 from docloom.sinks import text as sinks
 from docloom.sources import bibliography, diagrams
@@ -59,6 +59,20 @@ def test_library_hash_ignores_order(refs):
     assert one.library_hash != library.library_hash(refs.filter("id <> 'r1'")).first().library_hash
 
 
+def test_library_hash_covers_collections(refs, spark):
+    one = spark.createDataFrame([("c", "mine", ["r1"]), ("d", "other", [])], "id string, name string, ref_ids array<string>")
+    found = library.library_hash(refs, one).first()
+    assert found == library.library_hash(refs, one.orderBy(F.col("id").desc()).select("ref_ids", "name", "id")).first()
+    assert found.n == refs.count() and found.library_hash != library.library_hash(refs).first().library_hash
+    assert found.library_hash != library.library_hash(refs, one.withColumn("ref_ids", F.array(F.lit("r2")))).first().library_hash
+
+
+def test_lines_sorted_by_numbers(spark):
+    row = spark.createDataFrame([("10 b\n9 a\nx\n\n-1.5 c\n9 0\na",)], "t string")
+    assert row.select(extras.sorted_lines(F.col("t"), numbers=True)).first()[0] == "-1.5 c\n9 0\n9 a\n10 b\na\nx"
+    assert row.select(extras.sorted_lines(F.col("t"))).first()[0] == "-1.5 c\n10 b\n9 0\n9 a\na\nx"
+
+
 def test_citation_numbers_have_gaps(refs, spark):
     cites = spark.createDataFrame([(1, "r3", 1), (1, "none", 2), (1, "r1", 3), (1, "r3", 4)], "doc_id int, ref_id string, seq int")
     assert sorted((r.number, r.ref_id) for r in library.resolve_citations(cites, refs).collect()) == [(1, "r3"), (3, "r1")]
