@@ -26,18 +26,36 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], cell: float =
     """Pairs of intersecting rectangles (columns a.* and b.*) with equal ``on``.
 
     Rectangles are dealt to the cells of a grid that they touch, so rows meet by equality; a pair that
-    meets in several cells is taken in the first one.
+    meets in several cells is taken in the first one. A rectangle longer than four cells has a grid of
+    its own, of cells doubled until it fits, so that it touches a few cells whatever its size; a pair meets
+    on the coarser of its two grids, and rows are dealt to those grids only that some rectangle has.
+    Rectangles with a missing or endless side meet nothing.
     """
-    low = lambda c: F.floor(F.col(c) / cell).cast("long")
+    sides = ("llx", "lly", "urx", "ury")
+    longest = F.greatest(F.col("urx") - F.col("llx"), F.col("ury") - F.col("lly"), F.lit(0.0)) / (4 * cell)
+    level = F.greatest(F.ceil(F.log2(F.greatest(longest, F.lit(1.0)))), F.lit(0)).cast("int")
+
+    def sized(df: DataFrame) -> DataFrame:
+        whole = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(c) != float("inf")) for c in sides]
+        return df.filter(whole[0] & whole[1] & whole[2] & whole[3]).withColumn("__own", level)
+
+    a, b = sized(left), sized(right)
+    grids = a.select("__own").unionByName(b.select("__own")).agg(F.collect_set("__own").alias("__grids"))  # one row
+    low = lambda c, n: F.floor(F.col(c) / (cell * F.pow(F.lit(2.0), n))).cast("long")
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.withColumn("__cx", F.explode(F.sequence(low("llx"), low("urx")))).withColumn("__cy", F.explode(F.sequence(low("lly"), low("ury"))))
+        of = F.explode(F.filter("__grids", lambda g: g >= F.col("__own")))
+        rows = df.crossJoin(F.broadcast(grids)).withColumn("__grid", of).drop("__grids")
+        for name, (p, q) in {"__cx": ("llx", "urx"), "__cy": ("lly", "ury")}.items():
+            rows = rows.withColumn(name, F.explode(F.sequence(low(p, F.col("__grid")), F.greatest(low(p, F.col("__grid")), low(q, F.col("__grid"))))))
+        return rows
 
-    a, b = dealt(left).alias("a"), dealt(right).alias("b")
-    keys = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*on, "__cx", "__cy"]]
-    joined = a.join(b, keys).filter(intersects("a", "b"))
-    first = (F.col("a.__cx") == F.floor(F.greatest("a.llx", "b.llx") / cell)) & (F.col("a.__cy") == F.floor(F.greatest("a.lly", "b.lly") / cell))
-    return joined.filter(first)
+    a, b = dealt(a).alias("a"), dealt(b).alias("b")
+    keys = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*on, "__grid", "__cx", "__cy"]]
+    joined = a.join(b, keys).filter(intersects("a", "b") & (F.col("a.__grid") == F.greatest("a.__own", "b.__own")))
+    at = cell * F.pow(F.lit(2.0), F.col("a.__grid"))
+    first = [F.col(f"a.{c}") == F.floor(F.greatest(f"a.{s}", f"b.{s}") / at) for c, s in (("__cx", "llx"), ("__cy", "lly"))]
+    return joined.filter(first[0] & first[1])
 
 
 def annotated_text(annotations: DataFrame, runs: DataFrame, page: str = "page") -> DataFrame:
@@ -81,6 +99,11 @@ def body_font(spans: DataFrame, key: list[str]) -> DataFrame:
     return sums.groupBy(*key).agg(F.min_by("font_name", F.struct(-F.col("n"), F.col("font_name"))).alias("font_name"))
 
 
+def font_names(spans: DataFrame) -> DataFrame:
+    """(font_name): each font once, by name."""
+    return spans.select("font_name").filter("font_name is not null").distinct().orderBy("font_name")
+
+
 def page_bounds(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, page, right, left): each page's right end, and the document's left one."""
     pages = spans.groupBy(key, "page").agg(F.max(F.col("x") + F.col("width")).alias("right"), F.min("x").alias("x"))
@@ -91,27 +114,27 @@ def page_bounds(spans: DataFrame, key: str = "doc_id") -> DataFrame:
 def cluster_lines(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds ``line``: a new one begins where the base line is further from the line's first span than the tolerance.
 
-    The tolerance is half the commonest size, 2 at least. Spans of a page are in the order y down, x up;
-    a line is anchored at its first span, so a page is folded from top to bottom.
+    The tolerance is half the commonest size, 2 at least. A line is anchored at its first span from the top, so
+    a page's distinct base lines, of which there are far fewer than spans, are folded from top to bottom into
+    the anchors; a span's line is the number of anchors that aren't below it. Spans without a base line are in line 0.
     """
     sizes = mode_font_size(spans, [key]).withColumnRenamed("font_size", "body")
-    rows = spans.join(sizes, key, "left").withColumn("tolerance", F.greatest(F.coalesce("body", F.lit(10.0)) * 0.5, F.lit(2.0))).drop("body")
-
-    columns = [c for c in rows.columns if c not in (key, "page", "tolerance")]
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("__down"), F.col("x").alias("__x"), *columns)))
-    pages = rows.groupBy(key, "page").agg(ordered.alias("s"), F.max("tolerance").alias("t"))
-    none = F.array().cast("array<int>")
-    begin = F.struct(F.lit(0).alias("line"), F.lit(None).cast("double").alias("anchor"), none.alias("out"))
-
-    def fold(acc, s):
-        y = s["y"].cast("double")
-        new = F.coalesce(F.abs(y - acc["anchor"]) > F.col("t"), F.lit(True))
-        line = F.when(new, acc["line"] + 1).otherwise(acc["line"])
-        return F.struct(line.alias("line"), F.when(new, y).otherwise(acc["anchor"]).alias("anchor"), F.concat(acc["out"], F.array(line)).alias("out"))
-
-    folded = pages.select(key, "page", "s", F.aggregate("s", begin, fold)["out"].alias("lines"))
-    one = folded.select(key, "page", F.explode(F.arrays_zip("s", "lines")).alias("z"))
-    return one.select(key, "page", *(F.col("z.s")[c].alias(c) for c in columns), F.col("z.lines").cast("long").alias("line")).select(*spans.columns, "line")
+    tolerance = F.greatest(F.coalesce("body", F.lit(10.0)) * 0.5, F.lit(2.0))
+    levels = spans.filter("y is not null").groupBy(key, "page").agg(F.sort_array(F.collect_set(F.col("y").cast("double")), asc=False).alias("__ys"))
+    levels = levels.join(sizes, key, "left").withColumn("__t", tolerance)
+
+    def fold(acc, y):
+        new = F.size(acc) == 0
+        return F.when(new | (F.abs(y - F.element_at(acc, -1)) > F.col("__t")), F.concat(acc, F.array(y))).otherwise(acc)
+
+    none = F.array().cast("array<double>")
+    anchors = levels.select(key, "page", F.explode(F.aggregate("__ys", none, fold)).alias("__y"))
+    rows = spans.withColumn("__y", F.col("y").cast("double")).withColumn("__begins", F.lit(0))
+    marks = anchors.withColumn("__begins", F.lit(1))
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy(key, "page").orderBy(F.col("__y").desc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = both.withColumn("line", F.sum("__begins").over(w))
+    return numbered.filter("__begins = 0").select(*spans.columns, "line")
 
 
 def line_texts(lines: DataFrame, key: str = "doc_id") -> DataFrame:
