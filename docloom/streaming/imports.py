@@ -26,18 +26,15 @@ def as_imported(records: DataFrame) -> DataFrame:
 
 
 def run_import(spark: SparkSession, folder: str, library: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Appends what arrives to the Parquet library; each batch leaves out ids that are there already.
+    """Appends what arrives to the Parquet library; ids that came before are left out.
 
-    A batch that is run again after a failure replaces its own part of the table.
+    Which ids came is the stream's state, dealt by id and kept with its checkpoint, so a batch looks up its own ids
+    and reads nothing of the library. A batch that is run again after a failure replaces its own part of the table.
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        rows = as_imported(batch).dropDuplicates(["id"])
-        target = f"{library}/batch={number}"
-        if number:
-            seen = spark.read.option("basePath", library).parquet(f"{library}").filter(F.col("batch") != number).select("id")
-            rows = rows.join(seen, "id", "left_anti")
-        rows.write.mode("overwrite").parquet(target)
-
-    writer = incoming(spark, folder).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+        batch.write.mode("overwrite").parquet(f"{library}/batch={number}")
+
+    rows = as_imported(incoming(spark, folder)).dropDuplicates(["id"])
+    writer = rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime="900 milliseconds").start()
