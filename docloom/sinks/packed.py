@@ -158,8 +158,29 @@ def pptx(events: DataFrame, id_col: str = "doc_id") -> DataFrame:
     # Numbers of equal width, so that the order of names is that of slides.
     name = F.concat(F.lit("ppt/slides/slide"), F.lpad(F.col("slide").cast("string"), 5, "0"), F.lit(".xml"))
     decks = body.select(id_col, "slide", _file(name, slide).alias("f")).groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("slide", "f"))), lambda x: x["f"]).alias("f"))
-    types = f'{_HEAD}<Types xmlns="{_TYPES}"><Default Extension="xml" ContentType="application/xml"/></Types>'
-    return decks.select(id_col, packed(F.concat(F.array(_file("[Content_Types].xml", types)), "f")).alias("content"))
+    part = "application/vnd.openxmlformats-officedocument.presentationml"
+    per_slide = lambda of: F.array_join(F.transform("f", of), "")
+    number = lambda i: (i + 1).cast("string")
+    types = F.concat(
+        F.lit(f'{_HEAD}<Types xmlns="{_TYPES}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'),
+        F.lit(f'<Override PartName="/ppt/presentation.xml" ContentType="{part}.presentation.main+xml"/>'),
+        per_slide(lambda x: F.concat(F.lit('<Override PartName="/'), x["name"], F.lit(f'" ContentType="{part}.slide+xml"/>'))),
+        F.lit("</Types>"),
+    )
+    root = f'{_HEAD}<Relationships xmlns="{_RELS}"><Relationship Id="r1" Type="{_OFFICE}/officeDocument" Target="ppt/presentation.xml"/></Relationships>'
+    target = lambda x: F.substring(x["name"], len("ppt/") + 1, 2**31 - 1)
+    rels = F.concat(
+        F.lit(f'{_HEAD}<Relationships xmlns="{_RELS}">'),
+        per_slide(lambda x, i: F.concat(F.lit('<Relationship Id="s'), number(i), F.lit(f'" Type="{_OFFICE}/slide" Target="'), target(x), F.lit('"/>'))),
+        F.lit("</Relationships>"),
+    )
+    deck = F.concat(
+        F.lit(f'{_HEAD}<p:presentation xmlns:p="{p}" xmlns:r="{_OFFICE}"><p:sldIdLst>'),
+        per_slide(lambda x, i: F.concat(F.lit('<p:sldId id="'), (i + 256).cast("string"), F.lit('" r:id="s'), number(i), F.lit('"/>'))),
+        F.lit('</p:sldIdLst><p:sldSz cx="12192000" cy="6858000"/><p:notesSz cx="6858000" cy="9144000"/></p:presentation>'),
+    )
+    fixed = F.array(_file("[Content_Types].xml", types), _file("_rels/.rels", root), _file("ppt/presentation.xml", deck), _file("ppt/_rels/presentation.xml.rels", rels))
+    return decks.select(id_col, packed(F.concat(fixed, "f")).alias("content"))
 
 
 FORMATS = {"docx": docx, "odt": odt, "epub": epub, "pptx": pptx}
