@@ -255,6 +255,18 @@ def to_twips(c: Column | str) -> Column:
     return F.when(unit != "", F.round(number.cast("double") * table[unit]).cast("long"))
 
 
+def fitted(width: Column, height: Column, most_width: Column, most_height: Column) -> Column:
+    """(width, height) scaled down, in proportion, to fit into bounds; a side is 1 at least, and nothing is scaled up."""
+    scale = F.least(most_width / width, most_height / height, F.lit(1.0))
+    empty = (width <= 0) | (height <= 0)
+    side = lambda x: F.greatest(F.when(empty, x).otherwise(F.round(x * scale)), F.lit(1)).cast("long")
+    return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
+def twips_to_px(twips: Column) -> Column:
+    return F.round(twips / 1440.0 * 96.0).cast("long")
+
+
 def file_stem(c: Column | str) -> Column:
     """A file name's stem with nothing but letters, digits, ``-`` and ``_``."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(_col(c), r"^.*[/\\]", ""), r"\.[^.]*$", ""), r"[^\p{L}\p{N}_-]", "_")
@@ -283,6 +295,17 @@ def cmyk_to_rgb(c: Column, m: Column, y: Column, k: Column) -> Column:
     return F.struct(*(((one - x) * (one - k)).alias(n) for n, x in (("r", c), ("g", m), ("b", y))))
 
 
+def matrix_product(a: Column, b: Column) -> Column:
+    """The matrix that applies ``a``, then ``b``; both are arrays of the six numbers of a plane's affine map."""
+    row = lambda i, j: a[i] * b[j] + a[i + 1] * b[j + 2]
+    return F.array(row(0, 0), row(0, 1), row(2, 0), row(2, 1), row(4, 0) + b[4], row(4, 1) + b[5])
+
+
+def moved(m: Column, x: Column, y: Column) -> Column:
+    """(x, y) of a point under an affine map."""
+    return F.struct((m[0] * x + m[2] * y + m[4]).alias("x"), (m[1] * x + m[3] * y + m[5]).alias("y"))
+
+
 def literal_pattern(text: str) -> str:
     """A pattern that matches ``text`` and nothing else."""
     return "".join(f"\\{ch}" if not ch.isalnum() and ord(ch) < 128 else ch for ch in text)

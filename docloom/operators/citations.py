@@ -161,7 +161,10 @@ def compiled(node: dict, macros: dict[str, dict] | None = None) -> Column:
     if kind == "choose":
         out = None
         for branch in node["branches"]:
-            holds = F.coalesce(F.col(branch["variable"]).cast("string"), F.lit("")) != "" if "variable" in branch else F.col("reference_type") == branch["type"]
+            if branch.get("variable") == "__none":
+                holds = F.lit(False)
+            else:
+                holds = F.coalesce(F.col(branch["variable"]).cast("string"), F.lit("")) != "" if "variable" in branch else F.col("reference_type") == branch["type"]
             holds = ~holds if branch.get("match") == "none" else holds
             value = compiled({"kind": "group", "children": branch.get("children", [])}, macros)
             out = F.when(holds, value) if out is None else out.when(holds, value)
@@ -171,6 +174,60 @@ def compiled(node: dict, macros: dict[str, dict] | None = None) -> Column:
     raise ValueError(f"unknown element {kind}")
 
 
+#: Variables of citation styles and the library's columns.
+VARIABLES = {
+    "title": "title", "container-title": "journal", "author": "authors", "issued": "year", "volume": "volume", "issue": "issue", "page": "pages",
+    "publisher": "publisher", "DOI": "doi", "ISBN": "isbn", "ISSN": "issn", "URL": "url", "PMID": "pmid", "abstract": "abstract_text", "language": "language", "note": "notes",
+}
+
+
+def read_style(xml: str, part: str = "bibliography", columns: dict[str, str] = VARIABLES, dates: tuple[str, ...] = ()) -> tuple[dict, dict[str, dict], list[tuple[str, bool]]]:
+    """(layout, macros, sort keys) of a style file's ``bibliography`` or ``citation``, for ``compiled`` and ``csl_sort``.
+
+    ``columns`` gives the column of each variable; one without a column is empty, and as a sort key left out.
+    Variables in ``dates`` have arrays of year, month and day; other dates are the text of their column.
+    """
+    from xml.etree import ElementTree
+
+    root = ElementTree.fromstring(xml)
+    name = lambda e: e.tag.rsplit("}", 1)[-1]
+    named = lambda e, n: [x for x in e if name(x) == n]
+    column = lambda e: columns.get(e.get("variable", "").split(" ")[0])
+    children = lambda e: [node(x) for x in e]
+
+    def branch(e) -> dict:
+        on = {"variable": column(e) or "__none"} if "variable" in e.attrib else {"type": e.get("type", "")}
+        return on | {"match": e.get("match", "all"), "children": children(e)}
+
+    def node(e) -> dict:
+        kind = name(e)
+        out = {"kind": kind} | {k: e.get(k) for k in ("prefix", "suffix", "delimiter", "value", "term", "macro", "form") if k in e.attrib}
+        if kind == "choose":
+            tests = [branch(x) for x in e if name(x) in ("if", "else-if")]
+            return out | {"branches": tests, "otherwise": [c for x in named(e, "else") for c in children(x)]}
+        if kind in ("group", "layout", "macro", "substitute"):
+            return out | {"children": children(e)}
+        if kind == "label":
+            return {"kind": "label", "form": ""}
+        if "variable" in e.attrib:
+            if column(e) is None:
+                return {"kind": "text", "value": ""}
+            out["variable"] = column(e)
+            joins = [x.get("and") for x in named(e, "name") if x.get("and")]
+            if kind == "names" and joins:
+                out["and"] = joins[0]
+            if kind == "date" and e.get("variable") not in dates:
+                out["kind"] = "text"
+        return out
+
+    found = named(root, part)
+    if not found or not named(found[0], "layout"):
+        raise ValueError(f"a style without a {part}")
+    keys = [(k, k.get("sort") == "descending") for s in named(found[0], "sort") for k in named(s, "key")]
+    macros = {m.get("name"): node(m) for m in named(root, "macro")}
+    return node(named(found[0], "layout")[0]), macros, [(column(k), down) for k, down in keys if column(k)]
+
+
 def cite_together(refs: DataFrame, style: Column, order: str = "id") -> DataFrame:
     """(citation): all references' short forms in order, joined by "; ". For one citation's references."""
     return refs.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, style.alias("c")))), lambda x: x["c"]), "; ").alias("citation"))

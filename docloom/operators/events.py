@@ -198,9 +198,10 @@ def mail_merge(template: DataFrame, records: DataFrame, record_col: str = "recor
     The template is one document, so it is what every task holds; its size is checked.
     """
     events = template.select("seq", "kind", "tag", "depth", "text", "attrs")
-    n = events.limit(MOST_TEMPLATE_EVENTS + 1).count()
-    if n > MOST_TEMPLATE_EVENTS:
-        raise ValueError(f"a template of more than {MOST_TEMPLATE_EVENTS} events")
+    size = F.sum(F.octet_length(F.to_json(F.struct(*events.columns))))
+    n_bytes = events.agg(F.coalesce(size, F.lit(0)).alias("n")).first()["n"]
+    if n_bytes > MOST_TEMPLATE_BYTES:
+        raise ValueError(f"a template of {n_bytes} bytes; at most {MOST_TEMPLATE_BYTES}")
     merged = records.select(key, record_col).crossJoin(F.broadcast(events))
     fill = lambda c: F.when(F.coalesce(c, F.lit("")).contains("{{"), T.substitute(c, F.col(record_col))).otherwise(c)
     text = F.when(F.col("kind").isin("text", "html"), fill(F.col("text"))).otherwise(F.col("text"))
@@ -208,7 +209,18 @@ def mail_merge(template: DataFrame, records: DataFrame, record_col: str = "recor
     return merged.select(key, "seq", "kind", "tag", "depth", text.alias("text"), attrs.alias("attrs"))
 
 
-MOST_TEMPLATE_EVENTS = 100_000
+MOST_TEMPLATE_BYTES = 8 << 20
+
+
+def merged_document(template: DataFrame, records: DataFrame, record_col: str = "record", key: str = "record_id") -> DataFrame:
+    """One document of a template's copies, in the order of ``key``, with page breaks between them.
+
+    ``key`` counts records from 0, and a copy's ids are those of the namespace ``merge-`` and that number. Merging
+    nothing is an error.
+    """
+    if records.isEmpty():
+        raise ValueError("no records to merge")
+    return assemble(mail_merge(template, records, record_col, key), key, F.concat(F.lit("merge-"), F.col(key).cast("string")))
 
 
 def assemble(events: DataFrame, order: str, namespace: Column) -> DataFrame:

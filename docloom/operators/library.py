@@ -164,8 +164,9 @@ def recent_files(opened: DataFrame, name: str, at: str, limit: int) -> DataFrame
     return latest.orderBy(F.col(at).desc(), name).limit(limit)
 
 
-def latest_version(df: DataFrame, at: str, tie: str) -> DataFrame:
-    return df.orderBy(F.col(at).desc(), F.col(tie).desc()).limit(1)
+def latest_version(df: DataFrame, at: str, tie: str, limit: int = 1) -> DataFrame:
+    """The newest versions, newest first: a history holds ``limit`` of them."""
+    return df.orderBy(F.col(at).desc(), F.col(tie).desc()).limit(limit)
 
 
 #: Badge classes and letters of types.

@@ -46,6 +46,14 @@ def read_ris(files: DataFrame, file_col: str = "file", text_col: str = "text") -
     return as_references(out.withColumn("id", F.concat_ws("#", file_col, F.col("record").cast("string"))).drop(file_col, "record"))
 
 
+def read_bibliography(files: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
+    """References of files that end in ``.ris`` or ``.bib``; another ending is an error."""
+    ending = F.lower(F.regexp_extract(file_col, r"\.([^./\\\\]*)$", 1))
+    known = F.when(ending.isin("ris", "bib"), ending).otherwise(F.raise_error(F.concat(F.lit("no reader for "), file_col)))
+    of = lambda name: files.filter(known == name)
+    return read_ris(of("ris"), file_col, text_col).unionByName(read_bibtex(of("bib"), file_col, text_col))
+
+
 def read_bibtex(files: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
     """References of BibTeX texts, an entry between two ``@``; fields stand on lines of their own.
 
