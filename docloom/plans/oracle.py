@@ -202,3 +202,68 @@ ORACLE |= {
       g AS (SELECT p, k, string_agg(t, '' ORDER BY span_no) AS t FROM h GROUP BY p, k) SELECT p AS annotation_id, string_agg(t, ' ' ORDER BY k) AS text FROM g GROUP BY p""",
     "spans_ruled": f"WITH {SPANS} SELECT concat_ws('-', doc_id, span_no, x::INT, y::INT, width::INT) AS page, doc_id % 3 = 0 AND width > 0 AS underline, doc_id % 3 <> 0 AND doc_id % 5 = 0 AND width > 0 AS strike FROM spans",
 }
+
+VARIED = """v AS (SELECT conv_id AS doc_id, turn, turn % 5 AS k FROM conversations),
+heads AS (SELECT doc_id, turn, CASE k WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE 1 END AS level, CASE k WHEN 1 THEN 'A' || turn WHEN 2 THEN 'C' || turn WHEN 3 THEN 'B' || turn || ' & co' ELSE '' END AS label,
+  row_number() OVER (PARTITION BY doc_id ORDER BY turn) AS pos FROM v WHERE k > 0)"""
+#: How often each kind of part adds to a counter: (kind, times).
+_VARIED_COUNTS = {
+    "headings": ((1, 1), (2, 1), (3, 1), (4, 1)), "unordered_items": ((2, 2),), "ordered_items": ((2, 1),), "code_blocks": ((3, 1),), "table_rows": ((0, 2),), "tables": ((0, 1),), "blockquotes": ((3, 1),),
+    "math_blocks": (), "inline_math": ((3, 1),), "bold": ((1, 1),), "italic": ((0, 1), (1, 1)), "strikethrough": (), "hyperlinks": ((1, 1),), "footnotes": ((3, 2),), "tasklists": (), "images": ((1, 1),),
+    "comments": (), "highlights": (), "insertions": (), "deletions": (),
+}
+_MERGE_EVENTS = """(0, 'start', ''), (1, 'text', 'Dear ' || c_name), (2, 'end', ''), (3, 'start', ''), (4, 'text', 'Your balance is ' || c_acctbal || ', segment ' || c_mktsegment || ' {{open'), (5, 'end', ''),
+  (6, 'start', ''), (7, 'start', ''), (8, 'text', 'site'), (9, 'end', ''), (10, 'text', ' '), (11, 'code', '{{ c_name }}'), (12, 'end', '')"""
+_COMMAND_EVENTS = """(0, 'start', '', 'h', ''), (1, 'text', 'Hi ' || c_name, '', ''), (2, 'end', '', '', ''), (3, 'start', '', '', ''), (4, 'start', '', '', 'h'), (5, 'text', 'y', '', ''), (6, 'end', '', '', ''),
+  (7, 'text', ' ' || c_name, '', ''), (8, 'end', '', '', '')"""
+_PIECES = lambda p: f"regexp_split_to_array(text, '{p}') AS g, regexp_extract_all(text, '{p}') AS m"
+_LENGTHS = lambda list_, n: f"coalesce(list_sum(list_transform(list_slice({list_}, 1, {n}), lambda x: length(x))), 0)"
+
+
+def _found(rules: list[tuple[str, ...]], names: tuple[str, ...]) -> str:
+    """Every match of each rule's pattern, and the code points before it."""
+    per_rule = (f"SELECT doc_id, {_PIECES(p)}, " + ", ".join(f"'{v}' AS \"{n}\"" for n, v in zip(names, values, strict=True)) + " FROM documents" for p, *values in rules)
+    listed = ", ".join(f'"{n}"' for n in names)
+    return f"""WITH r AS ({" UNION ALL ".join(per_rule)}), k AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM r)
+      SELECT doc_id, m[i] AS matched, ({_LENGTHS("g", "i")} + {_LENGTHS("m", "i - 1")})::BIGINT AS at, {listed} FROM k"""
+
+
+ORACLE |= {
+    "varied_metrics": f"WITH {VARIED} SELECT doc_id, " + ", ".join(f"({' + '.join(f'{n} * count(*) FILTER (k = {k})' for k, n in parts) or '0'})::BIGINT AS {name}" for name, parts in _VARIED_COUNTS.items()) + " FROM v GROUP BY doc_id",
+    "varied_outline": f"WITH {VARIED} SELECT doc_id, pos, level, label FROM heads",
+    "varied_contents": f"""WITH {VARIED}, d AS (SELECT *, level - coalesce(lag(level) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS step FROM heads)
+      SELECT doc_id, pos, level, repeat('<ul>', greatest(step, 0)) || repeat('</ul>', greatest(-step, 0)) || '<li>' || replace(label, '&', '&amp;') || '</li>' AS html FROM d""",
+    "varied_chapters": f"""WITH {VARIED}, c AS (SELECT doc_id, turn, CASE k WHEN 0 THEN 'Content' WHEN 1 THEN 'A' || turn END AS title FROM v WHERE turn = 0 OR k IN (1, 4)),
+      n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY turn) AS chapter FROM c) SELECT doc_id, chapter, coalesce(title, 'Chapter ' || chapter) AS title FROM n""",
+    "varied_slides": f"""WITH {VARIED} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY turn) AS slide,
+      CASE k WHEN 1 THEN 'A' || turn WHEN 3 THEN 'B' || turn || ' & co' ELSE '' END AS title FROM v WHERE k <> 2""",
+    "varied_references": f"""WITH {VARIED}, o AS (SELECT doc_id, 'heading' AS kind, turn, label FROM heads UNION ALL SELECT doc_id, 'figure', turn, 'p' FROM v WHERE k = 1 UNION ALL SELECT doc_id, 'table', turn, '' FROM v WHERE k = 0
+        UNION ALL SELECT doc_id, 'footnote', turn, 'f' || turn FROM v WHERE k = 3 UNION ALL SELECT doc_id, 'bookmark', turn, 'm' || turn FROM v WHERE k = 3)
+      SELECT doc_id, kind, row_number() OVER (PARTITION BY doc_id, kind ORDER BY turn) AS n, label FROM o""",
+    "footnotes_resolved": f"WITH {VARIED} SELECT doc_id, 'f' || turn AS label, 'note ' || turn AS text FROM v WHERE k = 3",
+    "mail_merge": f"SELECT c_custkey AS record_id, seq, kind, text, CASE WHEN seq = 7 THEN 'http://x/' || c_custkey ELSE '' END AS dest FROM customer, LATERAL (VALUES {_MERGE_EVENTS}) AS e(seq, kind, text)",
+    "merge_command": f"""SELECT c_custkey AS record_id, seq, kind, text, CASE WHEN id = '' THEN '' ELSE 'merge-' || c_custkey || '-' || id END AS id,
+        CASE WHEN dest = '' THEN '' ELSE '#merge-' || c_custkey || '-' || dest END AS dest FROM customer, LATERAL (VALUES {_COMMAND_EVENTS}) AS e(seq, kind, text, id, dest)
+      UNION ALL SELECT c_custkey, -1, 'page_break', '', '', '' FROM customer WHERE c_custkey > (SELECT min(c_custkey) FROM customer)""",
+    "match_positions": _found([("[a-z]+tion", "noun"), ("(?i)the", "article")], ("of",)),
+    "grammar_matches": _found([(r"(?i)\bthe the\b", "the", "Repeated word"), (r"(?i)\bof of\b", "of", "Repeated word")], ("correction", "message")),
+    "image_sizes": "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_partkey % 5000 + 1 END::BIGINT AS width, CASE WHEN p_partkey % 3 < 2 THEN p_size END::BIGINT AS height FROM part",
+    "images_fitted": """WITH s AS (SELECT p_partkey, p_size, least(640 / p_partkey::DOUBLE, 24 / p_size::DOUBLE, 1) AS k FROM part)
+      SELECT p_partkey, greatest(round(p_partkey * k), 1)::BIGINT AS width, greatest(round(p_size * k), 1)::BIGINT AS height, round(p_partkey * 3 / 1440.0::DOUBLE * 96)::BIGINT AS px FROM s""",
+    "points_moved": "SELECT p_partkey, (-p_size * p_size + p_size)::DOUBLE AS x, (2 * p_partkey + 1)::DOUBLE AS y FROM part",
+    "tables_sorted": """WITH r AS (SELECT s_nationkey, s_suppkey, s_nationkey || '.' || s_suppkey AS c, '| ' || s_nationkey || '.' || s_suppkey || ' | ' || s_name || ' |' AS line FROM supplier)
+      SELECT s_nationkey, '| k | name |' || chr(10) || '|---|---|' || chr(10) || string_agg(line, chr(10) ORDER BY c) AS by_text,
+        '| k | name |' || chr(10) || '|---|---|' || chr(10) || string_agg(line, chr(10) ORDER BY c::DOUBLE DESC, s_suppkey DESC) AS by_number FROM r GROUP BY 1""",
+    "newest_versions": "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
+    "font_list": "SELECT DISTINCT l_linestatus AS font_name FROM lineitem WHERE l_linestatus IS NOT NULL",
+    "style_from_xml": f"""WITH {REFS}, p AS (SELECT id, title, CASE WHEN journal <> '' THEN 'in ' || journal WHEN reference_type = 'book' THEN 'book' ELSE 'no journal' END AS source, concat_ws(', ', nullif(year, ''), nullif(volume, '')) AS g FROM refs)
+      SELECT id, concat_ws('. ', nullif(title, ''), source, CASE WHEN g <> '' THEN '(' || g || ')' END) || '.' AS citation FROM p""",
+    "line_clusters": f"""WITH RECURSIVE {SPANS}, sizes AS (SELECT doc_id, round(font_size * 2) / 2 AS body, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, round(font_size * 2)) AS r FROM spans WHERE font_size >= 6 GROUP BY doc_id, round(font_size * 2) / 2, round(font_size * 2)),
+      ys AS (SELECT s.doc_id, page, y, greatest(coalesce(any_value(body), 10) * 0.5, 2) AS t, row_number() OVER (PARTITION BY s.doc_id, page ORDER BY y DESC) AS n FROM spans s LEFT JOIN sizes z ON s.doc_id = z.doc_id AND z.r = 1 GROUP BY s.doc_id, page, y),
+      walk(doc_id, page, y, n, anchor, line) AS (SELECT doc_id, page, y, n, y, 1::BIGINT FROM ys WHERE n = 1 UNION ALL
+        SELECT b.doc_id, b.page, b.y, b.n, CASE WHEN abs(b.y - a.anchor) > b.t THEN b.y ELSE a.anchor END, a.line + (abs(b.y - a.anchor) > b.t)::BIGINT FROM walk a JOIN ys b ON a.doc_id = b.doc_id AND a.page = b.page AND b.n = a.n + 1)
+      SELECT s.doc_id, s.page, s.span_no, w.line FROM spans s JOIN walk w ON s.doc_id = w.doc_id AND s.page = w.page AND s.y = w.y""",
+}
+#: What a type comes back as: the one format knows no patents, the other no websites, preprints and patents.
+_BACK = "CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 9 >= 7 THEN 'Journal Article' ELSE reference_type END WHEN doc_id % 9 >= 6 THEN 'Other' ELSE reference_type END"
+ORACLE["bibliography_files"] = f"WITH {REFS} SELECT id, {_BACK} AS reference_type, year, doi FROM refs"

@@ -839,3 +839,157 @@ def spans_ruled(spark, folder):
     rects = s.withColumn("lly", at).filter("lly is not null").select("page", F.col("x").alias("llx"), "lly", (F.col("x") + F.col("width")).alias("urx"), (F.col("lly") + 0.5).alias("ury"))
     widths = s.select("page", F.lit(1000.0).alias("page_width"))
     return geometry.ruled_spans(s, rects, widths).select("page", "underline", "strike")
+
+
+# Documents of many shapes ---------------------------------------------------------------------------------
+
+
+def varied_md(spark, folder) -> DataFrame:
+    """(doc_id, md): a conversation as a document whose parts take turns: a table before any heading, sections of three levels, an empty one."""
+    n = _number("turn")
+    shapes = (
+        F.concat(F.lit("intro "), n, F.lit("\n\n| a | b |\n|---|---|\n| 1 | *2* |")),
+        F.concat(F.lit("# A"), n, F.lit("\n\npara *i* **b** [l](u) ![p](f)")),
+        F.concat(F.lit("### C"), n, F.lit("\n\n- x\n- y\n\n1. z")),
+        F.concat(F.lit("## B"), n, F.lit(' & co\n\n```\ncode\n```\n\n> q $m$\n\nsee <a id="m'), n, F.lit('"></a>x[^f'), n, F.lit("]\n\n[^f"), n, F.lit("]: note "), n),
+        F.lit("#\n\nend\n\n---"),
+    )
+    part = F.element_at(F.array(*shapes), (F.col("turn") % 5 + 1).cast("int"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "\n\n")
+    return table(spark, folder, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(body.alias("md"))
+
+
+def _varied(spark, folder) -> DataFrame:
+    return events.parse_markdown(varied_md(spark, folder))
+
+
+def _placed(df: DataFrame, *columns: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")).cast("long")
+    return df.select("doc_id", place.alias("pos"), *columns)
+
+
+@query
+def varied_metrics(spark, folder):
+    return events.structure_metrics(varied_md(spark, folder))
+
+
+@query
+def varied_outline(spark, folder):
+    return _placed(events.outline(_varied(spark, folder)), "level", "label")
+
+
+@query
+def varied_contents(spark, folder):
+    return _placed(events.table_of_contents(_varied(spark, folder)), "level", "html")
+
+
+@query
+def varied_chapters(spark, folder):
+    return events.chapters(_varied(spark, folder)).select("doc_id", "chapter", "title")
+
+
+@query
+def varied_slides(spark, folder):
+    return events.slides(_varied(spark, folder)).select("doc_id", "slide", "title")
+
+
+@query
+def varied_references(spark, folder):
+    c = events.cross_references(_varied(spark, folder))
+    return c.select("doc_id", "kind", F.col("n").cast("long").alias("n"), "label")
+
+
+@query
+def footnotes_resolved(spark, folder):
+    return events.resolve_footnotes(_varied(spark, folder)).select("doc_id", "label", F.trim("text").alias("text"))
+
+
+@query
+def merge_command(spark, folder):
+    """One document with a letter for each customer."""
+    template = "# Hi {{n}} {#h}\n\n[y](#h) {{ missing }}{{n}}\n"
+    e = events.parse_markdown(spark.createDataFrame([(0, template)], "doc_id long, md string"))
+    c = table(spark, folder, "customer").select(F.col("c_custkey").alias("record_id"), F.create_map(F.lit("n"), F.col("c_name")).alias("record"))
+    attr = lambda n: F.coalesce(F.col("attrs")[n], F.lit("")).alias(n)
+    return events.merged_document(e, c).select("record_id", "seq", "kind", "text", attr("id"), attr("dest"))
+
+
+@query
+def match_positions(spark, folder):
+    rules = [("[a-z]+tion", "noun"), ("(?i)the", "article")]
+    return extras.occurrences(table(spark, folder, "documents"), rules, ("of",))
+
+
+@query
+def image_sizes(spark, folder):
+    """Headers of images, alternately of the two kinds, with the sizes of parts."""
+    width, height = (F.lpad(F.hex(c), 4, "0") for c in (F.col("p_partkey") % 5000 + 1, F.col("p_size")))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D494844520000"), width, F.lit("0000"), height, F.lit("08"))
+    jpeg = F.concat(F.lit("FFD8FFE000044A46FFFFDB0003FFFFC2000B08"), height, width, F.lit("0300"))
+    made = F.when(F.col("p_partkey") % 3 == 0, png).when(F.col("p_partkey") % 3 == 1, jpeg).otherwise(F.lit("FFD8FF"))
+    p = table(spark, folder, "part").select("p_partkey", extras.image_size(F.unhex(made)).alias("s"))
+    return p.select("p_partkey", "s.width", "s.height")
+
+
+@query
+def images_fitted(spark, folder):
+    side = lambda c: F.col(c).cast("long")
+    p = table(spark, folder, "part").select("p_partkey", T.fitted(side("p_partkey"), side("p_size"), F.lit(640), F.lit(24)).alias("s"), T.twips_to_px(side("p_partkey") * 3).alias("px"))
+    return p.select("p_partkey", "s.width", "s.height", "px")
+
+
+@query
+def points_moved(spark, folder):
+    """A turn by 90 degrees, then a scaling and a shift that depend on the row."""
+    k = F.col("p_size").cast("double")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    m = T.matrix_product(F.array(zero, one, -one, zero, zero, zero), F.array(k, zero, zero, one * 2, k, one))
+    p = table(spark, folder, "part").select("p_partkey", T.moved(m, F.col("p_partkey").cast("double"), k).alias("p"))
+    return p.select("p_partkey", "p.x", "p.y")
+
+
+@query
+def tables_sorted(spark, folder):
+    row = F.concat(F.lit("| "), _number("s_nationkey"), F.lit("."), _number("s_suppkey"), F.lit(" | "), "s_name", F.lit(" |"))
+    s = table(spark, folder, "supplier").withColumn("line", row)
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "line")), asc=False), lambda x: x["line"]), "\n")
+    md = s.groupBy("s_nationkey").agg(F.concat(F.lit("| k | name |\n|---|---|\n"), body).alias("md"))
+    return md.select("s_nationkey", extras.sorted_table(F.col("md")).alias("by_text"), extras.sorted_table(F.col("md"), numbers=True, descending=True).alias("by_number"))
+
+
+@query
+def newest_versions(spark, folder):
+    e = table(spark, folder, "events").select("event_id", "ts", "event_type")
+    return library.latest_version(e, "ts", "event_id", 50).select("event_id", "event_type")
+
+
+@query
+def font_list(spark, folder):
+    return geometry.font_names(_spans(spark, folder))
+
+
+#: A style in the exchange format of citation styles, with macros, branches and groups that may be empty.
+STYLE = """<style xmlns="http://purl.org/net/xbiblio/csl" class="in-text" version="1.0">
+<macro name="source"><choose><if variable="container-title"><text variable="container-title" prefix="in "/></if>
+<else-if type="book"><text value="book"/></else-if><else><text value="no journal"/></else></choose></macro>
+<bibliography><sort><key variable="issued" sort="descending"/><key variable="title"/></sort>
+<layout suffix="." delimiter=". "><text variable="title"/><text macro="source"/>
+<group delimiter=", " prefix="(" suffix=")"><date variable="issued"/><number variable="volume"/><text variable="genre"/></group></layout>
+</bibliography></style>"""
+
+
+@query
+def style_from_xml(spark, folder):
+    layout, macros, _ = citations.read_style(STYLE)
+    return refs(spark, folder).select("id", citations.compiled(layout, macros).alias("citation"))
+
+
+@query
+def bibliography_files(spark, folder):
+    """Half of the references as files of one format, half of the other."""
+    r = refs(spark, folder)
+    entry = F.regexp_replace(citations.bibtex(), "@(?!(?:article|book|incollection|inproceedings|phdthesis|techreport|misc)\\{)", "")
+    even = F.col("doc_id") % 2 == 0
+    files = r.select(F.concat("id", F.when(even, ".RIS").otherwise(".bib")).alias("file"), F.when(even, citations.ris()).otherwise(entry).alias("text"))
+    back = bibliography.read_bibliography(files)
+    return back.select(F.substring_index("id", ".", 1).alias("id"), "reference_type", "year", "doi")

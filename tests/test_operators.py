@@ -1,5 +1,9 @@
 """Operators on small tables."""
 
+import io
+import zipfile
+from xml.etree import ElementTree
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +212,66 @@ def test_overlaps_across_cells(spark):
     assert [r.no for r in geometry.overlap_join(a, b, ["page"]).select("b.no").collect()] == [1]
 
 
+def test_overlaps_of_all_sizes(spark):
+    import random
+
+    random.seed(2)
+    nan = float("nan")
+
+    def boxes(n):
+        out = [(1, n, 0.0, nan, 9.0, 9.0), (1, n + 1, None, 0.0, 9.0, 9.0), (1, n + 2, -float("inf"), 0.0, 9.0, 9.0)]
+        for k in range(n):
+            x, y, side = random.uniform(-3000, 3000), random.uniform(-3000, 3000), 10 ** random.uniform(0, 6.5)
+            out.append((k % 2, k, x, y, x + side, y + side * random.random()))
+        return out
+
+    schema = "page int, no int, llx double, lly double, urx double, ury double"
+    left, right = boxes(80), boxes(90)
+    got = geometry.overlap_join(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["page"]).select("a.no", F.col("b.no").alias("other")).collect()
+    want = [(a[1], b[1]) for a in left[3:] for b in right[3:] if a[0] == b[0] and a[2] < b[4] and a[4] > b[2] and a[3] < b[5] and a[5] > b[3]]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 100
+
+
+def test_lines_of_a_long_page(spark):
+    import random
+
+    random.seed(3)
+    ys = [random.choice((None, *(random.randrange(4000) / 10 for _ in range(20)))) for _ in range(3000)]
+    rows = [(1, 0, k, "w", y, y, 5.0, 10.0, "f", False) for k, y in enumerate(ys)]
+    spans = spark.createDataFrame(rows, "doc_id int, page int, span_no int, text string, x double, y double, width double, font_size double, font_name string, bold boolean")
+    want, line, anchor = {None: 0}, 0, None
+    for y in sorted({y for y in ys if y is not None}, reverse=True):
+        if anchor is None or abs(y - anchor) > 5:
+            line, anchor = line + 1, y
+        want[y] = line
+    assert all(r.line == want[r.y] for r in geometry.cluster_lines(spans).collect())
+
+
+def test_merged_document_needs_records(spark):
+    e = events.parse_markdown(md(spark, "# Hi {{n}}"))
+    none = spark.createDataFrame([], "record_id int, record map<string,string>")
+    with pytest.raises(ValueError, match="no records"):
+        events.merged_document(e, none)
+
+
+def test_style_file(spark):
+    from docloom.operators import citations
+    from docloom.plans.queries import STYLE
+
+    layout, macros, keys = citations.read_style(STYLE)
+    assert layout["suffix"] == "." and list(macros) == ["source"] and keys == [("year", True), ("title", False)]
+    with pytest.raises(ValueError, match="without a citation"):
+        citations.read_style(STYLE, "citation")
+
+
+def test_unknown_ending(spark):
+    from docloom.sources.bibliography import read_bibliography
+
+    files = spark.createDataFrame([("a.txt", "x")], "file string, text string")
+    with pytest.raises(Exception, match="no reader for a.txt"):
+        read_bibliography(files).collect()
+
+
 def test_cycles_and_ranks(spark):
     edges = spark.createDataFrame([("g", "A", "B", 1), ("g", "B", "C", 2), ("g", "C", "A", 3)], "graph_id string, src string, dst string, ord long")
     got = graph.remove_cycles(edges)
@@ -289,6 +353,10 @@ def test_packed_formats_come_back(spark):
     assert "# T & U" in back["odt"] and "*i*" in back["odt"] and "| a | b |" in back["odt"]
     assert back["epub"].count("---") >= 1 and "**b**" in back["epub"]
     assert back["pptx"].count("---") == 1 and "# Next" in back["pptx"]
+    with zipfile.ZipFile(io.BytesIO(bytes(packed.FORMATS["pptx"](e).first().content))) as z:
+        parts = {n: ElementTree.fromstring(z.read(n)) for n in z.namelist()}
+    assert [x.get("Target") for x in parts["ppt/_rels/presentation.xml.rels"]] == ["slides/slide00001.xml", "slides/slide00002.xml"]
+    assert {"[Content_Types].xml", "_rels/.rels", "ppt/presentation.xml"} <= set(parts)
 
 
 def test_extras(spark):
