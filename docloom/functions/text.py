@@ -216,19 +216,24 @@ def bound(value: Column, of) -> Column:
     return F.transform(F.array(value), of)[0]
 
 
-def syllables(word: Column) -> Column:
-    """Groups of one or two vowels, after a silent ending; words of up to three letters have one."""
-    low = F.lower(word)
-    stem = F.regexp_replace(F.regexp_replace(low, "(?:[^laeiouy]es|ed|[^laeiouy]e)$", ""), "^y", "")
-    return F.when(F.length(low) <= 3, F.lit(1)).otherwise(F.greatest(F.size(F.regexp_extract_all(stem, F.lit("([aeiouy]{1,2})"), F.lit(1))), F.lit(1)))
+def syllables(found: Column) -> Column:
+    """Syllables of a list of words: groups of one or two vowels, without a silent ending; a word has one at least.
+
+    Words of up to three letters have one. The longer ones are looked at together, with blanks between, so a text takes
+    a few passes whatever the number of its words: each word counts one, and a word with vowels its further groups.
+    """
+    joined = F.lower(F.array_join(F.filter(found, lambda x: F.length(x) > 3), " "))
+    stems = F.regexp_replace(F.regexp_replace(joined, "(?:[^laeiouy ]es|ed|[^laeiouy ]e)(?= |$)", ""), "(?<![^ ])y", "")
+    count = lambda text, pattern: F.size(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))
+    return F.size(found) + bound(stems, lambda s: count(s, "[aeiouy]{1,2}") - count(s, "[aeiouy][^ ]*"))
 
 
 def readability(c: Column | str) -> Column:
     """(n_words, n_sentences, n_syllables, ease, grade); the scores are not below 0, nor rounded."""
     c = _col(c)
-    found = F.size(F.filter(F.split(c, "[.!?]+", -1), lambda s: F.trim(F.regexp_replace(s, r"(?U)\s+", " ")) != ""))
-    n_syllables = lambda w: F.aggregate(w, F.lit(0), lambda total, x: total + syllables(x))
-    counted = bound(readability_words(c), lambda w: F.struct(F.size(w).alias("words"), found.alias("found"), n_syllables(w).alias("syllables")))
+    # A sentence is a run without marks of its end; one of blanks alone does not count.
+    found = F.size(F.regexp_extract_all(c, F.lit(r"(?U)([^.!?\s][^.!?]*)"), F.lit(1)))
+    counted = bound(readability_words(c), lambda w: F.struct(F.size(w).alias("words"), found.alias("found"), syllables(w).alias("syllables")))
 
     def scored(n: Column) -> Column:
         n_words, n_syllables = n["words"], n["syllables"]
