@@ -144,7 +144,13 @@ def _hashed(polytopes: int, tables: int):
                 at = [i for i, v in enumerate(scale) if len(v) == dim]
                 raw = [scale[i].tobytes() for i in at]
                 codes = bucket_codes(_unit(raw), polytopes, tables)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), batch.column(1).take(pa.array(at)), pa.array(raw, pa.binary()), pa.array(codes.reshape(len(at), -1).tolist(), pa.list_(pa.int64())), pa.array([dim] * len(at), pa.int32())], ["c", "size", "vector", "codes", "dim"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([ids[i] for i in at], pa.int64()), batch.column(1).take(pa.array(at)), pa.array(raw, pa.binary()),
+                        pa.array(codes.reshape(len(at), -1).tolist(), pa.list_(pa.int64())), pa.array([dim] * len(at), pa.int32())
+                    ],
+                    ["c", "size", "vector", "codes", "dim"]
+                )
 
     return of
 
@@ -243,15 +249,22 @@ def _compared(threshold: float):
     return of
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(
+    vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
+) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors``."""
     spark = vectors.sparkSession
     v = F.col("v")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(
+        F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"),
+        F.col(vector_col).cast("array<double>").alias("v")
+    )
     usable = F.coalesce(F.col("label").isNotNull() & v.isNotNull() & ~bad, F.lit(False))
     rows = rows.withColumns({"h1": F.when(usable, F.xxhash64("label", "v")), "h2": F.when(usable, F.xxhash64(F.lit("vector"), "label", "v"))})
-    classes = rows.filter("h1 is not null").groupBy("h1", "h2", "label").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("size"), F.any_value("v").alias("v"))
+    classes = rows.filter("h1 is not null").groupBy("h1", "h2", "label").agg(
+        F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("size"), F.any_value("v").alias("v")
+    )
     classes = storage.materialise(classes.withColumn("c", F.monotonically_increasing_id()), "vector-classes")
 
     widest = classes.agg(F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n")).first()
@@ -269,7 +282,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     places = places.withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     # Each block meets itself and every other one.
     places = places.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    places = places.select("c", *bucket, F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"), (F.col("block") > F.col("with")).cast("int").alias("side"))
+    places = places.select(
+        "c", *bucket, F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"),
+        (F.col("block") > F.col("with")).cast("int").alias("side")
+    )
     pair = [*bucket, "left", "right"]
     meeting = places.join(hashed.drop("dim"), "c").select(*pair, "c", "size", "side", "vector", "codes")
     meeting = meeting.repartition(*pair).sortWithinPartitions(*pair)
@@ -277,9 +293,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     of = components(found.select(F.col("c").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "c")
-    told = classes.select("c", "h1", "h2", "first_id", "size").join(links, "c", "left").join(of, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    told = classes.select("c", "h1", "h2", "first_id", "size").join(links, "c", "left").join(of, "c", "left").withColumn(
+        "component", F.coalesce("component", "c")
+    )
     smallest = told.groupBy("component").agg(F.min("first_id").alias("component_id"))
     told = told.join(smallest, "component").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
     out = rows.select("vec_id", "h1", "h2").join(told, ["h1", "h2"], "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("h1").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = out.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("h1").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")
+    )
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -81,14 +81,22 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         both = both.unionByName(ghosts.withColumns({"range": for_key[F.col("key")], "ghost": F.lit(True)}))
     both = both.repartition(n, "range")
     in_range = Window.partitionBy("range").orderBy("ghost", F.col("key").desc(), F.xxhash64("text"))
-    return both.select("range", F.row_number().over(in_range).alias("place"), "ghost", F.nullif("key", F.lit(_NONE)).alias("doc_id"), "text", F.lead("text").over(in_range).alias("following"))
+    return both.select(
+        "range", F.row_number().over(in_range).alias("place"), "ghost", F.nullif("key", F.lit(_NONE)).alias("doc_id"), "text",
+        F.lead("text").over(in_range).alias("following")
+    )
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row."""
     rows = with_next(docs, id_col, text_col).withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
-    rows = rows.withColumns({"stem": F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), "head": F.substring(F.coalesce("following", F.lit("")), F.lit(1), cut)})
+    rows = rows.withColumns(
+        {
+            "stem": F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut),
+            "head": F.substring(F.coalesce("following", F.lit("")), F.lit(1), cut)
+        }
+    )
     # The words before the last blank of the stem are in both texts; from there on they differ.
     plain = lambda c: F.replace(c, F.lit("\n"), F.lit(" "))
     edge = F.length("stem") - F.length(F.substring_index(plain(F.col("stem")), " ", -1))
@@ -115,4 +123,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id"
     likeness = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.lit(float(samples))
     following = F.lead("own").over(Window.partitionBy("range").orderBy("place"))
     out = all_of_it.withColumn("following", following).filter("not ghost")
-    return out.select("doc_id", "n_chars", "edited_sha256", F.concat_ws("", "own").alias("fingerprint"), F.concat_ws("", "edited").alias("edited_fingerprint"), likeness("own", "edited").alias("near_edited"), likeness("own", "following").alias("near_next"))
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", F.concat_ws("", "own").alias("fingerprint"),
+        F.concat_ws("", "edited").alias("edited_fingerprint"), likeness("own", "edited").alias("near_edited"),
+        likeness("own", "following").alias("near_next")
+    )

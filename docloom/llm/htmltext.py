@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from docloom.html.tree import BLOCKS, HEADINGS, Node, parse
 
 #: Elements that a browser does not show.
-INVISIBLE = frozenset("area audio base canvas col colgroup datalist embed head iframe link meta noembed noframes object param script source style template title track video".split())
+INVISIBLE = frozenset(
+    "area audio base canvas col colgroup datalist embed head iframe link meta noembed noframes object param script source style template title track video".split()
+)
 #: Set off by an empty line; other blocks only start a line.
 SPACED = HEADINGS | frozenset("blockquote dl figure ol p pre table ul".split())
 _LINES = BLOCKS | frozenset("body caption dd dt html legend li optgroup option tbody tfoot thead tr".split())

@@ -180,8 +180,13 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(lang, h, x.astype(np.float16).tobytes()) for lang, h, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if (x := features(text)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["lang", "h", "x"])
+            rows = [
+                (lang, h, x.astype(np.float16).tobytes()) for lang, h,
+                text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if (x := features(text)) is not None
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["lang", "h", "x"]
+            )
 
     rows = training_rows(docs, per_language, id_col, text_col, lang_col).mapInArrow(vectors, "lang string, h long, x binary")
     # Only repeated ids make more rows than that.
@@ -207,4 +212,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         found = [r for at in range(0, len(texts), BATCH) for r in model.predict(texts[at : at + BATCH].tolist())]
         return pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    return docs.withColumn("__p", of(F.col(text_col).cast("string"))).withColumns({"lang_pred": F.col("__p.lang_pred"), "score": F.col("__p.score")}).drop("__p")
+    return docs.withColumn("__p", of(F.col(text_col).cast("string"))).withColumns(
+        {"lang_pred": F.col("__p.lang_pred"), "score": F.col("__p.score")}
+    ).drop("__p")

@@ -97,7 +97,10 @@ def merge(runs: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, runs).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"))
 
 
-def clean_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean_lines(
+    docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int | None = None, id_col: str = "doc_id",
+    text_col: str = "text"
+) -> DataFrame:
     """All columns of ``docs``, with the kept text in ``text_col``, and ``n_lines`` and ``n_dropped``.
 
     Columns of ``docs`` with these two names are replaced. ``batches`` follows the number of documents where

@@ -88,7 +88,9 @@ def _values(batches):
         m = np.array([len(s) for s in sketches], dtype=np.int32)
         c = np.repeat(batch.column(0).to_numpy(), m)
         value = np.concatenate(sketches) if sketches else np.empty(0, dtype="<u8")
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(value.view("<i8"), pa.int64()), pa.array(np.repeat(m, m), pa.int32())], ["c", "value", "m"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64()), pa.array(value.view("<i8"), pa.int64()), pa.array(np.repeat(m, m), pa.int32())], ["c", "value", "m"]
+        )
 
 
 def _least_estimate(k: np.ndarray, union: np.ndarray) -> np.ndarray:
@@ -344,20 +346,31 @@ def _completing(lists: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
     """Rows of ``_TOLD`` from all lists that hold different components."""
     members = lists.join(labels.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     held = members.groupBy("value", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
-    mixed = held.groupBy("value").agg(F.count(F.lit(1)).alias("components"), F.sum("m").alias("m"), F.sum("total").alias("total"), F.max_by("component", F.struct("m", "component")).alias("main"))
+    mixed = held.groupBy("value").agg(
+        F.count(F.lit(1)).alias("components"), F.sum("m").alias("m"), F.sum("total").alias("total"),
+        F.max_by("component", F.struct("m", "component")).alias("main")
+    )
     mixed = mixed.filter("components > 1").select("value", "main", (_blocks() > 1).alias("large"))
     members = members.join(mixed, "value")
     entries = members.groupBy("c").agg(F.collect_list("value").alias("entries"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR))).cast("int")
-    members = members.withColumns({"band": F.when(F.col("large"), band).otherwise(0), "main": (F.col("large") & (F.col("component") == F.col("main"))).cast("int")})
+    members = members.withColumns(
+        {"band": F.when(F.col("large"), band).otherwise(0), "main": (F.col("large") & (F.col("component") == F.col("main"))).cast("int")}
+    )
     kind = ["value", "band", "main"]
     crowd = members.groupBy(*kind).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).withColumn("blocks", _blocks())
     own = members.join(crowd.select(*kind, "blocks"), kind).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")))
-    other = crowd.select("value", F.col("band").alias("band2"), F.col("main").alias("main2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    other = crowd.select(
+        "value", F.col("band").alias("band2"), F.col("main").alias("main2"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
+    )
     met = own.join(other, "value").filter((F.abs(F.col("band") - F.col("band2")) <= 1) & (F.col("main") + F.col("main2") < 2))
     number = lambda band, main, block: (F.col(band).cast("long") * 2 + F.col(main)) * F.lit(1 << 32) + F.col(block)
     met = met.withColumns({"x": number("band", "main", "own"), "y": number("band2", "main2", "with")})
-    met = met.select("value", F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"), (F.col("x") > F.col("y")).cast("int").alias("side"), "c", "n", "component")
+    met = met.select(
+        "value", F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"), (F.col("x") > F.col("y")).cast("int").alias("side"),
+        "c", "n", "component"
+    )
     # A block pair is worth a task's time only with different components, on both sides.
     busy = met.groupBy(*_PAIR).agg(F.min("side").alias("lo"), F.max("side").alias("hi"), F.min("component").alias("least"), F.max("component").alias("most"))
     busy = busy.filter("least <> most and (left = right or lo <> hi)").select(*_PAIR)
@@ -378,7 +391,10 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sketched = rows.mapInArrow(_sketched, "doc_id long, text_hash long, k1 long, k2 long, n long, sketch binary")
     sketched = storage.materialise(sketched, "near-sketches")
-    classes = sketched.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    classes = sketched.groupBy("k1", "k2").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("one"), F.min("doc_id").alias("first_id"), F.max("n").alias("n"),
+        F.any_value("sketch").alias("sketch")
+    )
     classes = storage.materialise(classes.withColumn("c", F.monotonically_increasing_id()), "near-classes")
 
     values = storage.materialise(classes.filter("n > 0").select("c", "sketch").mapInArrow(_values, "c long, value long, m int"), "near-values")
@@ -408,4 +424,7 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told = told.join(smallest, "component").select("k1", "k2", "component_id")
     out = sketched.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles")).join(told, ["k1", "k2"])
     out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    return out.select(
+        "doc_id", "n_shingles", "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")
+    )

@@ -52,7 +52,10 @@ def share_out(lengths: list[int], size: int = SEQUENCE) -> list[list[tuple[int,
     return sequences
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep: int = tokens.KEEP) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
+    keep: int = tokens.KEEP
+) -> DataFrame:
     """One row per piece, see ``PIECES``; ``start`` counts the document's ids before the piece.
 
     ``keep`` bounds the words that a Python worker remembers.

@@ -51,7 +51,10 @@ class Pieces:
         # A BPE model's scores are the pieces' ranks; a unigram model's are logarithms of probabilities.
         scores = [self.score[i] for i in self.id.values() if len(self.text[i]) > 1]
         self.is_bpe = bool(scores) and all(s == int(s) and s <= 0 for s in scores)
-        self.raw = [bytes([self.of_byte[i]]) if i in self.of_byte else " ⁇ ".encode() if i == self.unknown else b"" if i in self.special else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
+        self.raw = [
+            bytes([self.of_byte[i]]) if i in self.of_byte else " ⁇ ".encode() if i == self.unknown else b"" if i in self.special else t.replace(MARK, " ").encode() for i,
+            t in enumerate(self.text)
+        ]
         self.worst = min(self.score) - 10
         self.dummy_blank = model.encode("a", out_type=str)[0].startswith(MARK)
         long = [t for t in self.id if len(t) > 1]

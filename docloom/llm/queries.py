@@ -82,4 +82,9 @@ def op10_token_files(spark, folder):
     return read_digests(spark, write_token_files(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), end_id=2))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_html_text, op3_embedding_near_dedup, op4_fingerprints, op5_minhash_near_dedup, op6_line_dedup, op7_sharding, op8_packing, op9_language_id, op10_token_files)}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_sentencepiece, op2_html_text, op3_embedding_near_dedup, op4_fingerprints, op5_minhash_near_dedup, op6_line_dedup, op7_sharding,
+        op8_packing, op9_language_id, op10_token_files
+    )
+}

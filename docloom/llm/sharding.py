@@ -70,11 +70,16 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
         offers = F.explode(F.array(*(F.struct(F.lit(k).alias("wish"), F.lit(x).alias("room")) for k, x in enumerate(room) if x)))
         offered = moving.select(*groups).distinct().select(*groups, offers.alias("o")).select(*groups, "o.*")
         known = held.withColumnRenamed("shard", "wish")
-        best = offered.join(known, [*groups, "wish"], "left").groupBy(*groups).agg(F.max(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "room", "wish")).alias("b")).select(*groups, F.col("b.wish").alias("wish"))
+        best = offered.join(known, [*groups, "wish"], "left").groupBy(*groups).agg(
+            F.max(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "room", "wish")).alias("b")
+        ).select(*groups, F.col("b.wish").alias("wish"))
         asked = moving.join(best, groups)
         turned = numbered(asked, ["wish"], F.struct(*groups, "row"), "turn", _whole_groups("members"))
         granted = F.col("turn") < F.element_at(free, F.col("wish") + 1)
-        turned = storage.materialise(turned.withColumn("granted", granted).withColumn("shard", F.when(granted, F.col("wish")).otherwise(F.col("shard"))), "shard-round")
+        turned = storage.materialise(
+            turned.withColumn("granted", granted).withColumn("shard", F.when(granted, F.col("wish")).otherwise(F.col("shard"))),
+            "shard-round"
+        )
         settled.append(turned.filter("granted").select("row", "shard", "members"))
         moving = turned.filter("not granted").select("row", *groups, "shard", "members")
         for r in settled[-1].groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect():
@@ -108,7 +113,10 @@ def _filled(now: DataFrame, n: int, shards: int, alone: dict[int, int]) -> DataF
         choice = F.when(choice.isNotNull(), choice).when(F.col("turn") < free, F.lit(k)).cast("int") if k else F.when(F.col("turn") < free, F.lit(k)).cast("int")
     leaves = leaves.withColumn("shard", choice).drop("beyond", "turn", "alone", "members")
     placed = numbered(stays.unionByName(leaves), ["shard"], F.struct("row"), "slot")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
+        F.lit(None).cast("int").alias("grown_shard")
+    )
 
 
 def cut_links(shards: DataFrame, groups: str) -> DataFrame:

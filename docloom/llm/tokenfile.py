@@ -46,7 +46,13 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2, id
                 rows = batch.slice(at, 512)
                 ids = [x + end for x in encode(rows.column(1).to_pylist())]
                 n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()), rows.column(0), pa.array(ids, pa.binary())], ["part", "place", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([part] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()), rows.column(0),
+                        pa.array(ids, pa.binary())
+                    ],
+                    ["part", "place", "doc_id", "ids"]
+                )
                 place += n
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -170,12 +176,18 @@ class _Run:
         self._flush(True)
         footer = io.BytesIO()
         valid = np.array([x is not None for x in self.doc_ids], dtype=bool)
-        np.savez_compressed(footer, lengths=self.code.lengths, doc_ids=np.array([x or 0 for x in self.doc_ids], dtype=np.int64), valid=valid, sizes=np.array(self.sizes, dtype=np.int64), blocks=np.array(self.blocks, dtype=np.int64).reshape(-1, 3))
+        np.savez_compressed(
+            footer, lengths=self.code.lengths, doc_ids=np.array([x or 0 for x in self.doc_ids], dtype=np.int64), valid=valid,
+            sizes=np.array(self.sizes, dtype=np.int64), blocks=np.array(self.blocks, dtype=np.int64).reshape(-1, 3)
+        )
         self.out.write(footer.getvalue() + len(footer.getvalue()).to_bytes(8, "little") + MAGIC)
         self.out.close()
         self.files.move(self.own, self.name)
         n = sum(self.sizes)
-        return pa.RecordBatch.from_pylist([{"part": self.part, "place": self.place, "path": self.path, "n_docs": len(self.sizes), "n_ids": n}], pa.schema([("part", pa.int32()), ("place", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        return pa.RecordBatch.from_pylist(
+            [{"part": self.part, "place": self.place, "path": self.path, "n_docs": len(self.sizes), "n_ids": n}],
+            pa.schema([("part", pa.int32()), ("place", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+        )
 
 
 def read_file(path: str):

@@ -12,7 +12,15 @@ import os
 import re
 
 #: White space (or what some library takes for it) besides the plain blank and newline.
-_ODD_SPACE = frozenset(map(chr, [*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
+_ODD_SPACE = frozenset(
+    map(
+        chr,
+        [
+            *range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F,
+            0x205F, 0x2060, 0x3000, 0xFEFF
+        ]
+    )
+)
 #: Here lower() works letter by letter and nothing is composed or decomposed.
 _LAST_LATIN = "ɏ"
 _TWO_MARKS = re.compile(r"(?:[^\w\s]|_)(?:[^\w\s]|_)")

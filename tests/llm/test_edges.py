@@ -12,7 +12,11 @@ from docloom.llm.queries import vocabulary
 LONG = "lorem ipsum dolor sit amet " * 8000
 TEXTS = [None, "", " ", "\n\n", "a", "a b c d e f", "a b c d e f", LONG, LONG, "x" * 50_000, "1 2 3 !!", "é 日本 🙂 ☃", "A\tb\r\nC\x0bd"]
 #: Names that the operators use inside.
-CLASH = ["c", "n", "k", "h1", "h2", "key", "range", "place", "ghost", "row", "shard", "slot", "size", "turn", "value", "band", "component", "text_hash", "sketch", "ids", "part", "lang_pred", "score", "n_lines", "n_dropped", "doc", "v", "g1", "__p", "__kept_", "ta", "seq", "held_out", "id"]
+CLASH = [
+    "c", "n", "k", "h1", "h2", "key", "range", "place", "ghost", "row", "shard", "slot", "size", "turn", "value", "band", "component",
+    "text_hash", "sketch", "ids", "part", "lang_pred", "score", "n_lines", "n_dropped", "doc", "v", "g1", "__p", "__kept_", "ta", "seq",
+    "held_out", "id"
+]
 
 
 def nasty(spark, texts=TEXTS):
@@ -113,7 +117,11 @@ def test_an_empty_table_has_an_empty_result(spark, name):
 
 def test_null_and_empty_texts(spark):
     docs = nasty(spark)
-    assert [r.ids for r in __import__("docloom.llm.pieces", fromlist=["encode"]).encode(docs, vocabulary("piece_bpe_32k.model")).filter("doc_id < 2").collect()] == [[], []]
+    assert [
+        r.ids for r in __import__(
+            "docloom.llm.pieces", fromlist=["encode"]
+        ).encode(docs, vocabulary("piece_bpe_32k.model")).filter("doc_id < 2").collect()
+    ] == [[], []]
     four = {r.doc_id: r for r in op4(docs).collect()}
     assert four[0].fingerprint == four[1].fingerprint
     assert four[7].fingerprint == four[8].fingerprint and four[7].n_chars == len(LONG)
@@ -176,7 +184,11 @@ def test_vectors_that_link_with_nothing(spark):
     from docloom.llm.embeddings import near_vectors
 
     one, near = [1.0, 0.0, 0.0], [1.0, 0.01, 0.0]
-    rows = [(0, one, 1), (1, one, 1), (2, near, 1), (3, one, 2), (4, one, None), (5, None, 1), (6, [0.0, 0.0, 0.0], 1), (7, [float("nan"), 1.0, 0.0], 1), (8, [None, 1.0, 0.0], 1), (9, [float("inf"), 0.0, 0.0], 1), (10, [], 1), (11, [1.0, 0.0], 1), (12, [-1.0, 0.0, 0.0], 1), (None, [0.0, 1.0, 0.0], 1), (14, [1e300, 0.0, 0.0], 1)]
+    rows = [
+        (0, one, 1), (1, one, 1), (2, near, 1), (3, one, 2), (4, one, None), (5, None, 1), (6, [0.0, 0.0, 0.0], 1),
+        (7, [float("nan"), 1.0, 0.0], 1), (8, [None, 1.0, 0.0], 1), (9, [float("inf"), 0.0, 0.0], 1), (10, [], 1), (11, [1.0, 0.0], 1),
+        (12, [-1.0, 0.0, 0.0], 1), (None, [0.0, 1.0, 0.0], 1), (14, [1e300, 0.0, 0.0], 1)
+    ]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").select("*", *(F.lit(3).alias(c) for c in CLASH))
     found = {r.vec_id: r for r in near_vectors(frame).collect()}
     assert len(found) == len(rows)
@@ -216,7 +228,12 @@ def test_parts_of_a_block_pair_add_up(monkeypatch):
     near = unit @ unit.T >= 0.98
     for key in ((1, 32, 0, int(codes[0, 0, 0]), 0, 0), (1, 32, 1, int(codes[0, 1, 0]), 0, 1)):
         side = (np.arange(100) % 2) * (key[4] != key[5])
-        rows = [(c[a : a + 30], np.full(len(c[a : a + 30]), 2), side[a : a + 30], [v.astype("<f8").tobytes() for v in x[a : a + 30]], codes[a : a + 30].reshape(len(c[a : a + 30]), -1)) for a in range(0, 100, 30)]
+        rows = [
+            (
+                c[a : a + 30], np.full(len(c[a : a + 30]), 2), side[a : a + 30], [v.astype("<f8").tobytes() for v in x[a : a + 30]],
+                codes[a : a + 30].reshape(len(c[a : a + 30]), -1)
+            ) for a in range(0, 100, 30)
+        ]
         found = []
         for part in (7, 512):
             monkeypatch.setattr(embeddings, "PART", part)

@@ -369,7 +369,10 @@ def test_word_encoder_equals_the_library(name):
     from docloom.llm.tokens import WordEncoder
 
     encoder = WordEncoder(vocabulary(name))
-    texts = ["", " ", "a  b", "a b ", "\nx", " x", "x\ty", "It's a cát 12 <|endoftext|> b", "a\n b", "\x01 a", "a \x01b", "É I'm A1b2_c ...,! x", "a.\nb, c.", "ends.\n", "日本 語", "a b", "İstanbul Straße", "x" * 500, "one, two. three,, four.", "a\r\nb"]
+    texts = [
+        "", " ", "a  b", "a b ", "\nx", " x", "x\ty", "It's a cát 12 <|endoftext|> b", "a\n b", "\x01 a", "a \x01b", "É I'm A1b2_c ...,! x",
+        "a.\nb, c.", "ends.\n", "日本 語", "a b", "İstanbul Straße", "x" * 500, "one, two. three,, four.", "a\r\nb"
+    ]
     for text, ids in zip(texts * 2, encoder.encode(texts * 2), strict=True):
         assert np.frombuffer(ids, dtype="<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
 
@@ -466,7 +469,10 @@ def test_op9_sample_is_the_smallest_hashes_of_each_language(spark):
     from docloom.llm.langid import held_out, sample, training_rows
 
     # Laid out by language; ids of "it" are all the same but for a few.
-    docs = spark.range(0, 9000, 1, 6).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") < 3000, "de").when(F.col("id") < 6000, "en").otherwise("it").alias("lang"))
+    docs = spark.range(0, 9000, 1, 6).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"),
+        F.when(F.col("id") < 3000, "de").when(F.col("id") < 6000, "en").otherwise("it").alias("lang")
+    )
     docs = docs.withColumn("doc_id", F.when(F.col("doc_id") >= 6050, 6001).otherwise(F.col("doc_id")))
     hashes = defaultdict(list)
     for r in docs.filter(~held_out(F.col("doc_id"))).select("lang", F.xxhash64(F.lit("langid"), "doc_id").alias("h")).collect():
@@ -484,7 +490,10 @@ def test_op9_sample_is_the_smallest_hashes_of_each_language(spark):
 def test_op2_keeps_its_rules_at_any_depth(opening):
     from docloom.llm.htmltext import visible_text
 
-    below = "a<script>x()</script><style>b {}</style><b hidden>c</b><i style='display:none'>d</i> e<br>f<div>g</div><ul><li>h<li>i</ul><table><tr><td>jj<td>k<tr><td>l<td>m</table><pre>n  o\n p</pre>"
+    below = (
+        "a<script>x()</script><style>b {}</style><b hidden>c</b><i style='display:none'>d</i> "
+        "e<br>f<div>g</div><ul><li>h<li>i</ul><table><tr><td>jj<td>k<tr><td>l<td>m</table><pre>n  o\n p</pre>"
+    )
     assert visible_text(opening + below) == "a e\nf\ng\n\n- h\n- i\n\njj  k\nl   m\n\nn  o\n p"
 
 
@@ -537,7 +546,9 @@ def test_op8_cuts_only_what_no_sequence_holds():
 def test_op10_reads_one_file_a_task(spark):
     from docloom.llm.tokenfile import read_digests, write_token_files
 
-    docs = spark.range(0, 3000, 1, 7).select((F.col("id") * 3 % 1000 - 500).alias("doc_id"), F.repeat(F.concat(F.lit(" w"), F.col("id").cast("string")), 40).alias("text"))
+    docs = spark.range(0, 3000, 1, 7).select(
+        (F.col("id") * 3 % 1000 - 500).alias("doc_id"), F.repeat(F.concat(F.lit(" w"), F.col("id").cast("string")), 40).alias("text")
+    )
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     files = write_token_files(docs, vocabulary("word_bpe_49k.json"), end_id=2)
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
@@ -576,7 +587,10 @@ def test_op9_family_first_then_pairs():
 
     x = features("some text")
     toward = lambda sign: np.append(sign * x, 0).astype(np.float32)
-    model = Model({"germanic": ["de", "en", "nl"], "romance": ["fr"]}, {"germanic": toward(1), "romance": toward(-1)}, {("de", "en"): toward(-1), ("de", "nl"): toward(1), ("en", "nl"): toward(1)})
+    model = Model(
+        {"germanic": ["de", "en", "nl"], "romance": ["fr"]}, {"germanic": toward(1), "romance": toward(-1)},
+        {("de", "en"): toward(-1), ("de", "nl"): toward(1), ("en", "nl"): toward(1)}
+    )
     (lang, score), none, again = model.predict(["some text", "12 ½ Ⅷ ②", "some text"])
     sure = 1 / (1 + np.exp(-4))
     assert lang == "en" and score == pytest.approx(sure * sure, abs=1e-6) and none == ("und", 0.0) and again == (lang, score)
@@ -625,8 +639,20 @@ def test_op9_numbers_are_no_letters(spark):
         ("<table><tr style='visibility:collapse'><td>no<tr><td>yes</table>", "yes"),
         ("<details>no<summary>more</summary><p>no</details><details open><summary>s</summary>t</details>", "more\ns\nt"),
         ("<p hidden style='display:block'>yes<p hidden>no", "yes"),
-        ("<style>.x, p.y#z {color: red; display:none} #v {visibility:hidden}</style><p class='a x'>no<p class=y>yes<p class=y id=z>no</p><i id=v>no<b style='visibility:visible'>!</b></i>", "yes\n\n!"),
-        ("<style>.x {display:none} b.x {display:inline} @media print {p {display:none}} /* i {display:none} */ u>i {display:none}</style><i class=x>no</i><b class=x>yes</b><p><u><i>p</i></u>", "yes\n\np"),
+        (
+            (
+                "<style>.x, p.y#z {color: red; display:none} #v {visibility:hidden}</style><p class='a x'>no<p class=y>yes<p class=y "
+                "id=z>no</p><i id=v>no<b style='visibility:visible'>!</b></i>"
+            ),
+            "yes\n\n!"
+        ),
+        (
+            (
+                "<style>.x {display:none} b.x {display:inline} @media print {p {display:none}} /* i {display:none} */ u>i "
+                "{display:none}</style><i class=x>no</i><b class=x>yes</b><p><u><i>p</i></u>"
+            ),
+            "yes\n\np"
+        ),
         ("<style>p {display:none} p {display:block} .k {display:none}</style><p>a<p class=k style='display:block'>b<p class=k>c", "a\n\nb"),
         ("<style>@import 'x'; .n {display:none} } .m {display:none} .o {display:none</style><p class=n>a<p class=m>b<p class=o>c", "c"),
         ("<noscript>shown</noscript>", "shown"),
@@ -651,7 +677,11 @@ def test_op2_takes_large_and_malformed_pages():
     visible_text("<table>" * 600 + "deep")
     assert time.process_time() - began < 20
     random.seed(3)
-    parts = ["<table>", "</table>", "<tr>", "<td rowspan=2>", "<td colspan=3>", "</td>", "<ol start=3>", "<li value=x>", "</ol>", "<p>", "<b hidden>", "</b>", "<div style='visibility:hidden'>", "</div>", "<pre>", "</pre>", "a", " b\n", "&lt;", "<", ">", "<details>", "<style>.a{", "}</style>", "<br>", "<!--", "-->", "<script>", "</script>", "'", '"']
+    parts = [
+        "<table>", "</table>", "<tr>", "<td rowspan=2>", "<td colspan=3>", "</td>", "<ol start=3>", "<li value=x>", "</ol>", "<p>",
+        "<b hidden>", "</b>", "<div style='visibility:hidden'>", "</div>", "<pre>", "</pre>", "a", " b\n", "&lt;", "<", ">", "<details>",
+        "<style>.a{", "}</style>", "<br>", "<!--", "-->", "<script>", "</script>", "'", '"'
+    ]
     for _ in range(1500):
         visible_text("".join(random.choice(parts) for _ in range(random.randint(1, 40))))
 
@@ -668,7 +698,16 @@ def test_op2_places_cells_like_a_grid():
         rows, group = [], 0
         for _ in range(random.randint(1, 8)):
             group += random.random() < 0.2
-            rows.append((group, [(Node("td", {"rowspan": str(random.choice([1, 1, 2, 3, 0])), "colspan": str(random.choice([1, 1, 2, 3]))}), True) for _ in range(random.randint(0, 4))]))
+            rows.append(
+                (
+                    group,
+                    [
+                        (
+                            Node("td", {"rowspan": str(random.choice([1, 1, 2, 3, 0])), "colspan": str(random.choice([1, 1, 2, 3]))}), True
+                        ) for _ in range(random.randint(0, 4))
+                    ]
+                )
+            )
         taken, want = set(), []
         for at, (own, cells) in enumerate(rows):
             column, places = 0, []
