@@ -69,7 +69,10 @@ def xml_escape(c: Column | str) -> Column:
 
 
 #: What LaTeX needs in place of its own characters.
-LATEX = {"&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", "\\": r"\textbackslash{}", "<": r"\textless{}", ">": r"\textgreater{}"}
+LATEX = {
+    "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}",
+    "^": r"\textasciicircum{}", "\\": r"\textbackslash{}", "<": r"\textless{}", ">": r"\textgreater{}"
+}
 
 
 def latex_escape(c: Column | str) -> Column:
@@ -149,7 +152,9 @@ def parse_author(c: Column | str) -> Column:
     parts = words(c)
     comma = F.instr(c, ",")
     last = F.when(comma > 0, F.trim(F.substring_index(c, ",", 1))).when(F.size(parts) >= 2, F.element_at(parts, -1)).otherwise(c)
-    first = F.when(comma > 0, F.trim(F.substring(c, comma + 1, F.lit(2**31 - 1)))).when(F.size(parts) >= 2, F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), " ")).otherwise("")
+    first = F.when(comma > 0, F.trim(F.substring(c, comma + 1, F.lit(2**31 - 1)))).when(
+        F.size(parts) >= 2, F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), " ")
+    ).otherwise("")
     return F.struct(last.alias("last"), first.alias("first"))
 
 
@@ -186,11 +191,22 @@ def change_case(c: Column | str, kind: str) -> Column:
         raise ValueError(f"unknown case {kind}")
     # Each word is cut before its first ASCII word character.
     parts = F.regexp_extract_all(c, F.lit(r"([a-zA-Z0-9_]\S*|[^a-zA-Z0-9_])"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda w: F.when(w.rlike("^[a-zA-Z0-9_]"), F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 2**31 - 1)))).otherwise(w)), "")
+    return F.array_join(
+        F.transform(
+            parts,
+            lambda w: F.when(
+                w.rlike("^[a-zA-Z0-9_]"), F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 2**31 - 1)))
+            ).otherwise(w)
+        ),
+        ""
+    )
 
 
 #: What is corrected while typing.
-AUTOCORRECT = {"--": "—", "...": "…", "(c)": "©", "(r)": "®", "(tm)": "™", "<->": "↔", "->": "→", "<-": "←", "!=": "≠", ">=": "≥", "<=": "≤", "1/2": "½", "1/4": "¼", "3/4": "¾"}
+AUTOCORRECT = {
+    "--": "—", "...": "…", "(c)": "©", "(r)": "®", "(tm)": "™", "<->": "↔", "->": "→", "<-": "←", "!=": "≠", ">=": "≥", "<=": "≤",
+    "1/2": "½", "1/4": "¼", "3/4": "¾"
+}
 
 
 def autocorrect(c: Column | str) -> Column:

@@ -39,7 +39,11 @@ def _table(node: Node, nested: bool) -> str:
     while todo:
         x = todo.pop(0)
         if x.tag == "tr":
-            rows.append([_inline(c, nested).strip().replace("|", "\\|").replace("\n", " ") for c in x.children if isinstance(c, Node) and c.tag in ("td", "th")])
+            rows.append(
+                [
+                    _inline(c, nested).strip().replace("|", "\\|").replace("\n", " ") for c in x.children if isinstance(c, Node) and c.tag in ("td", "th")
+                ]
+            )
         else:
             todo = [c for c in x.children if isinstance(c, Node)] + todo
     if not rows:

@@ -16,7 +16,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style".split())
 RAW_WITH_ENTITIES = frozenset("textarea title".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
-BLOCKS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
+BLOCKS = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An element that a start tag closes, and where the search for it ends.
 _SCOPE = frozenset("applet caption html table td th marquee object template button".split())
@@ -137,7 +139,9 @@ class _Builder:
                 if n.tag == tag:
                     self.active.remove(n)
                     break
-        stop = frozenset(["table"]) if tag in ("td", "th", "tr", "tbody", "thead", "tfoot") else frozenset(["td", "th", "table"]) if tag not in ("table", "html", "body") else frozenset()
+        stop = frozenset(["table"]) if tag in (
+            "td", "th", "tr", "tbody", "thead", "tfoot"
+        ) else frozenset(["td", "th", "table"]) if tag not in ("table", "html", "body") else frozenset()
         names = HEADINGS if tag in HEADINGS else frozenset([tag])
         if not any(n.tag in names for n in self.stack):
             if tag == "p":

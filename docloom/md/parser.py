@@ -28,7 +28,10 @@ _QUOTE = re.compile(r"^ {0,3}> ?")
 _NOTE = re.compile(r"^ {0,3}\[\^([^\]\s]+)\]:[ \t]*(.*)$")
 _REFERENCE = re.compile(r"^ {0,3}\[([^\]^][^\]]*)\]:[ \t]*<?([^\s>]+)>?(?:[ \t]+[\"'(](.*)[\"')])?[ \t]*$")
 _ROW_RULE = re.compile(r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
-_HTML = re.compile(r"^ {0,3}<(?:!--|\?|![A-Z]|/?(?:address|article|aside|blockquote|body|br|center|details|dialog|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|iframe|legend|li|link|main|menu|nav|ol|option|p|param|pre|script|section|style|summary|table|tbody|td|textarea|tfoot|th|thead|title|tr|track|ul)(?:[\s/>]|$))", re.IGNORECASE)
+_HTML = re.compile(
+    r"^ {0,3}<(?:!--|\?|![A-Z]|/?(?:address|article|aside|blockquote|body|br|center|details|dialog|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|iframe|legend|li|link|main|menu|nav|ol|option|p|param|pre|script|section|style|summary|table|tbody|td|textarea|tfoot|th|thead|title|tr|track|ul)(?:[\s/>]|$))",
+    re.IGNORECASE
+)
 _HEADING_ATTRS = re.compile(r"^(.*?)[ \t]*\{([^{}]*)\}$")
 _TASK = re.compile(r"^\[([ xX])\][ \t]+")
 
@@ -51,7 +54,11 @@ class _Blocks:
 
     def starts_block(self, line: str) -> bool:
         item = _ITEM.match(line)
-        return bool(_FENCE.match(line) or _ATX.match(line) or _RULE.match(line) or _QUOTE.match(line) or _HTML.match(line) or item and item[4] and (not item[2][0].isdigit() or item[2][:-1] == "1"))
+        return bool(
+            _FENCE.match(line) or _ATX.match(line) or _RULE.match(line) or _QUOTE.match(line) or _HTML.match(line) or item and item[4] and (
+                not item[2][0].isdigit() or item[2][:-1] == "1"
+            )
+        )
 
     def run(self, lines: list[str], tight: bool = False) -> None:
         k = 0
@@ -203,7 +210,9 @@ class _Blocks:
 
     def table(self, lines: list[str], k: int) -> int:
         rule = _cells(lines[k + 1])
-        align = ["center" if c.startswith(":") and c.endswith(":") and len(c) > 1 else "left" if c.startswith(":") else "right" if c.endswith(":") else "none" for c in rule]
+        align = [
+            "center" if c.startswith(":") and c.endswith(":") and len(c) > 1 else "left" if c.startswith(":") else "right" if c.endswith(":") else "none" for c in rule
+        ]
         self.emit("start", "table", align=",".join(align))
         self.row("table_head", _cells(lines[k]), len(align))
         k += 2
@@ -248,10 +257,15 @@ def _cells(line: str) -> list[str]:
 
 
 _PLAIN = re.compile(r"[^\\`*_~^$\[\]!<&\n]+")
-_TAG = re.compile(r"<(?:/?[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w:.-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*\s*/?|!--.*?--|\?.*?\?|![A-Z][^>]*)>", re.DOTALL)
+_TAG = re.compile(
+    r"<(?:/?[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w:.-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*\s*/?|!--.*?--|\?.*?\?|![A-Z][^>]*)>",
+    re.DOTALL
+)
 _AUTO = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.+-]+@[\w-]+(?:\.[\w-]+)+)>")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
-_TARGET = re.compile(r"\(\s*(?:<([^<>\n]*)>|((?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*))(?:\s+(?:\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|\(((?:[^()\\]|\\.)*)\)))?\s*\)")
+_TARGET = re.compile(
+    r"\(\s*(?:<([^<>\n]*)>|((?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*))(?:\s+(?:\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|\(((?:[^()\\]|\\.)*)\)))?\s*\)"
+)
 _ESCAPED = re.compile(r"\\([!-/:-@\[-`{-~])")
 
 
@@ -424,7 +438,9 @@ class _Inlines:
                 continue
             opener = self.items[found]
             n = min(opener[1], close[1], 2)
-            tag = {"*": "emphasis", "_": "emphasis", "~": "subscript", "^": "superscript"}[close[0]] if n == 1 else "strikethrough" if close[0] == "~" else "strong"
+            tag = {
+                "*": "emphasis", "_": "emphasis", "~": "subscript", "^": "superscript"
+            }[close[0]] if n == 1 else "strikethrough" if close[0] == "~" else "strong"
             opener[1] -= n
             close[1] -= n
             for j in range(found + 1, k):

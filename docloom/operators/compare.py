@@ -46,10 +46,14 @@ def jaro_winkler(a: Column, b: Column) -> Column:
 def compare_documents(pairs: DataFrame, id_col: str = "doc_id", a: str = "a", b: str = "b", threshold: float = 0.85) -> DataFrame:
     """(id, text_similarity, structural_similarity, roundtrip_similarity, status) of two Markdown texts of each row."""
     x, y = (structure_metrics(pairs, id_col, c).alias(n) for c, n in ((a, "x"), (b, "y")))
-    structure = x.join(y, F.col(f"x.{id_col}") == F.col(f"y.{id_col}")).select(F.col(f"x.{id_col}"), structural_similarity("x", "y").alias("structural_similarity"))
+    structure = x.join(y, F.col(f"x.{id_col}") == F.col(f"y.{id_col}")).select(
+        F.col(f"x.{id_col}"), structural_similarity("x", "y").alias("structural_similarity")
+    )
     out = pairs.select(id_col, similarity(F.col(a), F.col(b)).alias("text_similarity")).join(structure, id_col)
     both = F.col("text_similarity") * 0.6 + F.col("structural_similarity") * 0.4
-    status = F.when(F.col("roundtrip_similarity") >= threshold, F.lit("ok")).otherwise(F.format_string("similarity %.4f is below %.4f", F.col("roundtrip_similarity"), F.lit(threshold)))
+    status = F.when(F.col("roundtrip_similarity") >= threshold, F.lit("ok")).otherwise(
+        F.format_string("similarity %.4f is below %.4f", F.col("roundtrip_similarity"), F.lit(threshold))
+    )
     return out.withColumn("roundtrip_similarity", both).withColumn("status", status)
 
 
@@ -146,6 +150,8 @@ def diff_html(pairs: DataFrame, id_col: str = "doc_id", old: str = "old", new: s
     """(id, html): blocks in order; replaced ones with their words' changes, others in marked divs."""
     rows = block_diff(pairs, id_col, old, new)
     box = lambda kind, c: F.concat(F.lit(f'<div class="diff-{kind}">'), c, F.lit("</div>\n"))
-    piece = F.when(F.col("op") == "equal", F.concat("new_text", F.lit("\n\n"))).when(F.col("op") == "replace", F.concat(word_diff(F.col("old_text"), F.col("new_text")), F.lit("\n\n"))).when(F.col("op") == "delete", box("del", F.col("old_text"))).otherwise(box("ins", F.col("new_text")))
+    piece = F.when(F.col("op") == "equal", F.concat("new_text", F.lit("\n\n"))).when(
+        F.col("op") == "replace", F.concat(word_diff(F.col("old_text"), F.col("new_text")), F.lit("\n\n"))
+    ).when(F.col("op") == "delete", box("del", F.col("old_text"))).otherwise(box("ins", F.col("new_text")))
     parts = rows.select(id_col, "pos", piece.alias("p"))
     return parts.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"]), "").alias("html"))

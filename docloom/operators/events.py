@@ -29,9 +29,18 @@ def parse_markdown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "md"
                     events = parse(text, extensions)
                     rows += enumerate(events)
                     owner += [k] * len(events)
-                columns = [pa.array([s for s, _ in rows], pa.int32()), *(pa.array([getattr(e, n) for _, e in rows], kind) for n, kind in (("kind", pa.string()), ("tag", pa.string()), ("depth", pa.int32()), ("text", pa.string())))]
+                columns = [
+                    pa.array([s for s, _ in rows], pa.int32()),
+                    *(
+                        pa.array([getattr(e, n) for _, e in rows], kind) for n,
+                        kind in (("kind", pa.string()), ("tag", pa.string()), ("depth", pa.int32()), ("text", pa.string()))
+                    )
+                ]
                 attrs = pa.array([list(e.attrs.items()) for _, e in rows], pa.map_(pa.string(), pa.string()))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner, pa.int32())), *columns, attrs], [batch.schema.names[0], "seq", "kind", "tag", "depth", "text", "attrs"])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(owner, pa.int32())), *columns, attrs],
+                    [batch.schema.names[0], "seq", "kind", "tag", "depth", "text", "attrs"]
+                )
 
     rows = docs.select(id_col, F.col(text_col).cast("string"))
     return rows.mapInArrow(parsed, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, {EVENT}")
@@ -76,7 +85,10 @@ def _counters() -> dict[str, Column]:
 
 #: Counters over substrings of the source.
 SOURCE_COUNTERS = {"comments": '<mark class="comment"', "highlights": '<mark class="highlight"', "insertions": "<ins[ >]", "deletions": "<del[ >]"}
-METRICS = ("headings", "unordered_items", "ordered_items", "code_blocks", "table_rows", "tables", "blockquotes", "math_blocks", "inline_math", "bold", "italic", "strikethrough", "hyperlinks", "footnotes", "tasklists", "images", *SOURCE_COUNTERS)
+METRICS = (
+    "headings", "unordered_items", "ordered_items", "code_blocks", "table_rows", "tables", "blockquotes", "math_blocks", "inline_math",
+    "bold", "italic", "strikethrough", "hyperlinks", "footnotes", "tasklists", "images", *SOURCE_COUNTERS
+)
 
 
 def structure_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "md") -> DataFrame:
@@ -88,7 +100,9 @@ def structure_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def structural_similarity(a: str, b: str) -> Column:
     """Mean over the counters of 1 - |x - y| / (x + y); two zeros are alike. ``a``, ``b``: aliases of metrics."""
-    part = lambda n: F.when(F.col(f"{a}.{n}") + F.col(f"{b}.{n}") == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.abs(F.col(f"{a}.{n}") - F.col(f"{b}.{n}")) / (F.col(f"{a}.{n}") + F.col(f"{b}.{n}")))
+    part = lambda n: F.when(F.col(f"{a}.{n}") + F.col(f"{b}.{n}") == 0, F.lit(1.0)).otherwise(
+        F.lit(1.0) - F.abs(F.col(f"{a}.{n}") - F.col(f"{b}.{n}")) / (F.col(f"{a}.{n}") + F.col(f"{b}.{n}"))
+    )
     return sum((part(n) for n in METRICS[1:]), part(METRICS[0])) / F.lit(float(len(METRICS)))
 
 
@@ -117,13 +131,17 @@ def _text_of(events: DataFrame, tag: str, keys: list[str], id_col: str) -> DataF
     words = F.when(F.col("kind").isin("text", "code", "inline_math"), F.col("text")).when(F.col("kind").isin("soft_break", "hard_break"), F.lit(" "))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", words.alias("t")))), lambda x: x["t"]), "")
     attrs = F.max_by("attrs", F.when(_is("start", tag), F.lit(1)).otherwise(F.lit(0)))
-    return inside.groupBy(id_col, "n").agg(whole.alias("text"), F.min("seq").alias("seq"), attrs.alias("a")).select(id_col, "n", "seq", "text", *(F.col("a")[k].alias(k) for k in keys))
+    return inside.groupBy(id_col, "n").agg(whole.alias("text"), F.min("seq").alias("seq"), attrs.alias("a")).select(
+        id_col, "n", "seq", "text", *(F.col("a")[k].alias(k) for k in keys)
+    )
 
 
 def outline(events: DataFrame, id_col: str = "doc_id", deepest: int = 6) -> DataFrame:
     """(id, seq, level, label): headings in order, labels of up to 60 characters."""
     heads = _text_of(events, "heading", ["level"], id_col)
-    return heads.select(id_col, "seq", F.col("level").cast("int").alias("level"), F.substring(F.trim("text"), 1, 60).alias("label")).filter(F.col("level") <= deepest)
+    return heads.select(
+        id_col, "seq", F.col("level").cast("int").alias("level"), F.substring(F.trim("text"), 1, 60).alias("label")
+    ).filter(F.col("level") <= deepest)
 
 
 def table_of_contents(events: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -150,7 +168,9 @@ def cross_references(events: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, kind, n, label): headings, figures, tables, footnotes and bookmarks that can be referred to."""
     w = Window.partitionBy(id_col).orderBy("seq")
     number = lambda df, kind, label: df.select(id_col, F.lit(kind).alias("kind"), F.row_number().over(w).alias("n"), label.alias("label"))
-    marks = events.filter(F.col("kind").isin("inline_html", "html")).withColumn("mark", F.regexp_extract("text", r'<a\s+(?:id|name)="([^"]+)"', 1)).filter("mark <> ''")
+    marks = events.filter(F.col("kind").isin("inline_html", "html")).withColumn(
+        "mark", F.regexp_extract("text", r'<a\s+(?:id|name)="([^"]+)"', 1)
+    ).filter("mark <> ''")
     parts = [
         number(outline(events, id_col), "heading", F.col("label")),
         number(_text_of(events, "image", ["dest"], id_col), "figure", F.col("text")),
@@ -172,7 +192,9 @@ def chapters(events: DataFrame, id_col: str = "doc_id") -> DataFrame:
     titles = _text_of(events, "heading", ["level"], id_col).filter("level = 1").select(id_col, F.row_number().over(w).alias("k"), F.trim("text").alias("title"))
     sizes = numbered.groupBy(id_col, "k").agg(F.count(F.lit(1)).alias("n_events"))
     named = sizes.join(titles, [id_col, "k"], "left").withColumn("chapter", F.row_number().over(Window.partitionBy(id_col).orderBy("k")))
-    title = F.when(F.col("k") == 0, F.lit("Content")).when(F.coalesce("title", F.lit("")) == "", F.concat(F.lit("Chapter "), F.col("chapter").cast("string"))).otherwise(F.col("title"))
+    title = F.when(F.col("k") == 0, F.lit("Content")).when(
+        F.coalesce("title", F.lit("")) == "", F.concat(F.lit("Chapter "), F.col("chapter").cast("string"))
+    ).otherwise(F.col("title"))
     return named.select(id_col, F.col("chapter").cast("long").alias("chapter"), title.alias("title"), "n_events")
 
 
@@ -188,8 +210,13 @@ def slides(events: DataFrame, id_col: str = "doc_id") -> DataFrame:
     numbered = events.withColumn("slide", F.sum(F.when(begins, 1).otherwise(0)).over(w)).filter(~_is("rule"))
     heads = _text_of(events, "heading", ["level"], id_col).filter("level <= 2").select(id_col, "seq", F.col("text").alias("title"))
     titled = numbered.join(heads, [id_col, "seq"], "left")
-    sizes = titled.groupBy(id_col, "slide").agg(F.min_by("title", F.when(F.col("title").isNotNull(), F.col("seq"))).alias("title"), F.count(F.lit(1)).alias("n_events"))
-    return sizes.select(id_col, F.row_number().over(Window.partitionBy(id_col).orderBy("slide")).cast("long").alias("slide"), F.coalesce("title", F.lit("")).alias("title"), "n_events")
+    sizes = titled.groupBy(id_col, "slide").agg(
+        F.min_by("title", F.when(F.col("title").isNotNull(), F.col("seq"))).alias("title"), F.count(F.lit(1)).alias("n_events")
+    )
+    return sizes.select(
+        id_col, F.row_number().over(Window.partitionBy(id_col).orderBy("slide")).cast("long").alias("slide"),
+        F.coalesce("title", F.lit("")).alias("title"), "n_events"
+    )
 
 
 def mail_merge(template: DataFrame, records: DataFrame, record_col: str = "record", key: str = "record_id") -> DataFrame:
@@ -231,8 +258,17 @@ def assemble(events: DataFrame, order: str, namespace: Column) -> DataFrame:
     prefix = F.concat(namespace, F.lit("-"))
     dest, own = F.col("attrs")["dest"], F.col("attrs")["id"]
     attrs = (
-        F.when(F.col("tag").isin("link") & dest.startswith("#"), F.map_concat(F.map_filter("attrs", lambda k, v: k != "dest"), F.create_map(F.lit("dest"), F.concat(F.lit("#"), prefix, F.substring(dest, 2, 2**31 - 1)))))
-        .when((F.col("tag") == "heading") & own.isNotNull(), F.map_concat(F.map_filter("attrs", lambda k, v: k != "id"), F.create_map(F.lit("id"), F.concat(prefix, own))))
+        F.when(
+            F.col("tag").isin("link") & dest.startswith("#"),
+            F.map_concat(
+                F.map_filter("attrs", lambda k, v: k != "dest"),
+                F.create_map(F.lit("dest"), F.concat(F.lit("#"), prefix, F.substring(dest, 2, 2**31 - 1)))
+            )
+        )
+        .when(
+            (F.col("tag") == "heading") & own.isNotNull(),
+            F.map_concat(F.map_filter("attrs", lambda k, v: k != "id"), F.create_map(F.lit("id"), F.concat(prefix, own)))
+        )
         .otherwise(F.col("attrs"))
     )
     html = F.replace(F.replace("text", F.lit('id="'), F.concat(F.lit('id="'), prefix)), F.lit('href="#'), F.concat(F.lit('href="#'), prefix))
@@ -241,11 +277,16 @@ def assemble(events: DataFrame, order: str, namespace: Column) -> DataFrame:
     first = events.agg(F.min(order).alias("first"))
     docs = events.select(order).distinct().crossJoin(F.broadcast(first)).filter(F.col(order) > F.col("first"))  # the right side is one row
     none = F.create_map().cast("map<string,string>")
-    breaks = docs.select(order, F.lit(-1).alias("seq"), F.lit("page_break").alias("kind"), F.lit("").alias("tag"), F.lit(0).alias("depth"), F.lit("").alias("text"), none.alias("attrs"))
+    breaks = docs.select(
+        order, F.lit(-1).alias("seq"), F.lit("page_break").alias("kind"), F.lit("").alias("tag"), F.lit(0).alias("depth"),
+        F.lit("").alias("text"), none.alias("attrs")
+    )
     return body.unionByName(breaks)
 
 
 def redact_events(events: DataFrame, marked: Column) -> DataFrame:
     """Marked events lose every text they bear: code, math, HTML, titles and targets as well."""
-    attrs = F.when(marked, F.transform_values("attrs", lambda k, v: F.when(k.isin("title", "dest", "label"), T.redact(v)).otherwise(v))).otherwise(F.col("attrs"))
+    attrs = F.when(
+        marked, F.transform_values("attrs", lambda k, v: F.when(k.isin("title", "dest", "label"), T.redact(v)).otherwise(v))
+    ).otherwise(F.col("attrs"))
     return events.withColumns({"text": F.when(marked, T.redact("text")).otherwise(F.col("text")), "attrs": attrs})

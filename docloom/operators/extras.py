@@ -48,7 +48,10 @@ def comments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "md") -> D
     marks = F.regexp_extract_all(text_col, F.lit(r'(?s)(<mark class="comment"[^>]*>.*?</mark>)'), F.lit(1))
     rows = docs.select(id_col, F.explode(marks).alias("m"))
     attr = lambda n: F.regexp_extract("m", rf'{n}="([^"]*)"', 1)
-    return rows.select(id_col, attr("data-id").alias("comment_id"), attr("data-author").alias("author"), attr("data-content").alias("body"), F.regexp_extract("m", "(?s)>(.*)</mark>$", 1).alias("anchor"))
+    return rows.select(
+        id_col, attr("data-id").alias("comment_id"), attr("data-author").alias("author"), attr("data-content").alias("body"),
+        F.regexp_extract("m", "(?s)>(.*)</mark>$", 1).alias("anchor")
+    )
 
 
 def prune_comments(stored: DataFrame, marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -60,7 +63,10 @@ def formulas(docs: DataFrame, id_col: str = "doc_id", text_col: str = "md") -> D
     """(id, number, display, latex) of the formulas between dollar signs."""
     found = F.regexp_extract_all(text_col, F.lit(r"(?s)(\$\$.+?\$\$|\$(?!\s)[^$\n]+?(?<!\s)\$(?!\d))"), F.lit(1))
     rows = docs.select(id_col, F.posexplode(found).alias("k", "f"))
-    return rows.select(id_col, (F.col("k") + 1).cast("long").alias("number"), F.col("f").startswith("$$").alias("display"), F.trim(F.regexp_replace("f", r"^\$+|\$+$", "")).alias("latex"))
+    return rows.select(
+        id_col, (F.col("k") + 1).cast("long").alias("number"), F.col("f").startswith("$$").alias("display"),
+        F.trim(F.regexp_replace("f", r"^\$+|\$+$", "")).alias("latex")
+    )
 
 
 def png_size(content: Column) -> Column:
@@ -123,7 +129,10 @@ def sorted_table(text: Column, numbers: bool = False, descending: bool = False)
     number = lambda x: F.regexp_extract(cell(x), r"^(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
     at = (lambda i: -i) if descending else (lambda i: i)
     by = number if numbers else (lambda x: F.lower(cell(x)))
-    keyed = F.transform(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), lambda x, i: F.struct(by(x).alias("by"), at(i).alias("i"), x.alias("line")))
+    keyed = F.transform(
+        F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))),
+        lambda x, i: F.struct(by(x).alias("by"), at(i).alias("i"), x.alias("line"))
+    )
     known, rest = F.filter(keyed, lambda r: r["by"].isNotNull()), F.filter(keyed, lambda r: r["by"].isNull())
     ordered = F.sort_array(known, asc=not descending)
     body = F.transform(F.concat(ordered, rest), lambda r: r["line"])

@@ -78,12 +78,21 @@ def ruled_spans(spans: DataFrame, rects: DataFrame, page_widths: DataFrame) -> D
     is an underline just below the base line and a strike through the middle of the letters.
     """
     narrow = rects.join(page_widths, "page").filter((F.col("urx") - F.col("llx") <= F.col("page_width") * 0.5) & (F.col("ury") - F.col("lly") <= 2.0))
-    boxes = spans.select("page", "span_no", F.col("x").alias("llx"), (F.col("x") + F.col("width")).alias("urx"), (F.col("y") - F.col("font_size") * 0.3).alias("lly"), (F.col("y") + F.col("font_size") * 0.7).alias("ury"), "y", "font_size", "width")
+    boxes = spans.select(
+        "page", "span_no", F.col("x").alias("llx"), (F.col("x") + F.col("width")).alias("urx"),
+        (F.col("y") - F.col("font_size") * 0.3).alias("lly"), (F.col("y") + F.col("font_size") * 0.7).alias("ury"), "y", "font_size",
+        "width"
+    )
     pairs = overlap_join(boxes, narrow.select("page", "llx", "lly", "urx", F.greatest(F.col("ury"), F.col("lly") + 0.01).alias("ury")), ["page"])
     shared = F.least("a.urx", "b.urx") - F.greatest("a.llx", "b.llx")
     middle = (F.col("b.lly") + F.col("b.ury")) / 2 - F.col("a.y")
-    marks = pairs.filter(shared > F.col("a.width") * 0.5).groupBy("a.page", "a.span_no").agg(F.bool_or(middle < F.col("a.font_size") * 0.15).alias("underline"), F.bool_or(middle.between(F.col("a.font_size") * 0.2, F.col("a.font_size") * 0.5)).alias("strike"))
-    return spans.drop("underline", "strike").join(marks, ["page", "span_no"], "left").withColumns({n: F.coalesce(n, F.lit(False)) for n in ("underline", "strike")})
+    marks = pairs.filter(shared > F.col("a.width") * 0.5).groupBy("a.page", "a.span_no").agg(
+        F.bool_or(middle < F.col("a.font_size") * 0.15).alias("underline"),
+        F.bool_or(middle.between(F.col("a.font_size") * 0.2, F.col("a.font_size") * 0.5)).alias("strike")
+    )
+    return spans.drop("underline", "strike").join(marks, ["page", "span_no"], "left").withColumns(
+        {n: F.coalesce(n, F.lit(False)) for n in ("underline", "strike")}
+    )
 
 
 def mode_font_size(spans: DataFrame, key: list[str]) -> DataFrame:
@@ -144,7 +153,10 @@ def line_texts(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     piece = F.concat(F.when(gap > F.col("font_size") * 0.2, F.lit(" ")).otherwise(F.lit("")), "text")
     rows = lines.withColumn("piece", piece)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "piece"))), lambda v: v["piece"]), "")
-    return rows.groupBy(key, "page", "line").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.max("font_size").alias("font_size"), F.bool_and("bold").alias("bold"), joined.alias("text"))
+    return rows.groupBy(key, "page", "line").agg(
+        F.min("x").alias("x"), F.max("y").alias("y"), F.max("font_size").alias("font_size"), F.bool_and("bold").alias("bold"),
+        joined.alias("text")
+    )
 
 
 def spans_to_markdown(spans: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -157,8 +169,12 @@ def spans_to_markdown(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     head = F.when(F.col("font_size") >= F.col("body") * 1.45, "# ").when(F.col("font_size") >= F.col("body") * 1.15, "## ").otherwise("")
     lines = lines.withColumns({"head": head, "item": detect_bullet(F.trim("text"))})
     lines = lines.withColumn("apart", (F.lag("y").over(w) - F.col("y") > F.col("body") * 1.8) | (F.lag("page").over(w) != F.col("page")))
-    own = F.when(F.col("head") != "", F.concat("head", F.trim("text"))).when(F.col("item.is_item"), F.concat(F.coalesce("item.number", F.lit("-")), F.lit(" "), "item.rest")).otherwise(F.trim("text"))
-    sep = F.when(F.row_number().over(w) == 1, "").when((F.col("head") != "") | (F.lag("head").over(w) != "") | F.col("apart"), "\n\n").when(F.col("item.is_item"), "\n").otherwise(" ")
+    own = F.when(F.col("head") != "", F.concat("head", F.trim("text"))).when(
+        F.col("item.is_item"), F.concat(F.coalesce("item.number", F.lit("-")), F.lit(" "), "item.rest")
+    ).otherwise(F.trim("text"))
+    sep = F.when(F.row_number().over(w) == 1, "").when(
+        (F.col("head") != "") | (F.lag("head").over(w) != "") | F.col("apart"), "\n\n"
+    ).when(F.col("item.is_item"), "\n").otherwise(" ")
     rows = lines.select(key, "page", "line", F.concat(sep, own).alias("piece"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", "piece"))), lambda v: v["piece"]), "")
     return rows.groupBy(key).agg(joined.alias("md"))

@@ -21,7 +21,9 @@ def build_graph(mentions: DataFrame) -> DataFrame:
     """
     first = lambda c, when: F.min_by(c, F.when(when, F.col("ord")))
     named = F.col("label").isNotNull() & (F.col("label") != F.col("id"))
-    nodes = mentions.groupBy("graph_id", "id").agg(F.min("ord").alias("ord"), first("label", named).alias("label"), first("shape", F.col("shape").isNotNull()).alias("shape"))
+    nodes = mentions.groupBy("graph_id", "id").agg(
+        F.min("ord").alias("ord"), first("label", named).alias("label"), first("shape", F.col("shape").isNotNull()).alias("shape")
+    )
     return nodes.withColumn("label", F.coalesce("label", "id"))
 
 
@@ -63,7 +65,10 @@ def remove_cycles(edges: DataFrame) -> DataFrame:
                 else:
                     state[node] = 2
                     walk.pop()
-        rows = [(g, b, a, o, True) if k in back else (g, a, b, o, False) for k, (g, a, b, o) in enumerate(zip(pdf["graph_id"], pdf["src"], pdf["dst"], pdf["ord"], strict=True)) if a != b]
+        rows = [
+            (g, b, a, o, True) if k in back else (g, a, b, o, False) for k,
+            (g, a, b, o) in enumerate(zip(pdf["graph_id"], pdf["src"], pdf["dst"], pdf["ord"], strict=True)) if a != b
+        ]
         return pd.DataFrame(rows, columns=["graph_id", "src", "dst", "ord", "reversed"])
 
     kind = edges.schema["graph_id"].dataType.simpleString()
@@ -118,7 +123,15 @@ def assign_coordinates(nodes: DataFrame, ranks: DataFrame, horizontal: bool = Fa
     before = Window.partitionBy("graph_id", "rank").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("along", F.coalesce(F.sum(F.col(along) + NODE_GAP).over(before), F.lit(0.0)))
     depths = sized.groupBy("graph_id", "rank").agg(F.max(across).alias("depth"))
-    depths = depths.withColumn("across", F.coalesce(F.sum(F.col("depth") + RANK_GAP).over(Window.partitionBy("graph_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    depths = depths.withColumn(
+        "across",
+        F.coalesce(
+            F.sum(F.col("depth") + RANK_GAP).over(
+                Window.partitionBy("graph_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+            ),
+            F.lit(0.0)
+        )
+    )
     out = placed.join(depths, ["graph_id", "rank"])
     x, y = ("across", "along") if horizontal else ("along", "across")
     return out.select("graph_id", "id", "rank", F.col(x).alias("x"), F.col(y).alias("y"), "width", "height")
@@ -127,7 +140,9 @@ def assign_coordinates(nodes: DataFrame, ranks: DataFrame, horizontal: bool = Fa
 def edge_paths(edges: DataFrame, boxes: DataFrame, horizontal: bool = False) -> DataFrame:
     """(graph_id, src, dst, path): from border to border with one step half-way; straight where both are in line."""
     a, b = boxes.alias("a"), boxes.alias("b")
-    joined = edges.alias("e").join(a, (F.col("e.graph_id") == F.col("a.graph_id")) & (F.col("e.src") == F.col("a.id"))).join(b, (F.col("e.graph_id") == F.col("b.graph_id")) & (F.col("e.dst") == F.col("b.id")))
+    joined = edges.alias("e").join(
+        a, (F.col("e.graph_id") == F.col("a.graph_id")) & (F.col("e.src") == F.col("a.id"))
+    ).join(b, (F.col("e.graph_id") == F.col("b.graph_id")) & (F.col("e.dst") == F.col("b.id")))
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     mid = lambda t, at, size: F.col(f"{t}.{at}") + F.col(f"{t}.{size}") / 2
     if horizontal:
@@ -169,9 +184,18 @@ def svg(nodes: DataFrame, boxes: DataFrame, paths: DataFrame) -> DataFrame:
     """(graph_id, svg): boxes with their labels, and paths."""
     number = lambda c: F.format_string("%.1f", c)
     label = F.replace(F.replace("label", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    box = F.concat(F.lit('<rect x="'), number("x"), F.lit('" y="'), number("y"), F.lit('" width="'), number("width"), F.lit('" height="'), number("height"), F.lit('" fill="none" stroke="black"/><text x="'), number(F.col("x") + F.col("width") / 2), F.lit('" y="'), number(F.col("y") + F.col("height") / 2), F.lit('" text-anchor="middle">'), label, F.lit("</text>"))
-    line = F.concat(F.lit('<polyline fill="none" stroke="black" points="'), F.array_join(F.transform("path", lambda p: F.concat(number(p["x"]), F.lit(","), number(p["y"]))), " "), F.lit('"/>'))
-    parts = boxes.join(nodes.select("graph_id", "id", "label"), ["graph_id", "id"]).select("graph_id", F.lit(0).alias("k"), F.col("id").alias("o"), box.alias("s")).unionByName(paths.select("graph_id", F.lit(1).alias("k"), F.concat_ws("->", "src", "dst").alias("o"), line.alias("s")))
+    box = F.concat(
+        F.lit('<rect x="'), number("x"), F.lit('" y="'), number("y"), F.lit('" width="'), number("width"), F.lit('" height="'),
+        number("height"), F.lit('" fill="none" stroke="black"/><text x="'), number(F.col("x") + F.col("width") / 2), F.lit('" y="'),
+        number(F.col("y") + F.col("height") / 2), F.lit('" text-anchor="middle">'), label, F.lit("</text>")
+    )
+    line = F.concat(
+        F.lit('<polyline fill="none" stroke="black" points="'),
+        F.array_join(F.transform("path", lambda p: F.concat(number(p["x"]), F.lit(","), number(p["y"]))), " "), F.lit('"/>')
+    )
+    parts = boxes.join(nodes.select("graph_id", "id", "label"), ["graph_id", "id"]).select("graph_id", F.lit(0).alias("k"), F.col("id").alias("o"), box.alias("s")).unionByName(
+        paths.select("graph_id", F.lit(1).alias("k"), F.concat_ws("->", "src", "dst").alias("o"), line.alias("s"))
+    )
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "o", "s"))), lambda x: x["s"]), "")
     return parts.groupBy("graph_id").agg(F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">'), joined, F.lit("</svg>")).alias("svg"))
 
@@ -184,7 +208,9 @@ def shares(df: DataFrame, chart: str, value: str) -> DataFrame:
 
 def bar_scale(df: DataFrame, chart: str, start: str, length: str, width: float = 400.0) -> DataFrame:
     """(chart, max_end, scale) of a bar chart over time."""
-    return df.groupBy(chart).agg(F.max(F.col(start) + F.col(length)).alias("max_end")).withColumn("scale", F.lit(width) / F.greatest(F.col("max_end").cast("double"), F.lit(1.0)))
+    return df.groupBy(chart).agg(F.max(F.col(start) + F.col(length)).alias("max_end")).withColumn(
+        "scale", F.lit(width) / F.greatest(F.col("max_end").cast("double"), F.lit(1.0))
+    )
 
 
 def section_starts(df: DataFrame, chart: str, section: str, order: list[str | Column]) -> DataFrame:

@@ -149,7 +149,10 @@ def resolve_citations(cites: DataFrame, refs: DataFrame, doc: str = "doc_id", ci
     return numbered.drop("__first").join(refs, numbered[cite] == refs["id"]).drop("id")
 
 
-def update_from_web(refs: DataFrame, fetched: DataFrame, own: tuple[str, ...] = ("id", "tags", "notes", "starred", "read_status", "pdf_path", "date_added", "collections")) -> DataFrame:
+def update_from_web(
+    refs: DataFrame, fetched: DataFrame,
+    own: tuple[str, ...] = ("id", "tags", "notes", "starred", "read_status", "pdf_path", "date_added", "collections")
+) -> DataFrame:
     """Fetched fields replace a reference's, but for those that are the user's own."""
     a, b = refs.alias("a"), fetched.alias("b")
     joined = a.join(b, F.col("a.id") == F.col("b.id"), "left")
@@ -171,7 +174,10 @@ def latest_version(df: DataFrame, at: str, tie: str, limit: int = 1) -> DataFram
 
 #: Badge classes and letters of types.
 BADGES = {"Journal Article": "journal", "Book": "book", "Book Chapter": "book", "Conference Paper": "conf", "Thesis": "thesis", "Preprint": "preprint"}
-LETTERS = {"Journal Article": "J", "Book": "B", "Book Chapter": "B", "Conference Paper": "C", "Thesis": "T", "Report": "R", "Preprint": "P", "Website": "W", "Patent": "P"}
+LETTERS = {
+    "Journal Article": "J", "Book": "B", "Book Chapter": "B", "Conference Paper": "C", "Thesis": "T", "Report": "R", "Preprint": "P",
+    "Website": "W", "Patent": "P"
+}
 
 
 def badge(kind: Column) -> Column:

@@ -16,14 +16,32 @@ REFS = """refs AS (
     CASE WHEN doc_id % 8 = 0 THEN 'note ' || source ELSE '' END AS notes, [lang, source] AS tags, coalesce(quality = 1, false) AS starred, coalesce(toxic = 1, false) AS read_status,
     strftime(DATE '2024-01-01' + (doc_id % 365)::INT, '%Y-%m-%d') AS date_added, doc_id
   FROM (SELECT *, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents LEFT JOIN labels USING (doc_id)))"""
-COLLECTIONS = "collections AS (SELECT source AS id, 'from ' || source AS name, list('ref-' || doc_id ORDER BY 'ref-' || doc_id) AS ref_ids FROM documents GROUP BY source)"
+COLLECTIONS = (
+    "collections AS (SELECT source AS id, 'from ' || source AS name, list('ref-' || doc_id ORDER BY 'ref-' || doc_id) AS ref_ids "
+    "FROM documents GROUP BY source)"
+)
 #: Authors with last and first names and initials, as lists of structs.
 PARSED = REFS + """, parsed AS (SELECT *, list_transform(authors, lambda a: {'last': trim(CASE WHEN contains(a, ',') THEN string_split(a, ',')[1] ELSE string_split(a, ' ')[-1] END), 'first': trim(CASE WHEN contains(a, ',') THEN string_split(a, ',')[2] ELSE string_split(a, ' ')[1] END)}) AS p FROM refs)"""
-MD = "md AS (SELECT conv_id AS doc_id, '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg('## ' || coalesce(role, '') || chr(10) || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS md FROM conversations GROUP BY conv_id)"
+MD = (
+    "md AS (SELECT conv_id AS doc_id, '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg('## ' || coalesce(role, '') || "
+    "chr(10) || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS md FROM conversations "
+    "GROUP BY conv_id)"
+)
 #: Headings of the conversations: the document's, then one for each turn.
-HEADS = "heads AS (SELECT DISTINCT conv_id AS doc_id, 1::BIGINT AS pos, 1 AS level, 'Conversation ' || conv_id AS label FROM conversations UNION ALL SELECT conv_id, 1 + row_number() OVER (PARTITION BY conv_id ORDER BY turn), 2, substr(trim(coalesce(role, '')), 1, 60) FROM conversations)"
-TURNS = "turns AS (SELECT conv_id, turn, a, coalesce(lag(a) OVER (PARTITION BY conv_id ORDER BY turn), '') AS b FROM (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g') AS a FROM conversations))"
-SPANS = "spans AS (SELECT l_orderkey AS doc_id, (l_linenumber % 2)::INT AS page, l_linenumber::BIGINT AS span_no, l_returnflag AS text, (l_partkey % 400)::DOUBLE AS x, (l_suppkey % 40)::DOUBLE AS y, (l_quantity * 2)::DOUBLE AS width, (8.0 + l_quantity % 4)::DOUBLE AS font_size, l_linestatus AS font_name FROM lineitem)"
+HEADS = (
+    "heads AS (SELECT DISTINCT conv_id AS doc_id, 1::BIGINT AS pos, 1 AS level, 'Conversation ' || conv_id AS label FROM conversations "
+    "UNION ALL SELECT conv_id, 1 + row_number() OVER (PARTITION BY conv_id ORDER BY turn), 2, substr(trim(coalesce(role, '')), 1, 60) "
+    "FROM conversations)"
+)
+TURNS = (
+    "turns AS (SELECT conv_id, turn, a, coalesce(lag(a) OVER (PARTITION BY conv_id ORDER BY turn), '') AS b "
+    "FROM (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g') AS a FROM conversations))"
+)
+SPANS = (
+    "spans AS (SELECT l_orderkey AS doc_id, (l_linenumber % 2)::INT AS page, l_linenumber::BIGINT AS span_no, l_returnflag AS text, "
+    "(l_partkey % 400)::DOUBLE AS x, (l_suppkey % 40)::DOUBLE AS y, (l_quantity * 2)::DOUBLE AS width, (8.0 + l_quantity % 4)::DOUBLE AS "
+    "font_size, l_linestatus AS font_name FROM lineitem)"
+)
 GRAPH = """edges AS (SELECT n_regionkey AS graph_id, 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT n_regionkey, 'n' || n_nationkey, 's' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 nodes AS (SELECT DISTINCT graph_id, id, 'node ' || id AS label FROM (SELECT graph_id, src AS id FROM edges UNION ALL SELECT graph_id, dst FROM edges)),
 walk(graph_id, id, rank) AS (SELECT graph_id, id, 0 FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = n.graph_id AND e.dst = n.id) UNION ALL SELECT w.graph_id, e.dst, w.rank + 1 FROM walk w JOIN edges e ON w.graph_id = e.graph_id AND w.id = e.src),
@@ -43,12 +61,23 @@ def _replaced(x: str, pairs: list[tuple[str, str]]) -> str:
 
 
 _XML = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&apos;")]
-_AUTO = [("(tm)", "™"), ("...", "…"), ("(c)", "©"), ("(r)", "®"), ("<->", "↔"), ("1/2", "½"), ("1/4", "¼"), ("3/4", "¾"), ("--", "—"), ("->", "→"), ("<-", "←"), ("!=", "≠"), (">=", "≥"), ("<=", "≤")]
-_LATEX = r"MAP {'&': '\&', '%': '\%', '$': '\$', '#': '\#', '_': '\_', '{': '\{', '}': '\}', '~': '\textasciitilde{}', '^': '\textasciicircum{}', '\': '\textbackslash{}', '<': '\textless{}', '>': '\textgreater{}'}"
+_AUTO = [
+    ("(tm)", "™"), ("...", "…"), ("(c)", "©"), ("(r)", "®"), ("<->", "↔"), ("1/2", "½"), ("1/4", "¼"), ("3/4", "¾"), ("--", "—"),
+    ("->", "→"), ("<-", "←"), ("!=", "≠"), (">=", "≥"), ("<=", "≤")
+]
+_LATEX = (
+    r"MAP {'&': '\&', '%': '\%', '$': '\$', '#': '\#', '_': '\_', '{': '\{', '}': '\}', '~': '\textasciitilde{}', '^': "
+    r"'\textasciicircum{}', '\': '\textbackslash{}', '<': '\textless{}', '>': '\textgreater{}'}"
+)
 
 ORACLE = {
     "normalize_whitespace": _documents(r"trim(regexp_replace(text, '\s+', ' ', 'g'))"),
-    "cleanup_markdown": _documents(r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"),
+    "cleanup_markdown": _documents(
+        (
+            r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', "
+            r"'', 'g')"
+        )
+    ),
     "strip_tags": _pages("regexp_replace(html, '<[^>]*(>|$)', '', 'g')"),
     "strip_jats": _pages("trim(regexp_replace(html, '<[^>]+>', '', 'g'))"),
     "xml_escape": _pages(_replaced("html", _XML)),
@@ -57,37 +86,90 @@ ORACLE = {
     "autocorrect": _documents(_replaced("text", _AUTO)),
     "redact": _documents("repeat('█', length(text))"),
     "find_doi": _documents(r"""regexp_replace(regexp_extract(text, '(10\.\d{4,9}/[^\s"<>]+)', 1), '[.,;)]+$', '')"""),
-    "case_ops": "SELECT doc_id, upper(substr(text, 1, 1)) || lower(substr(text, 2)) AS sentence, lower(text) AS lower, replace(upper(text), 'ẞ', 'SS') AS upper, array_to_string(list_transform(regexp_extract_all(text, '[a-zA-Z0-9_][^\\t\\n\\f\\r ]*|[^a-zA-Z0-9_]'), lambda x: CASE WHEN regexp_matches(x, '^[a-zA-Z0-9_]') THEN upper(substr(x, 1, 1)) || lower(substr(x, 2)) ELSE x END), '') AS title, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c = replace(upper(c), 'ẞ', 'SS') THEN lower(c) ELSE replace(upper(c), 'ẞ', 'SS') END), '') AS toggle FROM documents",
-    "word_char_counts": r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::BIGINT AS n_words, length(text)::BIGINT AS n_chars FROM documents",
+    "case_ops": (
+        "SELECT doc_id, upper(substr(text, 1, 1)) || lower(substr(text, 2)) AS sentence, lower(text) AS lower, replace(upper(text), 'ẞ', "
+        "'SS') AS upper, array_to_string(list_transform(regexp_extract_all(text, '[a-zA-Z0-9_][^\\t\\n\\f\\r ]*|[^a-zA-Z0-9_]'), lambda "
+        "x: CASE WHEN regexp_matches(x, '^[a-zA-Z0-9_]') THEN upper(substr(x, 1, 1)) || lower(substr(x, 2)) ELSE x END), '') AS title, "
+        "array_to_string(list_transform(string_split(text, ''), lambda c: CASE "
+        "WHEN c = replace(upper(c), 'ẞ', 'SS') THEN lower(c) ELSE replace(upper(c), 'ẞ', 'SS') END), '') AS toggle FROM documents"
+    ),
+    "word_char_counts": (
+        r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::BIGINT AS n_words, length(text)::BIGINT "
+        r"AS n_chars FROM documents"
+    ),
     "readability": f"""WITH a AS (SELECT doc_id, regexp_extract_all(text, '{ASCII_WORD}') AS w, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g')) <> ''))::BIGINT AS found FROM documents),
       b AS (SELECT doc_id, len(w)::BIGINT AS n_words, CASE WHEN found = 0 AND len(w) > 0 THEN 1 ELSE found END::BIGINT AS n_sentences, coalesce(list_sum(list_transform(w, lambda x: CASE WHEN length(x) <= 3 THEN 1 ELSE greatest(len(regexp_extract_all(regexp_replace(regexp_replace(lower(x), '(?:[^laeiouy]es|ed|[^laeiouy]e)$', ''), '^y', ''), '[aeiouy]{{1,2}}')), 1) END)), 0)::BIGINT AS n_syllables FROM a)
       SELECT doc_id, n_words, n_sentences, n_syllables, CASE WHEN n_words > 0 AND n_sentences > 0 THEN greatest(206.835::DOUBLE - 1.015::DOUBLE * (n_words / n_sentences) - 84.6::DOUBLE * (n_syllables / n_words), 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS ease, CASE WHEN n_words > 0 AND n_sentences > 0 THEN greatest(0.39::DOUBLE * (n_words / n_sentences) + 11.8::DOUBLE * (n_syllables / n_words) - 15.59::DOUBLE, 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS grade FROM b""",
-    "authors_parsed": f"WITH {PARSED}, e AS (SELECT id, unnest(p) AS a, generate_subscripts(p, 1) - 1 AS pos FROM parsed) SELECT id, pos::INT AS pos, a.last AS last_name, a.first AS first_name, CASE WHEN a.first = '' THEN '' ELSE substr(a.first, 1, 1) || '.' END AS initials FROM e",
-    "find_regex": "SELECT doc_id, len(regexp_extract_all(text, '(?i)[a-z]+tion'))::BIGINT AS n, array_to_string(regexp_extract_all(text, '(?i)[a-z]+tion'), '|') AS matches FROM documents",
+    "authors_parsed": (
+        f"WITH {PARSED}, e AS (SELECT id, unnest(p) AS a, generate_subscripts(p, 1) - 1 AS pos FROM parsed) "
+        f"SELECT id, pos::INT AS pos, a.last AS last_name, a.first AS first_name, CASE "
+        f"WHEN a.first = '' THEN '' ELSE substr(a.first, 1, 1) || '.' END AS initials FROM e"
+    ),
+    "find_regex": (
+        "SELECT doc_id, len(regexp_extract_all(text, '(?i)[a-z]+tion'))::BIGINT AS n, array_to_string(regexp_extract_all(text, "
+        "'(?i)[a-z]+tion'), '|') AS matches FROM documents"
+    ),
     "replace_literal": _documents(r"regexp_replace(text, '(?i)the', '$1\\the', 'g')"),
     "font_families": "SELECT doc_id, ['Times New Roman', 'Arial', 'Calibri', 'Courier New', 'Georgia'][doc_id % 5 + 1] AS family FROM documents",
-    "accept_reject_changes": "SELECT conv_id, turn, role || ' ' || coalesce(text, '') || ' ' AS accepted, ' ' || coalesce(text, '') || ' ' || role AS rejected FROM conversations",
+    "accept_reject_changes": (
+        "SELECT conv_id, turn, role || ' ' || coalesce(text, '') || ' ' AS accepted, ' ' || coalesce(text, '') || ' ' || role AS "
+        "rejected FROM conversations"
+    ),
     "attribute_blocks": "SELECT doc_id, lang || ',s' AS classes, source AS attr_id FROM documents",
-    "library_search": f"WITH {REFS} SELECT id, title, year FROM refs WHERE contains(lower(concat_ws(' ', title, array_to_string(authors, ' '), year, journal, doi, pmid, isbn, array_to_string(tags, ' '), notes)), 'tion')",
-    "library_filters": f"WITH {REFS} SELECT 'starred' AS filter_name, id FROM refs WHERE starred UNION ALL SELECT 'unread', id FROM refs WHERE NOT read_status UNION ALL SELECT 'thesis', id FROM refs WHERE reference_type = 'Thesis' UNION ALL SELECT 'recent', id FROM refs WHERE DATE '2024-12-31' - date_added::DATE < 30",
+    "library_search": (
+        f"WITH {REFS} SELECT id, title, year FROM refs WHERE contains(lower(concat_ws(' ', title, array_to_string(authors, ' '), year, "
+        f"journal, doi, pmid, isbn, array_to_string(tags, ' '), notes)), 'tion')"
+    ),
+    "library_filters": (
+        f"WITH {REFS} SELECT 'starred' AS filter_name, id FROM refs WHERE starred UNION ALL SELECT 'unread', id FROM refs "
+        f"WHERE NOT read_status UNION ALL SELECT 'thesis', id FROM refs WHERE reference_type = 'Thesis' UNION ALL SELECT 'recent', id "
+        f"FROM refs WHERE DATE '2024-12-31' - date_added::DATE < 30"
+    ),
     "collection_members": f"WITH {REFS} SELECT id, title FROM refs WHERE doc_id IN (SELECT doc_id FROM documents WHERE source = 'src7')",
-    "citation_pickers": f"WITH {REFS} SELECT 'citation' AS picker, id FROM refs WHERE contains(lower(title), '199') OR contains(lower(array_to_string(authors, ', ')), '199') OR contains(year, '199') UNION ALL SELECT 'source', id FROM refs WHERE contains(lower(array_to_string(authors, ', ') || title || year), '199')",
-    "legacy_append": f"WITH {REFS} SELECT id, title FROM refs UNION ALL SELECT 'ref-' || doc_id * 2, 'legacy' FROM documents WHERE 'ref-' || doc_id * 2 NOT IN (SELECT id FROM refs)",
-    "nav_counts": f"WITH {REFS} SELECT count(*) AS n_all, count(*) FILTER (WHERE starred) AS n_starred, count(*) FILTER (WHERE NOT read_status) AS n_unread FROM refs",
+    "citation_pickers": (
+        f"WITH {REFS} SELECT 'citation' AS picker, id FROM refs WHERE contains(lower(title), '199') OR "
+        f"contains(lower(array_to_string(authors, ', ')), '199') OR contains(year, '199') UNION ALL SELECT 'source', id FROM refs "
+        f"WHERE contains(lower(array_to_string(authors, ', ') || title || year), '199')"
+    ),
+    "legacy_append": (
+        f"WITH {REFS} SELECT id, title FROM refs UNION ALL SELECT 'ref-' || doc_id * 2, 'legacy' FROM documents "
+        f"WHERE 'ref-' || doc_id * 2 NOT IN (SELECT id FROM refs)"
+    ),
+    "nav_counts": (
+        f"WITH {REFS} SELECT count(*) AS n_all, count(*) FILTER (WHERE starred) AS n_starred, count(*) FILTER (WHERE NOT read_status) AS "
+        f"n_unread FROM refs"
+    ),
     "collection_sizes": f"WITH {COLLECTIONS} SELECT id, name, len(ref_ids)::BIGINT AS n_refs FROM collections",
     "term_index": "SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS term FROM documents) GROUP BY term",
     "dedup_first_seen": f"WITH {REFS} SELECT id, doi FROM refs QUALIFY doi = '' OR row_number() OVER (PARTITION BY lower(trim(doi)) ORDER BY doc_id) = 1",
     "library_sorted": f"WITH {REFS} SELECT id, coalesce(authors[1], '') AS first_author FROM refs",
-    "csl_sorted_top": f"WITH {REFS} SELECT id, year, title FROM refs ORDER BY nullif(year, '') DESC NULLS LAST, nullif(lower(title), '') ASC NULLS FIRST, id LIMIT 50",
+    "csl_sorted_top": (
+        f"WITH {REFS} SELECT id, year, title FROM refs ORDER BY nullif(year, '') DESC NULLS LAST, nullif(lower(title), '') ASC NULLS "
+        f"FIRST, id LIMIT 50"
+    ),
     "lww_merge": """WITH o AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS date_modified, o_totalprice AS price, o_orderpriority AS p FROM orders),
       a AS (SELECT id, 'local' AS origin, date_modified, price FROM o WHERE p < '4'), b AS (SELECT id, 'remote' AS origin, CASE WHEN price > 100000 THEN '9999-01-01' ELSE date_modified END AS date_modified, price FROM o WHERE p > '2'),
       u AS (SELECT *, 0 AS k FROM a UNION ALL SELECT *, 1 FROM b) SELECT id, origin, date_modified, price FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY date_modified DESC, k) = 1""",
-    "collection_union": f"WITH {COLLECTIONS}, r AS (SELECT 'src' || doc_id % 30 AS id, 'remote' AS name, list('ref-' || doc_id) AS ref_ids FROM documents GROUP BY 1) SELECT coalesce(c.id, r.id) AS id, coalesce(c.name, r.name) AS name, array_to_string(list_sort(list_distinct(list_concat(coalesce(c.ref_ids, []), coalesce(r.ref_ids, [])))), ',') AS ref_ids FROM collections c FULL JOIN r ON c.id = r.id",
-    "resolve_citations": f"WITH {REFS}, f AS (SELECT user_id AS doc_id, 'ref-' || event_id % 3000 AS ref_id, min(event_id) AS first FROM events GROUP BY 1, 2), n AS (SELECT doc_id, ref_id, row_number() OVER (PARTITION BY doc_id ORDER BY first, ref_id) AS number FROM f) SELECT n.doc_id, number, ref_id, title FROM n JOIN refs ON refs.id = n.ref_id",
+    "collection_union": (
+        f"WITH {COLLECTIONS}, r AS (SELECT 'src' || doc_id % 30 AS id, 'remote' AS name, list('ref-' || doc_id) AS ref_ids FROM documents "
+        f"GROUP BY 1) SELECT coalesce(c.id, r.id) AS id, coalesce(c.name, r.name) AS name, "
+        f"array_to_string(list_sort(list_distinct(list_concat(coalesce(c.ref_ids, []), coalesce(r.ref_ids, [])))), ',') AS ref_ids "
+        f"FROM collections c FULL JOIN r ON c.id = r.id"
+    ),
+    "resolve_citations": (
+        f"WITH {REFS}, f AS (SELECT user_id AS doc_id, 'ref-' || event_id % 3000 AS ref_id, min(event_id) AS first FROM events "
+        f"GROUP BY 1, 2), n AS (SELECT doc_id, ref_id, row_number() OVER (PARTITION BY doc_id ORDER BY first, ref_id) AS number FROM f) "
+        f"SELECT n.doc_id, number, ref_id, title FROM n JOIN refs ON refs.id = n.ref_id"
+    ),
     "update_from_web": f"WITH {REFS} SELECT id, CASE WHEN starred THEN replace(upper(title), 'ẞ', 'SS') ELSE title END AS title, notes, year FROM refs",
     "recent_files": "SELECT event_type || '/' || user_id AS name, max(event_id) AS event_id FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "latest_version": "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 1",
-    "type_badges": f"WITH {REFS} SELECT id, CASE reference_type WHEN 'Journal Article' THEN 'journal' WHEN 'Book' THEN 'book' WHEN 'Book Chapter' THEN 'book' WHEN 'Conference Paper' THEN 'conf' WHEN 'Thesis' THEN 'thesis' WHEN 'Preprint' THEN 'preprint' ELSE 'other' END AS css, ['J','B','B','C','T','R','W','P','P'][doc_id % 9 + 1] AS letter, array_to_string(authors[1:2], ', ') || CASE WHEN len(authors) > 2 THEN ' et al.' ELSE '' END AS authors FROM refs",
+    "type_badges": (
+        f"WITH {REFS} SELECT id, CASE reference_type WHEN 'Journal Article' THEN 'journal' WHEN 'Book' THEN 'book' "
+        f"WHEN 'Book Chapter' THEN 'book' WHEN 'Conference Paper' THEN 'conf' WHEN 'Thesis' THEN 'thesis' "
+        f"WHEN 'Preprint' THEN 'preprint' ELSE 'other' END AS css, ['J','B','B','C','T','R','W','P','P'][doc_id % 9 + 1] AS letter, "
+        f"array_to_string(authors[1:2], ', ') || CASE WHEN len(authors) > 2 THEN ' et al.' ELSE '' END AS authors FROM refs"
+    ),
     "cite_apa": f"""WITH {PARSED}, f AS (SELECT *, list_transform(p, lambda a: a.last || ', ' || CASE WHEN a.first = '' THEN '' ELSE substr(a.first, 1, 1) || '.' END) AS f FROM parsed) SELECT id, trim(
       CASE WHEN len(f) = 0 THEN '' WHEN len(f) = 1 THEN f[1] WHEN len(f) <= 7 THEN array_to_string(f[1:len(f)-1], ', ') || ', & ' || f[-1] ELSE array_to_string(f[1:6], ', ') || ', ... ' || f[-1] END
       || ' (' || CASE WHEN year = '' THEN 'n.d.' ELSE year END || ').  ' || title || '. ' || CASE WHEN journal = '' THEN '' ELSE ' *' || journal || '*' || CASE WHEN volume = '' THEN '' WHEN issue = '' THEN ', *' || volume || '*' ELSE ', *' || volume || '*(' || issue || ')' END || CASE WHEN pages = '' THEN '' ELSE ', ' || pages END || '.' END || CASE WHEN doi = '' THEN '' ELSE ' https://doi.org/' || doi END) AS citation FROM f""",
@@ -105,26 +187,92 @@ ORACLE = {
       || array_to_string(list_transform(tags, lambda a: 'KW  - ' || a || chr(10)), '') || CASE WHEN notes = '' THEN '' ELSE 'N1  - ' || notes || chr(10) END || 'ER  - ' || chr(10) || chr(10) AS record FROM refs""",
     "export_bibtex": f"""WITH {REFS} SELECT id, '@' || ['article','book','incollection','inproceedings','phdthesis','techreport','misc','misc','misc'][doc_id % 9 + 1] || '{{' || regexp_replace(trim(string_split(coalesce(authors[1], 'Unknown'), ',')[1]), '[^\\p{{L}}\\p{{N}}]', '', 'g') || year || ',' || chr(10) || '  title     = {{' || title || '}},' || chr(10)
       || {" || ".join(f"CASE WHEN {c} = '' THEN '' ELSE '  {n:<9} = {{{{' || {v} || '}}}},' || chr(10) END" for n, c, v in (("author", "array_to_string(authors, ' and ')", "array_to_string(authors, ' and ')"), ("journal", "journal", "journal"), ("year", "year", "year"), ("volume", "volume", "volume"), ("number", "issue", "issue"), ("pages", "pages", "replace(pages, '-', '--')"), ("publisher", "publisher", "publisher"), ("doi", "doi", "doi"), ("isbn", "isbn", "isbn"), ("abstract", "abstract_text", "abstract_text"), ("keywords", "array_to_string(tags, ', ')", "array_to_string(tags, ', ')"))).replace("{{", "{").replace("}}", "}")} || '}}' || chr(10) || chr(10) AS entry FROM refs""",
-    "csl_style": f"WITH {PARSED}, f AS (SELECT *, list_transform(p, lambda a: a.last || CASE WHEN a.first = '' THEN '' ELSE ', ' || substr(a.first, 1, 1) || '.' END) AS f FROM parsed) SELECT id, concat_ws('. ', nullif(CASE WHEN len(f) > 1 THEN array_to_string(f[1:len(f)-1], ', ') || ' & ' || f[-1] ELSE array_to_string(f, '') END, ''), nullif(title, ''), CASE WHEN journal = '' THEN 'no journal' ELSE journal END, CASE WHEN year = '' THEN NULL ELSE '(' || year || ')' END) || '.' AS citation FROM f",
-    "ris_round_trip": f"WITH {REFS} SELECT id, CASE doc_id % 9 WHEN 7 THEN 'Journal Article' WHEN 8 THEN 'Journal Article' ELSE reference_type END AS reference_type, trim(title) AS title, array_to_string(list_transform(authors, lambda a: trim(a)), '|') AS authors, journal, year, doi, pages, array_to_string(tags, '|') AS tags FROM refs",
-    "bibtex_round_trip": f"WITH {REFS} SELECT id, CASE WHEN doc_id % 9 >= 6 THEN 'Other' ELSE reference_type END AS reference_type, array_to_string(list_filter(list_transform(string_split(array_to_string(authors, ' and '), ' and '), lambda a: trim(a)), lambda a: a <> ''), '|') AS authors, year, doi, pages FROM refs",
-    "bibliography_entries": f"WITH {REFS} SELECT id, concat_ws('. ', nullif(array_to_string(authors, ', '), ''), nullif(title, ''), nullif(journal, ''), nullif(year, '')) || '.' AS entry FROM refs",
-    "page_metadata": "SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, '' AS authors, '' AS journal, '' AS year, '' AS doi FROM pages",
+    "csl_style": (
+        f"WITH {PARSED}, f AS (SELECT *, list_transform(p, lambda a: a.last || CASE "
+        f"WHEN a.first = '' THEN '' ELSE ', ' || substr(a.first, 1, 1) || '.' END) AS f FROM parsed) "
+        f"SELECT id, concat_ws('. ', nullif(CASE WHEN len(f) > 1 THEN array_to_string(f[1:len(f)-1], ', ') || ' & ' || f[-1] ELSE "
+        f"array_to_string(f, '') END, ''), nullif(title, ''), CASE WHEN journal = '' THEN 'no journal' ELSE journal END, CASE "
+        f"WHEN year = '' THEN NULL ELSE '(' || year || ')' END) || '.' AS citation FROM f"
+    ),
+    "ris_round_trip": (
+        f"WITH {REFS} SELECT id, CASE doc_id % 9 WHEN 7 THEN 'Journal Article' "
+        f"WHEN 8 THEN 'Journal Article' ELSE reference_type END AS reference_type, trim(title) AS title, "
+        f"array_to_string(list_transform(authors, lambda a: trim(a)), '|') AS authors, journal, year, doi, pages, array_to_string(tags, "
+        f"'|') AS tags FROM refs"
+    ),
+    "bibtex_round_trip": (
+        f"WITH {REFS} SELECT id, CASE WHEN doc_id % 9 >= 6 THEN 'Other' ELSE reference_type END AS reference_type, "
+        f"array_to_string(list_filter(list_transform(string_split(array_to_string(authors, ' and '), ' and '), lambda a: trim(a)), lambda "
+        f"a: a <> ''), '|') AS authors, year, doi, pages FROM refs"
+    ),
+    "bibliography_entries": (
+        f"WITH {REFS} SELECT id, concat_ws('. ', nullif(array_to_string(authors, ', '), ''), nullif(title, ''), nullif(journal, ''), "
+        f"nullif(year, '')) || '.' AS entry FROM refs"
+    ),
+    "page_metadata": (
+        "SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, '' AS authors, '' AS journal, '' AS "
+        "year, '' AS doi FROM pages"
+    ),
     "template_substitution": "SELECT c_custkey, 'Dear ' || c_name || ' of {{name}}' || c_mktsegment || ', {{open' AS value FROM customer",
-    "text_similarity": rf"WITH {TURNS}, n AS (SELECT conv_id, turn, trim(regexp_replace(a, '\s+', ' ', 'g')) AS a, trim(regexp_replace(b, '\s+', ' ', 'g')) AS b FROM turns) SELECT conv_id, turn, round(CASE WHEN length(a) = 0 AND length(b) = 0 THEN 1.0::DOUBLE WHEN length(a) = 0 OR length(b) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(a, b) / greatest(length(a), length(b)) END, 9) AS similarity FROM n",
-    "jaro_winkler": f"WITH {TURNS}, j AS (SELECT conv_id, turn, a, b, jaro_similarity(a, b) AS j, list_sum([CASE WHEN substr(a, 1, k) = substr(b, 1, k) AND least(length(a), length(b)) >= k THEN 1 ELSE 0 END for k in [1, 2, 3, 4]]) AS p FROM turns) SELECT conv_id, turn, round(CASE WHEN a = b THEN 1.0::DOUBLE WHEN j > 0.7 THEN j + 0.1::DOUBLE * p * (1 - j) ELSE j END, 9) AS similarity FROM j",
-    "section_starts": "SELECT conv_id, turn, role, row_number() OVER w = 1 OR lag(role) OVER w IS DISTINCT FROM role AS starts FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
-    "run_islands": "WITH a AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a) SELECT user_id, run::BIGINT AS run, event_type, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n FROM b GROUP BY 1, 2, 3",
-    "mindmap_parents": "WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) % 4 AS level FROM conversations) SELECT a.conv_id, a.turn, (SELECT max(b.turn) FROM t b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND b.level < a.level) AS parent_turn, (a.level - coalesce(lag(a.level) OVER (PARTITION BY a.conv_id ORDER BY a.turn), 0))::BIGINT AS depth_step FROM t a",
-    "share_of_total": "SELECT o_orderstatus, o_orderpriority, round(count(*) / greatest(sum(count(*)) OVER (PARTITION BY o_orderstatus), 1), 9)::DOUBLE AS share FROM orders GROUP BY 1, 2",
-    "bar_scale": "SELECT l_orderkey, max(l_linenumber + l_quantity::BIGINT)::BIGINT AS max_end, round(400.0::DOUBLE / greatest(max(l_linenumber + l_quantity::BIGINT), 1), 9) AS scale FROM lineitem GROUP BY 1",
-    "mode_font_size": f"WITH {SPANS} SELECT doc_id, round(font_size * 2) / 2 AS font_size FROM spans WHERE font_size >= 6 GROUP BY doc_id, round(font_size * 2) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, round(font_size * 2)) = 1".replace("round(font_size * 2) / 2 AS", "any_value(round(font_size * 2) / 2) AS"),
-    "body_font": f"WITH {SPANS} SELECT doc_id, font_name FROM spans GROUP BY doc_id, font_name QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sum(strlen(text)) DESC, font_name) = 1",
-    "page_bounds": f"WITH {SPANS} SELECT doc_id, page, max(x + width) AS right_end, min(min(x)) OVER (PARTITION BY doc_id) AS left_end FROM spans GROUP BY doc_id, page",
-    "rect_overlap": f"WITH {SPANS} SELECT a.doc_id, a.page, a.span_no AS a_no, b.span_no AS b_no FROM spans a JOIN spans b ON a.doc_id = b.doc_id AND a.page = b.page AND a.span_no < b.span_no WHERE a.x < b.x + b.width AND a.x + a.width > b.x AND a.y < b.y + b.font_size AND a.y + a.font_size > b.y",
+    "text_similarity": (
+        rf"WITH {TURNS}, n AS (SELECT conv_id, turn, trim(regexp_replace(a, '\s+', ' ', 'g')) AS a, trim(regexp_replace(b, '\s+', ' ', "
+        rf"'g')) AS b FROM turns) SELECT conv_id, turn, round(CASE WHEN length(a) = 0 AND length(b) = 0 THEN 1.0::DOUBLE "
+        rf"WHEN length(a) = 0 OR length(b) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(a, b) / greatest(length(a), length(b)) END, "
+        rf"9) AS similarity FROM n"
+    ),
+    "jaro_winkler": (
+        f"WITH {TURNS}, j AS (SELECT conv_id, turn, a, b, jaro_similarity(a, b) AS j, list_sum([CASE "
+        f"WHEN substr(a, 1, k) = substr(b, 1, k) AND least(length(a), length(b)) >= k THEN 1 ELSE 0 END for k in [1, 2, 3, 4]]) AS p "
+        f"FROM turns) SELECT conv_id, turn, round(CASE WHEN a = b THEN 1.0::DOUBLE "
+        f"WHEN j > 0.7 THEN j + 0.1::DOUBLE * p * (1 - j) ELSE j END, 9) AS similarity FROM j"
+    ),
+    "section_starts": (
+        "SELECT conv_id, turn, role, row_number() OVER w = 1 OR lag(role) OVER w IS DISTINCT FROM role AS starts "
+        "FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"
+    ),
+    "run_islands": (
+        "WITH a AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER w IS DISTINCT "
+        "FROM event_type AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id "
+        "ORDER BY event_id)), b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a) "
+        "SELECT user_id, run::BIGINT AS run, event_type, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n FROM b "
+        "GROUP BY 1, 2, 3"
+    ),
+    "mindmap_parents": (
+        "WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) % 4 AS level FROM conversations) "
+        "SELECT a.conv_id, a.turn, (SELECT max(b.turn) FROM t b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND b.level < a.level) "
+        "AS parent_turn, (a.level - coalesce(lag(a.level) OVER (PARTITION BY a.conv_id ORDER BY a.turn), 0))::BIGINT AS depth_step "
+        "FROM t a"
+    ),
+    "share_of_total": (
+        "SELECT o_orderstatus, o_orderpriority, round(count(*) / greatest(sum(count(*)) OVER (PARTITION BY o_orderstatus), 1), "
+        "9)::DOUBLE AS share FROM orders GROUP BY 1, 2"
+    ),
+    "bar_scale": (
+        "SELECT l_orderkey, max(l_linenumber + l_quantity::BIGINT)::BIGINT AS max_end, round(400.0::DOUBLE / greatest(max(l_linenumber + "
+        "l_quantity::BIGINT), 1), 9) AS scale FROM lineitem GROUP BY 1"
+    ),
+    "mode_font_size": f"WITH {SPANS} SELECT doc_id, round(font_size * 2) / 2 AS font_size FROM spans WHERE font_size >= 6 GROUP BY doc_id, round(font_size * 2) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, round(font_size * 2)) = 1".replace(
+        "round(font_size * 2) / 2 AS", "any_value(round(font_size * 2) / 2) AS"
+    ),
+    "body_font": (
+        f"WITH {SPANS} SELECT doc_id, font_name FROM spans GROUP BY doc_id, font_name QUALIFY row_number() OVER (PARTITION BY doc_id "
+        f"ORDER BY sum(strlen(text)) DESC, font_name) = 1"
+    ),
+    "page_bounds": (
+        f"WITH {SPANS} SELECT doc_id, page, max(x + width) AS right_end, min(min(x)) OVER (PARTITION BY doc_id) AS left_end FROM spans "
+        f"GROUP BY doc_id, page"
+    ),
+    "rect_overlap": (
+        f"WITH {SPANS} SELECT a.doc_id, a.page, a.span_no AS a_no, b.span_no AS b_no FROM spans a "
+        f"JOIN spans b ON a.doc_id = b.doc_id AND a.page = b.page AND a.span_no < b.span_no "
+        f"WHERE a.x < b.x + b.width AND a.x + a.width > b.x AND a.y < b.y + b.font_size AND a.y + a.font_size > b.y"
+    ),
     "rank_longest_path": f"WITH RECURSIVE {GRAPH} SELECT graph_id, id, rank::BIGINT AS node_rank FROM ranks",
     "layout_boxes": f"WITH RECURSIVE {BOXES} SELECT graph_id, id, x, y, width, height FROM boxes",
-    "in_degrees": f"WITH RECURSIVE {GRAPH} SELECT n.graph_id, n.id, (SELECT count(*) FROM edges e WHERE e.graph_id = n.graph_id AND e.dst = n.id) AS n_in FROM nodes n",
+    "in_degrees": (
+        f"WITH RECURSIVE {GRAPH} SELECT n.graph_id, n.id, (SELECT count(*) FROM edges e "
+        f"WHERE e.graph_id = n.graph_id AND e.dst = n.id) AS n_in FROM nodes n"
+    ),
     "flowchart_edges": f"WITH RECURSIVE {GRAPH} SELECT graph_id, src, dst, 'solid' AS style, dst AS label FROM edges",
     "conversation_outline": f"WITH {HEADS} SELECT doc_id, pos, level, label FROM heads",
     "table_of_contents": f"WITH {HEADS} SELECT doc_id, pos, level, CASE WHEN pos <= 2 THEN '<ul>' ELSE '' END || '<li>' || label || '</li>' AS html FROM heads",
@@ -158,24 +306,58 @@ ORACLE |= {
     "file_stems": "SELECT doc_id, regexp_replace(source, '[^a-zA-Z0-9_-]', '_', 'g') || '_é_' || doc_id || '__v2' AS stem FROM documents",
     "css_values": "SELECT p_partkey, p_size || 'px' AS margin, 'red' AS color, 'blue' AS background_color, '' AS width, 'n' || p_size AS tag_id FROM part",
     "colours": "SELECT l_orderkey, l_linenumber, "
-    + ", ".join(f"round((1 - ({c} % {m}) / {m}::DOUBLE) * (1 - (l_linenumber % 9) / 9::DOUBLE), 9) AS {n}" for n, c, m in (("r", "l_partkey", 7), ("g", "l_suppkey", 5), ("b", "l_orderkey", 11)))
+    + ", ".join(
+        f"round((1 - ({c} % {m}) / {m}::DOUBLE) * (1 - (l_linenumber % 9) / 9::DOUBLE), 9) AS {n}" for n, c,
+        m in (("r", "l_partkey", 7), ("g", "l_suppkey", 5), ("b", "l_orderkey", 11))
+    )
     + " FROM lineitem",
     "front_matter": rf"""WITH m AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'x' || {_FRONT} || chr(10) || '---' || chr(10) || text WHEN 2 THEN {_FRONT} || replace(text, '-', '+') ELSE text END AS other, text, source, lang FROM documents)
       SELECT doc_id, CASE WHEN other IS NULL THEN 'title: ' || source || chr(10) || 'lang: ' || lang END AS front, sha256(coalesce(other, regexp_replace(text, '^[\r\n]+', ''))) AS body_sha256 FROM m""",
     "without_media": r"""SELECT doc_id, regexp_replace(regexp_replace(' <i>x</i>' || chr(10) || replace(text, '`', chr(39)), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '<[^>]*(>|$)', '', 'g') AS value FROM documents""",
-    "comments": "SELECT doc_id, k || doc_id AS comment_id, lang AS author, 'see ' || source AS body, source || chr(10) || '!' AS anchor FROM documents, (VALUES ('c'), ('d')) AS v(k)",
+    "comments": (
+        "SELECT doc_id, k || doc_id AS comment_id, lang AS author, 'see ' || source AS body, source || chr(10) || '!' AS anchor "
+        "FROM documents, (VALUES ('c'), ('d')) AS v(k)"
+    ),
     "pruned_comments": "SELECT doc_id, source AS comment_id FROM documents WHERE doc_id % 3 = 0",
-    "lines_sorted": "SELECT doc_id, sha256(array_to_string(list_sort(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')), chr(10))) AS lines_sha256 FROM documents",
+    "lines_sorted": (
+        "SELECT doc_id, sha256(array_to_string(list_sort(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')), chr(10))) "
+        "AS lines_sha256 FROM documents"
+    ),
     "pie_slices": _OF("s_name AS label, s_suppkey + 0.5::DOUBLE AS value"),
-    "sequence_messages": _OF("'N' || s_nationkey AS src, CASE WHEN s_suppkey % 2 = 0 THEN '->>' ELSE '-->>' END AS arrow, 'S' || s_suppkey AS dst, s_name AS text, 0 AS step")
+    "sequence_messages": _OF(
+        (
+            "'N' || s_nationkey AS src, CASE WHEN s_suppkey % 2 = 0 THEN '->>' ELSE '-->>' END AS arrow, 'S' || s_suppkey AS dst, s_name "
+            "AS text, 0 AS step"
+        )
+    )
     + " UNION ALL "
     + _OF("'S' || s_suppkey, '', '', '', 1"),
-    "gantt_tasks": _OF("'T' || s_suppkey % 3 AS section, s_name AS task, (s_suppkey % 40 - min(s_suppkey % 40) OVER (PARTITION BY s_nationkey))::INT AS start, s_suppkey::INT AS length"),
+    "gantt_tasks": _OF(
+        (
+            "'T' || s_suppkey % 3 AS section, s_name AS task, (s_suppkey % 40 - min(s_suppkey % 40) OVER (PARTITION BY "
+            "s_nationkey))::INT AS start, s_suppkey::INT AS length"
+        )
+    ),
     "timeline_events": _OF("'P' || s_suppkey AS period, 'first' AS event")
     + "".join(" UNION ALL " + _OF(f"CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey::VARCHAR ELSE 'P' || s_suppkey END, {e}") for e in ("s_name", "'again'")),
-    "journey_tasks": _OF("'S' || s_suppkey AS section, s_name AS task, (s_suppkey % 5)::INT AS score, CASE WHEN s_suppkey % 2 = 0 THEN 'Me|You' ELSE '' END AS actors"),
-    "state_transitions": _OF("CASE WHEN s_suppkey % 4 = 0 THEN '[*]' ELSE 'S' || s_suppkey END AS src, 'T' || s_nationkey AS dst, CASE WHEN s_suppkey % 2 = 0 THEN 'go on' ELSE '' END AS label"),
-    "class_relations": _OF("'N' || s_nationkey AS src, ['<|--', '*--', 'o--', '-->', '..>'][s_suppkey % 5 + 1] AS arrow, 'S' || s_suppkey AS dst, 'has' AS label"),
+    "journey_tasks": _OF(
+        (
+            "'S' || s_suppkey AS section, s_name AS task, (s_suppkey % 5)::INT AS score, CASE "
+            "WHEN s_suppkey % 2 = 0 THEN 'Me|You' ELSE '' END AS actors"
+        )
+    ),
+    "state_transitions": _OF(
+        (
+            "CASE WHEN s_suppkey % 4 = 0 THEN '[*]' ELSE 'S' || s_suppkey END AS src, 'T' || s_nationkey AS dst, CASE "
+            "WHEN s_suppkey % 2 = 0 THEN 'go on' ELSE '' END AS label"
+        )
+    ),
+    "class_relations": _OF(
+        (
+            "'N' || s_nationkey AS src, ['<|--', '*--', 'o--', '-->', '..>'][s_suppkey % 5 + 1] AS arrow, 'S' || s_suppkey AS dst, 'has' "
+            "AS label"
+        )
+    ),
     "mindmap_lines": _OF("(s_suppkey % 4)::INT AS level, s_name AS label"),
     "styles_of_nodes": """WITH u AS (SELECT s_nationkey AS graph_id, s_suppkey AS k, unnest(['A', 'B' || s_suppkey % 3]) AS node FROM supplier)
       SELECT graph_id, node, p AS property, CASE p WHEN 'fill' THEN '#f' || max(k) ELSE 'red' END AS value FROM u, (VALUES ('fill'), ('stroke')) AS v(p) GROUP BY 1, 2, 3""",
@@ -187,9 +369,15 @@ ORACLE |= {
       UNION ALL SELECT 0, region, min(x) - 40, min(y) - 40, max(x + w) + 40, max(y) + 44 FROM b GROUP BY region""",
     "crossref_references": f"""WITH {PARSED} SELECT id, title, journal, volume, issue, pages, publisher, doi, language, year,
       array_to_string(list_transform(p, lambda a: a.last || ', ' || a.first), '|') AS authors, tags[2] AS abstract_text FROM parsed""",
-    "pubmed_references": f"WITH {PARSED} SELECT id, title, journal, volume, issue, pages, CASE WHEN year = '' THEN 'Mar' ELSE year END AS year, {_NAMED} FROM parsed",
+    "pubmed_references": (
+        f"WITH {PARSED} SELECT id, title, journal, volume, issue, pages, CASE WHEN year = '' THEN 'Mar' ELSE year END AS year, {_NAMED} "
+        f"FROM parsed"
+    ),
     "open_library_references": f"WITH {PARSED} SELECT id, title, publisher, year, isbn, 'Book' AS reference_type, {_NAMED} FROM parsed",
-    "arxiv_references": f"WITH {REFS} SELECT id, language || ' paper' AS title, doi AS abstract_text, substr(date_added, 1, 4) AS year, 'arXiv' AS journal, array_to_string(tags, '|') AS authors FROM refs",
+    "arxiv_references": (
+        f"WITH {REFS} SELECT id, language || ' paper' AS title, doi AS abstract_text, substr(date_added, 1, 4) AS year, 'arXiv' AS "
+        f"journal, array_to_string(tags, '|') AS authors FROM refs"
+    ),
     "activations": """WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS step FROM events), d AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM e),
       k AS (SELECT *, CASE WHEN step > 0 THEN s ELSE s + 1 END AS depth FROM d), f AS (SELECT * FROM k WHERE depth > 0), l AS (SELECT *, max(event_id) OVER (PARTITION BY user_id) AS last_kept FROM f)
       SELECT user_id, depth::BIGINT AS depth, event_id AS start_id, coalesce((SELECT min(c.event_id) FROM f c WHERE c.user_id = l.user_id AND c.depth = l.depth AND c.event_id > l.event_id AND c.step < 0), last_kept) AS end_id
@@ -200,7 +388,10 @@ ORACLE |= {
     "text_under_marks": f"""WITH {SPANS}, q AS (SELECT *, doc_id || '-' || page AS p FROM spans),
       h AS (SELECT DISTINCT p, v.k, span_no, 'n' || span_no AS t FROM q, (VALUES (0), (1)) AS v(k) WHERE x < v.k * 250 + 200 AND x + width > v.k * 250 AND y < 30 AND y + font_size > 0),
       g AS (SELECT p, k, string_agg(t, '' ORDER BY span_no) AS t FROM h GROUP BY p, k) SELECT p AS annotation_id, string_agg(t, ' ' ORDER BY k) AS text FROM g GROUP BY p""",
-    "spans_ruled": f"WITH {SPANS} SELECT concat_ws('-', doc_id, span_no, x::INT, y::INT, width::INT) AS page, doc_id % 3 = 0 AND width > 0 AS underline, doc_id % 3 <> 0 AND doc_id % 5 = 0 AND width > 0 AS strike FROM spans",
+    "spans_ruled": (
+        f"WITH {SPANS} SELECT concat_ws('-', doc_id, span_no, x::INT, y::INT, width::INT) AS page, doc_id % 3 = 0 AND width > 0 AS "
+        f"underline, doc_id % 3 <> 0 AND doc_id % 5 = 0 AND width > 0 AS strike FROM spans"
+    ),
 }
 
 VARIED = """v AS (SELECT conv_id AS doc_id, turn, turn % 5 AS k FROM conversations),
@@ -208,8 +399,10 @@ heads AS (SELECT doc_id, turn, CASE k WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE 1 END AS
   row_number() OVER (PARTITION BY doc_id ORDER BY turn) AS pos FROM v WHERE k > 0)"""
 #: How often each kind of part adds to a counter: (kind, times).
 _VARIED_COUNTS = {
-    "headings": ((1, 1), (2, 1), (3, 1), (4, 1)), "unordered_items": ((2, 2),), "ordered_items": ((2, 1),), "code_blocks": ((3, 1),), "table_rows": ((0, 2),), "tables": ((0, 1),), "blockquotes": ((3, 1),),
-    "math_blocks": (), "inline_math": ((3, 1),), "bold": ((1, 1),), "italic": ((0, 1), (1, 1)), "strikethrough": (), "hyperlinks": ((1, 1),), "footnotes": ((3, 2),), "tasklists": (), "images": ((1, 1),),
+    "headings": ((1, 1), (2, 1), (3, 1), (4, 1)), "unordered_items": ((2, 2),), "ordered_items": ((2, 1),), "code_blocks": ((3, 1),),
+    "table_rows": ((0, 2),), "tables": ((0, 1),), "blockquotes": ((3, 1),),
+    "math_blocks": (), "inline_math": ((3, 1),), "bold": ((1, 1),), "italic": ((0, 1), (1, 1)), "strikethrough": (),
+    "hyperlinks": ((1, 1),), "footnotes": ((3, 2),), "tasklists": (), "images": ((1, 1),),
     "comments": (), "highlights": (), "insertions": (), "deletions": (),
 }
 _MERGE_EVENTS = """(0, 'start', ''), (1, 'text', 'Dear ' || c_name), (2, 'end', ''), (3, 'start', ''), (4, 'text', 'Your balance is ' || c_acctbal || ', segment ' || c_mktsegment || ' {{open'), (5, 'end', ''),
@@ -222,14 +415,22 @@ _LENGTHS = lambda list_, n: f"coalesce(list_sum(list_transform(list_slice({list_
 
 def _found(rules: list[tuple[str, ...]], names: tuple[str, ...]) -> str:
     """Every match of each rule's pattern, and the code points before it."""
-    per_rule = (f"SELECT doc_id, {_PIECES(p)}, " + ", ".join(f"'{v}' AS \"{n}\"" for n, v in zip(names, values, strict=True)) + " FROM documents" for p, *values in rules)
+    per_rule = (
+        f"SELECT doc_id, {_PIECES(p)}, " + ", ".join(
+            f"'{v}' AS \"{n}\"" for n, v in zip(names, values, strict=True)
+        ) + " FROM documents" for p,
+        *values in rules
+    )
     listed = ", ".join(f'"{n}"' for n in names)
     return f"""WITH r AS ({" UNION ALL ".join(per_rule)}), k AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM r)
       SELECT doc_id, m[i] AS matched, ({_LENGTHS("g", "i")} + {_LENGTHS("m", "i - 1")})::BIGINT AS at, {listed} FROM k"""
 
 
 ORACLE |= {
-    "varied_metrics": f"WITH {VARIED} SELECT doc_id, " + ", ".join(f"({' + '.join(f'{n} * count(*) FILTER (k = {k})' for k, n in parts) or '0'})::BIGINT AS {name}" for name, parts in _VARIED_COUNTS.items()) + " FROM v GROUP BY doc_id",
+    "varied_metrics": f"WITH {VARIED} SELECT doc_id, " + ", ".join(
+        f"({' + '.join(f'{n} * count(*) FILTER (k = {k})' for k, n in parts) or '0'})::BIGINT AS {name}" for name,
+        parts in _VARIED_COUNTS.items()
+    ) + " FROM v GROUP BY doc_id",
     "varied_outline": f"WITH {VARIED} SELECT doc_id, pos, level, label FROM heads",
     "varied_contents": f"""WITH {VARIED}, d AS (SELECT *, level - coalesce(lag(level) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS step FROM heads)
       SELECT doc_id, pos, level, repeat('<ul>', greatest(step, 0)) || repeat('</ul>', greatest(-step, 0)) || '<li>' || replace(label, '&', '&amp;') || '</li>' AS html FROM d""",
@@ -241,13 +442,19 @@ ORACLE |= {
         UNION ALL SELECT doc_id, 'footnote', turn, 'f' || turn FROM v WHERE k = 3 UNION ALL SELECT doc_id, 'bookmark', turn, 'm' || turn FROM v WHERE k = 3)
       SELECT doc_id, kind, row_number() OVER (PARTITION BY doc_id, kind ORDER BY turn) AS n, label FROM o""",
     "footnotes_resolved": f"WITH {VARIED} SELECT doc_id, 'f' || turn AS label, 'note ' || turn AS text FROM v WHERE k = 3",
-    "mail_merge": f"SELECT c_custkey AS record_id, seq, kind, text, CASE WHEN seq = 7 THEN 'http://x/' || c_custkey ELSE '' END AS dest FROM customer, LATERAL (VALUES {_MERGE_EVENTS}) AS e(seq, kind, text)",
+    "mail_merge": (
+        f"SELECT c_custkey AS record_id, seq, kind, text, CASE WHEN seq = 7 THEN 'http://x/' || c_custkey ELSE '' END AS dest "
+        f"FROM customer, LATERAL (VALUES {_MERGE_EVENTS}) AS e(seq, kind, text)"
+    ),
     "merge_command": f"""SELECT c_custkey AS record_id, seq, kind, text, CASE WHEN id = '' THEN '' ELSE 'merge-' || c_custkey || '-' || id END AS id,
         CASE WHEN dest = '' THEN '' ELSE '#merge-' || c_custkey || '-' || dest END AS dest FROM customer, LATERAL (VALUES {_COMMAND_EVENTS}) AS e(seq, kind, text, id, dest)
       UNION ALL SELECT c_custkey, -1, 'page_break', '', '', '' FROM customer WHERE c_custkey > (SELECT min(c_custkey) FROM customer)""",
     "match_positions": _found([("[a-z]+tion", "noun"), ("(?i)the", "article")], ("of",)),
     "grammar_matches": _found([(r"(?i)\bthe the\b", "the", "Repeated word"), (r"(?i)\bof of\b", "of", "Repeated word")], ("correction", "message")),
-    "image_sizes": "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_partkey % 5000 + 1 END::BIGINT AS width, CASE WHEN p_partkey % 3 < 2 THEN p_size END::BIGINT AS height FROM part",
+    "image_sizes": (
+        "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_partkey % 5000 + 1 END::BIGINT AS width, CASE "
+        "WHEN p_partkey % 3 < 2 THEN p_size END::BIGINT AS height FROM part"
+    ),
     "images_fitted": """WITH s AS (SELECT p_partkey, p_size, least(640 / p_partkey::DOUBLE, 24 / p_size::DOUBLE, 1) AS k FROM part)
       SELECT p_partkey, greatest(round(p_partkey * k), 1)::BIGINT AS width, greatest(round(p_size * k), 1)::BIGINT AS height, round(p_partkey * 3 / 1440.0::DOUBLE * 96)::BIGINT AS px FROM s""",
     "points_moved": "SELECT p_partkey, (-p_size * p_size + p_size)::DOUBLE AS x, (2 * p_partkey + 1)::DOUBLE AS y FROM part",
@@ -265,5 +472,8 @@ ORACLE |= {
       SELECT s.doc_id, s.page, s.span_no, w.line FROM spans s JOIN walk w ON s.doc_id = w.doc_id AND s.page = w.page AND s.y = w.y""",
 }
 #: What a type comes back as: the one format knows no patents, the other no websites, preprints and patents.
-_BACK = "CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 9 >= 7 THEN 'Journal Article' ELSE reference_type END WHEN doc_id % 9 >= 6 THEN 'Other' ELSE reference_type END"
+_BACK = (
+    "CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 9 >= 7 THEN 'Journal Article' ELSE reference_type END "
+    "WHEN doc_id % 9 >= 6 THEN 'Other' ELSE reference_type END"
+)
 ORACLE["bibliography_files"] = f"WITH {REFS} SELECT id, {_BACK} AS reference_type, year, doi FROM refs"

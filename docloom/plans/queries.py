@@ -47,17 +47,28 @@ def refs(spark: SparkSession, folder: str) -> DataFrame:
         F.element_at(F.array(*map(F.lit, TYPES)), (n + 1).cast("int")).alias("reference_type"),
         title.alias("title"), authors.alias("authors"), abstract.alias("abstract_text"),
         if_(5, 0, F.concat(F.lit("Journal of "), "source")).alias("journal"), if_(11, 0, (F.col("doc_id") % 45 + 1980).cast("string")).alias("year"),
-        if_(3, 0, num(40)).alias("volume"), if_(4, 0, num(12)).alias("issue"), if_(6, 0, F.concat(num(300), F.lit("-"), (F.col("doc_id") % 300 + 9).cast("string"))).alias("pages"),
-        F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("Press "), "lang")).otherwise(F.lit("")).alias("publisher"), F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("10.1000/X"), num(400))).otherwise(F.lit("")).alias("doi"),
-        F.lit("").alias("pmid"), F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("978"), F.lpad(F.col("doc_id").cast("string"), 10, "0"))).otherwise(F.lit("")).alias("isbn"), F.lit("").alias("issn"), F.lit("").alias("url"), F.col("lang").alias("language"),
+        if_(3, 0, num(40)).alias("volume"), if_(4, 0, num(12)).alias("issue"),
+        if_(6, 0, F.concat(num(300), F.lit("-"), (F.col("doc_id") % 300 + 9).cast("string"))).alias("pages"),
+        F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("Press "), "lang")).otherwise(F.lit("")).alias("publisher"),
+        F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("10.1000/X"), num(400))).otherwise(F.lit("")).alias("doi"),
+        F.lit("").alias("pmid"),
+        F.when(
+            F.col("doc_id") % 10 == 0, F.concat(F.lit("978"), F.lpad(F.col("doc_id").cast("string"), 10, "0"))
+        ).otherwise(F.lit("")).alias("isbn"),
+        F.lit("").alias("issn"), F.lit("").alias("url"), F.col("lang").alias("language"),
         F.when(F.col("doc_id") % 8 == 0, F.concat(F.lit("note "), "source")).otherwise(F.lit("")).alias("notes"), F.array("lang", "source").alias("tags"),
-        F.coalesce(F.col("quality") == 1, F.lit(False)).alias("starred"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("read_status"), day(0).alias("date_added"), day(1).alias("date_modified"), "doc_id",
+        F.coalesce(F.col("quality") == 1, F.lit(False)).alias("starred"),
+        F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("read_status"), day(0).alias("date_added"), day(1).alias("date_modified"),
+        "doc_id",
     )
 
 
 def collections(spark, folder) -> DataFrame:
     """A collection for each source, with the references to its documents."""
-    return table(spark, folder, "documents").groupBy(F.col("source").alias("id")).agg(F.concat(F.lit("from "), F.first("source")).alias("name"), F.array_sort(F.collect_list(F.concat(F.lit("ref-"), F.col("doc_id").cast("string")))).alias("ref_ids"))
+    return table(spark, folder, "documents").groupBy(F.col("source").alias("id")).agg(
+        F.concat(F.lit("from "), F.first("source")).alias("name"),
+        F.array_sort(F.collect_list(F.concat(F.lit("ref-"), F.col("doc_id").cast("string")))).alias("ref_ids")
+    )
 
 
 def markdown(spark, folder) -> DataFrame:
@@ -128,7 +139,10 @@ def bullets_and_titles(spark, folder):
 @query
 def authors_parsed(spark, folder):
     r = refs(spark, folder).select("id", F.posexplode("authors").alias("pos", "author"))
-    return r.select("id", "pos", T.parse_author("author")["last"].alias("last_name"), T.parse_author("author")["first"].alias("first_name"), T.initials(T.parse_author("author")["first"]).alias("initials"))
+    return r.select(
+        "id", "pos", T.parse_author("author")["last"].alias("last_name"), T.parse_author("author")["first"].alias("first_name"),
+        T.initials(T.parse_author("author")["first"]).alias("initials")
+    )
 
 
 @query
@@ -144,7 +158,13 @@ def replace_literal(spark, folder):
 
 @query
 def font_families(spark, folder):
-    name = F.concat(F.lit("ABCDEF+"), F.element_at(F.array(*map(F.lit, ("TimesNewRomanPSMT", "Arial-BoldMT", "Calibri-Italic", "CourierNew", "Georgia-Bold"))), (F.col("doc_id") % 5 + 1).cast("int")))
+    name = F.concat(
+        F.lit("ABCDEF+"),
+        F.element_at(
+            F.array(*map(F.lit, ("TimesNewRomanPSMT", "Arial-BoldMT", "Calibri-Italic", "CourierNew", "Georgia-Bold"))),
+            (F.col("doc_id") % 5 + 1).cast("int")
+        )
+    )
     return table(spark, folder, "documents").select("doc_id", T.font_family(name).alias("family"))
 
 
@@ -173,7 +193,9 @@ def library_search(spark, folder):
 def library_filters(spark, folder):
     r = refs(spark, folder)
     tagged = lambda df, name: df.select(F.lit(name).alias("filter_name"), "id")
-    return tagged(library.starred(r), "starred").unionByName(tagged(library.unread(r), "unread")).unionByName(tagged(library.of_type(r, "Thesis"), "thesis")).unionByName(tagged(library.recent(r, "2024-12-31"), "recent"))
+    return tagged(library.starred(r), "starred").unionByName(tagged(library.unread(r), "unread")).unionByName(tagged(library.of_type(r, "Thesis"), "thesis")).unionByName(
+        tagged(library.recent(r, "2024-12-31"), "recent")
+    )
 
 
 @query
@@ -184,7 +206,9 @@ def collection_members(spark, folder):
 @query
 def citation_pickers(spark, folder):
     r = refs(spark, folder)
-    return library.pick_citation(r, "199").select(F.lit("citation").alias("picker"), "id").unionByName(library.pick_source(r, "199").select(F.lit("source").alias("picker"), "id"))
+    return library.pick_citation(r, "199").select(F.lit("citation").alias("picker"), "id").unionByName(
+        library.pick_source(r, "199").select(F.lit("source").alias("picker"), "id")
+    )
 
 
 @query
@@ -229,16 +253,24 @@ def csl_sorted_top(spark, folder):
 @query
 def lww_merge(spark, folder):
     o = table(spark, folder, "orders")
-    side = lambda df, name: df.select(F.col("o_orderkey").alias("id"), F.lit(name).alias("origin"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_modified"), F.col("o_totalprice").alias("price"))
+    side = lambda df, name: df.select(
+        F.col("o_orderkey").alias("id"), F.lit(name).alias("origin"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_modified"),
+        F.col("o_totalprice").alias("price")
+    )
     local = side(o.filter("o_orderpriority < '4'"), "local")
-    later = side(o.filter("o_orderpriority > '2'"), "remote").withColumn("date_modified", F.when(F.col("price") > 100000, F.lit("9999-01-01")).otherwise(F.col("date_modified")))
+    later = side(o.filter("o_orderpriority > '2'"), "remote").withColumn(
+        "date_modified", F.when(F.col("price") > 100000, F.lit("9999-01-01")).otherwise(F.col("date_modified"))
+    )
     return library.last_writer_wins(local, later)
 
 
 @query
 def collection_union(spark, folder):
     d = table(spark, folder, "documents")
-    remote = d.groupBy(F.concat(F.lit("src"), (F.col("doc_id") % 30).cast("string")).alias("id")).agg(F.lit("remote").alias("name"), F.array_sort(F.collect_list(F.concat(F.lit("ref-"), F.col("doc_id").cast("string")))).alias("ref_ids"))
+    remote = d.groupBy(F.concat(F.lit("src"), (F.col("doc_id") % 30).cast("string")).alias("id")).agg(
+        F.lit("remote").alias("name"),
+        F.array_sort(F.collect_list(F.concat(F.lit("ref-"), F.col("doc_id").cast("string")))).alias("ref_ids")
+    )
     out = library.merge_collections(collections(spark, folder), remote)
     return out.select("id", "name", F.array_join("ref_ids", ",").alias("ref_ids"))
 
@@ -250,7 +282,10 @@ def sync_hash(spark, folder):
 
 @query
 def resolve_citations(spark, folder):
-    e = table(spark, folder, "events").select(F.col("user_id").alias("doc_id"), F.concat(F.lit("ref-"), (F.col("event_id") % 3000).cast("string")).alias("ref_id"), F.col("event_id").alias("seq"))
+    e = table(spark, folder, "events").select(
+        F.col("user_id").alias("doc_id"), F.concat(F.lit("ref-"), (F.col("event_id") % 3000).cast("string")).alias("ref_id"),
+        F.col("event_id").alias("seq")
+    )
     return library.resolve_citations(e, refs(spark, folder).select("id", "title")).select("doc_id", "number", "ref_id", "title")
 
 
@@ -263,7 +298,10 @@ def update_from_web(spark, folder):
 
 @query
 def recent_files(spark, folder):
-    return library.recent_files(table(spark, folder, "events").withColumn("name", F.concat_ws("/", "event_type", F.col("user_id").cast("string"))), "name", "event_id", 10)
+    return library.recent_files(
+        table(spark, folder, "events").withColumn("name", F.concat_ws("/", "event_type", F.col("user_id").cast("string"))), "name",
+        "event_id", 10
+    )
 
 
 @query
@@ -274,7 +312,10 @@ def latest_version(spark, folder):
 @query
 def type_badges(spark, folder):
     r = refs(spark, folder)
-    return r.select("id", library.badge(F.col("reference_type"))["css"].alias("css"), library.badge(F.col("reference_type"))["letter"].alias("letter"), library.short_authors(F.col("authors")).alias("authors"))
+    return r.select(
+        "id", library.badge(F.col("reference_type"))["css"].alias("css"), library.badge(F.col("reference_type"))["letter"].alias("letter"),
+        library.short_authors(F.col("authors")).alias("authors")
+    )
 
 
 def _style(name: str) -> None:
@@ -307,7 +348,17 @@ def bibliography_entries(spark, folder):
 @query
 def csl_style(spark, folder):
     names = {"kind": "names", "variable": "authors", "and": "symbol"}
-    style = {"kind": "layout", "delimiter": ". ", "suffix": ".", "children": [names, {"kind": "text", "variable": "title"}, {"kind": "choose", "branches": [{"variable": "journal", "children": [{"kind": "text", "variable": "journal"}]}], "otherwise": [{"kind": "text", "value": "no journal"}]}, {"kind": "text", "variable": "year", "prefix": "(", "suffix": ")"}]}
+    style = {
+        "kind": "layout", "delimiter": ". ", "suffix": ".",
+        "children": [
+            names, {"kind": "text", "variable": "title"},
+            {
+                "kind": "choose", "branches": [{"variable": "journal", "children": [{"kind": "text", "variable": "journal"}]}],
+                "otherwise": [{"kind": "text", "value": "no journal"}]
+            },
+            {"kind": "text", "variable": "year", "prefix": "(", "suffix": ")"}
+        ]
+    }
     return refs(spark, folder).select("id", citations.compiled(style).alias("citation"))
 
 
@@ -316,13 +367,21 @@ def ris_round_trip(spark, folder):
     r = refs(spark, folder)
     files = r.select(F.col("id").alias("file"), citations.ris().alias("text"))
     back = bibliography.read_ris(files)
-    return back.select(F.substring_index("id", "#", 1).alias("id"), "reference_type", "title", F.array_join("authors", "|").alias("authors"), "journal", "year", "doi", "pages", F.array_join("tags", "|").alias("tags"))
+    return back.select(
+        F.substring_index("id", "#", 1).alias("id"), "reference_type", "title", F.array_join("authors", "|").alias("authors"), "journal",
+        "year", "doi", "pages", F.array_join("tags", "|").alias("tags")
+    )
 
 
 @query
 def bibtex_round_trip(spark, folder):
     r = refs(spark, folder)
-    files = r.select(F.col("id").alias("file"), F.regexp_replace(citations.bibtex(), "@(?!(?:article|book|incollection|inproceedings|phdthesis|techreport|misc)\\{)", "").alias("text"))
+    files = r.select(
+        F.col("id").alias("file"),
+        F.regexp_replace(
+            citations.bibtex(), "@(?!(?:article|book|incollection|inproceedings|phdthesis|techreport|misc)\\{)", ""
+        ).alias("text")
+    )
     back = bibliography.read_bibtex(files)
     return back.select(F.substring_index("id", "#", 1).alias("id"), "reference_type", F.array_join("authors", "|").alias("authors"), "year", "doi", "pages")
 
@@ -408,7 +467,10 @@ for _name in sinks.FORMATS:
 
 @query
 def mail_merge(spark, folder):
-    template = "# Dear {{ c_name }}\n\nYour balance is {{c_acctbal}}, {{ missing }}segment {{c_mktsegment}} {{open\n\n[site](http://x/{{c_custkey}}) `{{ c_name }}`\n"
+    template = (
+        "# Dear {{ c_name }}\n\nYour balance is {{c_acctbal}}, {{ missing }}segment {{c_mktsegment}} "
+        "{{open\n\n[site](http://x/{{c_custkey}}) `{{ c_name }}`\n"
+    )
     e = events.parse_markdown(spark.createDataFrame([(0, template)], "doc_id long, md string"))
     c = table(spark, folder, "customer")
     record = F.create_map(*(x for n in ("c_name", "c_mktsegment", "c_custkey", "c_acctbal") for x in (F.lit(n), F.col(n).cast("string"))))
@@ -477,19 +539,26 @@ def section_starts(spark, folder):
 
 @query
 def run_islands(spark, folder):
-    return graph.runs(table(spark, folder, "events").select("user_id", "event_id", "event_type"), "user_id", ["event_type"], "event_id").select("user_id", F.col("run").cast("long").alias("run"), "event_type", F.col("first").alias("first_id"), F.col("last").alias("last_id"), "n")
+    return graph.runs(table(spark, folder, "events").select("user_id", "event_id", "event_type"), "user_id", ["event_type"], "event_id").select(
+        "user_id", F.col("run").cast("long").alias("run"), "event_type", F.col("first").alias("first_id"), F.col("last").alias("last_id"),
+        "n"
+    )
 
 
 @query
 def mindmap_parents(spark, folder):
     t = table(spark, folder, "conversations").select("conv_id", "turn", (F.length(F.coalesce("text", F.lit(""))) % 4).alias("level"))
-    return graph.tree_parents(t, "conv_id", "turn", "level").select("conv_id", "turn", F.col("parent").alias("parent_turn"), F.col("depth_step").cast("long").alias("depth_step"))
+    return graph.tree_parents(t, "conv_id", "turn", "level").select(
+        "conv_id", "turn", F.col("parent").alias("parent_turn"), F.col("depth_step").cast("long").alias("depth_step")
+    )
 
 
 @query
 def activations(spark, folder):
     e = table(spark, folder, "events").select("user_id", "event_id", F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("step"))
-    return graph.activations(e, ["user_id"], "event_id", "step").select("user_id", F.col("depth").cast("long").alias("depth"), F.col("start").alias("start_id"), F.col("end").alias("end_id"))
+    return graph.activations(e, ["user_id"], "event_id", "step").select(
+        "user_id", F.col("depth").cast("long").alias("depth"), F.col("start").alias("start_id"), F.col("end").alias("end_id")
+    )
 
 
 @query
@@ -501,14 +570,22 @@ def share_of_total(spark, folder):
 
 @query
 def bar_scale(spark, folder):
-    li = table(spark, folder, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("start"), F.col("l_quantity").cast("long").alias("length"))
+    li = table(spark, folder, "lineitem").select(
+        "l_orderkey", F.col("l_linenumber").cast("long").alias("start"), F.col("l_quantity").cast("long").alias("length")
+    )
     return graph.bar_scale(li, "l_orderkey", "start", "length").select("l_orderkey", "max_end", F.round("scale", 9).alias("scale"))
 
 
 def _spans(spark, folder) -> DataFrame:
     """Line items as text on pages: an order is a document, a line item a word."""
     li = table(spark, folder, "lineitem")
-    return li.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2).cast("int").alias("page"), F.col("l_linenumber").cast("long").alias("span_no"), F.col("l_returnflag").alias("text"), (F.col("l_partkey") % 400).cast("double").alias("x"), (F.col("l_suppkey") % 40).cast("double").alias("y"), (F.col("l_quantity") * 2).cast("double").alias("width"), (F.lit(8.0) + (F.col("l_quantity") % 4)).cast("double").alias("font_size"), F.col("l_linestatus").alias("font_name"), F.lit(False).alias("bold"))
+    return li.select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2).cast("int").alias("page"),
+        F.col("l_linenumber").cast("long").alias("span_no"), F.col("l_returnflag").alias("text"),
+        (F.col("l_partkey") % 400).cast("double").alias("x"), (F.col("l_suppkey") % 40).cast("double").alias("y"),
+        (F.col("l_quantity") * 2).cast("double").alias("width"), (F.lit(8.0) + (F.col("l_quantity") % 4)).cast("double").alias("font_size"),
+        F.col("l_linestatus").alias("font_name"), F.lit(False).alias("bold")
+    )
 
 
 @query
@@ -529,7 +606,10 @@ def page_bounds(spark, folder):
 
 @query
 def rect_overlap(spark, folder):
-    s = _spans(spark, folder).select("doc_id", "page", "span_no", F.col("x").alias("llx"), F.col("y").alias("lly"), (F.col("x") + F.col("width")).alias("urx"), (F.col("y") + F.col("font_size")).alias("ury"))
+    s = _spans(spark, folder).select(
+        "doc_id", "page", "span_no", F.col("x").alias("llx"), F.col("y").alias("lly"), (F.col("x") + F.col("width")).alias("urx"),
+        (F.col("y") + F.col("font_size")).alias("ury")
+    )
     j = geometry.overlap_join(s, s, ["doc_id", "page"]).filter("a.span_no < b.span_no")
     return j.select("a.doc_id", "a.page", F.col("a.span_no").alias("a_no"), F.col("b.span_no").alias("b_no"))
 
@@ -547,10 +627,18 @@ def spans_to_md(spark, folder):
 def _hierarchy(spark, folder) -> tuple[DataFrame, DataFrame]:
     """A graph for each region: the region, its nations, their suppliers."""
     n, s = table(spark, folder, "nation"), table(spark, folder, "supplier")
-    rn = n.select(F.col("n_regionkey").alias("graph_id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("dst"))
-    ns = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("n_regionkey").alias("graph_id"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("dst"))
+    rn = n.select(
+        F.col("n_regionkey").alias("graph_id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("src"),
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("dst")
+    )
+    ns = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(
+        F.col("n_regionkey").alias("graph_id"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("src"),
+        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("dst")
+    )
     edges = rn.unionByName(ns)
-    nodes = edges.select("graph_id", F.col("src").alias("id")).union(edges.select("graph_id", "dst")).distinct().withColumn("label", F.concat(F.lit("node "), "id"))
+    nodes = edges.select("graph_id", F.col("src").alias("id")).union(edges.select("graph_id", "dst")).distinct().withColumn(
+        "label", F.concat(F.lit("node "), "id")
+    )
     return nodes, edges
 
 
@@ -576,7 +664,10 @@ def edge_paths(spark, folder):
 
 @query
 def cycles_removed(spark, folder):
-    e = table(spark, folder, "events").select(F.col("user_id").alias("graph_id"), F.col("event_type").alias("src"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("event_id")).alias("dst"), F.col("event_id").alias("ord")).filter("dst is not null")
+    e = table(spark, folder, "events").select(
+        F.col("user_id").alias("graph_id"), F.col("event_type").alias("src"),
+        F.lead("event_type").over(Window.partitionBy("user_id").orderBy("event_id")).alias("dst"), F.col("event_id").alias("ord")
+    ).filter("dst is not null")
     return graph.remove_cycles(e)
 
 
@@ -601,7 +692,14 @@ def layout_svg(spark, folder):
 @query
 def flowchart_edges(spark, folder):
     nodes, edges = _hierarchy(spark, folder)
-    source = edges.groupBy("graph_id").agg(F.concat(F.lit("graph TD\n"), F.array_join(F.array_sort(F.collect_list(F.concat("src", F.lit("["), "src", F.lit(" box] -->|"), "dst", F.lit("| "), "dst"))), "\n")).alias("source"))
+    source = edges.groupBy("graph_id").agg(
+        F.concat(
+            F.lit("graph TD\n"),
+            F.array_join(
+                F.array_sort(F.collect_list(F.concat("src", F.lit("["), "src", F.lit(" box] -->|"), "dst", F.lit("| "), "dst"))), "\n"
+            )
+        ).alias("source")
+    )
     _, out, _ = diagrams.flowchart(source)
     return out.select("graph_id", "src", "dst", "style", "label")
 
@@ -636,7 +734,9 @@ for _name in packed.FORMATS:
 @query
 def lengths_in_twips(spark, folder):
     units = F.element_at(F.array(*map(F.lit, ("mm", "cm", "in", "pt", "px", "em"))), (F.col("p_partkey") % 6 + 1).cast("int"))
-    return table(spark, folder, "part").select("p_partkey", T.to_twips(F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(".5 "), units)).alias("twips"))
+    return table(spark, folder, "part").select(
+        "p_partkey", T.to_twips(F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(".5 "), units)).alias("twips")
+    )
 
 
 @query
@@ -650,20 +750,27 @@ def css_values(spark, folder):
     size = F.col("p_size").cast("string")
     tag = F.concat(F.lit('<P ID="n'), size, F.lit('" STYLE="margin: '), size, F.lit("px; Color:RED ;background-color : blue\">"))
     of = lambda n: T.css_value(tag, n).alias(n.replace("-", "_"))
-    return table(spark, folder, "part").select("p_partkey", of("margin"), of("color"), of("background-color"), of("width"), T.attribute(tag, "id").alias("tag_id"))
+    return table(spark, folder, "part").select(
+        "p_partkey", of("margin"), of("color"), of("background-color"), of("width"), T.attribute(tag, "id").alias("tag_id")
+    )
 
 
 @query
 def colours(spark, folder):
     part = lambda c, m: (F.col(c) % m / F.lit(float(m))).cast("double")
-    li = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", T.cmyk_to_rgb(part("l_partkey", 7), part("l_suppkey", 5), part("l_orderkey", 11), part("l_linenumber", 9)).alias("c"))
+    li = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        T.cmyk_to_rgb(part("l_partkey", 7), part("l_suppkey", 5), part("l_orderkey", 11), part("l_linenumber", 9)).alias("c")
+    )
     return li.select("l_orderkey", "l_linenumber", *(F.round(f"c.{k}", 9).alias(k) for k in "rgb"))
 
 
 @query
 def front_matter(spark, folder):
     n, opened = F.col("doc_id") % 4, F.concat(F.lit("\n--- \ntitle: "), "source", F.lit("\nlang: "), "lang")
-    md = F.when(n == 0, F.concat(opened, F.lit("\n---\n\n"), "text")).when(n == 1, F.concat(F.lit("x"), opened, F.lit("\n---\n"), "text")).when(n == 2, F.concat(opened, F.replace("text", F.lit("-"), F.lit("+")))).otherwise(F.col("text"))
+    md = F.when(n == 0, F.concat(opened, F.lit("\n---\n\n"), "text")).when(n == 1, F.concat(F.lit("x"), opened, F.lit("\n---\n"), "text")).when(
+        n == 2, F.concat(opened, F.replace("text", F.lit("-"), F.lit("+")))
+    ).otherwise(F.col("text"))
     d = table(spark, folder, "documents").select("doc_id", T.split_front_matter(md).alias("f"))
     return d.select("doc_id", "f.front", F.sha2(F.col("f.body").cast("binary"), 256).alias("body_sha256"))
 
@@ -676,8 +783,15 @@ def without_media(spark, folder):
 
 @query
 def comments(spark, folder):
-    mark = F.concat(F.lit('<mark class="comment" data-id="c'), F.col("doc_id").cast("string"), F.lit('" data-author="'), "lang", F.lit('" data-content="see '), "source", F.lit('">'), F.col("source"), F.lit("\n!</mark>"))
-    return extras.comments(table(spark, folder, "documents").withColumn("md", F.concat("text", F.lit(" "), mark, F.lit(" and "), F.replace(mark, F.lit('id="c'), F.lit('id="d')))))
+    mark = F.concat(
+        F.lit('<mark class="comment" data-id="c'), F.col("doc_id").cast("string"), F.lit('" data-author="'), "lang",
+        F.lit('" data-content="see '), "source", F.lit('">'), F.col("source"), F.lit("\n!</mark>")
+    )
+    return extras.comments(
+        table(spark, folder, "documents").withColumn(
+            "md", F.concat("text", F.lit(" "), mark, F.lit(" and "), F.replace(mark, F.lit('id="c'), F.lit('id="d')))
+        )
+    )
 
 
 @query
@@ -710,21 +824,29 @@ def pie_slices(spark, folder):
 
 @query
 def sequence_messages(spark, folder):
-    line = F.concat(F.lit("N"), _number("s_nationkey"), F.when(F.col("s_suppkey") % 2 == 0, "->>").otherwise("-->>"), F.lit("S"), _number("s_suppkey"), F.lit(": "), "s_name", F.lit("\n activate S"), _number("s_suppkey"))
+    line = F.concat(
+        F.lit("N"), _number("s_nationkey"), F.when(F.col("s_suppkey") % 2 == 0, "->>").otherwise("-->>"), F.lit("S"), _number("s_suppkey"),
+        F.lit(": "), "s_name", F.lit("\n activate S"), _number("s_suppkey")
+    )
     return diagrams.sequence(_charts(spark, folder, "sequenceDiagram", line)).select("chart_id", "src", "arrow", "dst", "text", "step")
 
 
 @query
 def gantt_tasks(spark, folder):
     day = F.date_add(F.lit("2024-03-01").cast("date"), (F.col("s_suppkey") % 40).cast("int")).cast("string")
-    line = F.concat(F.lit("section T"), (F.col("s_suppkey") % 3).cast("string"), F.lit("\n"), "s_name", F.when(F.col("s_suppkey") % 2 == 0, " : done, ").otherwise(" : "), day, F.lit(", "), _number("s_suppkey"), F.lit("d"))
+    line = F.concat(
+        F.lit("section T"), (F.col("s_suppkey") % 3).cast("string"), F.lit("\n"), "s_name",
+        F.when(F.col("s_suppkey") % 2 == 0, " : done, ").otherwise(" : "), day, F.lit(", "), _number("s_suppkey"), F.lit("d")
+    )
     return diagrams.gantt(_charts(spark, folder, "gantt", line)).select("chart_id", "section", "task", "start", "length")
 
 
 @query
 def timeline_events(spark, folder):
     line = F.concat(F.when(F.col("s_suppkey") % 2 == 0, _number("s_suppkey")).otherwise(F.lit("")), F.lit(" : "), "s_name", F.lit(" : again"))
-    return diagrams.timeline(_charts(spark, folder, "timeline", F.concat(F.lit("P"), _number("s_suppkey"), F.lit(" : first\n"), line))).select("chart_id", "period", "event")
+    return diagrams.timeline(
+        _charts(spark, folder, "timeline", F.concat(F.lit("P"), _number("s_suppkey"), F.lit(" : first\n"), line))
+    ).select("chart_id", "period", "event")
 
 
 @query
@@ -736,7 +858,10 @@ def journey_tasks(spark, folder):
 
 @query
 def state_transitions(spark, folder):
-    line = F.concat(F.when(F.col("s_suppkey") % 4 == 0, F.lit("[*]")).otherwise(F.concat(F.lit("S"), _number("s_suppkey"))), F.lit(" --> T"), _number("s_nationkey"), F.when(F.col("s_suppkey") % 2 == 0, F.lit(" : go on")).otherwise(F.lit("")))
+    line = F.concat(
+        F.when(F.col("s_suppkey") % 4 == 0, F.lit("[*]")).otherwise(F.concat(F.lit("S"), _number("s_suppkey"))), F.lit(" --> T"),
+        _number("s_nationkey"), F.when(F.col("s_suppkey") % 2 == 0, F.lit(" : go on")).otherwise(F.lit(""))
+    )
     return diagrams.states(_charts(spark, folder, "stateDiagram-v2", line)).select("chart_id", "src", "dst", "label")
 
 
@@ -763,9 +888,16 @@ def styles_of_nodes(spark, folder):
 @query
 def graph_nodes(spark, folder):
     e = table(spark, folder, "events")
-    label = F.when(F.col("event_id") % 3 == 0, F.concat("event_type", F.lit(" "), (F.col("event_id") % 7).cast("string"))).when(F.col("event_id") % 3 == 1, F.col("event_type"))
+    label = F.when(
+        F.col("event_id") % 3 == 0, F.concat("event_type", F.lit(" "), (F.col("event_id") % 7).cast("string"))
+    ).when(F.col("event_id") % 3 == 1, F.col("event_type"))
     shape = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("s"), (F.col("event_id") % 5).cast("string")))
-    return graph.build_graph(e.select(F.col("user_id").alias("graph_id"), F.col("event_type").alias("id"), label.alias("label"), shape.alias("shape"), F.col("event_id").alias("ord")))
+    return graph.build_graph(
+        e.select(
+            F.col("user_id").alias("graph_id"), F.col("event_type").alias("id"), label.alias("label"), shape.alias("shape"),
+            F.col("event_id").alias("ord")
+        )
+    )
 
 
 @query
@@ -774,9 +906,14 @@ def subgraph_frames(spark, folder):
     n, s = table(spark, folder, "nation"), table(spark, folder, "supplier")
     members = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.lit(0).alias("graph_id"), F.col("n_name").alias("subgraph"), F.col("s_name").alias("id"))
     r = table(spark, folder, "region")
-    parents = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.lit(0).alias("graph_id"), F.col("n_name").alias("subgraph"), F.col("r_name").alias("parent"))
+    parents = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(
+        F.lit(0).alias("graph_id"), F.col("n_name").alias("subgraph"), F.col("r_name").alias("parent")
+    )
     at = lambda m: (F.col("s_suppkey") % m).cast("double")
-    boxes = s.select(F.lit(0).alias("graph_id"), F.col("s_name").alias("id"), at(97).alias("x"), at(53).alias("y"), (at(11) + 1).alias("width"), F.lit(4.0).alias("height"))
+    boxes = s.select(
+        F.lit(0).alias("graph_id"), F.col("s_name").alias("id"), at(97).alias("x"), at(53).alias("y"), (at(11) + 1).alias("width"),
+        F.lit(4.0).alias("height")
+    )
     return graph.frames(members, parents, boxes)
 
 
@@ -793,15 +930,25 @@ def _people(*names: str):
 def crossref_references(spark, folder):
     r = refs(spark, folder)
     date = F.struct(F.array(F.array(F.coalesce(F.col("year").try_cast("int"), F.lit(0)))).alias("date-parts"))
-    message = F.struct(F.array("title").alias("title"), F.array("journal").alias("container-title"), "volume", "issue", F.col("pages").alias("page"), "publisher", F.col("doi").alias("DOI"), "language", date.alias("issued"), _people("family", "given").alias("author"), F.concat(F.lit("<jats:p>"), "source", F.lit("</jats:p>")).alias("abstract"))
+    message = F.struct(
+        F.array("title").alias("title"), F.array("journal").alias("container-title"), "volume", "issue", F.col("pages").alias("page"),
+        "publisher", F.col("doi").alias("DOI"), "language", date.alias("issued"), _people("family", "given").alias("author"),
+        F.concat(F.lit("<jats:p>"), "source", F.lit("</jats:p>")).alias("abstract")
+    )
     out = bibliography.from_crossref(_payload(r.withColumn("source", F.element_at("tags", 2)), message.alias("message")))
-    return out.select("id", "title", "journal", "volume", "issue", "pages", "publisher", "doi", "language", "year", F.array_join("authors", "|").alias("authors"), "abstract_text")
+    return out.select(
+        "id", "title", "journal", "volume", "issue", "pages", "publisher", "doi", "language", "year",
+        F.array_join("authors", "|").alias("authors"), "abstract_text"
+    )
 
 
 @query
 def pubmed_references(spark, folder):
     r = refs(spark, folder)
-    record = F.struct("title", F.col("journal").alias("fulljournalname"), "volume", "issue", "pages", F.concat("year", F.lit(" Mar")).alias("pubdate"), _people("name").alias("authors"))
+    record = F.struct(
+        "title", F.col("journal").alias("fulljournalname"), "volume", "issue", "pages", F.concat("year", F.lit(" Mar")).alias("pubdate"),
+        _people("name").alias("authors")
+    )
     out = bibliography.from_pubmed(_payload(r, F.struct(record.alias("record")).alias("result")))
     return out.select("id", "title", "journal", "volume", "issue", "pages", F.trim("year").alias("year"), F.array_join("authors", "|").alias("authors"))
 
@@ -809,14 +956,24 @@ def pubmed_references(spark, folder):
 @query
 def open_library_references(spark, folder):
     r = refs(spark, folder)
-    out = bibliography.from_open_library(_payload(r, "title", F.concat(F.lit("May "), "year").alias("publish_date"), _people("name").alias("authors"), F.array(F.struct(F.col("publisher").alias("name"))).alias("publishers")))
+    out = bibliography.from_open_library(
+        _payload(
+            r, "title", F.concat(F.lit("May "), "year").alias("publish_date"), _people("name").alias("authors"),
+            F.array(F.struct(F.col("publisher").alias("name"))).alias("publishers")
+        )
+    )
     return out.select("id", "title", "publisher", "year", "isbn", "reference_type", F.array_join("authors", "|").alias("authors"))
 
 
 @query
 def arxiv_references(spark, folder):
     r = refs(spark, folder)
-    feed = F.concat(F.lit("<feed><title>f</title><entry><published>"), "date_added", F.lit("T00</published><title>\n "), "language", F.lit("  paper </title><summary>"), "doi", F.lit("\n</summary>"), F.array_join(F.transform("tags", lambda a: F.concat(F.lit("<author><name> "), a, F.lit("</name></author>"))), ""), F.lit("</entry></feed>"))
+    feed = F.concat(
+        F.lit("<feed><title>f</title><entry><published>"), "date_added", F.lit("T00</published><title>\n "), "language",
+        F.lit("  paper </title><summary>"), "doi", F.lit("\n</summary>"),
+        F.array_join(F.transform("tags", lambda a: F.concat(F.lit("<author><name> "), a, F.lit("</name></author>"))), ""),
+        F.lit("</entry></feed>")
+    )
     out = bibliography.from_arxiv(r.select("id", feed.alias("payload")))
     return out.select("id", "title", "abstract_text", "year", "journal", F.array_join("authors", "|").alias("authors"))
 
@@ -824,9 +981,16 @@ def arxiv_references(spark, folder):
 @query
 def text_under_marks(spark, folder):
     """Line items that a mark, two quads of an order, lies on."""
-    s = _spans(spark, folder).select(F.concat_ws("-", _number("doc_id"), _number("page")).alias("page"), F.col("span_no").alias("run_no"), F.concat(F.lit("n"), _number("span_no")).alias("text"), F.col("x").alias("llx"), F.col("y").alias("lly"), (F.col("x") + F.col("width")).alias("urx"), (F.col("y") + F.col("font_size")).alias("ury"))
+    s = _spans(spark, folder).select(
+        F.concat_ws("-", _number("doc_id"), _number("page")).alias("page"), F.col("span_no").alias("run_no"),
+        F.concat(F.lit("n"), _number("span_no")).alias("text"), F.col("x").alias("llx"), F.col("y").alias("lly"),
+        (F.col("x") + F.col("width")).alias("urx"), (F.col("y") + F.col("font_size")).alias("ury")
+    )
     quads = s.select("page").distinct().select("page", F.col("page").alias("annotation_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("quad_no"))
-    quads = quads.select("*", (F.col("quad_no") * 250.0).alias("llx"), F.lit(0.0).alias("lly"), (F.col("quad_no") * 250.0 + 200).alias("urx"), F.lit(30.0).alias("ury"))
+    quads = quads.select(
+        "*", (F.col("quad_no") * 250.0).alias("llx"), F.lit(0.0).alias("lly"), (F.col("quad_no") * 250.0 + 200).alias("urx"),
+        F.lit(30.0).alias("ury")
+    )
     return geometry.annotated_text(quads, s)
 
 
@@ -836,7 +1000,9 @@ def spans_ruled(spark, folder):
     page = F.concat_ws("-", *(F.col(c).cast("int").cast("string") for c in ("doc_id", "span_no", "x", "y", "width")))
     s = _spans(spark, folder).select(page.alias("page"), "span_no", "x", "y", "width", "font_size", F.col("doc_id").alias("k"))
     at = F.when(F.col("k") % 3 == 0, F.col("y") - 1).when(F.col("k") % 5 == 0, F.col("y") + F.col("font_size") * 0.3)
-    rects = s.withColumn("lly", at).filter("lly is not null").select("page", F.col("x").alias("llx"), "lly", (F.col("x") + F.col("width")).alias("urx"), (F.col("lly") + 0.5).alias("ury"))
+    rects = s.withColumn("lly", at).filter("lly is not null").select(
+        "page", F.col("x").alias("llx"), "lly", (F.col("x") + F.col("width")).alias("urx"), (F.col("lly") + 0.5).alias("ury")
+    )
     widths = s.select("page", F.lit(1000.0).alias("page_width"))
     return geometry.ruled_spans(s, rects, widths).select("page", "underline", "strike")
 
@@ -851,7 +1017,10 @@ def varied_md(spark, folder) -> DataFrame:
         F.concat(F.lit("intro "), n, F.lit("\n\n| a | b |\n|---|---|\n| 1 | *2* |")),
         F.concat(F.lit("# A"), n, F.lit("\n\npara *i* **b** [l](u) ![p](f)")),
         F.concat(F.lit("### C"), n, F.lit("\n\n- x\n- y\n\n1. z")),
-        F.concat(F.lit("## B"), n, F.lit(' & co\n\n```\ncode\n```\n\n> q $m$\n\nsee <a id="m'), n, F.lit('"></a>x[^f'), n, F.lit("]\n\n[^f"), n, F.lit("]: note "), n),
+        F.concat(
+            F.lit("## B"), n, F.lit(' & co\n\n```\ncode\n```\n\n> q $m$\n\nsee <a id="m'), n, F.lit('"></a>x[^f'), n, F.lit("]\n\n[^f"), n,
+            F.lit("]: note "), n
+        ),
         F.lit("#\n\nend\n\n---"),
     )
     part = F.element_at(F.array(*shapes), (F.col("turn") % 5 + 1).cast("int"))
@@ -934,7 +1103,10 @@ def image_sizes(spark, folder):
 @query
 def images_fitted(spark, folder):
     side = lambda c: F.col(c).cast("long")
-    p = table(spark, folder, "part").select("p_partkey", T.fitted(side("p_partkey"), side("p_size"), F.lit(640), F.lit(24)).alias("s"), T.twips_to_px(side("p_partkey") * 3).alias("px"))
+    p = table(spark, folder, "part").select(
+        "p_partkey", T.fitted(side("p_partkey"), side("p_size"), F.lit(640), F.lit(24)).alias("s"),
+        T.twips_to_px(side("p_partkey") * 3).alias("px")
+    )
     return p.select("p_partkey", "s.width", "s.height", "px")
 
 
@@ -954,7 +1126,10 @@ def tables_sorted(spark, folder):
     s = table(spark, folder, "supplier").withColumn("line", row)
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "line")), asc=False), lambda x: x["line"]), "\n")
     md = s.groupBy("s_nationkey").agg(F.concat(F.lit("| k | name |\n|---|---|\n"), body).alias("md"))
-    return md.select("s_nationkey", extras.sorted_table(F.col("md")).alias("by_text"), extras.sorted_table(F.col("md"), numbers=True, descending=True).alias("by_number"))
+    return md.select(
+        "s_nationkey", extras.sorted_table(F.col("md")).alias("by_text"),
+        extras.sorted_table(F.col("md"), numbers=True, descending=True).alias("by_number")
+    )
 
 
 @query

@@ -9,17 +9,31 @@ from pyspark.sql import functions as F
 EVENT = "seq int, kind string, tag string, depth int, text string, attrs map<string,string>"
 DOC_EVENTS = "doc_id long, " + EVENT
 
-TEXT_FIELDS = ("reference_type", "title", "abstract_text", "journal", "volume", "issue", "pages", "publisher", "edition", "doi", "pmid", "isbn", "issn", "url", "access_date", "language", "notes", "year", "date_added", "date_modified")
+TEXT_FIELDS = (
+    "reference_type", "title", "abstract_text", "journal", "volume", "issue", "pages", "publisher", "edition", "doi", "pmid", "isbn",
+    "issn", "url", "access_date", "language", "notes", "year", "date_added", "date_modified"
+)
 LIST_FIELDS = ("authors", "tags", "collections")
 FLAG_FIELDS = ("starred", "read_status")
-REFERENCE = ", ".join(["id string", *(f"{f} string" for f in TEXT_FIELDS), *(f"{f} array<string>" for f in LIST_FIELDS), *(f"{f} boolean" for f in FLAG_FIELDS), "pdf_path string"])
+REFERENCE = ", ".join(
+    [
+        "id string", *(f"{f} string" for f in TEXT_FIELDS), *(f"{f} array<string>" for f in LIST_FIELDS),
+        *(f"{f} boolean" for f in FLAG_FIELDS), "pdf_path string"
+    ]
+)
 COLLECTION = "id string, name string, ref_ids array<string>"
 
-SPAN = "page int, text string, x float, y float, width float, font_size float, font_name string, bold boolean, italic boolean, underline boolean, strike boolean"
+SPAN = (
+    "page int, text string, x float, y float, width float, font_size float, font_name string, bold boolean, italic boolean, underline "
+    "boolean, strike boolean"
+)
 RECT = "page int, llx float, lly float, urx float, ury float"
 
 #: A document's settings: what its front matter may set, with the values used otherwise.
-CONFIG = {"title": "", "author": "", "date": "", "abstract_text": "", "lang": "en", "paper": "a4", "margin": "25mm", "font": "", "font_size": "11pt", "line_spacing": "1.0", "toc": "false", "numbering": "false", "math": "true", "theme": "default"}
+CONFIG = {
+    "title": "", "author": "", "date": "", "abstract_text": "", "lang": "en", "paper": "a4", "margin": "25mm", "font": "",
+    "font_size": "11pt", "line_spacing": "1.0", "toc": "false", "numbering": "false", "math": "true", "theme": "default"
+}
 
 
 def as_references(df: DataFrame) -> DataFrame:

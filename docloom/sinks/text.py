@@ -18,37 +18,56 @@ Rules = dict[str, tuple[str, str] | str]
 _HTML_STYLE = "body{max-width:48em;margin:auto;font-family:serif}table{border-collapse:collapse}td{border:1px solid #999;padding:.2em .5em}"
 
 HTML: Rules = {
-    "paragraph": ("<p>", "</p>\n"), "blockquote": ("<blockquote>\n", "</blockquote>\n"), "item": ("<li>", "</li>\n"), "code_block": ("<pre><code>", "</code></pre>\n"),
+    "paragraph": ("<p>", "</p>\n"), "blockquote": ("<blockquote>\n", "</blockquote>\n"), "item": ("<li>", "</li>\n"),
+    "code_block": ("<pre><code>", "</code></pre>\n"),
     "table": ("<table>\n", "</table>\n"), "table_head": ("<tr>", "</tr>\n"), "table_row": ("<tr>", "</tr>\n"), "table_cell": ("<td>", "</td>"),
-    "emphasis": ("<em>", "</em>"), "strong": ("<strong>", "</strong>"), "strikethrough": ("<del>", "</del>"), "subscript": ("<sub>", "</sub>"), "superscript": ("<sup>", "</sup>"),
-    "link": ('<a href="{dest}">', "</a>"), "image": ('<img src="{dest}" alt="', '" />'), "footnote": ('<div class="footnote" id="fn-{label}">', "</div>\n"), "html_block": ("", ""),
-    "text": "{}", "code": "<code>{}</code>", "html": "{raw}", "inline_html": "{raw}", "inline_math": '<span class="math inline">{}</span>', "display_math": '<div class="math display">{}</div>',
-    "soft_break": "<br />\n", "hard_break": "<br />\n", "rule": '<div class="page-break"></div>\n', "page_break": '<div class="page-break"></div>\n', "footnote_ref": '<sup><a href="#fn-{}">{}</a></sup>',
+    "emphasis": ("<em>", "</em>"), "strong": ("<strong>", "</strong>"), "strikethrough": ("<del>", "</del>"),
+    "subscript": ("<sub>", "</sub>"), "superscript": ("<sup>", "</sup>"),
+    "link": ('<a href="{dest}">', "</a>"), "image": ('<img src="{dest}" alt="', '" />'),
+    "footnote": ('<div class="footnote" id="fn-{label}">', "</div>\n"), "html_block": ("", ""),
+    "text": "{}", "code": "<code>{}</code>", "html": "{raw}", "inline_html": "{raw}", "inline_math": '<span class="math inline">{}</span>',
+    "display_math": '<div class="math display">{}</div>',
+    "soft_break": "<br />\n", "hard_break": "<br />\n", "rule": '<div class="page-break"></div>\n',
+    "page_break": '<div class="page-break"></div>\n', "footnote_ref": '<sup><a href="#fn-{}">{}</a></sup>',
 }
 LATEX: Rules = {
-    "paragraph": ("", "\n\n"), "blockquote": ("\\begin{quote}\n", "\\end{quote}\n"), "item": ("\\item ", "\n"), "code_block": ("\\begin{verbatim}\n", "\\end{verbatim}\n"),
-    "table": ("\\begin{longtable}{{columns}}\n", "\\end{longtable}\n"), "table_head": ("", " \\\\ \\hline\n"), "table_row": ("", " \\\\\n"), "table_cell": ("", " & "),
-    "emphasis": ("\\textit{", "}"), "strong": ("\\textbf{", "}"), "strikethrough": ("\\sout{", "}"), "subscript": ("\\textsubscript{", "}"), "superscript": ("\\textsuperscript{", "}"),
-    "link": ("\\href{{dest}}{", "}"), "image": ("\\begin{figure}\\includegraphics{{dest}}\\caption{", "}\\end{figure}"), "footnote": ("\\footnotetext{", "}\n"), "html_block": ("", ""),
+    "paragraph": ("", "\n\n"), "blockquote": ("\\begin{quote}\n", "\\end{quote}\n"), "item": ("\\item ", "\n"),
+    "code_block": ("\\begin{verbatim}\n", "\\end{verbatim}\n"),
+    "table": ("\\begin{longtable}{{columns}}\n", "\\end{longtable}\n"), "table_head": ("", " \\\\ \\hline\n"), "table_row": ("", " \\\\\n"),
+    "table_cell": ("", " & "),
+    "emphasis": ("\\textit{", "}"), "strong": ("\\textbf{", "}"), "strikethrough": ("\\sout{", "}"), "subscript": ("\\textsubscript{", "}"),
+    "superscript": ("\\textsuperscript{", "}"),
+    "link": ("\\href{{dest}}{", "}"), "image": ("\\begin{figure}\\includegraphics{{dest}}\\caption{", "}\\end{figure}"),
+    "footnote": ("\\footnotetext{", "}\n"), "html_block": ("", ""),
     "text": "{}", "code": "\\texttt{{}}", "html": "", "inline_html": "", "inline_math": "${raw}$", "display_math": "\\[{raw}\\]",
     "soft_break": "\n", "hard_break": "\\\\\n", "rule": "\\newpage\n", "page_break": "\\newpage\n", "footnote_ref": "\\footnotemark[{}]",
 }
 MARKDOWN: Rules = {
-    "paragraph": ("", "\n\n"), "blockquote": ("> ", "\n"), "code_block": ("```{info}\n", "```\n\n"), "table": ("", "\n"), "table_head": ("|", "\n{rule}\n"), "table_row": ("|", "\n"), "table_cell": (" ", " |"),
-    "emphasis": ("*", "*"), "strong": ("**", "**"), "strikethrough": ("~~", "~~"), "subscript": ("~", "~"), "superscript": ("^", "^"), "link": ("[", "]({dest})"), "image": ("![", "]({dest})"),
-    "footnote": ("[^{label}]: ", "\n"), "html_block": ("", "\n"), "text": "{}", "code": "`{raw}`", "html": "{raw}", "inline_html": "{raw}", "inline_math": "${raw}$", "display_math": "$${raw}$$",
+    "paragraph": ("", "\n\n"), "blockquote": ("> ", "\n"), "code_block": ("```{info}\n", "```\n\n"), "table": ("", "\n"),
+    "table_head": ("|", "\n{rule}\n"), "table_row": ("|", "\n"), "table_cell": (" ", " |"),
+    "emphasis": ("*", "*"), "strong": ("**", "**"), "strikethrough": ("~~", "~~"), "subscript": ("~", "~"), "superscript": ("^", "^"),
+    "link": ("[", "]({dest})"), "image": ("![", "]({dest})"),
+    "footnote": ("[^{label}]: ", "\n"), "html_block": ("", "\n"), "text": "{}", "code": "`{raw}`", "html": "{raw}", "inline_html": "{raw}",
+    "inline_math": "${raw}$", "display_math": "$${raw}$$",
     "soft_break": "\n", "hard_break": "  \n", "rule": "\n---\n\n", "page_break": "\n---\n\n", "footnote_ref": "[^{}]", "task": "[{}] ",
 }
 TYPST: Rules = {
-    "paragraph": ("", "\n\n"), "blockquote": ("#quote[", "]\n\n"), "code_block": ("```{info}\n", "```\n\n"), "table": ("#table(columns: {n_columns},\n", ")\n\n"), "table_head": ("", "\n"), "table_row": ("", "\n"), "table_cell": ("[", "], "),
-    "emphasis": ("_", "_"), "strong": ("*", "*"), "strikethrough": ("#strike[", "]"), "subscript": ("#sub[", "]"), "superscript": ("#super[", "]"), "link": ('#link("{dest}")[', "]"), "image": ('#figure(image("{dest}"), caption: [', "])"),
-    "footnote": ("#footnote[", "]\n"), "html_block": ("", ""), "text": "{}", "code": "`{raw}`", "html": "", "inline_html": "", "inline_math": "${raw}$", "display_math": "$ {raw} $",
+    "paragraph": ("", "\n\n"), "blockquote": ("#quote[", "]\n\n"), "code_block": ("```{info}\n", "```\n\n"),
+    "table": ("#table(columns: {n_columns},\n", ")\n\n"), "table_head": ("", "\n"), "table_row": ("", "\n"), "table_cell": ("[", "], "),
+    "emphasis": ("_", "_"), "strong": ("*", "*"), "strikethrough": ("#strike[", "]"), "subscript": ("#sub[", "]"),
+    "superscript": ("#super[", "]"), "link": ('#link("{dest}")[', "]"), "image": ('#figure(image("{dest}"), caption: [', "])"),
+    "footnote": ("#footnote[", "]\n"), "html_block": ("", ""), "text": "{}", "code": "`{raw}`", "html": "", "inline_html": "",
+    "inline_math": "${raw}$", "display_math": "$ {raw} $",
     "soft_break": "\n", "hard_break": " \\\n", "rule": "#line(length: 100%)\n\n", "page_break": "#pagebreak()\n\n", "footnote_ref": "#super[{}]",
 }
 RTF: Rules = {
-    "paragraph": ("{\\pard ", "\\par}\n"), "blockquote": ("{\\pard\\li720 ", "\\par}\n"), "code_block": ("{\\pard\\f1 ", "\\par}\n"), "table": ("", ""), "table_head": ("\\trowd ", "\\row\n"), "table_row": ("\\trowd ", "\\row\n"), "table_cell": ("\\intbl ", "\\cell "),
-    "emphasis": ("{\\i ", "}"), "strong": ("{\\b ", "}"), "strikethrough": ("{\\strike ", "}"), "subscript": ("{\\sub ", "}"), "superscript": ("{\\super ", "}"),
-    "link": ('{\\field{\\*\\fldinst HYPERLINK "{dest}"}{\\fldrslt ', "}}"), "image": ("{\\i ", "}"), "footnote": ("", ""), "html_block": ("", ""), "text": "{}", "code": "{\\f1 {}}", "html": "", "inline_html": "", "inline_math": "{\\i {}}", "display_math": "{\\i {}}",
+    "paragraph": ("{\\pard ", "\\par}\n"), "blockquote": ("{\\pard\\li720 ", "\\par}\n"), "code_block": ("{\\pard\\f1 ", "\\par}\n"),
+    "table": ("", ""), "table_head": ("\\trowd ", "\\row\n"), "table_row": ("\\trowd ", "\\row\n"), "table_cell": ("\\intbl ", "\\cell "),
+    "emphasis": ("{\\i ", "}"), "strong": ("{\\b ", "}"), "strikethrough": ("{\\strike ", "}"), "subscript": ("{\\sub ", "}"),
+    "superscript": ("{\\super ", "}"),
+    "link": ('{\\field{\\*\\fldinst HYPERLINK "{dest}"}{\\fldrslt ', "}}"), "image": ("{\\i ", "}"), "footnote": ("", ""),
+    "html_block": ("", ""), "text": "{}", "code": "{\\f1 {}}", "html": "", "inline_html": "", "inline_math": "{\\i {}}",
+    "display_math": "{\\i {}}",
     "soft_break": " ", "hard_break": "\\line ", "rule": "\\page\n", "page_break": "\\page\n", "footnote_ref": "{\\super {}}",
 }
 
@@ -59,7 +78,9 @@ def _heading(fmt: str) -> tuple[Column, Column]:
     level = F.col("attrs")["level"]
     own = F.col("attrs")["id"]
     if fmt in ("html", "xhtml"):
-        return F.concat(F.lit("<h"), level, F.when(own.isNotNull(), F.concat(F.lit(' id="'), own, F.lit('"'))).otherwise(F.lit("")), F.lit(">")), F.concat(F.lit("</h"), level, F.lit(">\n"))
+        return F.concat(
+            F.lit("<h"), level, F.when(own.isNotNull(), F.concat(F.lit(' id="'), own, F.lit('"'))).otherwise(F.lit("")), F.lit(">")
+        ), F.concat(F.lit("</h"), level, F.lit(">\n"))
     if fmt == "latex":
         name = F.element_at(F.array(*map(F.lit, _SECTIONS)), level.cast("int"))
         return F.concat(F.lit("\\"), name, F.lit("{")), F.lit("}\n\n")
@@ -86,19 +107,33 @@ def _item(fmt: str) -> tuple[Column, Column]:
     if fmt == "typst":
         return F.when(ordered, F.lit("+ ")).otherwise(F.lit("- ")), F.lit("\n")
     if fmt == "rtf":
-        return F.when(ordered, F.concat(F.lit("{\\pard\\li720 "), F.col("item_no").cast("string"), F.lit(". "))).otherwise(F.lit("{\\pard\\li720\\bullet ")), F.lit("\\par}\n")
+        return F.when(
+            ordered, F.concat(F.lit("{\\pard\\li720 "), F.col("item_no").cast("string"), F.lit(". "))
+        ).otherwise(F.lit("{\\pard\\li720\\bullet ")), F.lit("\\par}\n")
     indent = F.repeat(F.lit("  "), F.greatest(F.col("list_depth") - 1, F.lit(0)))
     mark = F.when(ordered, F.concat(F.col("item_no").cast("string"), F.lit(". "))).otherwise(F.lit("- "))
     return F.concat(F.when(F.col("list_depth") > 1, F.lit("\n")).otherwise(F.lit("")), indent, mark), F.lit("\n")
 
 
-FORMATS = {"html": (HTML, T.xml_escape), "xhtml": (HTML, T.xml_escape), "latex": (LATEX, T.latex_escape), "marp": (MARKDOWN, lambda c: c), "markdown": (MARKDOWN, lambda c: c), "typst": (TYPST, T.typst_escape), "rtf": (RTF, T.rtf_escape)}
+FORMATS = {
+    "html": (HTML, T.xml_escape), "xhtml": (HTML, T.xml_escape), "latex": (LATEX, T.latex_escape), "marp": (MARKDOWN, lambda c: c),
+    "markdown": (MARKDOWN, lambda c: c), "typst": (TYPST, T.typst_escape), "rtf": (RTF, T.rtf_escape)
+}
 
 #: What stands before and behind a document.
 FRAMES = {
     "html": (f'<!DOCTYPE html>\n<html>\n<head>\n<meta charset="utf-8">\n<style>{_HTML_STYLE}</style>\n</head>\n<body>\n', "</body>\n</html>\n"),
-    "xhtml": (f'<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml">\n<head>\n<meta charset="utf-8" />\n<style>{_HTML_STYLE}</style>\n</head>\n<body>\n', "</body>\n</html>\n"),
-    "latex": ("\\documentclass{article}\n\\usepackage[utf8]{inputenc}\n\\usepackage{hyperref,longtable,graphicx,ulem,amsmath}\n\\begin{document}\n\n", "\\end{document}\n"),
+    "xhtml": (
+        (
+            f'<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml">\n<head>\n<meta '
+            f'charset="utf-8" />\n<style>{_HTML_STYLE}</style>\n</head>\n<body>\n'
+        ),
+        "</body>\n</html>\n"
+    ),
+    "latex": (
+        "\\documentclass{article}\n\\usepackage[utf8]{inputenc}\n\\usepackage{hyperref,longtable,graphicx,ulem,amsmath}\n\\begin{document}\n\n",
+        "\\end{document}\n"
+    ),
     "marp": ("---\nmarp: true\n---\n\n", ""),
     "markdown": ("", ""),
     "typst": ("#set page(paper: \"a4\")\n#set text(size: 11pt)\n\n", ""),
@@ -116,7 +151,9 @@ def _piece(template: str, escape, raw: Column) -> Column:
         "{dest}": lambda: escape(F.col("attrs")["dest"]),
         "{label}": lambda: F.col("attrs")["label"],
         "{info}": lambda: F.col("attrs")["info"],
-        "{columns}": lambda: F.array_join(F.transform(align, lambda a: F.when(a == "right", F.lit("r")).when(a == "center", F.lit("c")).otherwise(F.lit("l"))), ""),
+        "{columns}": lambda: F.array_join(
+            F.transform(align, lambda a: F.when(a == "right", F.lit("r")).when(a == "center", F.lit("c")).otherwise(F.lit("l"))), ""
+        ),
         "{n_columns}": lambda: F.size(align).cast("string"),
         "{rule}": lambda: F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.coalesce(F.col("n_cells"), F.lit(1)))),
     }
@@ -140,8 +177,16 @@ def render(events: DataFrame, fmt: str, id_col: str = "doc_id") -> DataFrame:
     # An item's number counts the items of its list: those at its depth since that list began.
     lists = F.sum(F.when(starts("list"), 1).otherwise(0)).over(w)
     rows = rows.withColumn("list_at", F.last(F.when(starts("list"), lists), ignorenulls=True).over(Window.partitionBy(id_col, "list_depth").orderBy("seq")))
-    first = F.coalesce(F.last(F.when(starts("list"), F.try_element_at("attrs", F.lit("start"))), ignorenulls=True).over(Window.partitionBy(id_col, "list_depth", "list_at").orderBy("seq")).try_cast("int"), F.lit(1))
-    rows = rows.withColumn("item_no", F.sum(F.when(starts("item"), 1).otherwise(0)).over(Window.partitionBy(id_col, "list_depth", "list_at").orderBy("seq")) + first - 1)
+    first = F.coalesce(
+        F.last(
+            F.when(starts("list"), F.try_element_at("attrs", F.lit("start"))), ignorenulls=True
+        ).over(Window.partitionBy(id_col, "list_depth", "list_at").orderBy("seq")).try_cast("int"),
+        F.lit(1)
+    )
+    rows = rows.withColumn(
+        "item_no",
+        F.sum(F.when(starts("item"), 1).otherwise(0)).over(Window.partitionBy(id_col, "list_depth", "list_at").orderBy("seq")) + first - 1
+    )
     heads = F.sum(F.when(starts("table_head"), 1).otherwise(0)).over(w)
     rows = rows.withColumn("head", heads)
     rows = rows.withColumn("n_cells", F.sum(F.when(starts("table_cell"), 1).otherwise(0)).over(Window.partitionBy(id_col, "head").orderBy("seq")))

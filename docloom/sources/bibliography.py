@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from docloom.schemas import COLLECTION, REFERENCE, as_references
 
 #: RIS types; entry types of BibTeX.
-RIS_TYPES = {"JOUR": "Journal Article", "BOOK": "Book", "CHAP": "Book Chapter", "CONF": "Conference Paper", "CPAPER": "Conference Paper", "THES": "Thesis", "RPRT": "Report", "ELEC": "Website"}
-BIBTEX_TYPES = {"article": "Journal Article", "book": "Book", "incollection": "Book Chapter", "inproceedings": "Conference Paper", "conference": "Conference Paper", "phdthesis": "Thesis", "mastersthesis": "Thesis", "techreport": "Report", "misc": "Other"}
+RIS_TYPES = {
+    "JOUR": "Journal Article", "BOOK": "Book", "CHAP": "Book Chapter", "CONF": "Conference Paper", "CPAPER": "Conference Paper",
+    "THES": "Thesis", "RPRT": "Report", "ELEC": "Website"
+}
+BIBTEX_TYPES = {
+    "article": "Journal Article", "book": "Book", "incollection": "Book Chapter", "inproceedings": "Conference Paper",
+    "conference": "Conference Paper", "phdthesis": "Thesis", "mastersthesis": "Thesis", "techreport": "Report", "misc": "Other"
+}
 #: Fields by RIS tag; of several lines the last counts.
-RIS_FIELDS = {"title": ("T1", "TI"), "abstract_text": ("AB",), "journal": ("JO", "JF", "T2", "J2"), "doi": ("DO",), "year": ("PY", "Y1"), "volume": ("VL",), "issue": ("IS",), "publisher": ("PB",), "url": ("UR",), "language": ("LA",), "notes": ("N1", "N2")}
+RIS_FIELDS = {
+    "title": ("T1", "TI"), "abstract_text": ("AB",), "journal": ("JO", "JF", "T2", "J2"), "doi": ("DO",), "year": ("PY", "Y1"),
+    "volume": ("VL",), "issue": ("IS",), "publisher": ("PB",), "url": ("UR",), "language": ("LA",), "notes": ("N1", "N2")
+}
 
 
 def _table(values: dict[str, str], key: Column, default: str) -> Column:
@@ -25,14 +34,26 @@ def read_ris(files: DataFrame, file_col: str = "file", text_col: str = "text") -
     line counts with a value only.
     """
     lines = files.select(file_col, F.posexplode(F.split(text_col, r"\r?\n", -1)).alias("pos", "line")).withColumn("line", F.trim("line"))
-    lines = lines.filter(F.col("line").rlike(r"^..  - .")).select(file_col, "pos", F.substring("line", 1, 2).alias("tag"), F.trim(F.substring("line", 7, 2**31 - 1)).alias("val"))
+    lines = lines.filter(F.col("line").rlike(r"^..  - .")).select(
+        file_col, "pos", F.substring("line", 1, 2).alias("tag"), F.trim(F.substring("line", 7, 2**31 - 1)).alias("val")
+    )
     w = Window.partitionBy(file_col).orderBy("pos")
-    lines = lines.withColumns({"record": F.sum(F.when(F.col("tag") == "TY", 1).otherwise(0)).over(w), "ended": F.sum(F.when(F.col("tag") == "ER", 1).otherwise(0)).over(w)})
+    lines = lines.withColumns(
+        {
+            "record": F.sum(F.when(F.col("tag") == "TY", 1).otherwise(0)).over(w),
+            "ended": F.sum(F.when(F.col("tag") == "ER", 1).otherwise(0)).over(w)
+        }
+    )
     lines = lines.filter("record > 0").withColumn("at_start", F.max(F.when(F.col("tag") == "TY", F.col("ended"))).over(Window.partitionBy(file_col, "record")))
     lines = lines.filter("ended = at_start")
     last = lambda tags, c="val": F.coalesce(F.max_by(c, F.when(F.col("tag").isin(*tags), F.col("pos"))), F.lit(""))
     listed = lambda *tags: F.transform(F.array_sort(F.collect_list(F.when(F.col("tag").isin(*tags), F.struct("pos", "val")))), lambda x: x["val"])
-    pages = F.aggregate(F.array_sort(F.collect_list(F.when(F.col("tag").isin("SP", "EP"), F.struct("pos", "tag", "val")))), F.lit(""), lambda acc, x: F.when(acc == "", x["val"]).when(x["tag"] == "SP", F.concat(x["val"], F.lit("-"), acc)).otherwise(F.concat(acc, F.lit("-"), x["val"])))
+    pages = F.aggregate(
+        F.array_sort(F.collect_list(F.when(F.col("tag").isin("SP", "EP"), F.struct("pos", "tag", "val")))), F.lit(""),
+        lambda acc, x: F.when(acc == "", x["val"]).when(
+            x["tag"] == "SP", F.concat(x["val"], F.lit("-"), acc)
+        ).otherwise(F.concat(acc, F.lit("-"), x["val"]))
+    )
     number = F.col("tag") == "SN"
     isbn = F.octet_length("val").isin(10, 13)
     out = lines.groupBy(file_col, "record").agg(
@@ -74,9 +95,22 @@ def read_bibtex(files: DataFrame, file_col: str = "file", text_col: str = "text"
     parts = lambda c, sep: F.filter(F.transform(F.split(c, sep, -1), lambda x: F.trim(x)), lambda x: x != "")
     out = rows.select(
         F.concat_ws("#", file_col, F.col("record").cast("string")).alias("id"), "reference_type",
-        *(bare(last(*names)).alias(f) for f, names in (("title", ("title",)), ("journal", ("journal", "booktitle")), ("publisher", ("publisher",)), ("abstract_text", ("abstract",)))),
-        *(last(name).alias(f) for f, name in (("year", "year"), ("volume", "volume"), ("issue", "number"), ("doi", "doi"), ("isbn", "isbn"), ("issn", "issn"), ("url", "url"), ("notes", "note"), ("language", "language"))),
-        F.replace(last("pages"), F.lit("--"), F.lit("-")).alias("pages"), parts(last("author"), " and ").alias("authors"), parts(last("keywords"), ",").alias("tags"),
+        *(
+            bare(last(*names)).alias(f) for f,
+            names in (
+                ("title", ("title",)), ("journal", ("journal", "booktitle")), ("publisher", ("publisher",)),
+                ("abstract_text", ("abstract",))
+            )
+        ),
+        *(
+            last(name).alias(f) for f,
+            name in (
+                ("year", "year"), ("volume", "volume"), ("issue", "number"), ("doi", "doi"), ("isbn", "isbn"), ("issn", "issn"),
+                ("url", "url"), ("notes", "note"), ("language", "language")
+            )
+        ),
+        F.replace(last("pages"), F.lit("--"), F.lit("-")).alias("pages"), parts(last("author"), " and ").alias("authors"),
+        parts(last("keywords"), ",").alias("tags"),
     )
     return as_references(out.filter((F.col("title") != "") | (F.size("authors") > 0)))
 
@@ -107,8 +141,16 @@ def from_crossref(payloads: DataFrame, json_col: str = "payload") -> DataFrame:
     at = lambda p: F.get_json_object(json_col, p)
     authors = F.from_json(F.coalesce(at("$.message.author"), F.lit("[]")), "array<struct<given:string,family:string>>")
     year = F.regexp_extract(F.coalesce(at("$.message.issued.date-parts"), F.lit("")), r"(\d{4})", 1)
-    fields = {"title": "$.message.title[0]", "journal": "$.message.container-title[0]", "volume": "$.message.volume", "issue": "$.message.issue", "pages": "$.message.page", "publisher": "$.message.publisher", "doi": "$.message.DOI", "url": "$.message.URL", "language": "$.message.language", "issn": "$.message.ISSN[0]"}
-    out = payloads.select("id", *(F.coalesce(at(p), F.lit("")).alias(f) for f, p in fields.items()), year.alias("year"), F.transform(authors, lambda a: F.concat_ws(", ", a["family"], a["given"])).alias("authors"), F.trim(F.regexp_replace(F.coalesce(at("$.message.abstract"), F.lit("")), "<[^>]+>", "")).alias("abstract_text"))
+    fields = {
+        "title": "$.message.title[0]", "journal": "$.message.container-title[0]", "volume": "$.message.volume", "issue": "$.message.issue",
+        "pages": "$.message.page", "publisher": "$.message.publisher", "doi": "$.message.DOI", "url": "$.message.URL",
+        "language": "$.message.language", "issn": "$.message.ISSN[0]"
+    }
+    out = payloads.select(
+        "id", *(F.coalesce(at(p), F.lit("")).alias(f) for f, p in fields.items()), year.alias("year"),
+        F.transform(authors, lambda a: F.concat_ws(", ", a["family"], a["given"])).alias("authors"),
+        F.trim(F.regexp_replace(F.coalesce(at("$.message.abstract"), F.lit("")), "<[^>]+>", "")).alias("abstract_text")
+    )
     return as_references(out)
 
 
@@ -116,7 +158,13 @@ def from_arxiv(payloads: DataFrame, xml_col: str = "payload") -> DataFrame:
     """References of cached Atom answers; the first title is the feed's."""
     found = lambda p: F.regexp_extract_all(xml_col, F.lit(p), F.lit(1))
     clean = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    out = payloads.select("id", clean(F.try_element_at(found(r"(?s)<title[^>]*>(.*?)</title>"), F.lit(2))).alias("title"), clean(F.try_element_at(found(r"(?s)<summary[^>]*>(.*?)</summary>"), F.lit(1))).alias("abstract_text"), F.transform(found("(?s)<name>(.*?)</name>"), lambda x: F.trim(x)).alias("authors"), F.substring(clean(F.try_element_at(found("<published>(.*?)</published>"), F.lit(1))), 1, 4).alias("year"), F.lit("Preprint").alias("reference_type"), F.lit("arXiv").alias("journal"))
+    out = payloads.select(
+        "id", clean(F.try_element_at(found(r"(?s)<title[^>]*>(.*?)</title>"), F.lit(2))).alias("title"),
+        clean(F.try_element_at(found(r"(?s)<summary[^>]*>(.*?)</summary>"), F.lit(1))).alias("abstract_text"),
+        F.transform(found("(?s)<name>(.*?)</name>"), lambda x: F.trim(x)).alias("authors"),
+        F.substring(clean(F.try_element_at(found("<published>(.*?)</published>"), F.lit(1))), 1, 4).alias("year"),
+        F.lit("Preprint").alias("reference_type"), F.lit("arXiv").alias("journal")
+    )
     return as_references(out)
 
 
@@ -125,15 +173,26 @@ def from_pubmed(payloads: DataFrame, json_col: str = "payload", pmid_col: str =
     doc = F.get_json_object(json_col, "$.result.record")
     at = lambda p: F.coalesce(F.get_json_object(doc, p), F.lit(""))
     authors = F.from_json(F.coalesce(F.get_json_object(doc, "$.authors"), F.lit("[]")), "array<struct<name:string>>")
-    out = payloads.select("id", at("$.title").alias("title"), at("$.fulljournalname").alias("journal"), at("$.volume").alias("volume"), at("$.issue").alias("issue"), at("$.pages").alias("pages"), F.substring(at("$.pubdate"), 1, 4).alias("year"), F.transform(authors, lambda a: a["name"]).alias("authors"), F.col(pmid_col).alias("pmid"))
+    out = payloads.select(
+        "id", at("$.title").alias("title"), at("$.fulljournalname").alias("journal"), at("$.volume").alias("volume"),
+        at("$.issue").alias("issue"), at("$.pages").alias("pages"), F.substring(at("$.pubdate"), 1, 4).alias("year"),
+        F.transform(authors, lambda a: a["name"]).alias("authors"), F.col(pmid_col).alias("pmid")
+    )
     return as_references(out)
 
 
 def from_open_library(payloads: DataFrame, json_col: str = "payload", isbn_col: str = "isbn") -> DataFrame:
     """References of cached book records (JSON)."""
     at = lambda p: F.coalesce(F.get_json_object(json_col, p), F.lit(""))
-    names = lambda p: F.transform(F.from_json(F.coalesce(F.get_json_object(json_col, p), F.lit("[]")), "array<struct<name:string>>"), lambda a: a["name"])
-    out = payloads.select("id", at("$.title").alias("title"), names("$.authors").alias("authors"), F.coalesce(F.try_element_at(names("$.publishers"), F.lit(1)), F.lit("")).alias("publisher"), F.regexp_extract(at("$.publish_date"), r"(\d{4})", 1).alias("year"), F.col(isbn_col).alias("isbn"), F.lit("Book").alias("reference_type"))
+    names = lambda p: F.transform(
+        F.from_json(F.coalesce(F.get_json_object(json_col, p), F.lit("[]")), "array<struct<name:string>>"), lambda a: a["name"]
+    )
+    out = payloads.select(
+        "id", at("$.title").alias("title"), names("$.authors").alias("authors"),
+        F.coalesce(F.try_element_at(names("$.publishers"), F.lit(1)), F.lit("")).alias("publisher"),
+        F.regexp_extract(at("$.publish_date"), r"(\d{4})", 1).alias("year"), F.col(isbn_col).alias("isbn"),
+        F.lit("Book").alias("reference_type")
+    )
     return as_references(out)
 
 
@@ -158,4 +217,12 @@ def page_metadata(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     doi = F.coalesce(F.try_element_at(of("citation_doi", "dc.identifier", "prism.doi"), F.lit(-1))["v"], F.lit(""))
     doi = F.when(doi.startswith("10."), doi).when(doi.contains("doi.org/"), F.regexp_extract(doi, r"doi\.org/(.*)$", 1)).otherwise("")
     title = first("citation_title", "og:title", "dc.title")
-    return rows.select(id_col, F.when(title != "", title).otherwise(own).alias("title"), F.transform(of("citation_author", "author", "dc.creator"), lambda x: x["v"]).alias("authors"), first("citation_journal_title", "og:site_name").alias("journal"), F.regexp_extract(first("citation_publication_date", "citation_date", "dc.date", "article:published_time"), r"(\d{4})", 1).alias("year"), doi.alias("doi"))
+    return rows.select(
+        id_col, F.when(title != "", title).otherwise(own).alias("title"),
+        F.transform(of("citation_author", "author", "dc.creator"), lambda x: x["v"]).alias("authors"),
+        first("citation_journal_title", "og:site_name").alias("journal"),
+        F.regexp_extract(
+            first("citation_publication_date", "citation_date", "dc.date", "article:published_time"), r"(\d{4})", 1
+        ).alias("year"),
+        doi.alias("doi")
+    )

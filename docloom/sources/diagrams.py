@@ -11,7 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The first word of a source by kind.
-KINDS = {"graph": "flowchart", "flowchart": "flowchart", "sequenceDiagram": "sequence", "gantt": "gantt", "pie": "pie", "stateDiagram": "state", "stateDiagram-v2": "state", "classDiagram": "class", "erDiagram": "er", "timeline": "timeline", "journey": "journey", "mindmap": "mindmap"}
+KINDS = {
+    "graph": "flowchart", "flowchart": "flowchart", "sequenceDiagram": "sequence", "gantt": "gantt", "pie": "pie", "stateDiagram": "state",
+    "stateDiagram-v2": "state", "classDiagram": "class", "erDiagram": "er", "timeline": "timeline", "journey": "journey",
+    "mindmap": "mindmap"
+}
 
 
 def kind_of(source: Column) -> Column:
@@ -31,7 +35,9 @@ def lines(df: DataFrame, id_col: str, source_col: str) -> DataFrame:
 
 def _parts(df: DataFrame, pattern: str, names: list[str], id_col: str) -> DataFrame:
     """Lines that match, with their groups as columns."""
-    return df.filter(F.col("line").rlike(pattern)).select(id_col, "ord", "indent", *(F.regexp_extract("line", pattern, k).alias(n) for k, n in enumerate(names, 1)))
+    return df.filter(F.col("line").rlike(pattern)).select(
+        id_col, "ord", "indent", *(F.regexp_extract("line", pattern, k).alias(n) for k, n in enumerate(names, 1))
+    )
 
 
 _NODE = r"([A-Za-z0-9_][\w-]*?)(\(\(.*?\)\)|\[\[.*?\]\]|\(\[.*?\]\)|\[\(.*?\)\]|\{\{.*?\}\}|\[.*?\]|\(.*?\)|\{.*?\}|>.*?\])?(?:::: ?\w+|:::\w+)?"
@@ -67,34 +73,56 @@ def flowchart(df: DataFrame, id_col: str = "graph_id", source_col: str = "source
     pieces = F.split(F.regexp_replace(chain, rf"\s*{_ARROW}\s*(?:\|([^|]*)\|)?\s*", "\x01$1\x02$2\x01"), "\x01", -1)
     exploded = body.select(id_col, "ord", "level", pieces.alias("p"))
     nodes = exploded.select(id_col, "ord", "level", F.posexplode("p").alias("k", "piece")).filter("k % 2 = 0")
-    nodes = nodes.select(id_col, "ord", "level", "k", F.posexplode(F.split("piece", r"\s+&\s+")).alias("j", "one")).withColumns({"id": F.regexp_extract(F.trim("one"), f"^{_NODE}$", 1), "bracket": F.regexp_extract(F.trim("one"), f"^{_NODE}$", 2)}).filter("id <> ''")
+    nodes = nodes.select(id_col, "ord", "level", "k", F.posexplode(F.split("piece", r"\s+&\s+")).alias("j", "one")).withColumns(
+        {"id": F.regexp_extract(F.trim("one"), f"^{_NODE}$", 1), "bracket": F.regexp_extract(F.trim("one"), f"^{_NODE}$", 2)}
+    ).filter("id <> ''")
     place = F.col("ord") * 1000 + F.col("k") * 10 + F.col("j")
-    mentions = nodes.select(F.col(id_col), "id", _label(F.col("bracket")).alias("label"), _shape(F.col("bracket")).alias("shape"), place.alias("ord"), "level", F.col("ord").alias("line_no"))
+    mentions = nodes.select(
+        F.col(id_col), "id", _label(F.col("bracket")).alias("label"), _shape(F.col("bracket")).alias("shape"), place.alias("ord"), "level",
+        F.col("ord").alias("line_no")
+    )
     a = nodes.select(id_col, "ord", "k", F.col("id").alias("src"))
     b = nodes.select(id_col, "ord", (F.col("k") - 2).alias("k"), F.col("id").alias("dst"))
-    arrows = exploded.select(id_col, "ord", F.posexplode("p").alias("k", "arrow")).filter("k % 2 = 1").select(id_col, "ord", (F.col("k") - 1).alias("k"), F.substring_index("arrow", "\x02", 1).alias("arrow"), F.nullif(F.trim(F.substring_index("arrow", "\x02", -1)), F.lit("")).alias("label"))
+    arrows = exploded.select(id_col, "ord", F.posexplode("p").alias("k", "arrow")).filter("k % 2 = 1").select(
+        id_col, "ord", (F.col("k") - 1).alias("k"), F.substring_index("arrow", "\x02", 1).alias("arrow"),
+        F.nullif(F.trim(F.substring_index("arrow", "\x02", -1)), F.lit("")).alias("label")
+    )
     edges = a.join(b, [id_col, "ord", "k"]).join(arrows, [id_col, "ord", "k"])
     style = F.when(F.col("arrow").contains("="), "thick").when(F.col("arrow").contains("."), "dotted").otherwise("solid")
     edges = edges.select(id_col, "src", "dst", style.alias("style"), "label", (F.col("ord") * 1000 + F.col("k")).alias("ord"))
-    near = mentions.alias("m").join(subs.alias("s"), (F.col(f"m.{id_col}") == F.col(f"s.{id_col}")) & (F.col("s.s_ord") < F.col("m.line_no")) & (F.col("s.s_level") == F.col("m.level")))
-    members = near.groupBy(F.col(f"m.{id_col}").alias(id_col), F.col("m.id").alias("id"), F.col("m.line_no").alias("line_no")).agg(F.max_by("s.subgraph", "s.s_ord").alias("subgraph")).groupBy(id_col, "id").agg(F.min_by("subgraph", "line_no").alias("subgraph"))
+    near = mentions.alias("m").join(
+        subs.alias("s"),
+        (F.col(f"m.{id_col}") == F.col(f"s.{id_col}")) & (F.col("s.s_ord") < F.col("m.line_no")) & (F.col("s.s_level") == F.col("m.level"))
+    )
+    members = near.groupBy(
+        F.col(f"m.{id_col}").alias(id_col), F.col("m.id").alias("id"), F.col("m.line_no").alias("line_no")
+    ).agg(F.max_by("s.subgraph", "s.s_ord").alias("subgraph")).groupBy(id_col, "id").agg(F.min_by("subgraph", "line_no").alias("subgraph"))
     return mentions.drop("level", "line_no"), edges, members
 
 
 def node_styles(df: DataFrame, id_col: str = "graph_id", source_col: str = "source") -> DataFrame:
     """(id, node, property, value) from classes and their definitions; of equal properties the later class counts."""
     rows = lines(df, id_col, source_col)
-    classes = _parts(rows, r"^classDef\s+([\w,]+)\s+(.*)$", ["names", "props"], id_col).select(id_col, F.explode(F.split("names", ",")).alias("class"), F.explode(F.split("props", ",")).alias("p"))
+    classes = _parts(rows, r"^classDef\s+([\w,]+)\s+(.*)$", ["names", "props"], id_col).select(
+        id_col, F.explode(F.split("names", ",")).alias("class"), F.explode(F.split("props", ",")).alias("p")
+    )
     props = classes.select(id_col, "class", F.trim(F.substring_index("p", ":", 1)).alias("property"), F.trim(F.substring_index("p", ":", -1)).alias("value"))
-    uses = _parts(rows, r"^class\s+([\w,\s]+?)\s+(\w+)$", ["nodes", "class"], id_col).select(id_col, "ord", F.explode(F.split("nodes", r"\s*,\s*")).alias("node"), "class")
+    uses = _parts(rows, r"^class\s+([\w,\s]+?)\s+(\w+)$", ["nodes", "class"], id_col).select(
+        id_col, "ord", F.explode(F.split("nodes", r"\s*,\s*")).alias("node"), "class"
+    )
     return uses.join(props, [id_col, "class"]).groupBy(id_col, "node", "property").agg(F.max_by("value", "ord").alias("value"))
 
 
 def sequence(df: DataFrame, id_col: str = "chart_id", source_col: str = "source") -> DataFrame:
     """(id, ord, src, dst, arrow, text, step): messages, and (de)activations with step 1 or -1 of ``src``."""
     rows = lines(df, id_col, source_col)
-    messages = _parts(rows, r"^([\w ]+?)\s*(-?->>?[+-]?|-->>?[+-]?|-[x)][+-]?)\s*([\w ]+?)\s*:\s*(.*)$", ["src", "arrow", "dst", "text"], id_col).withColumn("step", F.lit(0))
-    acts = _parts(rows, r"^(activate|deactivate)\s+(\w+)$", ["word", "src"], id_col).select(id_col, "ord", "indent", "src", F.lit("").alias("arrow"), F.lit("").alias("dst"), F.lit("").alias("text"), F.when(F.col("word") == "activate", 1).otherwise(-1).alias("step"))
+    messages = _parts(
+        rows, r"^([\w ]+?)\s*(-?->>?[+-]?|-->>?[+-]?|-[x)][+-]?)\s*([\w ]+?)\s*:\s*(.*)$", ["src", "arrow", "dst", "text"], id_col
+    ).withColumn("step", F.lit(0))
+    acts = _parts(rows, r"^(activate|deactivate)\s+(\w+)$", ["word", "src"], id_col).select(
+        id_col, "ord", "indent", "src", F.lit("").alias("arrow"), F.lit("").alias("dst"), F.lit("").alias("text"),
+        F.when(F.col("word") == "activate", 1).otherwise(-1).alias("step")
+    )
     return messages.unionByName(acts).drop("indent")
 
 
@@ -114,10 +142,15 @@ def gantt(df: DataFrame, id_col: str = "chart_id", source_col: str = "source") -
     """(id, ord, section, task, start, length) with days counted from the first date of the chart."""
     rows = _section(lines(df, id_col, source_col), id_col)
     pattern = r"^([^:]+?)\s*:\s*(?:[\w, ]*?,\s*)?(\d{4}-\d{2}-\d{2})\s*,\s*(?:(\d+)d|(\d{4}-\d{2}-\d{2}))$"
-    tasks = rows.filter(F.col("line").rlike(pattern)).select(id_col, "ord", "section", *(F.regexp_extract("line", pattern, k).alias(n) for k, n in enumerate(("task", "from", "days", "to"), 1)))
+    tasks = rows.filter(F.col("line").rlike(pattern)).select(
+        id_col, "ord", "section", *(F.regexp_extract("line", pattern, k).alias(n) for k, n in enumerate(("task", "from", "days", "to"), 1))
+    )
     first = tasks.groupBy(id_col).agg(F.min("from").alias("first"))
     length = F.when(F.col("days") != "", F.col("days").try_cast("int")).otherwise(F.datediff(F.col("to").try_cast("date"), F.col("from").try_cast("date")))
-    return tasks.join(first, id_col).select(id_col, "ord", "section", "task", F.datediff(F.col("from").try_cast("date"), F.col("first").try_cast("date")).alias("start"), length.alias("length"))
+    return tasks.join(first, id_col).select(
+        id_col, "ord", "section", "task", F.datediff(F.col("from").try_cast("date"), F.col("first").try_cast("date")).alias("start"),
+        length.alias("length")
+    )
 
 
 def timeline(df: DataFrame, id_col: str = "chart_id", source_col: str = "source") -> DataFrame:
@@ -126,14 +159,21 @@ def timeline(df: DataFrame, id_col: str = "chart_id", source_col: str = "source"
     parts = F.split("line", r"\s*:\s*", -1)
     w = Window.partitionBy(id_col).orderBy("ord")
     named = rows.withColumn("period", F.last(F.nullif(F.trim(parts[0]), F.lit("")), ignorenulls=True).over(w))
-    return named.select(id_col, "ord", "section", "period", F.explode(F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda x: x != "")).alias("event"))
+    return named.select(
+        id_col, "ord", "section", "period",
+        F.explode(F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda x: x != "")).alias("event")
+    )
 
 
 def journey(df: DataFrame, id_col: str = "chart_id", source_col: str = "source") -> DataFrame:
     """(id, ord, section, task, score, actors)."""
     rows = _section(lines(df, id_col, source_col), id_col)
     pattern = r"^([^:]+?)\s*:\s*(\d+)\s*(?::\s*(.*))?$"
-    return rows.filter(F.col("line").rlike(pattern)).select(id_col, "ord", "section", F.regexp_extract("line", pattern, 1).alias("task"), F.regexp_extract("line", pattern, 2).try_cast("int").alias("score"), F.filter(F.split(F.regexp_extract("line", pattern, 3), r"\s*,\s*"), lambda a: a != "").alias("actors"))
+    return rows.filter(F.col("line").rlike(pattern)).select(
+        id_col, "ord", "section", F.regexp_extract("line", pattern, 1).alias("task"),
+        F.regexp_extract("line", pattern, 2).try_cast("int").alias("score"),
+        F.filter(F.split(F.regexp_extract("line", pattern, 3), r"\s*,\s*"), lambda a: a != "").alias("actors")
+    )
 
 
 def states(df: DataFrame, id_col: str = "chart_id", source_col: str = "source") -> DataFrame:

@@ -42,10 +42,18 @@ def marp_to_markdown(text: Column) -> Column:
 #: What LaTeX markup becomes, in this order.
 _LATEX = [
     (r"(?s)\A.*?\\begin\{document\}", ""), (r"(?s)\\end\{document\}.*\z", ""), (r"(?m)(?<!\\)%.*$", ""),
-    (r"\\section\*?\{([^{}]*)\}", "\n\n# $1\n\n"), (r"\\subsection\*?\{([^{}]*)\}", "\n\n## $1\n\n"), (r"\\subsubsection\*?\{([^{}]*)\}", "\n\n### $1\n\n"), (r"\\paragraph\*?\{([^{}]*)\}", "\n\n#### $1\n\n"),
-    (r"(?s)\\begin\{verbatim\}\n?(.*?)\\end\{verbatim\}", "\n\n```\n$1```\n\n"), (r"(?s)\\begin\{figure\}.*?\\includegraphics(?:\[[^\]]*\])?\{([^{}]*)\}.*?(?:\\caption\{([^{}]*)\}.*?)?\\end\{figure\}", "\n\n![$2]($1)\n\n"),
-    (r"\\textbf\{([^{}]*)\}", "**$1**"), (r"\\(?:textit|emph)\{([^{}]*)\}", "*$1*"), (r"\\texttt\{([^{}]*)\}", "`$1`"), (r"\\sout\{([^{}]*)\}", "~~$1~~"), (r"\\href\{([^{}]*)\}\{([^{}]*)\}", "[$2]($1)"), (r"\\url\{([^{}]*)\}", "<$1>"),
-    (r"\\footnotemark\[([^\]]*)\]", "[^$1]"), (r"\\footnote\{([^{}]*)\}", "^[$1]"), (r"(?s)\\\[(.*?)\\\]", "\n\n\\$\\$$1\\$\\$\n\n"), (r"\\item\s*", "\n- "), (r"\\(?:begin|end)\{[^{}]*\}(?:\{[^{}]*\})?", "\n\n"), (r"\\(?:newpage|hrule|hline)\b", "\n\n---\n\n"), (r"\\\\", "  \n"), (r"\\textbackslash(?:\{\})?", "\\\\"), (r"\\([&%$#_{}])", "$1"),
+    (r"\\section\*?\{([^{}]*)\}", "\n\n# $1\n\n"), (r"\\subsection\*?\{([^{}]*)\}", "\n\n## $1\n\n"),
+    (r"\\subsubsection\*?\{([^{}]*)\}", "\n\n### $1\n\n"), (r"\\paragraph\*?\{([^{}]*)\}", "\n\n#### $1\n\n"),
+    (r"(?s)\\begin\{verbatim\}\n?(.*?)\\end\{verbatim\}", "\n\n```\n$1```\n\n"),
+    (
+        r"(?s)\\begin\{figure\}.*?\\includegraphics(?:\[[^\]]*\])?\{([^{}]*)\}.*?(?:\\caption\{([^{}]*)\}.*?)?\\end\{figure\}",
+        "\n\n![$2]($1)\n\n"
+    ),
+    (r"\\textbf\{([^{}]*)\}", "**$1**"), (r"\\(?:textit|emph)\{([^{}]*)\}", "*$1*"), (r"\\texttt\{([^{}]*)\}", "`$1`"),
+    (r"\\sout\{([^{}]*)\}", "~~$1~~"), (r"\\href\{([^{}]*)\}\{([^{}]*)\}", "[$2]($1)"), (r"\\url\{([^{}]*)\}", "<$1>"),
+    (r"\\footnotemark\[([^\]]*)\]", "[^$1]"), (r"\\footnote\{([^{}]*)\}", "^[$1]"), (r"(?s)\\\[(.*?)\\\]", "\n\n\\$\\$$1\\$\\$\n\n"),
+    (r"\\item\s*", "\n- "), (r"\\(?:begin|end)\{[^{}]*\}(?:\{[^{}]*\})?", "\n\n"), (r"\\(?:newpage|hrule|hline)\b", "\n\n---\n\n"),
+    (r"\\\\", "  \n"), (r"\\textbackslash(?:\{\})?", "\\\\"), (r"\\([&%$#_{}])", "$1"),
 ]
 
 
@@ -56,7 +64,13 @@ def latex_to_markdown(text: Column) -> Column:
 
 
 #: What Typst markup becomes.
-_TYPST = [(r"(?m)^#(?:set|show|let|import)\b.*$", ""), (r"(?m)^(=+)\s+(.*)$", "$1 $2"), (r"(?m)^======\s", "###### "), (r"(?m)^=====\s", "##### "), (r"(?m)^====\s", "#### "), (r"(?m)^===\s", "### "), (r"(?m)^==\s", "## "), (r"(?m)^=\s", "# "), (r"(?<![*\w])\*([^*\n]+)\*(?!\*)", "**$1**"), (r"(?<!\w)_([^_\n]+)_(?!\w)", "*$1*"), (r"#strike\[([^\]]*)\]", "~~$1~~"), (r'#link\("([^"]*)"\)\[([^\]]*)\]', "[$2]($1)"), (r'#image\("([^"]*)"[^)]*\)', "![]($1)"), (r"#footnote\[([^\]]*)\]", "^[$1]"), (r"#(?:pagebreak\(\)|line\([^)]*\))", "\n\n---\n\n"), (r"(?m)^\+ ", "1. ")]
+_TYPST = [
+    (r"(?m)^#(?:set|show|let|import)\b.*$", ""), (r"(?m)^(=+)\s+(.*)$", "$1 $2"), (r"(?m)^======\s", "###### "),
+    (r"(?m)^=====\s", "##### "), (r"(?m)^====\s", "#### "), (r"(?m)^===\s", "### "), (r"(?m)^==\s", "## "), (r"(?m)^=\s", "# "),
+    (r"(?<![*\w])\*([^*\n]+)\*(?!\*)", "**$1**"), (r"(?<!\w)_([^_\n]+)_(?!\w)", "*$1*"), (r"#strike\[([^\]]*)\]", "~~$1~~"),
+    (r'#link\("([^"]*)"\)\[([^\]]*)\]', "[$2]($1)"), (r'#image\("([^"]*)"[^)]*\)', "![]($1)"), (r"#footnote\[([^\]]*)\]", "^[$1]"),
+    (r"#(?:pagebreak\(\)|line\([^)]*\))", "\n\n---\n\n"), (r"(?m)^\+ ", "1. ")
+]
 
 
 def typst_to_markdown(text: Column) -> Column:
@@ -110,7 +124,9 @@ def docx_text(data: bytes) -> str:
     """Paragraphs with their headings, lists, runs, links, tables, footnotes and tracked changes."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
-        rels = {_attr(x, "Id"): _attr(x, "Target") for x in ElementTree.fromstring(z.read("word/_rels/document.xml.rels"))} if "word/_rels/document.xml.rels" in names else {}
+        rels = {
+            _attr(x, "Id"): _attr(x, "Target") for x in ElementTree.fromstring(z.read("word/_rels/document.xml.rels"))
+        } if "word/_rels/document.xml.rels" in names else {}
         body = next(x for x in ElementTree.fromstring(z.read("word/document.xml")) if _local(x.tag) == "body")
         notes = {}
         if "word/footnotes.xml" in names:
@@ -146,7 +162,11 @@ def docx_text(data: bytes) -> str:
         return "".join(out)
 
     def table(node) -> str:
-        rows = [["<br>".join(inline(p).strip() for p in cell if _local(p.tag) == "p") for cell in row if _local(cell.tag) == "tc"] for row in node if _local(row.tag) == "tr"]
+        rows = [
+            [
+                "<br>".join(inline(p).strip() for p in cell if _local(p.tag) == "p") for cell in row if _local(cell.tag) == "tc"
+            ] for row in node if _local(row.tag) == "tr"
+        ]
         wide = max(map(len, rows), default=0)
         lines = ["| " + " | ".join(r + [""] * (wide - len(r))) + " |" for r in rows]
         return "\n".join([*lines[:1], "|" + "---|" * wide, *lines[1:]]) if lines else ""
@@ -182,7 +202,9 @@ def odt_text(data: bytes) -> str:
     marks = {}
     for style in (x for x in root.iter() if _local(x.tag) == "style"):
         for p in (x for x in style if _local(x.tag) == "text-properties"):
-            marks[_attr(style, "name")] = ("**" if _attr(p, "font-weight") == "bold" else "") + ("*" if _attr(p, "font-style") == "italic" else "") + ("~~" if _attr(p, "text-line-through-style") not in ("", "none") else "")
+            marks[_attr(style, "name")] = ("**" if _attr(p, "font-weight") == "bold" else "") + ("*" if _attr(p, "font-style") == "italic" else "") + (
+                "~~" if _attr(p, "text-line-through-style") not in ("", "none") else ""
+            )
 
     def inline(node) -> str:
         out = node.text or ""
@@ -225,7 +247,9 @@ def odt_text(data: bytes) -> str:
 
 
 #: Destinations of RTF that hold no text of the document.
-_RTF_SKIPPED = frozenset("fonttbl colortbl stylesheet info pict object header footer headerl headerr headerf footerl footerr footerf footnote themedata colorschememapping latentstyles datastore xmlnstbl listtable listoverridetable rsidtbl generator fldinst bkmkstart bkmkend".split())
+_RTF_SKIPPED = frozenset(
+    "fonttbl colortbl stylesheet info pict object header footer headerl headerr headerf footerl footerr footerf footnote themedata colorschememapping latentstyles datastore xmlnstbl listtable listoverridetable rsidtbl generator fldinst bkmkstart bkmkend".split()
+)
 _RTF = re.compile(r"\\([a-z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\([^a-z])|([{}])|[\r\n]+|([^\\{}\r\n]+)")
 
 
@@ -315,7 +339,10 @@ def pdf_info(data: bytes) -> dict[str, str]:
 
 
 BINARY = {"docx": docx_text, "odt": odt_text, "pptx": pptx_text, "epub": epub_text, "rtf": rtf_text}
-TEXT = {"md": lambda c: c, "markdown": lambda c: c, "html": html_to_markdown, "htm": html_to_markdown, "xhtml": lambda c: html_to_markdown(c, nested=True), "tex": latex_to_markdown, "typ": typst_to_markdown, "marp": marp_to_markdown}
+TEXT = {
+    "md": lambda c: c, "markdown": lambda c: c, "html": html_to_markdown, "htm": html_to_markdown,
+    "xhtml": lambda c: html_to_markdown(c, nested=True), "tex": latex_to_markdown, "typ": typst_to_markdown, "marp": marp_to_markdown
+}
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -324,7 +351,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     A file that cannot be opened gives a null ``md``.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    files = files.select("path", F.col("modificationTime").alias("modified"), F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)).alias("format"), "content")
+    files = files.select(
+        "path", F.col("modificationTime").alias("modified"), F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)).alias("format"),
+        "content"
+    )
 
     @F.udf("string", useArrow=True)
     def unpack(kind: str, content: bytes):

@@ -16,7 +16,10 @@ def spark():
     from pyspark.sql import SparkSession
 
     builder = SparkSession.builder.master("local[4]").appName("tests")
-    for key, value in {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g"}.items():
+    for key, value in {
+        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g"
+    }.items():
         builder = builder.config(key, value)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")

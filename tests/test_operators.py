@@ -21,7 +21,10 @@ def refs(spark):
         ("r3", "Thesis", "On Z", [], "Acta", "1999", "7", "", "", "10.1/a ", ["u", "v"], False),
         ("r4", "Patent", "zeta", [f"First{k} Last{k}" for k in range(9)], "J", "2020", "", "4", "5", "10.2/b", [], True),
     ]
-    fields = "id string, reference_type string, title string, authors array<string>, journal string, year string, volume string, issue string, pages string, doi string, tags array<string>, starred boolean"
+    fields = (
+        "id string, reference_type string, title string, authors array<string>, journal string, year string, volume string, issue "
+        "string, pages string, doi string, tags array<string>, starred boolean"
+    )
     return as_references(spark.createDataFrame(rows, fields))
 
 
@@ -108,7 +111,9 @@ def test_ris_and_bibtex_come_back(refs):
 def test_ris_records(spark):
     text = "AU  - lost\nTY  - BOOK\nT1  - A\nEP  - 9\nSP  - 1\nSN  - 1234567890\nER  - \nTY  - X\nAU  - B\nKW  - k1\nKW  - k2\nPY  - 2001/02"
     r = bibliography.read_ris(spark.createDataFrame([("f", text)], "file string, text string")).orderBy("id").collect()
-    assert [(x.reference_type, x.title, x.pages, x.isbn, x.authors, x.tags, x.year) for x in r] == [("Book", "A", "1-9", "1234567890", [], [], ""), ("Journal Article", "", "", "", ["B"], ["k1", "k2"], "2001")]
+    assert [(x.reference_type, x.title, x.pages, x.isbn, x.authors, x.tags, x.year) for x in r] == [
+        ("Book", "A", "1-9", "1234567890", [], [], ""), ("Journal Article", "", "", "", ["B"], ["k1", "k2"], "2001")
+    ]
 
 
 def md(spark, *texts):
@@ -116,10 +121,17 @@ def md(spark, *texts):
 
 
 def test_structure_metrics(spark):
-    text = "# A\n\n## B\n\n- x\n- [ ] y\n\n1. z\n\n```\n# not\n```\n\n| a |\n|---|\n| 1 |\n\n> q **b** *i* ~~s~~ [l](u) ![i](u) $m$ $$d$$ [^1] <ins>n</ins>\n\n[^1]: note\n"
+    text = (
+        "# A\n\n## B\n\n- x\n- [ ] y\n\n1. z\n\n```\n# not\n```\n\n| a |\n|---|\n| 1 |\n\n> q **b** *i* ~~s~~ [l](u) ![i](u) $m$ $$d$$ "
+        "[^1] <ins>n</ins>\n\n[^1]: note\n"
+    )
     r = events.structure_metrics(md(spark, text)).first()
     got = {k: r[k] for k in events.METRICS}
-    want = {"headings": 2, "unordered_items": 2, "ordered_items": 1, "code_blocks": 1, "table_rows": 2, "tables": 1, "blockquotes": 1, "bold": 1, "italic": 1, "strikethrough": 1, "hyperlinks": 1, "images": 1, "inline_math": 1, "math_blocks": 1, "footnotes": 2, "tasklists": 1, "insertions": 1, "deletions": 0, "comments": 0, "highlights": 0}
+    want = {
+        "headings": 2, "unordered_items": 2, "ordered_items": 1, "code_blocks": 1, "table_rows": 2, "tables": 1, "blockquotes": 1,
+        "bold": 1, "italic": 1, "strikethrough": 1, "hyperlinks": 1, "images": 1, "inline_math": 1, "math_blocks": 1, "footnotes": 2,
+        "tasklists": 1, "insertions": 1, "deletions": 0, "comments": 0, "highlights": 0
+    }
     assert got == want
 
 
@@ -174,10 +186,16 @@ def test_mail_merge_and_assembly(spark):
     e = events.parse_markdown(md(spark, "# Hi {{n}} {#h}\n\n[x](http://{{n}}) `{{n}}` [y](#h)"))
     records = spark.createDataFrame([(1, {"n": "A"}), (2, {"n": "{{n}}"})], "record_id int, record map<string,string>")
     merged = events.mail_merge(e, records)
-    assert sorted((r.record_id, r.text) for r in merged.filter("kind in ('text', 'code') and text <> ' '").collect() if "Hi" in r.text or r.kind == "code") == [(1, "Hi A"), (1, "{{n}}"), (2, "Hi {{n}}"), (2, "{{n}}")]
+    assert sorted(
+        (r.record_id, r.text) for r in merged.filter(
+            "kind in ('text', 'code') and text <> ' '"
+        ).collect() if "Hi" in r.text or r.kind == "code"
+    ) == [(1, "Hi A"), (1, "{{n}}"), (2, "Hi {{n}}"), (2, "{{n}}")]
     book = events.assemble(merged, "record_id", F.concat(F.lit("merge-"), F.col("record_id").cast("string")))
     assert book.filter("kind = 'page_break'").count() == 1
-    assert sorted(r.d for r in book.filter("kind = 'start' and tag = 'link'").select(F.col("attrs")["dest"].alias("d")).collect()) == ["#merge-1-h", "#merge-2-h", "http://A", "http://{{n}}"]
+    assert sorted(
+        r.d for r in book.filter("kind = 'start' and tag = 'link'").select(F.col("attrs")["dest"].alias("d")).collect()
+    ) == ["#merge-1-h", "#merge-2-h", "http://A", "http://{{n}}"]
 
 
 @pytest.mark.parametrize("fmt", list(sinks.FORMATS))
@@ -187,7 +205,10 @@ def test_every_format_has_every_text(spark, fmt):
     at = -1
     for word in ("T", "p ", "b", "i", "x", "y", "one", "two", "q", "a", "1", "2", "code"):
         at = out.index(word, at + 1)
-    wanted = {"html": "<ol>\n<li>one</li>", "xhtml": '<h1>T</h1>', "latex": "\\section{T}", "marp": "1. one\n2. two", "markdown": "- x\n- y", "typst": "= T", "rtf": "{\\b b}"}
+    wanted = {
+        "html": "<ol>\n<li>one</li>", "xhtml": '<h1>T</h1>', "latex": "\\section{T}", "marp": "1. one\n2. two", "markdown": "- x\n- y",
+        "typst": "= T", "rtf": "{\\b b}"
+    }
     assert wanted[fmt] in out
 
 
@@ -202,7 +223,10 @@ def test_markdown_comes_back(spark):
 
 def test_lines_are_anchored(spark):
     rows = [(1, 0, k, "w", float(k), y, 5.0, 10.0, "f", False) for k, y in enumerate((100.0, 96.0, 92.0, 50.0))]
-    spans = spark.createDataFrame(rows, "doc_id int, page int, span_no int, text string, x double, y double, width double, font_size double, font_name string, bold boolean")
+    spans = spark.createDataFrame(
+        rows,
+        "doc_id int, page int, span_no int, text string, x double, y double, width double, font_size double, font_name string, bold boolean"
+    )
     assert [r.line for r in geometry.cluster_lines(spans).orderBy("span_no").collect()] == [1, 1, 2, 3]
 
 
@@ -227,7 +251,9 @@ def test_overlaps_of_all_sizes(spark):
 
     schema = "page int, no int, llx double, lly double, urx double, ury double"
     left, right = boxes(80), boxes(90)
-    got = geometry.overlap_join(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["page"]).select("a.no", F.col("b.no").alias("other")).collect()
+    got = geometry.overlap_join(
+        spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["page"]
+    ).select("a.no", F.col("b.no").alias("other")).collect()
     want = [(a[1], b[1]) for a in left[3:] for b in right[3:] if a[0] == b[0] and a[2] < b[4] and a[4] > b[2] and a[3] < b[5] and a[5] > b[3]]
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 100
 
@@ -238,7 +264,10 @@ def test_lines_of_a_long_page(spark):
     random.seed(3)
     ys = [random.choice((None, *(random.randrange(4000) / 10 for _ in range(20)))) for _ in range(3000)]
     rows = [(1, 0, k, "w", y, y, 5.0, 10.0, "f", False) for k, y in enumerate(ys)]
-    spans = spark.createDataFrame(rows, "doc_id int, page int, span_no int, text string, x double, y double, width double, font_size double, font_name string, bold boolean")
+    spans = spark.createDataFrame(
+        rows,
+        "doc_id int, page int, span_no int, text string, x double, y double, width double, font_size double, font_name string, bold boolean"
+    )
     want, line, anchor = {None: 0}, 0, None
     for y in sorted({y for y in ys if y is not None}, reverse=True):
         if anchor is None or abs(y - anchor) > 5:
@@ -289,7 +318,10 @@ def test_ranks_of_many_paths_and_long_ones(spark):
     found = {(r.graph_id, r.id): r["rank"] for r in graph.assign_ranks(nodes, edges).collect()}
     assert found == {(g, x): int(x.rstrip("xy")) for g, x in [(r.graph_id, r.id) for r in nodes.collect()]}
     with pytest.raises(ValueError, match="cycle"):
-        graph.assign_ranks(nodes.limit(0).union(spark.createDataFrame([("g", "a"), ("g", "b"), ("g", "r")], nodes.schema)), spark.createDataFrame([("g", "r", "a"), ("g", "a", "b"), ("g", "b", "a")], edges.schema))
+        graph.assign_ranks(
+            nodes.limit(0).union(spark.createDataFrame([("g", "a"), ("g", "b"), ("g", "r")], nodes.schema)),
+            spark.createDataFrame([("g", "r", "a"), ("g", "a", "b"), ("g", "b", "a")], edges.schema)
+        )
 
 
 def test_frames_of_any_depth(spark):
@@ -303,7 +335,10 @@ def test_frames_of_any_depth(spark):
 def test_frames_hold_inner_frames(spark):
     members = spark.createDataFrame([("g", "in", "a"), ("g", "out", "b")], "graph_id string, subgraph string, id string")
     parents = spark.createDataFrame([("g", "in", "out"), ("g", "out", None)], "graph_id string, subgraph string, parent string")
-    boxes = spark.createDataFrame([("g", "a", 0.0, 0.0, 10.0, 10.0), ("g", "b", 100.0, 0.0, 10.0, 10.0)], "graph_id string, id string, x double, y double, width double, height double")
+    boxes = spark.createDataFrame(
+        [("g", "a", 0.0, 0.0, 10.0, 10.0), ("g", "b", 100.0, 0.0, 10.0, 10.0)],
+        "graph_id string, id string, x double, y double, width double, height double"
+    )
     got = {r.subgraph: (r.llx, r.lly, r.urx, r.ury) for r in graph.frames(members, parents, boxes).collect()}
     assert got == {"in": (-20, -20, 30, 30), "out": (-40, -40, 130, 50)}
 
@@ -313,15 +348,24 @@ def test_flowcharts(spark):
     mentions, edges, members = diagrams.flowchart(spark.createDataFrame([(1, source)], "graph_id int, source string"))
     nodes = {r.id: (r.label, r.shape) for r in graph.build_graph(mentions).collect()}
     assert nodes == {"A": ("Start", "rect"), "B": ("End", "circle"), "C": ("C", None), "D": ("q", "diamond"), "E": ("E", None)}
-    assert sorted((r.src, r.dst, r.style, r.label) for r in edges.collect()) == [("A", "B", "solid", "yes"), ("B", "C", "solid", None), ("D", "A", "thick", None), ("E", "B", "dotted", None), ("E", "C", "dotted", None)]
+    assert sorted((r.src, r.dst, r.style, r.label) for r in edges.collect()) == [
+        ("A", "B", "solid", "yes"), ("B", "C", "solid", None), ("D", "A", "thick", None), ("E", "B", "dotted", None),
+        ("E", "C", "dotted", None)
+    ]
     assert sorted((r.id, r.subgraph) for r in members.collect()) == [("A", "one"), ("D", "one")]
 
 
 def test_other_diagrams(spark):
     of = lambda reader, source: reader(spark.createDataFrame([(1, source)], "chart_id int, source string")).orderBy("ord").collect()
     assert [(r.label, r.value) for r in of(diagrams.pie, 'pie title X\n "a" : 3\n "b" : 1.5')] == [("a", 3.0), ("b", 1.5)]
-    assert [(r.src, r.dst, r.text, r.step) for r in of(diagrams.sequence, "sequenceDiagram\nA->>B: hi\nactivate B\nB-->>A: yo\ndeactivate B")] == [("A", "B", "hi", 0), ("B", "", "", 1), ("B", "A", "yo", 0), ("B", "", "", -1)]
-    assert [(r.section, r.task, r.start, r.length) for r in of(diagrams.gantt, "gantt\nsection S\na : done, 2024-01-01, 3d\nb : 2024-01-03, 2024-01-10")] == [("S", "a", 0, 3), ("S", "b", 2, 7)]
+    assert [
+        (r.src, r.dst, r.text, r.step) for r in of(diagrams.sequence, "sequenceDiagram\nA->>B: hi\nactivate B\nB-->>A: yo\ndeactivate B")
+    ] == [("A", "B", "hi", 0), ("B", "", "", 1), ("B", "A", "yo", 0), ("B", "", "", -1)]
+    assert [
+        (r.section, r.task, r.start, r.length) for r in of(
+            diagrams.gantt, "gantt\nsection S\na : done, 2024-01-01, 3d\nb : 2024-01-03, 2024-01-10"
+        )
+    ] == [("S", "a", 0, 3), ("S", "b", 2, 7)]
     assert [(r.src, r.dst, r.label) for r in of(diagrams.states, "stateDiagram-v2\n[*] --> A\nA --> B : go")] == [("[*]", "A", ""), ("A", "B", "go")]
     assert [(r.level, r.label) for r in of(diagrams.mindmap, "mindmap\nroot((R))\n  a\n    b")] == [(0, "R"), (1, "a"), (2, "b")]
     assert [(r.period, r.event) for r in of(diagrams.timeline, "timeline\n2001 : a : b\n: c")] == [("2001", "a"), ("2001", "b"), ("2001", "c")]
@@ -363,7 +407,9 @@ def test_extras(spark):
     from docloom.operators import extras
 
     docs = spark.createDataFrame([(1, "Teh cat could of teh")], "doc_id int, text string")
-    assert sorted((r["at"], r.matched, r.correction) for r in extras.grammar_matches(docs).collect()) == [(0, "Teh", "the"), (8, "could of", "could have"), (17, "teh", "the")]
+    assert sorted(
+        (r["at"], r.matched, r.correction) for r in extras.grammar_matches(docs).collect()
+    ) == [(0, "Teh", "the"), (8, "could of", "could have"), (17, "teh", "the")]
     marked = md(spark, 'a <mark class="comment" data-id="1" data-author="me" data-content="why">b</mark> $x$ and $$y^2$$ 5$')
     found = extras.comments(marked)
     assert [tuple(r)[1:] for r in found.collect()] == [("1", "me", "why", "b")]

@@ -19,7 +19,10 @@ def packed(files):
 
 
 def test_html():
-    html = "<html><head><title>t</title></head><body><h1>A</h1><p>x <b>b</b> <a href='u'>l</a><ul><li>1<ul><li>n</ul><li>2</ul><pre class='mermaid'>g</pre><span class='math'>x</span><table><tr><td>a<td>b</table></body>"
+    html = (
+        "<html><head><title>t</title></head><body><h1>A</h1><p>x <b>b</b> <a href='u'>l</a><ul><li>1<ul><li>n</ul><li>2</ul><pre "
+        "class='mermaid'>g</pre><span class='math'>x</span><table><tr><td>a<td>b</table></body>"
+    )
     assert html_to_markdown_text(html, nested=True) == "# A\n\nx **b** [l](u)\n\n- 1\n    - n\n- 2\n\n```mermaid\ng\n```\n\n$x$\n\n| a | b |\n|---|---|"
     assert html_to_markdown_text(None) is None and html_to_markdown_text("") == ""
 
@@ -35,12 +38,30 @@ def test_rtf():
 
 def test_packed_formats(spark, tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    docx = packed({"word/document.xml": f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>T</w:t></w:r></w:p><w:p><w:r><w:rPr><w:b/></w:rPr><w:t>bold</w:t></w:r><w:ins w:author="me" w:date="d"><w:r><w:t>new</w:t></w:r></w:ins></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'})
+    docx = packed(
+        {
+            "word/document.xml": f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>T</w:t></w:r></w:p><w:p><w:r><w:rPr><w:b/></w:rPr><w:t>bold</w:t></w:r><w:ins w:author="me" w:date="d"><w:r><w:t>new</w:t></w:r></w:ins></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
+        }
+    )
     slide = lambda t: f'<p:sld xmlns:p="p" xmlns:a="a"><p:sp><p:nvPr><p:ph type="title"/></p:nvPr><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:sp></p:sld>'
     pptx = packed({f"ppt/slides/slide{n}.xml": slide(n) for n in (2, 10, 1)})
-    epub = packed({"META-INF/container.xml": '<c><rootfile full-path="O/c.opf"/></c>', "O/c.opf": '<p><item id="a" href="a.xhtml"/><item id="b" href="b.xhtml"/><itemref idref="b"/><itemref idref="gone"/><itemref idref="a"/></p>', "O/a.xhtml": "<p>A</p>", "O/b.xhtml": "<p>B</p>"})
+    epub = packed(
+        {
+            "META-INF/container.xml": '<c><rootfile full-path="O/c.opf"/></c>',
+            "O/c.opf": (
+                '<p><item id="a" href="a.xhtml"/><item id="b" href="b.xhtml"/><itemref idref="b"/><itemref idref="gone"/><itemref '
+                'idref="a"/></p>'
+            ),
+            "O/a.xhtml": "<p>A</p>", "O/b.xhtml": "<p>B</p>"
+        }
+    )
     odt = packed({"content.xml": '<d xmlns:t="t" xmlns:o="o"><o:body><o:text><t:h t:outline-level="2">H</t:h><t:p>x</t:p></o:text></o:body></d>'})
-    files = {"a.docx": docx, "b.pptx": pptx, "c.epub": epub, "d.odt": odt, "e.docx": b"broken", "f.md": b"# M", "g.html": b"<p>h", "h.tex": b"\\begin{document}\\section{S}\\textbf{b}\\end{document}", "i.marp": b"---\nmarp: true\n---\n# S\n<!-- paginate: true -->\n<!-- note -->", "j.typ": b"= T\n*b* _i_", "k.rtf": b"{\\rtf1 r\\par}"}
+    files = {
+        "a.docx": docx, "b.pptx": pptx, "c.epub": epub, "d.odt": odt, "e.docx": b"broken", "f.md": b"# M", "g.html": b"<p>h",
+        "h.tex": b"\\begin{document}\\section{S}\\textbf{b}\\end{document}",
+        "i.marp": b"---\nmarp: true\n---\n# S\n<!-- paginate: true -->\n<!-- note -->", "j.typ": b"= T\n*b* _i_",
+        "k.rtf": b"{\\rtf1 r\\par}"
+    }
     for name, content in files.items():
         (tmp_path / name).write_bytes(content)
     got = {r.path.rpartition("/")[2]: r.md for r in documents.read_documents(spark, str(tmp_path)).collect()}
@@ -78,7 +99,10 @@ def test_parser_nests_and_balances():
     import random
 
     random.seed(4)
-    parts = ["# h", "- a\n  - b\n\n    c", "> q\n> - x", "| a |\n|---|\n| b |", "```\nx\n```", "*a **b* c**", "[x](y) ![z](w)", "1. a\n2. b", "~~s~~ $m$ [^1]", "[^1]: n", "<div>\nx\n</div>", "---", "a  \nb", "Set\n==="]
+    parts = [
+        "# h", "- a\n  - b\n\n    c", "> q\n> - x", "| a |\n|---|\n| b |", "```\nx\n```", "*a **b* c**", "[x](y) ![z](w)", "1. a\n2. b",
+        "~~s~~ $m$ [^1]", "[^1]: n", "<div>\nx\n</div>", "---", "a  \nb", "Set\n==="
+    ]
     for _ in range(200):
         open_tags = []
         for e in parse("\n\n".join(random.choices(parts, k=6))):
