@@ -82,9 +82,28 @@ def op10_token_files(spark, folder):
     return read_digests(spark, write_token_files(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), end_id=2))
 
 
+def op11_nearest_vectors(spark, folder):
+    from docloom.llm.nearest import nearest_vectors
+
+    vectors = table(spark, folder, "embeddings")
+    return nearest_vectors(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+def op12_prefix_trie(spark, folder):
+    from docloom.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, folder, "conversations"))
+
+
+def op13_conversation_repair(spark, folder):
+    from docloom.llm.repair import repaired
+
+    return repaired(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_sentencepiece, op2_html_text, op3_embedding_near_dedup, op4_fingerprints, op5_minhash_near_dedup, op6_line_dedup, op7_sharding,
-        op8_packing, op9_language_id, op10_token_files
+        op8_packing, op9_language_id, op10_token_files, op11_nearest_vectors, op12_prefix_trie, op13_conversation_repair
     )
 }
