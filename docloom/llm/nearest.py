@@ -26,6 +26,8 @@ from docloom.llm import smallworld, storage
 
 #: Vectors of a shard, and bytes of them in double precision, about.
 SHARD, SHARD_BYTES = 16384, 32 << 20
+#: Tasks for each shard, most of them empty, so that few shards meet in one.
+SPREAD = 3
 #: Queries that visit a shard together.
 QUERIES = 32768
 #: Nodes that a query's walk keeps in each shard.
@@ -84,6 +86,9 @@ def build_index(vectors: DataFrame, keep: int = NEIGHBOURS, id_col: str = "vec_i
     room = F.greatest(F.lit(1), F.least(F.lit(SHARD), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("dim")))))
     shards = classes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias("shards"))
     dealt = classes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("h1", "h2"), F.col("shards")).cast("int"))
+    # A task a shard, if hashes allow: graphs are dear, so a task is not to have several because their vectors are small.
+    tasks = SPREAD * (shards.agg(F.sum("shards")).first()[0] or 1)
+    dealt = dealt.repartition(tasks, "dim", "shard")
     return storage.materialise(dealt.drop("shards").groupBy("dim", "shard").applyInArrow(_build, _INDEX), "vector-index")
 
 
