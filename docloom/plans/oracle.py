@@ -477,3 +477,13 @@ _BACK = (
     "WHEN doc_id % 9 >= 6 THEN 'Other' ELSE reference_type END"
 )
 ORACLE["bibliography_files"] = f"WITH {REFS} SELECT id, {_BACK} AS reference_type, year, doi FROM refs"
+# Streams ------------------------------------------------------------------------------------------------
+ORACLE["debounced_saves"] = """WITH e AS (
+    SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 9000 SECOND THEN 0 ELSE 1 END AS begins FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+  ), b AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM e)
+  SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(max(ts) + INTERVAL 9000 SECOND, '%Y-%m-%d %H:%M:%S.%f') AS saved_at, count(*) AS n_edits, max(event_id) FILTER (WHERE last) AS event_id,
+    max(event_type) FILTER (WHERE last) AS event_type, max(value) FILTER (WHERE last) AS value
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, burst ORDER BY ts DESC, event_id DESC) = 1 AS last FROM b) GROUP BY user_id, burst"""
+ORACLE["streamed_sync"] = ORACLE["lww_merge"]
+ORACLE["streamed_members"] = """SELECT id, count(DISTINCT doc_id) AS n_refs
+  FROM (SELECT source AS id, doc_id FROM documents UNION ALL SELECT 'src' || doc_id % 30, doc_id FROM documents) GROUP BY id"""

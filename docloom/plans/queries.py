@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom import storage
 from docloom.functions import text as T
 from docloom.html.markdown import html_to_markdown
 from docloom.operators import citations, compare, events, extras, geometry, graph, library
 from docloom.sinks import packed
 from docloom.sinks import text as sinks
 from docloom.sources import bibliography, diagrams
+from docloom.streaming import saves, sync
 
 QUERIES: dict = {}
 
@@ -1168,3 +1170,47 @@ def bibliography_files(spark, folder):
     files = r.select(F.concat("id", F.when(even, ".RIS").otherwise(".bib")).alias("file"), F.when(even, citations.ris()).otherwise(entry).alias("text"))
     back = bibliography.read_bibliography(files)
     return back.select(F.substring_index("id", ".", 1).alias("id"), "reference_type", "year", "doi")
+
+
+# Streams ------------------------------------------------------------------------------------------------
+
+
+def streamed(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A test table as a stream of its files."""
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/{name}.parque[t]")
+
+
+@query
+def debounced_saves(spark, folder):
+    """Users' last states; events are hours apart, and so is the gap."""
+    edits = table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    out = saves.bursts(edits, "user_id", "ts", "event_id", gap="9000 seconds")
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("started", "saved_at")})
+
+
+@query
+def streamed_sync(spark, folder):
+    """``lww_merge`` as a stream: each order is a row of the local library, of the remote one, or of both."""
+    o = streamed(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_totalprice").alias("price"), "o_orderpriority"
+    )
+    sides = F.array_compact(F.array(F.when(F.col("o_orderpriority") < "4", 0), F.when(F.col("o_orderpriority") > "2", 1)))
+    rows = o.withColumn("payload", F.explode(sides)).withColumn("place", F.lit(0))
+    late = (F.col("payload") == 1) & (F.col("price") > 100000)
+    rows = rows.withColumn("date_modified", F.when(late, "9999-01-01").otherwise(F.col("day")))
+    rows = rows.select("id", "payload", "place", F.when(F.col("payload") == 0, "local").otherwise("remote").alias("origin"), "date_modified", "price")
+    log, state = storage.new_path(spark, "sync-log"), storage.new_path(spark, "sync-state")
+    sync.run_sync(rows, log, state).awaitTermination()
+    return sync.synced(spark, log).select("id", "origin", "date_modified", "price")
+
+
+@query
+def streamed_members(spark, folder):
+    """Members of the collections of documents by source and by language, united as they come."""
+    d = streamed(spark, folder, "documents")
+    ref = F.array(F.concat(F.lit("ref-"), F.col("doc_id").cast("string")))
+    sets = d.select(F.explode(F.array("source", F.concat(F.lit("src"), (F.col("doc_id") % 30).cast("string")))).alias("id"), ref.alias("ref_ids"))
+    log, state = storage.new_path(spark, "members-log"), storage.new_path(spark, "members-state")
+    sync.run_members(sets, log, state).awaitTermination()
+    return spark.read.parquet(log).groupBy("id").agg(F.count(F.lit(1)).alias("n_refs"))
