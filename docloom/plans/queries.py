@@ -11,7 +11,7 @@ from docloom.html.markdown import html_to_markdown
 from docloom.operators import citations, compare, events, extras, geometry, graph, library
 from docloom.sinks import packed
 from docloom.sinks import text as sinks
-from docloom.sources import bibliography, diagrams
+from docloom.sources import bibliography, diagrams, formats
 from docloom.streaming import saves, sync
 
 QUERIES: dict = {}
@@ -1214,3 +1214,18 @@ def streamed_members(spark, folder):
     log, state = storage.new_path(spark, "members-log"), storage.new_path(spark, "members-state")
     sync.run_members(sets, log, state).awaitTermination()
     return spark.read.parquet(log).groupBy("id").agg(F.count(F.lit(1)).alias("n_refs"))
+
+
+# Formats by name ----------------------------------------------------------------------------------------
+
+
+@query
+def formats_round_trip(spark, folder):
+    """Half of the references written as files of one format, half of the other, and read by the formats' names; ``issue`` takes the id."""
+    r = refs(spark, folder).withColumns({"issue": F.col("id"), "title": F.replace("title", F.lit("@"))}).withColumn("name", F.concat(F.lit("part-"), (F.col("doc_id") % 50).cast("string")))
+    back = []
+    for fmt, rest in (("ris", 0), ("bib", 1)):
+        path = storage.new_path(spark, fmt)
+        formats.write_references(r.filter(F.col("doc_id") % 2 == rest).withColumn("abstract_text", F.lit("")), fmt, path)
+        back.append(spark.read.format(fmt).load(path))
+    return back[0].unionByName(back[1]).select(F.col("issue").alias("id"), "reference_type", F.array_join("authors", "|").alias("authors"), "year", "doi")
