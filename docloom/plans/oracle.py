@@ -487,4 +487,4 @@ ORACLE["debounced_saves"] = """WITH e AS (
 ORACLE["streamed_sync"] = ORACLE["lww_merge"]
 ORACLE["streamed_members"] = """SELECT id, count(DISTINCT doc_id) AS n_refs
   FROM (SELECT source AS id, doc_id FROM documents UNION ALL SELECT 'src' || doc_id % 30, doc_id FROM documents) GROUP BY id"""
-ORACLE["formats_round_trip"] = f"WITH {REFS} SELECT id, {_BACK} AS reference_type, array_to_string(authors, '|') AS authors, year, doi FROM refs"
+ORACLE["formats_round_trip"] = f"WITH {REFS} SELECT id, {_BACK} AS reference_type, CASE WHEN doc_id % 2 = 0 THEN array_to_string(authors, '|') ELSE replace(array_to_string(authors, ' and '), ' and ', '|') END AS authors, year, doi FROM refs"
