@@ -488,3 +488,76 @@ ORACLE["streamed_sync"] = ORACLE["lww_merge"]
 ORACLE["streamed_members"] = """SELECT id, count(DISTINCT doc_id) AS n_refs
   FROM (SELECT source AS id, doc_id FROM documents UNION ALL SELECT 'src' || doc_id % 30, doc_id FROM documents) GROUP BY id"""
 ORACLE["formats_round_trip"] = f"WITH {REFS} SELECT id, {_BACK} AS reference_type, CASE WHEN doc_id % 2 = 0 THEN array_to_string(authors, '|') ELSE replace(array_to_string(authors, ' and '), ' and ', '|') END AS authors, year, doi FROM refs"
+# Pages of spans -----------------------------------------------------------------------------------------
+_TEXT14 = ", ".join(
+    ["'• the item'", "'3. entry'", "'Words in Title Case'", "'ALL IN CAPITALS'", "'Figure One'", "'see www.example.org/a.'", "' '"] + ["'plain text ' || l_returnflag || o"] * 7
+)
+_PAGES = f"""li AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS n, l_partkey AS p, l_orderkey AS o FROM lineitem),
+  one AS (SELECT l_suppkey AS doc_id, (n // 40)::INT AS page, n * 2 AS span_no, (760 - n % 40 * 14)::DOUBLE AS y, CASE WHEN p % 23 = 0 THEN 16 WHEN p % 19 = 0 THEN 12 ELSE 10 END::DOUBLE AS fs,
+    [{_TEXT14}][p % 14 + 1] AS text, (72 + [0, 0, 0, 0, 36, 36, 90, 150, 36][p % 9 + 1])::DOUBLE AS x, (l_quantity * 4 + 60)::DOUBLE AS w, p % 13 = 0 AS b, o % 3 = 0 AS i,
+    CASE WHEN l_linestatus = 'F' THEN 'Times New Roman' ELSE 'Arial' END AS font, p, o FROM li),
+  sp AS (SELECT * FROM one UNION ALL SELECT doc_id, page, span_no + 1, y, fs, ' and more ', x + w + p % 3 * 4, 80, o % 2 = 0, o % 6 = 0, font, p, o FROM one WHERE p % 2 = 0 AND p % 14 <> 6),
+  rc AS (SELECT doc_id, page, x AS l, CASE WHEN o % 5 = 0 THEN y - 1 ELSE y + 3 END AS ry, x + w AS r FROM sp WHERE o % 5 = 0 OR o % 7 = 0
+    UNION ALL SELECT doc_id, page, 72, y + fs + 1, 600 FROM one WHERE o % 29 = 0),
+  lefts AS (SELECT doc_id, min(x) AS pl FROM sp WHERE trim(text) <> '' GROUP BY doc_id),
+  frames AS (SELECT doc_id, page, max(x + w) AS pr, any_value(pl) AS pl FROM sp JOIN lefts USING (doc_id) WHERE trim(text) <> '' GROUP BY doc_id, page),
+  m AS (SELECT s.doc_id, s.page, span_no, bool_or(ry > y - fs * 0.6::DOUBLE AND ry < y + fs * 0.2::DOUBLE) AS u, bool_or(ry >= y + fs * 0.2::DOUBLE AND ry <= y + fs * 0.8::DOUBLE) AS s
+    FROM sp s JOIN rc c ON s.doc_id = c.doc_id AND s.page = c.page JOIN frames f ON f.doc_id = s.doc_id AND f.page = s.page
+    WHERE least(r, x + w) - greatest(l, x) > w * 0.5::DOUBLE AND r - l <= (pr - pl) * 0.5::DOUBLE GROUP BY ALL),
+  bodies AS (SELECT doc_id, round(fs * 2) / 2 AS body FROM sp GROUP BY doc_id, round(fs * 2) / 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, round(fs * 2) / 2) = 1),
+  marked AS (SELECT sp.*, coalesce(m.s, false) AS s, coalesce(m.u, false) AS u, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY y DESC) AS line, BODY AS body
+    FROM sp LEFT JOIN m USING (doc_id, page, span_no) JOIN bodies USING (doc_id)),
+  r1 AS (SELECT *, [s, u, b, i] AS f, lag([s, u, b, i]) OVER k AS g, x - lag(x + w) OVER k AS gap FROM marked WINDOW k AS (PARTITION BY doc_id, page, line ORDER BY x, span_no)),
+  r2 AS (SELECT *, sum(CASE WHEN f IS NOT DISTINCT FROM g THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page, line ORDER BY x, span_no) AS run FROM r1),
+  r3 AS (SELECT *, CASE WHEN gap > greatest(first(w) OVER (PARTITION BY doc_id, page, line, run ORDER BY x, span_no) * 0.6::DOUBLE, body * 0.15::DOUBLE) THEN ' ' ELSE '' END || text AS piece FROM r2),
+  runs AS (SELECT doc_id, page, line, run, any_value(f) AS f, string_agg(piece, '' ORDER BY x, span_no) AS t FROM r3 GROUP BY ALL)"""
+_PLACE = "PARTITION BY doc_id, page, line ORDER BY run"
+_LINKED = "replace(trim(regexp_replace(string_agg(q, '' ORDER BY run), '\\s+', ' ', 'g')), 'www.example.org/a.', '<a href=\"https://www.example.org/a\">www.example.org/a</a>.')"
+_NAMES = ("s", "u", "b", "i")
+
+
+def _open(k: int, other: str, sign: str) -> str:
+    return f"CASE WHEN f[{k + 1}] AND coalesce(f[1:{k + 1}] <> {other}[1:{k + 1}], true) THEN '<{sign}{_NAMES[k]}>' ELSE '' END"
+
+
+# A blank run would show in its spaces only; there is none between the spans of these pages but a line's only one.
+ORACLE["marks_nested"] = f"""WITH {_PAGES.replace('BODY', '10.0::DOUBLE')},
+  z AS (SELECT *, lag(f) OVER ({_PLACE}) AS was, lead(f) OVER ({_PLACE}) AS will FROM runs),
+  q AS (SELECT doc_id, page, line, run, CASE WHEN trim(t) = '' THEN t ELSE regexp_extract(t, '^\\s*') || {' || '.join(_open(k, 'was', '') for k in range(4))} || trim(t)
+    || {' || '.join(_open(k, 'will', '/') for k in reversed(range(4)))} || regexp_extract(t, '\\s*$') END AS q FROM z)
+  SELECT doc_id, page, line, {_LINKED} AS inline FROM q GROUP BY doc_id, page, line"""
+ORACLE["spans_to_md"] = f"""WITH RECURSIVE {_PAGES.replace('BODY', 'body')},
+  q AS (SELECT doc_id, page, line, run, CASE WHEN trim(t) = '' THEN t ELSE regexp_extract(t, '^\\s*') || {' || '.join(f"CASE WHEN f[{k + 1}] THEN '<{n}>' ELSE '' END" for k, n in enumerate(_NAMES))} || trim(t)
+    || {' || '.join(f"CASE WHEN f[{k + 1}] THEN '</{n}>' ELSE '' END" for k, n in reversed(list(enumerate(_NAMES))))} || regexp_extract(t, '\\s*$') END AS q FROM runs),
+  texts AS (SELECT doc_id, page, line, {_LINKED} AS t FROM q GROUP BY doc_id, page, line),
+  l1 AS (SELECT doc_id, page, line, any_value(body) AS body, max(y) AS y, max(y) + arg_min(fs, span_no) AS top, arg_min(b, span_no) AS strong, max(fs) AS fs,
+    min(x) FILTER (WHERE trim(text) <> '') AS l, max(x + w) FILTER (WHERE trim(text) <> '') AS r FROM marked GROUP BY doc_id, page, line),
+  l2 AS (SELECT l1.*, t, regexp_replace(t, '</?[bius]>', '', 'g') AS bare, pr, pr - pl AS wide, l - pl AS lgap, pr - r AS rgap FROM l1 JOIN texts USING (doc_id, page, line) JOIN frames USING (doc_id, page) WHERE t <> ''),
+  l3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, line) AS n, lag(y) OVER (PARTITION BY doc_id ORDER BY page, line) AS above,
+    coalesce(lag(y) OVER (PARTITION BY doc_id, page ORDER BY line) - top, 'Infinity'::DOUBLE) AS gap, r < pr - wide * 0.15::DOUBLE AS short,
+    regexp_matches(bare, '^[•●▪◆]') AS sign, regexp_extract(bare, '^([0-9]+)\\. ', 1) AS num, list_filter(string_split(bare, ' '), lambda x: x <> '') AS ws, regexp_replace(bare, '\\P{{L}}', '', 'g') AS ls FROM l2),
+  wide AS (SELECT rc.doc_id, rc.page, ry FROM rc JOIN frames USING (doc_id, page) WHERE r - l > (pr - pl) * 0.5::DOUBLE),
+  rules AS (SELECT n, a.doc_id, count(ry) AS rules FROM l3 a JOIN wide b ON a.doc_id = b.doc_id AND a.page = b.page AND ry < above AND ry > top
+    AND NOT EXISTS (SELECT 1 FROM l3 e WHERE e.doc_id = a.doc_id AND e.page = a.page AND e.n < a.n AND ry < e.above AND ry > e.top) GROUP BY ALL),
+  f AS (SELECT l3.*, coalesce(rules, 0) AS rules, sign OR num <> '' AS bullet, fs > body * 1.15::DOUBLE AND NOT (sign OR num <> '') AS big, NOT regexp_matches(bare, '^(Figure|Table)') AND NOT (sign OR num <> '') AS ok,
+    len(ws) BETWEEN 1 AND 7 AND NOT regexp_matches(bare, '[.,:]$') AND len(list_filter(ws, lambda x: NOT ((strlen(x) <= 3 AND regexp_matches(x, '^\\p{{Ll}}')) OR regexp_matches(x, '^(?:\\p{{Lu}}|\\P{{L}})')))) = 0 AS title,
+    strlen(bare) > 3 AND length(ls) > 3 AND NOT regexp_matches(ls, '[^\\p{{Lu}}]') AS caps FROM l3 LEFT JOIN rules USING (doc_id, n)),
+  g AS (SELECT *, CASE WHEN num <> '' THEN regexp_replace(t, '^[0-9. ]+', '') WHEN sign THEN trim(regexp_replace(regexp_replace(t, '[•●▪◆]', ''), '<i></i>|<b></b>|<u></u>', '', 'g'))
+      WHEN fs > body * 1.45::DOUBLE THEN '# ' WHEN fs > body * 1.15::DOUBLE THEN '## ' ELSE t END AS c0 FROM f),
+  h AS (SELECT *, CASE WHEN bullet THEN CASE WHEN num <> '' THEN num || '.' ELSE '-' END || ' ' ELSE '' END || CASE WHEN big THEN c0 ELSE '' END
+      || CASE WHEN abs(fs - body) >= 1 THEN printf('<span style="font-size: %.1fpt">', fs) ELSE '' END || CASE WHEN big THEN bare ELSE c0 END || CASE WHEN abs(fs - body) >= 1 THEN '</span>' ELSE '' END AS content FROM g),
+  walk(doc_id, n, centre, indent, item, short, piece) AS (
+    SELECT doc_id, 0::BIGINT, NULL::DOUBLE, 0::DOUBLE, false, true, '' FROM lefts
+    UNION ALL SELECT doc_id, n, CASE WHEN centred THEN coalesce(c2, l) ELSE c2 END, CASE WHEN NOT centred AND gp > 0 AND i2 = 0 THEN gp ELSE i2 END, CASE WHEN breaks THEN bullet ELSE item END,
+      centred OR lshort OR heading, CASE WHEN rules > 0 THEN div || CASE WHEN clean THEN '' ELSE chr(10) || chr(10) END || repeat('---' || chr(10) || chr(10), rules)
+        WHEN breaks THEN div || CASE WHEN clean THEN '' WHEN bullet AND NOT far THEN chr(10) ELSE chr(10) || chr(10) END WHEN gap < -body THEN '' WHEN short AND NOT item THEN '  ' || chr(10) ELSE ' ' END
+        || CASE WHEN centred THEN CASE WHEN c2 IS NULL THEN '<div align="center">' || chr(10) || chr(10) ELSE '' END WHEN gp > 0 AND i2 = 0 THEN '<div style="margin-left: ' || gp::BIGINT || 'pt">' || chr(10) || chr(10) ELSE '' END || content
+    FROM (SELECT *, CASE WHEN shuts THEN NULL ELSE c1 END AS c2, CASE WHEN shuts THEN 0 ELSE i1 END AS i2, shuts OR caps AS breaks, CASE WHEN open AND shuts THEN chr(10) || chr(10) || '</div>' || chr(10) || chr(10) ELSE '' END AS div, (open AND shuts) OR n = 1 AS clean
+      FROM (SELECT *, far OR bullet OR heading OR rules > 0 OR (c1 IS NOT NULL AND NOT centred) OR (i1 > 0 AND (gp = 0 OR gp <> i1 OR centred)) AS shuts
+        FROM (SELECT *, CASE WHEN centred THEN 0 WHEN item AND NOT bullet AND NOT heading AND NOT far THEN i1 WHEN lgap > body AND NOT (num <> '' AND lgap < body * 5) THEN round(lgap) ELSE 0 END AS gp
+          FROM (SELECT *, NOT bullet AND ((lgap > pad AND (off < body * 2 OR (off < body * 10 AND heading))) OR (c1 IS NOT NULL AND ((lgap > pad AND rgap > pad) OR abs(l - c1) < 2))) AS centred
+            FROM (SELECT h.* EXCLUDE (short), h.short AS lshort, s.item, s.short, s.centre IS NOT NULL OR s.indent > 0 AS open, CASE WHEN rules > 0 THEN NULL ELSE s.centre END AS c1, CASE WHEN rules > 0 THEN 0 ELSE s.indent END AS i1,
+              big OR (ok AND strong) OR (ok AND title AND (NOT s.item OR s.short)) AS heading, gap > body * 1.5::DOUBLE AS far, wide * 0.1::DOUBLE AS pad, abs(lgap - rgap) AS off FROM walk s JOIN h ON h.doc_id = s.doc_id AND h.n = s.n + 1))))) )
+  SELECT w.doc_id, rtrim('---' || chr(10) || 'page:' || chr(10) || printf('  font_size: %.1fpt', any_value(body)) || chr(10) || '  font_family: "' || any_value(font) || '"' || chr(10) || '  line_spacing: 0.65em' || chr(10) || '---' || chr(10) || chr(10)
+    || string_agg(piece, '' ORDER BY n) || CASE WHEN arg_max(centre IS NOT NULL OR indent > 0, n) THEN chr(10) || chr(10) || '</div>' ELSE '' END, ' ' || chr(10)) AS md
+  FROM walk w JOIN bodies USING (doc_id) JOIN (SELECT doc_id, font FROM sp GROUP BY doc_id, font QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sum(strlen(text)) DESC, font) = 1) USING (doc_id) GROUP BY w.doc_id"""

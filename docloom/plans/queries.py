@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom import storage
 from docloom.functions import text as T
 from docloom.html.markdown import html_to_markdown
-from docloom.operators import citations, compare, events, extras, geometry, graph, library
+from docloom.operators import citations, compare, events, extras, geometry, graph, layout, library
 from docloom.sinks import packed
 from docloom.sinks import text as sinks
 from docloom.sources import bibliography, diagrams, formats
@@ -621,9 +621,50 @@ def line_clusters(spark, folder):
     return geometry.cluster_lines(_spans(spark, folder)).select("doc_id", "page", "span_no", "line")
 
 
+def _written_pages(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Spans and rectangles: a supplier's line items are a document, each a line of one or two spans, forty to a page."""
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    li = table(spark, folder, "lineitem").withColumn("n", F.row_number().over(order) - 1)
+    p, o = F.col("l_partkey"), F.col("l_orderkey")
+    of = lambda *values: F.element_at(F.array(*map(F.lit, values)), (p % len(values) + 1).cast("int"))
+    texts = F.element_at(
+        F.array(
+            F.lit("• the item"), F.lit("3. entry"), F.lit("Words in Title Case"), F.lit("ALL IN CAPITALS"), F.lit("Figure One"), F.lit("see www.example.org/a."),
+            F.lit(" "), *[F.concat(F.lit("plain text "), "l_returnflag", o.cast("string"))] * 7
+        ), (p % 14 + 1).cast("int")
+    )
+    y = F.lit(760.0) - F.col("n") % 40 * 14
+    size = F.when(p % 23 == 0, 16.0).when(p % 19 == 0, 12.0).otherwise(10.0)
+    line = li.select(
+        F.col("l_suppkey").alias("doc_id"), F.floor(F.col("n") / 40).cast("int").alias("page"), (F.col("n") * 2).cast("long").alias("span_no"), y.alias("y"),
+        size.alias("font_size"), texts.alias("text"), (F.lit(72.0) + of(0.0, 0.0, 0.0, 0.0, 36.0, 36.0, 90.0, 150.0, 36.0)).alias("x"),
+        (F.col("l_quantity") * 4 + 60).cast("double").alias("width"), (p % 13 == 0).alias("bold"), (o % 3 == 0).alias("italic"),
+        F.concat(F.lit("ABC+"), F.when(F.col("l_linestatus") == "F", "Times-Bold").otherwise("ArialMT")).alias("font_name"), p.alias("p"), o.alias("o")
+    )
+    more = line.filter("p % 2 = 0 and p % 14 <> 6").withColumns(
+        {
+            "span_no": F.col("span_no") + 1, "x": F.col("x") + F.col("width") + (F.col("p") % 3) * 4, "width": F.lit(80.0), "text": F.lit(" and more "),
+            "bold": F.col("o") % 2 == 0, "italic": F.col("o") % 6 == 0
+        }
+    )
+    spans = line.unionByName(more)
+    under = F.when(F.col("o") % 5 == 0, F.col("y") - 1).when(F.col("o") % 7 == 0, F.col("y") + 3)
+    rects = spans.withColumn("lly", under).filter("lly is not null").select("doc_id", "page", F.col("x").alias("llx"), "lly", (F.col("x") + F.col("width")).alias("urx"), (F.col("lly") + 1).alias("ury"))
+    wide = line.filter("o % 29 = 0").select("doc_id", "page", F.lit(72.0).alias("llx"), (F.col("y") + F.col("font_size") + 1).alias("lly"), F.lit(600.0).alias("urx"), (F.col("y") + F.col("font_size") + 2).alias("ury"))
+    return spans.drop("p", "o"), rects.unionByName(wide)
+
+
 @query
 def spans_to_md(spark, folder):
-    return geometry.spans_to_markdown(_spans(spark, folder))
+    return layout.pages_to_markdown(*_written_pages(spark, folder))
+
+
+@query
+def marks_nested(spark, folder):
+    """Lines whose marks stay open over the spans that share them."""
+    spans, rects = _written_pages(spark, folder)
+    lines = geometry.cluster_lines(layout.ruled(spans, rects, layout.page_frames(spans)), "doc_id").withColumn("body", F.lit(10.0))
+    return layout.inline(lines, nested=True).select("doc_id", "page", F.col("line").cast("long").alias("line"), "inline")
 
 
 def _hierarchy(spark, folder) -> tuple[DataFrame, DataFrame]:
