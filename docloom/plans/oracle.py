@@ -561,3 +561,27 @@ ORACLE["spans_to_md"] = f"""WITH RECURSIVE {_PAGES.replace('BODY', 'body')},
   SELECT w.doc_id, rtrim('---' || chr(10) || 'page:' || chr(10) || printf('  font_size: %.1fpt', any_value(body)) || chr(10) || '  font_family: "' || any_value(font) || '"' || chr(10) || '  line_spacing: 0.65em' || chr(10) || '---' || chr(10) || chr(10)
     || string_agg(piece, '' ORDER BY n) || CASE WHEN arg_max(centre IS NOT NULL OR indent > 0, n) THEN chr(10) || chr(10) || '</div>' ELSE '' END, ' ' || chr(10)) AS md
   FROM walk w JOIN bodies USING (doc_id) JOIN (SELECT doc_id, font FROM sp GROUP BY doc_id, font QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sum(strlen(text)) DESC, font) = 1) USING (doc_id) GROUP BY w.doc_id"""
+# Running numbers ----------------------------------------------------------------------------------------
+ORACLE["formulas_numbered"] = rf"""WITH RECURSIVE d AS (SELECT doc_id, string_split(replace(coalesce(text, ''), '$', 'USD'), chr(10)) AS x FROM documents),
+  r AS (SELECT doc_id, i::BIGINT AS i, (doc_id + i - 1) % 9 AS turn, x[i] AS x, len(x) AS n FROM d, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i)),
+  l AS (SELECT doc_id, i, CASE turn WHEN 0 THEN '$$' WHEN 1 THEN ' $$ ' || x || '$$ ' WHEN 2 THEN 'a $x$ and $y\$z$ $$ ' || x || ' $w' WHEN 3 THEN '$$' || x WHEN 5 THEN x || '$$' ELSE x END AS line, n FROM r),
+  b AS (SELECT *, regexp_replace(regexp_replace(line, '^\s+', ''), '\s+$', '') AS bare FROM l WHERE NOT (i = n AND line = '')),
+  s(doc_id, i, inside, kind) AS (SELECT doc_id, 0::BIGINT, false, '' FROM d UNION ALL
+    SELECT b.doc_id, b.i, CASE WHEN s.inside THEN NOT ends_with(bare, '$$') ELSE starts_with(bare, '$$') AND NOT (ends_with(bare, '$$') AND length(bare) > 3) END,
+      CASE WHEN s.inside THEN CASE WHEN ends_with(bare, '$$') THEN 'close' ELSE 'body' END WHEN starts_with(bare, '$$') THEN CASE WHEN ends_with(bare, '$$') AND length(bare) > 3 THEN 'alone' ELSE 'open' END ELSE 'text' END
+    FROM s JOIN b ON b.doc_id = s.doc_id AND b.i = s.i + 1),
+  k AS (SELECT b.*, kind, CASE kind WHEN 'text' THEN 2 * starts_with(line, 'a $x$ and $y\$z$ $$ ')::INT WHEN 'alone' THEN 1 WHEN 'close' THEN 1 ELSE 0 END AS c FROM b JOIN s USING (doc_id, i)),
+  m AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM k),
+  p AS (SELECT *, CASE WHEN kind IN ('open', 'body') THEN '' WHEN kind <> 'text' THEN '![Equation ' || e || '](diagrams/math/eq_' || e || '.png)' || chr(10)
+    WHEN c = 2 THEN 'a ![](diagrams/math/eq_' || e - 1 || '.png) and ![](diagrams/math/eq_' || e || '.png) ' || substr(line, 18) || chr(10) ELSE line || chr(10) END AS piece,
+    CASE kind WHEN 'alone' THEN bare[3:-3] WHEN 'open' THEN bare[3:] WHEN 'body' THEN line WHEN 'close' THEN CASE WHEN bare = '$$' THEN '' ELSE line[1:-3] END END AS tex, e + (kind IN ('open', 'body'))::INT AS q FROM m),
+  blocks AS (SELECT doc_id, q, regexp_replace(regexp_replace(string_agg(tex, chr(10) ORDER BY i), '^\s+', ''), '\s+$', '') AS tex FROM p WHERE kind <> 'text' GROUP BY doc_id, q HAVING bool_or(c = 1)),
+  f AS (SELECT doc_id, q AS e, q || 'D' || tex AS t FROM blocks UNION ALL SELECT doc_id, e - 1, (e - 1) || 'Ix' FROM p WHERE kind = 'text' AND c = 2 UNION ALL SELECT doc_id, e, e || 'Iy\$z' FROM p WHERE kind = 'text' AND c = 2)
+  SELECT d.doc_id, coalesce(any_value(t.text), '') AS text, coalesce(any_value(g.formulas), '') AS formulas FROM d LEFT JOIN (SELECT doc_id, string_agg(piece, '' ORDER BY i) AS text FROM p GROUP BY doc_id) t USING (doc_id)
+    LEFT JOIN (SELECT doc_id, string_agg(t, '|' ORDER BY e) AS formulas FROM f GROUP BY doc_id) g USING (doc_id) GROUP BY d.doc_id"""
+ORACLE["list_counters"] = """WITH RECURSIVE e AS (SELECT user_id AS doc_id, event_id AS seq, (floor(value) % 4)::INT AS level, [0, 1, 2, 2, 2][event_id % 5 + 1] AS list_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+  walk(doc_id, n, seq, counters, before, marker) AS (SELECT DISTINCT doc_id, 0::BIGINT, NULL::BIGINT, [0, 0, 0, 0], 0, '' FROM e UNION ALL
+    SELECT doc_id, n, seq, counters, CASE WHEN list_id > 0 THEN level ELSE before END, CASE WHEN list_id = 0 THEN '' ELSE repeat('    ', level) || CASE WHEN list_id = 2 THEN counters[level + 1] || '. ' ELSE '- ' END END
+    FROM (SELECT e.doc_id, e.n, e.seq, e.level, e.list_id, w.before, CASE WHEN list_id = 2 THEN list_transform(w.counters, lambda c, i: CASE WHEN i = level + 1 THEN CASE WHEN level > w.before THEN 0 ELSE c END + 1 ELSE c END) ELSE w.counters END AS counters
+      FROM walk w JOIN e ON e.doc_id = w.doc_id AND e.n = w.n + 1))
+  SELECT doc_id, seq, marker FROM walk WHERE n > 0"""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom import storage
 from docloom.functions import text as T
 from docloom.html.markdown import html_to_markdown
-from docloom.operators import citations, compare, events, extras, geometry, graph, layout, library
+from docloom.operators import citations, compare, events, extras, geometry, graph, layout, library, numbering
 from docloom.sinks import packed
 from docloom.sinks import text as sinks
 from docloom.sources import bibliography, diagrams, formats
@@ -1270,3 +1270,33 @@ def formats_round_trip(spark, folder):
         formats.write_references(r.filter(F.col("doc_id") % 2 == rest).withColumn("abstract_text", F.lit("")), fmt, path)
         back.append(spark.read.format(fmt).load(path))
     return back[0].unionByName(back[1]).select(F.col("issue").alias("id"), "reference_type", F.array_join("authors", "|").alias("authors"), "year", "doi")
+
+
+# Running numbers ----------------------------------------------------------------------------------------
+
+
+@query
+def formulas_numbered(spark, folder):
+    """Documents whose lines take turns to open and close blocks of formulas, or to have some; their own dollar signs are spelled out."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("$"), F.lit("USD"))
+    d = table(spark, folder, "documents").select("doc_id", F.split(text, "\n", -1).alias("lines"))
+
+    def line(x: Column, i: Column) -> Column:
+        turn = (F.col("doc_id") + i) % 9
+        out = F.when(turn == 0, "$$").when(turn == 1, F.concat(F.lit(" $$ "), x, F.lit("$$ "))).when(turn == 2, F.concat(F.lit("a $x$ and $y\\$z$ $$ "), x, F.lit(" $w")))
+        return out.when(turn == 3, F.concat(F.lit("$$"), x)).when(turn == 5, F.concat(x, F.lit("$$"))).otherwise(x)
+
+    docs = d.select("doc_id", F.array_join(F.transform("lines", line), "\n").alias("md"))
+    texts, found = numbering.number_formulas(docs)
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "display", "latex"))), lambda f: F.concat(f["number"].cast("string"), F.when(f["display"], "D").otherwise("I"), f["latex"])), "|")
+    return texts.join(found.groupBy("doc_id").agg(told.alias("formulas")), "doc_id", "left").fillna("", ["formulas"])
+
+
+@query
+def list_counters(spark, folder):
+    """Users' events as paragraphs of lists of four levels."""
+    e = table(spark, folder, "events").select(
+        F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), (F.floor(F.col("value")) % 4).cast("int").alias("level"),
+        F.element_at(F.array(*map(F.lit, (0, 1, 2, 2, 2))), (F.col("event_id") % 5 + 1).cast("int")).alias("list_id")
+    )
+    return numbering.list_numbers(e).select("doc_id", "seq", "marker")
