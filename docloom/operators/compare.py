@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import bisect
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom import storage
 from docloom.functions.text import similarity
-from docloom.operators.events import structural_similarity, structure_metrics
+from docloom.operators.events import structural_similarity, structure_metrics, top_level_blocks
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
@@ -57,72 +61,147 @@ def compare_documents(pairs: DataFrame, id_col: str = "doc_id", a: str = "a", b:
     return out.withColumn("roundtrip_similarity", both).withColumn("status", status)
 
 
-def edit_script(old: list[str], new: list[str]) -> list[tuple[str, int, int]]:
-    """The shortest script of (equal | delete | insert, place in old, place in new), deletions first (greedy, O(ND))."""
-    n, m = len(old), len(new)
-    reach, history = {1: 0}, []
-    for d in range(n + m + 1):
-        history.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
-            while x < n and x - k < m and old[x] == new[x - k]:
-                x += 1
-            reach[k] = x
-            if x >= n and x - k >= m:
-                break
-        else:
-            continue
-        break
-    script, x, y = [], n, m
-    for d in range(len(history) - 1, -1, -1):
-        reach, k = history[d], x - y
-        last = k + 1 if k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1)) else k - 1
-        px = reach.get(last, 0)
-        py = px - last
-        while x > max(px, 0) and y > max(py, 0):
-            x, y = x - 1, y - 1
-            script.append(("equal", x, y))
-        if d:
-            script.append(("insert", x, y - 1) if x == px else ("delete", x - 1, y))
-            x, y = px, py
-    return script[::-1]
-
-
-def block_diff(pairs: DataFrame, id_col: str = "doc_id", old: str = "old", new: str = "new") -> DataFrame:
-    """(id, pos, op, old_text, new_text) of each pair of Markdown texts, in order.
-
-    Blocks that stay are ``equal``; as many blocks deleted as inserted in one place are ``replace``, paired
-    in order; others are ``delete`` and ``insert``, deletions first.
+def _middle(x: list, y: list, a: int, b: int, c: int, d: int) -> tuple[int, int, int, int]:
+    """The run of equal items (from and to, in each) in the middle of a shortest script from x[a:b] to y[c:d], by searches from both ends."""
+    n, m = b - a, d - c
+    apart, most = n - m, (n + m + 1) // 2
+    # The furthest place in x on each diagonal, from the start and from the end; diagonals that leave the field are not gone on with.
+    ahead, back = {1: 0}, {1: 0}
+
+    def furthest(reach: dict[int, int], k: int) -> int:
+        down, right = reach.get(k + 1, -1), reach.get(k - 1, -2) + 1
+        return max(down if down - k <= m else -1, right if right <= n else -1)
+
+    for cost in range(most + 1):
+        for k in range(-cost, cost + 1, 2):
+            start = i = furthest(ahead, k)
+            if i < 0:
+                continue
+            while i < n and i - k < m and x[a + i] == y[c + i - k]:
+                i += 1
+            ahead[k] = i
+            if apart % 2 and abs(apart - k) < cost and i + back.get(apart - k, -n - m) >= n:
+                return a + start, a + i, c + start - k, c + i - k
+        for k in range(-cost, cost + 1, 2):
+            start = i = furthest(back, k)
+            if i < 0:
+                continue
+            while i < n and i - k < m and x[b - 1 - i] == y[d - 1 - i + k]:
+                i += 1
+            back[k] = i
+            if apart % 2 == 0 and abs(apart - k) <= cost and i + ahead.get(apart - k, -n - m) >= n:
+                return b - i, b - start, d - i + k, d - start + k
+    raise AssertionError("two searches that end everywhere meet")
+
+
+def _rising(places: list[int]) -> list[int]:
+    """Where a longest rising run of distinct numbers has its members."""
+    tails, ends, before = [], [], []
+    for k, p in enumerate(places):
+        at = bisect.bisect_left(tails, p)
+        before.append(ends[at - 1] if at else None)
+        tails[at:], ends[at:] = [p, *tails[at + 1 :]], [k, *ends[at + 1 :]]
+    out, k = [], ends[-1] if ends else None
+    while k is not None:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def in_common(old: list, new: list) -> list[tuple[int, int]]:
+    """The places of a longest common subsequence of both, in order; memory grows with their lengths only.
+
+    Items that the other one lacks are left aside first, as they are in no common subsequence. If all others are there once, it's a
+    longest rising run; otherwise the sequences are halved at a point of a shortest script.
     """
+    a, b = set(old), set(new)
+    i, j = [k for k, v in enumerate(old) if v in b], [k for k, v in enumerate(new) if v in a]
+    x, y = [old[k] for k in i], [new[k] for k in j]
+    if len(a & b) == len(x) == len(y):
+        at = {v: k for k, v in enumerate(y)}
+        places = [at[v] for v in x]
+        return [(i[k], j[places[k]]) for k in _rising(places)]
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and x[a] == y[c]:
+            out.append((i[a], j[c]))
+            a, c = a + 1, c + 1
+        while a < b and c < d and x[b - 1] == y[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((i[b], j[d]))
+        if a < b and c < d:
+            p, q, r, s = _middle(x, y, a, b, c, d)
+            out += [(i[p + k], j[r + k]) for k in range(q - p)]
+            todo += [(a, p, c, r), (q, b, s, d)]
+    return sorted(out)
 
-    def of(x: str, y: str):
-        from docloom.md.parser import top_level_blocks
 
-        a, b = top_level_blocks(x), top_level_blocks(y)
-        out, gone, come = [], [], []
+def edit_script(old: list[str], new: list[str]) -> list[tuple[str, int, int]]:
+    """A shortest script of (equal | delete | insert, place in old, place in new); between equal items deletions come first."""
+    script, x, y = [], 0, 0
+    for i, j in [*in_common(old, new), (len(old), len(new))]:
+        script += [("delete", k, y) for k in range(x, i)]
+        script += [("insert", i, k) for k in range(y, j)]
+        if i < len(old) or j < len(new):
+            script.append(("equal", i, j))
+        x, y = i + 1, j + 1
+    return script
+
+
+def diff_rows(old: DataFrame, new: DataFrame, id_col: str = "doc_id", place: str = "pos", text: str = "block") -> DataFrame:
+    """(id, pos, op, old_text, new_text) of rows (id, place, text) before and after, in order.
+
+    Rows that stay are ``equal``; as many rows deleted as inserted in one place are ``replace``, paired in order; others are
+    ``delete`` and ``insert``, deletions first. The rows whose text the other side has meet by its hash, and only their places and hashes are
+    brought together to find the longest common subsequence of a document; all else is joins and windows.
+    """
+    sides = {n: df.select(id_col, F.col(place).cast("long").alias("at"), F.col(text).alias("text"), F.xxhash64(text).alias("h")) for n, df in (("old", old), ("new", new))}
+    shared = [
+        mine.join(other.select(id_col, "h").distinct(), [id_col, "h"], "left_semi").select(id_col, "at", "h", F.lit(n).alias("side"))
+        for n, mine, other in (("old", sides["old"], sides["new"]), ("new", sides["new"], sides["old"]))
+    ]
+    kind = old.schema[id_col].dataType.simpleString()
+
+    def matched(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        rows = {n: table.filter(pc.equal(table.column("side"), n)).sort_by("at") for n in ("old", "new")}
+        pairs = in_common(*(rows[n].column("h").to_pylist() for n in ("old", "new")))
+        taken = {n: rows[n].take(pa.array([p[k] for p in pairs], pa.int64())) for k, n in enumerate(("old", "new"))}
+        return pa.table({id_col: taken["old"].column(id_col), "x": taken["old"].column("at"), "y": taken["new"].column("at")})
+
+    pairs = storage.materialise(shared[0].unionByName(shared[1]).groupBy(id_col).applyInArrow(matched, f"`{id_col}` {kind}, x long, y long"), "diff-pairs")
+    w = Window.partitionBy(id_col).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def gaps(n: str, column: str) -> DataFrame:
+        """A side's rows with the number of equal ones up to each, and the place in the gap behind those."""
+        rows = sides[n].join(pairs.select(id_col, F.col(column).alias("at"), F.lit(1).alias("same")), [id_col, "at"], "left").fillna(0, ["same"])
+        rows = rows.withColumn("gap", F.sum("same").over(w))
+        return rows.withColumn("k", F.row_number().over(Window.partitionBy(id_col, "gap").orderBy("at")) - F.when(F.col("gap") > 0, 2).otherwise(1))
+
+    a, b = gaps("old", "x"), gaps("new", "y")
+    same = a.filter("same = 1").select(id_col, "gap", F.col("text").alias("old_text")).join(b.filter("same = 1").select(id_col, "gap", F.col("text").alias("new_text")), [id_col, "gap"])
+    gone, come = (r.filter("same = 0").select(id_col, "gap", "k", F.col("text").alias(f"{n}_text")) for n, r in (("old", a), ("new", b)))
+    counts = gone.select(id_col, "gap", F.lit(1).alias("d")).unionByName(come.select(id_col, "gap", F.lit(-1).alias("d"))).groupBy(id_col, "gap")
+    even = counts.agg(F.sum("d").alias("d")).filter("d = 0").drop("d")
+    paired = gone.join(come, [id_col, "gap", "k"]).join(even, [id_col, "gap"], "left_semi")
+    none = F.lit(None).cast("string")
+    out = [
+        same.select(id_col, "gap", F.lit(-1).alias("o"), F.lit(0).alias("k"), F.lit("equal").alias("op"), "old_text", "new_text"),
+        paired.select(id_col, "gap", F.lit(0).alias("o"), "k", F.lit("replace").alias("op"), "old_text", "new_text"),
+        gone.join(even, [id_col, "gap"], "left_anti").select(id_col, "gap", F.lit(0).alias("o"), "k", F.lit("delete").alias("op"), "old_text", none.alias("new_text")),
+        come.join(even, [id_col, "gap"], "left_anti").select(id_col, "gap", F.lit(1).alias("o"), "k", F.lit("insert").alias("op"), none.alias("old_text"), "new_text")
+    ]
+    rows = functools.reduce(DataFrame.unionByName, out)
+    pos = F.row_number().over(Window.partitionBy(id_col).orderBy("gap", "o", "k")) - 1
+    return rows.select(id_col, pos.alias("pos"), "op", "old_text", "new_text")
 
-        def flush():
-            if len(gone) == len(come):
-                out.extend(("replace", p, q) for p, q in zip(gone, come, strict=True))
-            else:
-                out.extend(("delete", p, None) for p in gone)
-                out.extend(("insert", None, q) for q in come)
-            gone.clear()
-            come.clear()
 
-        for op, i, j in edit_script(a, b):
-            if op == "equal":
-                flush()
-                out.append(("equal", a[i], b[j]))
-            elif op == "delete":
-                gone.append(a[i])
-            else:
-                come.append(b[j])
-        flush()
-        return [{"op": o, "old_text": p, "new_text": q} for o, p, q in out]
-
-    diff = F.udf(of, "array<struct<op:string,old_text:string,new_text:string>>", useArrow=True)
-    return pairs.select(id_col, F.posexplode(diff(old, new)).alias("pos", "d")).select(id_col, "pos", "d.*")
+def block_diff(pairs: DataFrame, id_col: str = "doc_id", old: str = "old", new: str = "new") -> DataFrame:
+    """``diff_rows`` of the blocks of each pair of Markdown texts; ids must be unique."""
+    return diff_rows(*(top_level_blocks(pairs.select(id_col, c), id_col, c) for c in (old, new)), id_col)
 
 
 def word_diff(old: Column, new: Column) -> Column:

@@ -585,3 +585,15 @@ ORACLE["list_counters"] = """WITH RECURSIVE e AS (SELECT user_id AS doc_id, even
     FROM (SELECT e.doc_id, e.n, e.seq, e.level, e.list_id, w.before, CASE WHEN list_id = 2 THEN list_transform(w.counters, lambda c, i: CASE WHEN i = level + 1 THEN CASE WHEN level > w.before THEN 0 ELSE c END + 1 ELSE c END) ELSE w.counters END AS counters
       FROM walk w JOIN e ON e.doc_id = w.doc_id AND e.n = w.n + 1))
   SELECT doc_id, seq, marker FROM walk WHERE n > 0"""
+# Differences --------------------------------------------------------------------------------------------
+#: A conversation's turns differ from each other, so what stays is what both sides have.
+ORACLE["turns_diff"] = """WITH c AS (SELECT conv_id AS doc_id, turn * 2 AS p, coalesce(text, '') AS t, (turn + conv_id) % 7 AS k FROM conversations),
+  b AS (SELECT doc_id, p, CASE WHEN k = 1 THEN translate(t, 'aeiou', 'AEIOU') ELSE t END AS t FROM c WHERE k <> 3 UNION ALL SELECT doc_id, p + 1, 'new ' || p FROM c WHERE k IN (5, 6)),
+  e AS (SELECT doc_id, c.p AS x, b.p AS y, t FROM c JOIN b USING (doc_id, t)),
+  g AS (SELECT c.doc_id, 0 AS s, c.p, c.t, (SELECT count(*) FROM e WHERE e.doc_id = c.doc_id AND e.x < c.p) AS gap FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = c.doc_id AND e.x = c.p)
+    UNION ALL SELECT b.doc_id, 1, b.p, b.t, (SELECT count(*) FROM e WHERE e.doc_id = b.doc_id AND e.y < b.p) FROM b WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = b.doc_id AND e.y = b.p)),
+  n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, gap, s ORDER BY p) AS i, count(*) FILTER (WHERE s = 0) OVER (PARTITION BY doc_id, gap) = count(*) FILTER (WHERE s = 1) OVER (PARTITION BY doc_id, gap) AS even FROM g),
+  o AS (SELECT doc_id, gap, 0 AS s, i, 'replace' AS op, any_value(t) FILTER (WHERE s = 0) AS old_text, any_value(t) FILTER (WHERE s = 1) AS new_text FROM n WHERE even GROUP BY doc_id, gap, i
+    UNION ALL SELECT doc_id, gap, s, i, CASE s WHEN 0 THEN 'delete' ELSE 'insert' END, CASE WHEN s = 0 THEN t END, CASE WHEN s = 1 THEN t END FROM n WHERE NOT even
+    UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY x), -1, 0, 'equal', t, t FROM e)
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY gap, s, i) - 1 AS pos, op, old_text, new_text FROM o"""

@@ -501,6 +501,16 @@ def block_diff(spark, folder):
     return compare.block_diff(new)
 
 
+@query
+def turns_diff(spark, folder):
+    """Conversations' turns before and after: some in capitals, some gone, some come."""
+    c = table(spark, folder, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") * 2).alias("pos"), F.coalesce("text", F.lit("")).alias("block"))
+    turn = (F.col("pos") / 2 + F.col("doc_id")) % 7
+    new = c.filter(turn != 3).withColumn("block", F.when(turn == 1, F.translate("block", "aeiou", "AEIOU")).otherwise(F.col("block")))
+    more = c.filter(turn.isin(5, 6)).select("doc_id", (F.col("pos") + 1).alias("pos"), F.concat(F.lit("new "), F.col("pos").cast("string")).alias("block"))
+    return compare.diff_rows(c, new.unionByName(more)).withColumn("pos", F.col("pos").cast("long"))
+
+
 @query
 def diff_html(spark, folder):
     c = conversations_md(spark, folder)

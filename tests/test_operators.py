@@ -159,6 +159,58 @@ def test_edit_scripts_rebuild_both_sides():
         assert all(a[i] == b[j] for op, i, j in script if op == "equal")
 
 
+def test_what_is_in_common_is_as_long_as_can_be():
+    import random
+
+    random.seed(3)
+    for _ in range(2000):
+        a, b = ([random.randrange(random.choice([1, 2, 4, 12])) for _ in range(random.randint(0, 12))] for _ in range(2))
+        most = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                most[i + 1][j + 1] = most[i][j] + 1 if x == y else max(most[i][j + 1], most[i + 1][j])
+        found = compare.in_common(a, b)
+        assert len(found) == most[-1][-1] and all(a[i] == b[j] for i, j in found)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:], strict=False))
+
+
+def test_long_sequences_take_little_memory():
+    import random
+    import tracemalloc
+
+    random.seed(4)
+    repeated = [[random.randrange(30) for _ in range(1200)] for _ in range(2)]
+    moved = random.sample(range(10_000), 10_000)
+    for a, b in ((list(range(10_000)), list(range(10_000, 20_000))), (list(range(10_000)), moved), repeated):
+        tracemalloc.start()
+        compare.in_common(a, b)
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20
+        tracemalloc.stop()
+
+
+def test_diff_of_rows_is_that_of_the_script(spark):
+    import random
+
+    random.seed(5)
+    docs = {k: tuple([random.choice("abcdefgh") for _ in range(random.randint(0, 9))] for _ in range(2)) for k in range(40)}
+    frames = [spark.createDataFrame([(k, 3 * i, t) for k, d in docs.items() for i, t in enumerate(d[side])], "doc_id int, pos int, block string") for side in (0, 1)]
+    found = {k: [] for k in docs}
+    for r in compare.diff_rows(*frames).orderBy("doc_id", "pos").collect():
+        assert r.pos == len(found[r.doc_id])
+        found[r.doc_id].append(r)
+    for k, (a, b) in docs.items():
+        assert [r.old_text for r in found[k] if r.old_text is not None] == a and [r.new_text for r in found[k] if r.new_text is not None] == b
+        assert sum(r.op == "equal" for r in found[k]) == len(compare.in_common(a, b))
+        gap = []
+        for r in [*found[k], None]:
+            if r is None or r.op == "equal":
+                kinds = {op: gap.count(op) for op in gap}
+                assert set(kinds) <= {"replace"} or set(kinds) <= {"delete", "insert"} and kinds.get("delete") != kinds.get("insert") and gap == sorted(gap)
+                gap = []
+            else:
+                gap.append(r.op)
+
+
 def test_block_diff(spark):
     pairs = spark.createDataFrame([(0, "one two\n\nsame\n\ngone", "one 2\n\nsame")], "doc_id long, old string, new string")
     rows = compare.block_diff(pairs).orderBy("pos").collect()
