@@ -597,3 +597,8 @@ ORACLE["turns_diff"] = """WITH c AS (SELECT conv_id AS doc_id, turn * 2 AS p, co
     UNION ALL SELECT doc_id, gap, s, i, CASE s WHEN 0 THEN 'delete' ELSE 'insert' END, CASE WHEN s = 0 THEN t END, CASE WHEN s = 1 THEN t END FROM n WHERE NOT even
     UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY x), -1, 0, 'equal', t, t FROM e)
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY gap, s, i) - 1 AS pos, op, old_text, new_text FROM o"""
+# Packages -----------------------------------------------------------------------------------------------
+ORACLE["package_references"] = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(role, '') || turn || ' ' || regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b-\x1f]', '', 'g') AS t FROM conversations)
+  SELECT conv_id AS path, 'link' AS kind, ['u0', 'u1', 'u2', 'r3'][turn % 4 + 1] AS a, role || turn AS b, '' AS c FROM c
+  UNION ALL SELECT a.conv_id, 'comment', a.turn || ':' || a.role, 'note ' || a.turn, a.t || coalesce((SELECT b.t FROM c b WHERE b.conv_id = a.conv_id AND b.turn = a.turn + 1), '') FROM c a WHERE a.turn % 4 = 0
+  UNION ALL SELECT conv_id, 'note', (turn % 3)::VARCHAR, ['none', 'foot 1', 'foot 2'][any_value(turn % 3) + 1], count(*)::VARCHAR FROM c GROUP BY conv_id, turn % 3"""

@@ -11,7 +11,7 @@ from docloom.html.markdown import html_to_markdown
 from docloom.operators import citations, compare, events, extras, geometry, graph, layout, library, numbering
 from docloom.sinks import packed
 from docloom.sinks import text as sinks
-from docloom.sources import bibliography, diagrams, formats
+from docloom.sources import bibliography, diagrams, formats, packages
 from docloom.streaming import saves, sync
 
 QUERIES: dict = {}
@@ -1310,3 +1310,45 @@ def list_counters(spark, folder):
         F.element_at(F.array(*map(F.lit, (0, 1, 2, 2, 2))), (F.col("event_id") % 5 + 1).cast("int")).alias("list_id")
     )
     return numbering.list_numbers(e).select("doc_id", "seq", "marker")
+
+
+# Packages -----------------------------------------------------------------------------------------------
+
+
+@query
+def package_references(spark, folder):
+    """Conversations as packages with links, comments and notes, some ids missing and some repeated, read by joins."""
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x08\\x0b-\\x1f]", "")
+    c = table(spark, folder, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), T.xml_escape(clean).alias("t"))
+    turn, number = F.col("turn"), lambda x: x.cast("string")
+    lit = F.lit
+    mark = lambda name, id_: F.concat(lit(f'<w:{name} w:id="'), number(id_), lit('"/>'))
+    paragraph = F.concat(
+        lit("<w:p>"), F.when(turn % 2 == 0, mark("commentRangeStart", turn)).otherwise(""), lit('<w:hyperlink r:id="r'), number(turn % 4), lit('"><w:r><w:t>'), "role",
+        number(turn), lit("</w:t></w:r></w:hyperlink><w:r><w:t> "), "t", lit("</w:t>"), mark("footnoteReference", turn % 3), lit("</w:r>"),
+        F.when(turn % 2 == 1, mark("commentRangeEnd", turn - 1)).otherwise(""), lit("</w:p>")
+    )
+    note = F.when(turn % 4 == 0, F.concat(
+        F.when(turn == 0, lit('<w:comment w:id="0" w:author="old"><w:p><w:r><w:t>old</w:t></w:r></w:p></w:comment>')).otherwise(""),
+        lit('<w:comment w:id="'), number(turn), lit('" w:author="'), "role", lit('"><w:p><w:r><w:t>note </w:t></w:r><w:r><w:t>'), number(turn), lit("</w:t></w:r></w:p></w:comment>")
+    )).otherwise("")
+    joined = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", x.alias("p")))), lambda v: v["p"]), "")
+    docs = c.groupBy("conv_id").agg(joined(paragraph).alias("body"), joined(note).alias("notes"))
+    names = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    wrap = lambda tag, x: F.concat(lit(f"<w:{tag} {names}>"), x, lit(f"</w:{tag}>"))
+    rels = "".join(f'<Relationship Id="{i}" Target="{t}"/>' for i, t in (("r0", "u0"), ("r1", "gone"), ("r1", "u1"), ("r2", "u2")))
+    feet = "".join(f'<w:footnote w:id="{k}"><w:p><w:r><w:t>foot {k}</w:t></w:r></w:p></w:footnote>' for k in (1, 2))
+    file = lambda name, x: F.struct(lit(name).alias("name"), x.alias("content"))
+    files = docs.select(number(F.col("conv_id")).alias("path"), packed.packed(F.array(
+        file("word/document.xml", wrap("document", "body")), file("word/_rels/document.xml.rels", lit(f"<Relationships>{rels}</Relationships>")),
+        file("word/comments.xml", wrap("comments", "notes")), file("word/footnotes.xml", wrap("footnotes", lit(feet)))
+    )).alias("content"))
+    nodes = storage.materialise(packages.package_nodes(files), "nodes")
+    found = [
+        packages.hyperlinks(nodes).select("path", lit("link").alias("kind"), F.col("url").alias("a"), F.col("text").alias("b"), lit("").alias("c")),
+        packages.comments(nodes).select("path", lit("comment").alias("kind"), F.concat_ws(":", "comment_id", "author").alias("a"), F.col("content").alias("b"), F.col("text").alias("c")),
+        packages.footnotes(nodes).groupBy("path", "note_id", "content").agg(F.count(F.lit(1)).alias("n")).select(
+            "path", lit("note").alias("kind"), F.col("note_id").alias("a"), F.coalesce("content", lit("none")).alias("b"), number(F.col("n")).alias("c")
+        )
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2]).withColumn("path", F.col("path").cast("long"))
