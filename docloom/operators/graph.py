@@ -35,55 +35,102 @@ def in_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def remove_cycles(edges: DataFrame) -> DataFrame:
     """Reverses the edges that close a cycle in a depth-first walk (nodes and edges in the order of ``ord``).
 
-    A graph is drawn on a page, so one graph's edges are one group's work; loops of one node are dropped.
+    Edges of the same ends have the same fate, so the walk sees each pair of ends once, at its first edge: a graph's distinct pairs
+    are one group's work, and the verdicts are joined to its edges. Loops of one node are dropped.
     """
 
-    def acyclic(key, edges_of):
+    def closing(key, pairs):
         import pandas as pd
 
-        pdf = edges_of.sort_values("ord", kind="stable")
-        nexts: dict[str, list[tuple[int, str]]] = {}
-        for k, (a, b) in enumerate(zip(pdf["src"], pdf["dst"], strict=True)):
-            nexts.setdefault(a, []).append((k, b))
+        pdf = pairs.sort_values("ord", kind="stable")
+        nexts: dict[str, list[str]] = {}
+        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
+            nexts.setdefault(a, []).append(b)
             nexts.setdefault(b, [])
-        state: dict[str, int] = {}
-        back: set[int] = set()
+        done: dict[str, bool] = {}
+        back = []
         for root in nexts:
-            if root in state:
+            if root in done:
                 continue
-            state[root] = 1
+            done[root] = False
             walk = [(root, iter(nexts[root]))]
             while walk:
                 node, rest = walk[-1]
-                for k, b in rest:
-                    if state.get(b) == 1:
-                        back.add(k)
-                    elif b not in state:
-                        state[b] = 1
+                for b in rest:
+                    if b not in done:
+                        done[b] = False
                         walk.append((b, iter(nexts[b])))
                         break
+                    if not done[b]:
+                        back.append((key[0], node, b))
                 else:
-                    state[node] = 2
+                    done[node] = True
                     walk.pop()
-        rows = [
-            (g, b, a, o, True) if k in back else (g, a, b, o, False) for k,
-            (g, a, b, o) in enumerate(zip(pdf["graph_id"], pdf["src"], pdf["dst"], pdf["ord"], strict=True)) if a != b
-        ]
-        return pd.DataFrame(rows, columns=["graph_id", "src", "dst", "ord", "reversed"])
+        return pd.DataFrame(back, columns=["graph_id", "src", "dst"])
 
     kind = edges.schema["graph_id"].dataType.simpleString()
+    ends = ["graph_id", "src", "dst"]
     rows = edges.select("graph_id", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("ord").cast("long").alias("ord"))
-    return rows.groupBy("graph_id").applyInPandas(acyclic, f"graph_id {kind}, src string, dst string, ord long, reversed boolean")
+    pairs = rows.groupBy(*ends).agg(F.min("ord").alias("ord"))
+    back = pairs.groupBy("graph_id").applyInPandas(closing, f"graph_id {kind}, src string, dst string").withColumn("reversed", F.lit(True))
+    told = rows.filter("src <> dst").join(back, ends, "left").withColumn("reversed", F.coalesce("reversed", F.lit(False)))
+    turned = F.col("reversed")
+    return told.select(
+        "graph_id", F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst"), "ord", "reversed"
+    )
+
+
+#: Distinct edges of a graph whose ranks are one group's work.
+GROUPED = 200_000
 
 
 def assign_ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, id, rank): the longest path from a node without incoming edges; edges must have no cycle.
 
-    A round goes one edge further from all nodes that paths of a length reach, each of which it holds once;
-    it is written to the shared folder. A path longer than there are nodes is an error: a cycle.
+    A graph of up to ``GROUPED`` distinct edges is ranked in one task, however long its paths are. A larger one is gone through edge by edge
+    of its longest path (``ranks_by_rounds``).
     """
     edges = edges.select("graph_id", "src", "dst").distinct()
     nodes = nodes.select("graph_id", "id").distinct()
+    large = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUPED).select("graph_id")
+    large = storage.materialise(large, "large-graphs")
+    kind = edges.schema["graph_id"].dataType.simpleString()
+
+    def ranked(key, own, pairs):
+        import pandas as pd
+
+        nexts: dict[str, list[str]] = {n: [] for n in own["id"]}
+        left = dict.fromkeys(nexts, 0)
+        for a, b in zip(pairs["src"], pairs["dst"], strict=True):
+            nexts.setdefault(a, []).append(b)
+            left[b] = left.get(b, 0) + 1
+        rank = {n: 0 for n in nexts if not left.get(n)}
+        todo, seen = list(rank), 0
+        while todo:
+            a = todo.pop()
+            seen += 1
+            for b in nexts.get(a, ()):
+                rank[b] = max(rank.get(b, 0), rank[a] + 1)
+                left[b] -= 1
+                if not left[b]:
+                    todo.append(b)
+        if seen < len({*nexts, *left}):
+            raise ValueError("edges have a cycle")
+        return pd.DataFrame({"graph_id": key[0], "id": list(rank), "rank": list(rank.values())})
+
+    small = lambda df, name: df.join(large, "graph_id", "left_anti").withColumnRenamed("graph_id", name).groupBy(name)
+    out = small(nodes, "of_nodes").cogroup(small(edges, "of_edges")).applyInPandas(ranked, f"graph_id {kind}, id string, rank int")
+    if large.head(1):
+        out = out.unionByName(ranks_by_rounds(nodes.join(large, "graph_id", "left_semi"), edges.join(large, "graph_id", "left_semi")))
+    return out
+
+
+def ranks_by_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``assign_ranks`` of distinct nodes and edges of any number.
+
+    A round goes one edge further from all nodes that paths of a length reach, each of which it holds once;
+    it is written to the shared folder. A path longer than there are nodes is an error: a cycle.
+    """
     reached = nodes.join(edges.select("graph_id", F.col("dst").alias("id")), ["graph_id", "id"], "left_anti")
     reached = storage.materialise(reached, "ranks")
     rounds, most = [], nodes.count()

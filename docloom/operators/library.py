@@ -78,6 +78,11 @@ def collection_sizes(collections: DataFrame) -> DataFrame:
     return collections.select("id", "name", F.size("ref_ids").cast("long").alias("n_refs"))
 
 
+def member_counts(members: DataFrame) -> DataFrame:
+    """(id, name, n_refs) of members that are rows (id, name, ref_id): no collection is brought together."""
+    return members.groupBy("id").agg(F.min("name").alias("name"), F.count("ref_id").alias("n_refs"))
+
+
 def term_index(df: DataFrame, term_col: str) -> DataFrame:
     """(term, n), terms in the order of their code units."""
     return df.groupBy(F.col(term_col).alias("term")).agg(F.count(F.lit(1)).alias("n")).orderBy("term")

@@ -602,3 +602,18 @@ ORACLE["package_references"] = r"""WITH c AS (SELECT conv_id, turn, coalesce(rol
   SELECT conv_id AS path, 'link' AS kind, ['u0', 'u1', 'u2', 'r3'][turn % 4 + 1] AS a, role || turn AS b, '' AS c FROM c
   UNION ALL SELECT a.conv_id, 'comment', a.turn || ':' || a.role, 'note ' || a.turn, a.t || coalesce((SELECT b.t FROM c b WHERE b.conv_id = a.conv_id AND b.turn = a.turn + 1), '') FROM c a WHERE a.turn % 4 = 0
   UNION ALL SELECT conv_id, 'note', (turn % 3)::VARCHAR, ['none', 'foot 1', 'foot 2'][any_value(turn % 3) + 1], count(*)::VARCHAR FROM c GROUP BY conv_id, turn % 3"""
+# Depth-first walks: a graph's state is its stack, the nodes seen, the edges looked at and those that close a cycle.
+ORACLE["cycles_removed"] = """WITH RECURSIVE e AS (SELECT * FROM (SELECT user_id AS g, event_type AS s, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS d, event_id AS o FROM events) WHERE d IS NOT NULL),
+  p AS (SELECT g, s, d, min(o) AS o FROM e GROUP BY g, s, d),
+  q AS (SELECT g, list({'s': s, 'd': d} ORDER BY o) AS es FROM p GROUP BY g),
+  walk(g, es, stack, seen, looked, back, finished) AS (
+    SELECT g, es, []::VARCHAR[], []::VARCHAR[], []::BIGINT[], []::BIGINT[], false FROM q
+    UNION ALL SELECT g, es,
+      CASE WHEN len(stack) = 0 THEN CASE WHEN root IS NULL THEN stack ELSE [root] END WHEN k IS NULL THEN stack[:-2] WHEN list_contains(seen, es[k].d) THEN stack ELSE list_append(stack, es[k].d) END,
+      CASE WHEN len(stack) = 0 THEN CASE WHEN root IS NULL THEN seen ELSE list_append(seen, root) END WHEN k IS NULL OR list_contains(seen, es[k].d) THEN seen ELSE list_append(seen, es[k].d) END,
+      CASE WHEN k IS NULL THEN looked ELSE list_append(looked, k) END, CASE WHEN k IS NOT NULL AND list_contains(stack, es[k].d) THEN list_append(back, k) ELSE back END, len(stack) = 0 AND root IS NULL
+    FROM (SELECT *, CASE WHEN len(stack) > 0 THEN [i for i in range(1, len(es) + 1) if es[i].s = stack[-1] AND NOT list_contains(looked, i)][1] END AS k,
+      [x for x in flatten([[y.s, y.d] for y in es]) if NOT list_contains(seen, x)][1] AS root FROM walk WHERE NOT finished)),
+  b AS (SELECT g, es[k].s AS s, es[k].d AS d FROM (SELECT g, es, unnest(back) AS k FROM walk WHERE finished))
+  SELECT e.g AS graph_id, CASE WHEN b.g IS NULL THEN e.s ELSE e.d END AS src, CASE WHEN b.g IS NULL THEN e.d ELSE e.s END AS dst, o AS ord, b.g IS NOT NULL AS reversed
+  FROM e LEFT JOIN b USING (g, s, d) WHERE e.s <> e.d"""

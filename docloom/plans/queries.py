@@ -226,7 +226,9 @@ def nav_counts(spark, folder):
 
 @query
 def collection_sizes(spark, folder):
-    return library.collection_sizes(collections(spark, folder))
+    d = table(spark, folder, "documents")
+    members = d.select(F.col("source").alias("id"), F.concat(F.lit("from "), "source").alias("name"), F.concat(F.lit("ref-"), F.col("doc_id").cast("string")).alias("ref_id"))
+    return library.member_counts(members)
 
 
 @query

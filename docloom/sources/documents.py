@@ -372,6 +372,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_file(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of the file that was modified last; of equal ones the last by name."""
+    """(path, content) of the file that was modified last; of equal ones the last by name.
+
+    Only that file, and others of just its time, are read.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.orderBy(F.col("modificationTime").desc(), F.col("path").desc()).limit(1).select("path", "content")
+    last = files.agg(F.max(F.struct("modificationTime", "path")).alias("last")).first()["last"]
+    if last is None:
+        return files.select("path", "content").limit(0)
+    return files.filter((F.col("modificationTime") == F.lit(last["modificationTime"])) & (F.col("path") == last["path"])).select("path", "content")

@@ -369,11 +369,11 @@ def test_ranks_of_many_paths_and_long_ones(spark):
     nodes = spark.createDataFrame(sorted({(g, x) for g, a, b in lattice + chain for x in (a, b)}), "graph_id string, id string")
     found = {(r.graph_id, r.id): r["rank"] for r in graph.assign_ranks(nodes, edges).collect()}
     assert found == {(g, x): int(x.rstrip("xy")) for g, x in [(r.graph_id, r.id) for r in nodes.collect()]}
-    with pytest.raises(ValueError, match="cycle"):
+    with pytest.raises(Exception, match="cycle"):
         graph.assign_ranks(
             nodes.limit(0).union(spark.createDataFrame([("g", "a"), ("g", "b"), ("g", "r")], nodes.schema)),
             spark.createDataFrame([("g", "r", "a"), ("g", "a", "b"), ("g", "b", "a")], edges.schema)
-        )
+        ).collect()
 
 
 def test_frames_of_any_depth(spark):
@@ -506,3 +506,44 @@ def test_jaro_winkler_query_compares_whole_turns(spark, tmp_path):
     got = {r.turn: r.similarity for r in QUERIES["jaro_winkler"](spark, str(tmp_path)).collect()}
     assert got == {k: pytest.approx(brute_jaro_winkler(t, turns[k - 1] if k else ""), abs=2e-9) for k, t in enumerate(turns)}
     assert got[1] < 1
+
+
+def test_long_chains_and_large_graphs_have_ranks(spark, monkeypatch):
+    import random
+    import time
+
+    names = lambda rows: spark.createDataFrame(rows, "graph_id int, id string")
+    ends = lambda rows: spark.createDataFrame(rows, "graph_id int, src string, dst string")
+    chain = ends([(0, f"n{k}", f"n{k + 1}") for k in range(200)])
+    began = time.time()
+    ranks = graph.assign_ranks(names([(0, f"n{k}") for k in range(201)]), chain).collect()
+    assert {r.id: r["rank"] for r in ranks} == {f"n{k}": k for k in range(201)} and time.time() - began < 10
+    random.seed(8)
+    edges = sorted({(g, str(a), str(b)) for g in range(3) for a in range(9) for b in range(a + 1, 9) if random.random() < 0.3})
+    nodes = names([(g, str(k)) for g in range(4) for k in range(9)])
+    found = [sorted(map(tuple, graph.assign_ranks(nodes, ends(edges)).collect()))]
+    monkeypatch.setattr(graph, "GROUPED", 8)
+    found.append(sorted(map(tuple, graph.assign_ranks(nodes, ends(edges)).collect())))
+    assert found[0] == found[1] and len(found[0]) == 36
+    monkeypatch.setattr(graph, "GROUPED", 100)
+    with pytest.raises(Exception, match="cycle"):
+        graph.assign_ranks(nodes, ends([(0, "0", "1"), (0, "1", "2"), (0, "2", "1")])).collect()
+
+
+def test_edges_of_the_same_ends_are_turned_together(spark):
+    rows = [(1, "a", "b", 0), (1, "b", "c", 1), (1, "c", "a", 2), (1, "c", "a", 3), (1, "a", "b", 4), (1, "b", "b", 5), (1, "a", "c", 6)]
+    found = graph.remove_cycles(spark.createDataFrame(rows, "graph_id int, src string, dst string, ord long")).collect()
+    assert sorted((r.src, r.dst, r.ord, r.reversed) for r in found) == [
+        ("a", "b", 0, False), ("a", "b", 4, False), ("a", "c", 2, True), ("a", "c", 3, True), ("a", "c", 6, False), ("b", "c", 1, False)
+    ]
+
+
+def test_latest_file(spark, tmp_path):
+    import os
+
+    from docloom.sources.documents import latest_file
+
+    for name, at in (("a", 100), ("b", 300), ("c", 300), ("d", 200)):
+        (tmp_path / name).write_text(name)
+        os.utime(tmp_path / name, (at, at))
+    assert [bytes(r.content) for r in latest_file(spark, str(tmp_path)).collect()] == [b"c"]
