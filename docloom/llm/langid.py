@@ -32,6 +32,8 @@ FAMILIES = {
 
 #: Bound on the training rows of one language; size of the hashed vectors.
 PER_LANGUAGE, DIMENSIONS = 1000, 2048
+#: Labels that can be learned at most.
+MOST_LANGUAGES = 500
 UNKNOWN = "und"
 PREDICTION = "lang_pred string, score double"
 
@@ -154,9 +156,13 @@ class Model:
         return out
 
 
-def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def training_rows(
+    docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_languages: int = MOST_LANGUAGES
+) -> DataFrame:
     """(lang, h, text) of the rows with the ``per_language`` smallest hashes of each language, ties with the last one included.
 
+    More than ``most_languages`` labels are an error: each is a sample and a machine on the driver, and a column of many is none of languages.
+
     Salted top-k lists find, for every language, how small a hash must be; no text is shuffled for that.
     """
     parts, k = 16, max(1, per_language)
@@ -165,7 +171,10 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str
     salted = rows.select("lang", "h", F.pmod("h", F.lit(parts)).alias("salt"))
     smallest = lambda df, *by: df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).filter(F.col("rn") <= k).drop("rn")
     small = smallest(smallest(salted, "lang", "salt"), "lang")
-    limits = {r["lang"]: r["h"] for r in small.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    found = small.groupBy("lang").agg(F.max("h").alias("h")).limit(most_languages + 1).collect()
+    if len(found) > most_languages:
+        raise ValueError(f"{lang_col} has more than {most_languages} values")
+    limits = {r["lang"]: r["h"] for r in found}
     if not limits:
         return rows.select("lang", "h", "text").limit(0)
     limit = F.create_map(*(F.lit(v) for kv in limits.items() for v in kv))
@@ -212,6 +221,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         found = [r for at in range(0, len(texts), BATCH) for r in model.predict(texts[at : at + BATCH].tolist())]
         return pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    return docs.withColumn("__p", of(F.col(text_col).cast("string"))).withColumns(
-        {"lang_pred": F.col("__p.lang_pred"), "score": F.col("__p.score")}
-    ).drop("__p")
+    name = "__p"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, of(F.col(text_col).cast("string"))).withColumns(
+        {"lang_pred": F.col(name)["lang_pred"], "score": F.col(name)["score"]}
+    ).drop(name)

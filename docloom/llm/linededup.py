@@ -123,6 +123,9 @@ def clean_lines(
     joined = docs.alias("d").join(drops.alias("x"), F.col(f"d.{id_col}").eqNullSafe(F.col("x.doc")), "left")
     kept = F.when(F.col("x.__drop").isNull(), lines).otherwise(F.filter(lines, lambda line: ~F.array_contains(F.col("x.__drop"), of_line(line))))
     own = [F.col(f"d.`{c}`") for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    out = joined.select(*own, F.size(lines).cast("long").alias("n_lines"), kept.alias("__kept"))
-    out = out.withColumns({text_col: F.array_join("__kept", "\n"), "n_dropped": F.col("n_lines") - F.size("__kept")}).drop("__kept")
-    return out.select(*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns))
+    name = "__kept"
+    while name in docs.columns:
+        name += "_"
+    out = joined.select(*own, F.size(lines).cast("long").alias("n_lines"), kept.alias(name))
+    out = out.withColumns({text_col: F.array_join(name, "\n"), "n_dropped": F.col("n_lines") - F.size(name)})
+    return out.select(*(f"`{c}`" for c in docs.columns), *(c for c in ("n_lines", "n_dropped") if c not in docs.columns))

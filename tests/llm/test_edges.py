@@ -15,7 +15,7 @@ TEXTS = [None, "", " ", "\n\n", "a", "a b c d e f", "a b c d e f", LONG, LONG, "
 CLASH = [
     "c", "n", "k", "h1", "h2", "key", "range", "place", "ghost", "row", "shard", "slot", "size", "turn", "value", "band", "component",
     "text_hash", "sketch", "ids", "part", "lang_pred", "score", "n_lines", "n_dropped", "doc", "v", "g1", "__p", "__kept_", "ta", "seq",
-    "held_out", "id"
+    "held_out", "id", "__kept", "__drop", "a.b", "x.y"
 ]
 
 
@@ -115,6 +115,23 @@ def test_an_empty_table_has_an_empty_result(spark, name):
     assert OPERATORS[name](empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("name", ["op6", "op9"])
+def test_other_columns_stay_as_they_are(spark, name):
+    docs = nasty(spark)
+    own = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "lang_pred", "score")]
+    values = lambda df: sorted(str([r[c] for c in own]) for r in df.collect())
+    assert values(OPERATORS[name](docs)) == values(docs)
+
+
+def test_too_many_labels_are_an_error(spark):
+    from docloom.llm.langid import training_rows
+
+    rows = spark.createDataFrame([(k, "some text", f"l{k % 9}") for k in range(200)], "doc_id long, text string, lang string")
+    assert training_rows(rows, most_languages=9).count() > 0
+    with pytest.raises(ValueError, match="more than 8"):
+        training_rows(rows, most_languages=8)
+
+
 def test_null_and_empty_texts(spark):
     docs = nasty(spark)
     assert [
