@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm import storage
 
+#: Documents of a file, about: their ids and sizes are held until it is closed.
+FILE_DOCUMENTS = 1 << 20
 MAGIC = b"DLTOKEN1"
 #: Ids in a block.
 BLOCK = 1 << 19
@@ -56,7 +58,9 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2, id
                 place += n
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    # Rows without id, or with one id, are as many ranges as their texts need.
+    ordered = ordered.withColumn("sum", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    ordered = ordered.repartitionByRange("doc_id", "sum").sortWithinPartitions("doc_id", "sum").drop("sum")
     spark = docs.sparkSession
     path = storage.new_path(spark, "token-ids")
     ordered.mapInArrow(encoded, "part int, place long, doc_id long, ids binary").write.option("compression", "zstd").parquet(path)
@@ -105,7 +109,7 @@ def write_files(tokens: DataFrame, lengths: bytes, folder: str, width: int = 2)
                 parts, places = rows.column(0).to_numpy(), rows.column(1).to_numpy()
                 cuts = [0, *(np.flatnonzero((np.diff(parts) != 0) | (np.diff(places) != 1)) + 1).tolist(), len(parts)]
                 for a, b in zip(cuts, cuts[1:], strict=False):
-                    if run is not None and (run.part, run.place + len(run.doc_ids)) != (parts[a], places[a]):
+                    if run is not None and (len(run.doc_ids) >= FILE_DOCUMENTS or (run.part, run.place + len(run.doc_ids)) != (parts[a], places[a])):
                         yield run.close(pa)
                         run = None
                     if run is None:

@@ -262,3 +262,24 @@ def test_parts_of_a_block_pair_add_up(monkeypatch):
             first = np.array([[not any(v in codes[b, 0] and v < key[3] for v in codes[a, 0]) for b in range(100)] for a in range(100)])
             links = {int(c[a]): 2 * int((near[a] & first[a]).sum() - (near[a, a] & first[a, a])) for a in range(100)}
             assert {k: n for k, (n, _) in found[0].items()} == {k: n for k, n in links.items() if n} and found[0]
+
+
+def test_rows_without_id_are_dealt_like_others(spark, monkeypatch):
+    from docloom.llm import tokenfile
+
+    rows = [(k if k % 2 else None, f"text number {k} of many") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokens = tokenfile.token_table(docs, vocabulary("word_bpe_49k.json"), 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = sorted(r["count"] for r in tokens.groupBy("part").count().collect())
+    assert len(sizes) == 4 and sizes[-1] < 1.6 * 1000
+    # A file ends at a bound, and what is read back is the same.
+    want = sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in op10(docs).collect())
+    monkeypatch.setattr(tokenfile, "FILE_DOCUMENTS", 100)
+    files = tokenfile.write_token_files(docs, vocabulary("word_bpe_49k.json"), end_id=2)
+    found = tokenfile.read_digests(spark, files).collect()
+    assert sum(f["n_docs"] for f in files) == 4000 == len(want)
+    assert sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in found) == want
