@@ -292,6 +292,7 @@ def read_style(
     return node(named(found[0], "layout")[0]), macros, [(column(k), down) for k, down in keys if column(k)]
 
 
-def cite_together(refs: DataFrame, style: Column, order: str = "id") -> DataFrame:
-    """(citation): all references' short forms in order, joined by "; ". For one citation's references."""
-    return refs.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, style.alias("c")))), lambda x: x["c"]), "; ").alias("citation"))
+def cite_together(refs: DataFrame, style: Column, key: str, order: str = "id") -> DataFrame:
+    """(key, citation): the short forms of each citation's references in order, joined by "; "; ``refs`` has a row for each reference of a citation ``key``."""
+    forms = F.array_sort(F.collect_list(F.struct(order, style.alias("c"))))
+    return refs.groupBy(key).agg(F.array_join(F.transform(forms, lambda x: x["c"]), "; ").alias("citation"))

@@ -617,3 +617,11 @@ ORACLE["cycles_removed"] = """WITH RECURSIVE e AS (SELECT * FROM (SELECT user_id
   b AS (SELECT g, es[k].s AS s, es[k].d AS d FROM (SELECT g, es, unnest(back) AS k FROM walk WHERE finished))
   SELECT e.g AS graph_id, CASE WHEN b.g IS NULL THEN e.s ELSE e.d END AS src, CASE WHEN b.g IS NULL THEN e.d ELSE e.s END AS dst, o AS ord, b.g IS NOT NULL AS reversed
   FROM e LEFT JOIN b USING (g, s, d) WHERE e.s <> e.d"""
+# Citations of several references, notes, pages of comments -----------------------------------------------
+ORACLE["cited_together"] = f"""WITH {REFS}, c AS (SELECT DISTINCT l_orderkey AS cite, 'ref-' || l_partkey % 500 AS id FROM lineitem)
+  SELECT cite, string_agg(substr(title, 1, 20) || ' (' || year || ')', '; ' ORDER BY id) AS citation FROM c JOIN refs USING (id) GROUP BY cite"""
+ORACLE["reference_notes"] = f"""WITH {REFS} SELECT id, '---' || chr(10) || 'title: "' || replace(title, '"', chr(92) || '"') || '"' || chr(10) || 'authors: [' || array_to_string(list_transform(authors, lambda a: '"' || a || '"'), ', ') || ']' || chr(10)
+  || 'year: ' || year || chr(10) || 'doi: ' || doi || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || '## Abstract' || chr(10) || chr(10) || abstract_text || chr(10) || chr(10) || '## Notes' || chr(10) || chr(10) || notes || chr(10) AS note FROM refs"""
+ORACLE["comment_pages"] = """WITH c AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n FROM conversations),
+  o AS (SELECT conv_id, turn, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) - n AS a, sum(n) OVER (PARTITION BY conv_id) AS t FROM c)
+  SELECT conv_id, turn, least(greatest(floor(a * 3 / greatest(t, 1)::DOUBLE), 0), 2)::BIGINT AS page FROM o"""

@@ -1354,3 +1354,28 @@ def package_references(spark, folder):
         )
     ]
     return found[0].unionByName(found[1]).unionByName(found[2]).withColumn("path", F.col("path").cast("long"))
+
+
+# Citations of several references, notes, pages of comments -----------------------------------------------
+
+
+@query
+def cited_together(spark, folder):
+    """Orders as citations of the references that their line items name."""
+    cites = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("cite"), F.concat(F.lit("ref-"), (F.col("l_partkey") % 500).cast("string")).alias("id")).distinct()
+    form = F.concat(F.substring("title", 1, 20), F.lit(" ("), "year", F.lit(")"))
+    return citations.cite_together(refs(spark, folder).join(cites, "id"), form, "cite")
+
+
+@query
+def reference_notes(spark, folder):
+    return refs(spark, folder).select("id", citations.note().alias("note"))
+
+
+@query
+def comment_pages(spark, folder):
+    """Turns as comments of their conversations, each of which has three pages."""
+    c = table(spark, folder, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    w = Window.partitionBy("conv_id")
+    offset = F.sum("n").over(w.orderBy("turn")) - F.col("n")
+    return c.select("conv_id", "turn", geometry.comment_page(offset, F.sum("n").over(w), F.lit(3)).alias("page"))
