@@ -53,8 +53,11 @@ def ruled(spans: DataFrame, rects: DataFrame, frames: DataFrame, key: str = "doc
     return out.withColumns({n: F.coalesce(n, F.lit(False)) for n in ("underline", "strike")})
 
 
-def inline(lines: DataFrame, key: str = "doc_id", nested: bool = False) -> DataFrame:
-    """(key, page, line, inline): a line's spans as text with marks, blanks where a gap shows one.
+def inline(lines: DataFrame, key: str = "doc_id", nested: bool = False, more: dict | None = None) -> DataFrame:
+    """(key, page, line, inline, more): a line's spans as text with marks, blanks where a gap shows one.
+
+    ``more``: columns of a line by name, as a function of groups and a value, (function, column); they are worked out of spans and
+    then of runs, so that a line's spans are brought together once. Not with ``nested``.
 
     Spans of equal flags that follow each other are a run. Each run has marks of its own; ``nested`` leaves a mark open over
     the runs that share it, as far as marks stay nested: a mark is closed and opened anew where one outside of it changes.
@@ -63,16 +66,20 @@ def inline(lines: DataFrame, key: str = "doc_id", nested: bool = False) -> DataF
     w = Window.partitionBy(*line).orderBy(F.col("y").desc(), "x", "span_no")
     flags = [F.coalesce(F.col(f), F.lit(False)) for f, _ in MARKS]
     rows = lines.withColumn("flags", F.array(*flags)).withColumn("before", F.lag("flags").over(w))
-    rows = rows.withColumn("run", F.sum(F.when(F.col("flags").eqNullSafe(F.col("before")), 0).otherwise(1)).over(w))
+    begins = ~F.col("flags").eqNullSafe(F.col("before"))
+    rows = rows.withColumn("run", F.sum(F.when(begins, 1).otherwise(0)).over(w))
     gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(w)
-    first = F.first("width").over(Window.partitionBy(*line, "run").orderBy(F.col("y").desc(), "x", "span_no"))
+    first = F.last(F.when(begins, F.struct("width")), ignorenulls=True).over(w)["width"]
     apart = F.coalesce(gap > F.greatest(first * 0.6, F.col("body") * 0.15), F.lit(False))
     rows = rows.withColumn("piece", F.concat(F.when(apart, " ").otherwise(""), F.coalesce("text", F.lit(""))))
     in_order = F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("up"), "x", "span_no", "piece")))
-    runs = rows.groupBy(*line, "run").agg(F.any_value("flags").alias("flags"), F.array_join(F.transform(in_order, lambda p: p["piece"]), "").alias("t"))
-    inner = F.regexp_extract("t", r"(?sU)^\s*(.*?)\s*$", 1)
-    runs = runs.withColumns({"inner": inner, "lead": F.regexp_extract("t", r"(?U)^(\s*)", 1)})
-    runs = runs.withColumn("trail", F.when(F.col("inner") == "", "").otherwise(F.regexp_extract("t", r"(?U)(\s*)$", 1)))
+    more = more or {}
+    runs = rows.groupBy(*line, "run").agg(
+        F.any_value("flags").alias("flags"), F.array_join(F.transform(in_order, lambda p: p["piece"]), "").alias("t"), *(of(c).alias(n) for n, (of, c) in more.items())
+    )
+    runs = runs.withColumns({"inner": F.regexp_replace("t", r"(?U)^\s+|\s+\z", ""), "lead": F.regexp_extract("t", r"(?U)^(\s*)", 1)})
+    trail = F.substring("t", F.length("lead") + F.length("inner") + 1, F.lit(2**31 - 1))
+    runs = runs.withColumn("trail", F.when(F.col("inner") == "", "").otherwise(trail))
     marks = [m for _, m in MARKS]
     own = lambda k: F.col("flags")[k]
     if nested:
@@ -94,7 +101,7 @@ def inline(lines: DataFrame, key: str = "doc_id", nested: bool = False) -> DataF
     text = T.auto_link(whole)
     for a, b in ARTEFACTS.items():
         text = F.replace(text, F.lit(a), F.lit(b))
-    return runs.groupBy(*line).agg(text.alias("inline"))
+    return runs.groupBy(*line).agg(text.alias("inline"), *(of(n).alias(n) for n, (of, _) in more.items()))
 
 
 def without_marks(c: Column) -> Column:
@@ -104,21 +111,20 @@ def without_marks(c: Column) -> Column:
     return F.regexp_replace(bare, r"</span>\z", "")
 
 
-def line_features(spans: DataFrame, rects: DataFrame, key: str = "doc_id") -> DataFrame:
+def line_features(spans: DataFrame, rects: DataFrame, key: str = "doc_id", frames: DataFrame | None = None) -> DataFrame:
     """A row for each line with visible text: what it says and how it stands on the page, whatever is before it."""
-    frames = page_frames(spans, key)
+    frames = page_frames(spans, key) if frames is None else frames
     body = geometry.mode_font_size(spans, [key]).withColumnRenamed("font_size", "body")
-    lines = geometry.cluster_lines(ruled(spans, rects, frames, key), key).join(body, key, "left").withColumn("body", F.coalesce("body", F.lit(10.0)))
-    lines = storage.materialise(lines, "line-spans")
-    top = F.struct((-F.col("y")).alias("up"), "x", "span_no")
+    lines = geometry.cluster_lines(ruled(spans.drop("font_name"), rects, frames, key), key).join(body, key, "left").withColumn("body", F.coalesce("body", F.lit(10.0)))
     seen = T.normalize_text(F.col("text")) != ""
-    end = F.col("x") + F.col("width")
-    of_line = lines.groupBy(key, "page", "line").agg(
-        F.any_value("body").alias("body"), F.min_by("y", top).alias("y"), (F.min_by("y", top) + F.min_by("font_size", top)).alias("top"),
-        F.coalesce(F.min_by("bold", top), F.lit(False)).alias("bold"), F.max(F.when(F.col("font_size") >= 6, F.col("font_size"))).alias("size"),
-        F.min(F.when(seen, F.col("x"))).alias("left"), F.max(F.when(seen, end)).alias("right")
-    )
-    rows = of_line.join(inline(lines, key), [key, "page", "line"]).filter("inline <> '' and left is not null").join(frames, [key, "page"])
+    more = {
+        "body": (F.any_value, F.col("body")), "top": (F.min, F.struct((-F.col("y")).alias("up"), "x", "span_no", "y", "font_size", "bold")),
+        "size": (F.max, F.when(F.col("font_size") >= 6, F.col("font_size"))), "left": (F.min, F.when(seen, F.col("x"))),
+        "right": (F.max, F.when(seen, F.col("x") + F.col("width")))
+    }
+    rows = inline(lines, key, more=more).filter("inline <> '' and left is not null").join(frames, [key, "page"])
+    top = F.col("top")
+    rows = rows.withColumns({"y": top["y"], "bold": F.coalesce(top["bold"], F.lit(False)), "top": top["y"] + top["font_size"]})
     bare = without_marks(F.col("inline"))
     rows = rows.withColumn("bare", bare).withColumn("item", T.detect_bullet("bare"))
     w = Window.partitionBy(key, "page").orderBy("line")
@@ -250,9 +256,11 @@ def _fold(lines: Column, state: Column) -> Column:
 
 def pages_to_markdown(spans: DataFrame, rects: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, md) of each document with visible text: settings, then its lines in order."""
-    lines = storage.materialise(line_features(spans, rects, key), "page-lines")
-    rules = rules_above(lines, rects, page_frames(spans, key), key)
-    lines = lines.join(rules, [key, "page", "line"], "left").fillna(0, ["rules"])
+    spans, rects = storage.materialise(spans, "spans"), storage.materialise(rects, "rects")
+    frames = storage.materialise(page_frames(spans, key), "frames")
+    marked = storage.materialise(line_features(spans, rects, key, frames), "page-lines")
+    rules = rules_above(marked, rects, frames, key)
+    lines = marked.join(rules, [key, "page", "line"], "left").fillna(0, ["rules"])
     names = ("line", "body", "gap", "rules", "first", "bullet", "numbered", "big", "strong", "title", "caps", "short", "left", "lgap", "rgap", "wide", "content")
     start = lines.groupBy(key).agg(F.min("page").alias("__page"))
     pages = lines.join(start, key).withColumn("first", (F.col("page") == F.col("__page")) & (F.row_number().over(Window.partitionBy(key, "page").orderBy("line")) == 1))
@@ -262,12 +270,14 @@ def pages_to_markdown(spans: DataFrame, rects: DataFrame, key: str = "doc_id") -
     w = Window.partitionBy(key).orderBy("page")
     heads = pages.select(key, "page", bare.alias("head")).withColumns({"next": F.lead("head").over(w), "place": F.row_number().over(w) - 1}).drop("head")
     pages = storage.materialise(pages.join(heads, [key, "page"]), "pages")
+    for read in (marked, rects, frames):
+        storage.drop(read)
 
     rest = F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))
     after = lambda code: _fold(rest, _decoded(code, F.col("lines")[0]))
     onward = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda p: T.bound(after(p), lambda s: F.when(F.col("next").isNull(), 0).otherwise(_code(step(s, F.col("next"))["state"]))))
     began = F.expr(_START).cast(_STATE)
-    maps = pages.select(key, "place", onward.alias("map"), _code(step(began, F.col("lines")[0])["state"]).alias("start"))
+    maps = storage.materialise(pages.select(key, "place", onward.alias("map"), _code(step(began, F.col("lines")[0])["state"]).alias("start")), "page-maps")
     start = maps.filter("place = 0").select(key, F.col("start").alias("__start"))
     maps = maps.drop("start").join(start, key)
     known = scans.states_before(maps, [key], "place", "map", 3, "__start").withColumnRenamed("state", "code")
