@@ -69,3 +69,20 @@ def test_marks_stay_nested(spark):
                 else:
                     assert tuple(m in open_marks for m in "ubi") == flags[int(token[1:])]
             assert not open_marks
+
+
+def test_spans_are_made_once(spark):
+    """What spans are made of may be costly, a sort of a large table; they are read several times."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    row = "1L doc_id, 0 page, id span_no, 72d x, 700 - 14d * id y, 100d width, 10d font_size, 'Arial' font_name, 'words' text, false bold, false italic"
+    spans = spark.range(3).selectExpr(*row.split(", "))
+    spans = spans.mapInArrow(counted, spans.schema)
+    rects = spark.createDataFrame([], "doc_id long, page int, llx double, lly double, urx double, ury double")
+    assert layout.pages_to_markdown(spans, rects).count() == 1
+    assert made.value == 3
