@@ -103,16 +103,13 @@ def _list(fmt: str) -> tuple[Column, Column]:
 
 
 def _item(fmt: str) -> tuple[Column, Column]:
-    ordered = F.col("attrs")["ordered"] == "true"
+    """Pieces without the number and the indent, which ``render`` knows."""
+    pick = lambda yes, no: F.when(F.col("attrs")["ordered"] == "true", F.lit(yes)).otherwise(F.lit(no))
     if fmt == "typst":
-        return F.when(ordered, F.lit("+ ")).otherwise(F.lit("- ")), F.lit("\n")
+        return pick("+ ", "- "), F.lit("\n")
     if fmt == "rtf":
-        return F.when(
-            ordered, F.concat(F.lit("{\\pard\\li720 "), F.col("item_no").cast("string"), F.lit(". "))
-        ).otherwise(F.lit("{\\pard\\li720\\bullet ")), F.lit("\\par}\n")
-    indent = F.repeat(F.lit("  "), F.greatest(F.col("list_depth") - 1, F.lit(0)))
-    mark = F.when(ordered, F.concat(F.col("item_no").cast("string"), F.lit(". "))).otherwise(F.lit("- "))
-    return F.concat(F.when(F.col("list_depth") > 1, F.lit("\n")).otherwise(F.lit("")), indent, mark), F.lit("\n")
+        return pick("{\\pard\\li720 ", "{\\pard\\li720\\bullet "), F.lit("\\par}\n")
+    return pick("", "- "), F.lit("\n")
 
 
 FORMATS = {
@@ -143,7 +140,7 @@ FRAMES = {
 
 def _piece(template: str, escape, raw: Column) -> Column:
     """A rule's text with its fields filled in."""
-    parts = re.split(r"(\{\}|\{raw\}|\{dest\}|\{label\}|\{info\}|\{columns\}|\{n_columns\}|\{rule\})", template)
+    parts = re.split(r"(\{\}|\{raw\}|\{dest\}|\{label\}|\{info\}|\{columns\}|\{n_columns\})", template)
     align = F.split(F.coalesce(F.col("attrs")["align"], F.lit("")), ",")
     fields = {
         "{}": lambda: escape(raw),
@@ -155,45 +152,42 @@ def _piece(template: str, escape, raw: Column) -> Column:
             F.transform(align, lambda a: F.when(a == "right", F.lit("r")).when(a == "center", F.lit("c")).otherwise(F.lit("l"))), ""
         ),
         "{n_columns}": lambda: F.size(align).cast("string"),
-        "{rule}": lambda: F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.coalesce(F.col("n_cells"), F.lit(1)))),
     }
     return F.concat(*(F.coalesce(fields[p](), F.lit("")) if p in fields else F.lit(p) for p in parts if p)) if template else F.lit("")
 
 
+#: Rows that running counts look at; a number in the row says which it is. An item that has a number is ``numbered``, a heading that opens a slide ``slide``.
+_MARKS = {
+    m: k for k, m in enumerate(
+        ("text", "list", "/list", "item", "numbered", "code_block", "/code_block", "table_head", "/table_head", "table_cell", "heading", "slide", "link", "/link", "image", "/image"), 1
+    )
+}
+#: Partitions for each core that documents' pieces are dealt into: a task holds a small part of them, however large the tables are.
+PARTS = 16
+
+
+def _marked() -> Column:
+    tag, attrs = F.col("tag"), F.col("attrs")
+    of = F.when(F.col("kind") == "text", F.lit("text")).when(F.col("kind") == "end", F.concat(F.lit("/"), tag)).when(F.col("kind") == "start", tag)
+    begins = F.col("kind") == "start"
+    of = F.when(begins & (tag == "item") & (attrs["ordered"] == "true"), "numbered").when(begins & (tag == "heading") & attrs["level"].isin("1", "2"), "slide").otherwise(of)
+    numbers = F.create_map(*(F.lit(x) for kv in _MARKS.items() for x in kv))
+    return F.coalesce(F.try_element_at(numbers, of), F.lit(0)).cast("byte")
+
+
 def render(events: DataFrame, fmt: str, id_col: str = "doc_id") -> DataFrame:
     """(``id_col``, text) of every document in a format of ``FORMATS``.
 
-    Numbers of items, depths of lists and widths of tables are running counts over the document's
-    events; a document's pieces are one task's work, as its text is.
+    An event becomes its piece first, so that only short rows are dealt and sorted. Numbers of items, depths of lists and widths of tables
+    are running counts over a document's rows, put into their pieces then; a document's pieces are one task's work, as its text is.
     """
     rules, escape = FORMATS[fmt]
-    w = Window.partitionBy(id_col).orderBy("seq")
     starts = lambda tag: (F.col("kind") == "start") & (F.col("tag") == tag)
     ends = lambda tag: (F.col("kind") == "end") & (F.col("tag") == tag)
-    depth = F.sum(F.when(starts("list"), 1).when(ends("list"), -1).otherwise(0)).over(w)
-    in_code = F.sum(F.when(starts("code_block"), 1).when(ends("code_block"), -1).otherwise(0)).over(w) > 0
-    in_image = F.sum(F.when(starts("image"), 1).when(ends("image"), -1).otherwise(0)).over(w) > 0
-    rows = events.withColumns({"list_depth": depth, "in_code": in_code, "in_image": in_image})
-    # An item's number counts the items of its list: those at its depth since that list began.
-    lists = F.sum(F.when(starts("list"), 1).otherwise(0)).over(w)
-    rows = rows.withColumn("list_at", F.last(F.when(starts("list"), lists), ignorenulls=True).over(Window.partitionBy(id_col, "list_depth").orderBy("seq")))
-    first = F.coalesce(
-        F.last(
-            F.when(starts("list"), F.try_element_at("attrs", F.lit("start"))), ignorenulls=True
-        ).over(Window.partitionBy(id_col, "list_depth", "list_at").orderBy("seq")).try_cast("int"),
-        F.lit(1)
-    )
-    rows = rows.withColumn(
-        "item_no",
-        F.sum(F.when(starts("item"), 1).otherwise(0)).over(Window.partitionBy(id_col, "list_depth", "list_at").orderBy("seq")) + first - 1
-    )
-    heads = F.sum(F.when(starts("table_head"), 1).otherwise(0)).over(w)
-    rows = rows.withColumn("head", heads)
-    rows = rows.withColumn("n_cells", F.sum(F.when(starts("table_cell"), 1).otherwise(0)).over(Window.partitionBy(id_col, "head").orderBy("seq")))
-
     raw = F.coalesce("text", F.lit(""))
-    plain = F.when(F.col("in_code"), raw if fmt in ("latex", "marp", "markdown", "typst") else escape(raw)).otherwise(escape(raw))
-    piece = F.when(F.col("kind") == "text", plain)
+    # Text in code stands as it is in some formats: there it's escaped when that is known.
+    late = fmt in ("latex", "typst")
+    piece = F.when(F.col("kind") == "text", raw if late else escape(raw))
     dynamic = {"heading": _heading(fmt), "list": _list(fmt)} | ({"item": _item(fmt)} if "item" not in rules or fmt in ("typst", "rtf") else {})
     for tag, (a, b) in dynamic.items():
         piece = piece.when(starts(tag), a).when(ends(tag), b)
@@ -201,24 +195,49 @@ def render(events: DataFrame, fmt: str, id_col: str = "doc_id") -> DataFrame:
         if name == "text" or name in dynamic:
             continue
         if isinstance(rule, tuple):
-            # A closing piece that names an attribute takes it from the element's start.
-            after = rule[1]
-            if "{dest}" in after:
-                dest = F.last(F.when(starts(name), F.col("attrs")["dest"]), ignorenulls=True).over(w)
-                a, b = after.split("{dest}")
-                end = F.concat(F.lit(a), F.coalesce(dest, F.lit("")), F.lit(b))
-            else:
-                end = _piece(after, escape, raw)
+            # Other fields of a closing piece are not its own event's; they are put in below.
+            end = F.lit(rule[1]) if "{dest}" in rule[1] or "{rule}" in rule[1] else _piece(rule[1], escape, raw)
             piece = piece.when(starts(name), _piece(rule[0], escape, raw)).when(ends(name), end)
         else:
             piece = piece.when(F.col("kind") == name, _piece(rule, escape, raw))
-    if fmt == "marp":
-        new_slide = starts("heading") & F.col("attrs")["level"].isin("1", "2") & (F.sum(F.when(starts("heading"), 1).otherwise(0)).over(w) > 1)
-        piece = F.concat(F.when(new_slide, F.lit("---\n\n")).otherwise(F.lit("")), F.coalesce(piece, F.lit("")))
+    # The one other string of an event that may be asked for: a list's first number, an address.
+    more = F.when(starts("list"), F.try_element_at("attrs", F.lit("start"))).when(starts("link") | starts("image"), F.col("attrs")["dest"])
+    spark = events.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTS * spark.sparkContext.defaultParallelism)
+    rows = events.select(id_col, "seq", _marked().alias("mark"), F.coalesce(piece, F.lit("")).alias("p"), more.alias("more")).repartition(parts, id_col)
+
+    w = Window.partitionBy(id_col).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = lambda *marks: F.col("mark").isin(*(_MARKS[m] for m in marks))
+    count = lambda *marks: F.sum(F.when(at(*marks), 1).otherwise(0)).over(w)
+    open_ = lambda tag: F.sum(F.when(at(tag), 1).when(at(f"/{tag}"), -1).otherwise(0)).over(w)
+    p = F.col("p")
+    if late:
+        rows = rows.withColumn("in_code", open_("code_block") > 0).withColumn("p", F.when(at("text") & ~F.col("in_code"), escape(p)).otherwise(p))
+    if fmt in ("marp", "markdown"):
+        cells = rows.withColumn("cells", count("table_cell"))
+        n_cells = F.col("cells") - F.coalesce(F.last(F.when(at("table_head"), F.col("cells")), ignorenulls=True).over(w), F.lit(0))
+        filled = F.when(at("/table_head"), F.replace(p, F.lit("{rule}"), F.concat(F.lit("|"), F.repeat(F.lit("---|"), n_cells.cast("int")))))
+        for tag in ("link", "image"):
+            dest = F.last(F.when(at(tag), F.col("more")), ignorenulls=True).over(w)
+            filled = filled.when(at(f"/{tag}"), F.replace(p, F.lit("{dest}"), F.coalesce(dest, F.lit(""))))
+        slide = F.when(at("slide") & (count("heading", "slide") > 1), F.lit("---\n\n")).otherwise(F.lit("")) if fmt == "marp" else F.lit("")
+        rows = cells.withColumn("p", F.concat(slide, filled.otherwise(p))).drop("cells")
+    if fmt in ("marp", "markdown", "rtf"):
+        rows = rows.select(id_col, "seq", "mark", "p", F.when(at("list"), F.col("more")).alias("more"), open_("list").cast("int").alias("list_depth"))
+        # An item's number counts the items of its list: those at its depth since that list began.
+        deep = Window.partitionBy(id_col, "list_depth").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumn("items", F.sum(F.when(at("item", "numbered"), 1).otherwise(0)).over(deep))
+        began = F.last(F.when(at("list"), F.struct("items", F.col("more").try_cast("int").alias("first"))), ignorenulls=True).over(deep)
+        number = F.col("items") - F.coalesce(began["items"], F.lit(0)) + F.coalesce(began["first"], F.lit(1)) - 1
+        mark = F.when(at("numbered"), F.concat(p, number.cast("string"), F.lit(". "))).otherwise(p)
+        if fmt != "rtf":
+            inner = F.col("list_depth") > 1
+            indent = F.concat(F.when(inner, F.lit("\n")).otherwise(F.lit("")), F.repeat(F.lit("  "), F.greatest(F.col("list_depth") - 1, F.lit(0))))
+            mark = F.when(at("item", "numbered"), F.concat(indent, mark)).otherwise(p)
+        rows = rows.withColumn("p", mark)
     before, behind = FRAMES[fmt]
-    pieces = rows.select(id_col, "seq", F.coalesce(piece, F.lit("")).alias("p"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "p"))), lambda x: x["p"]), "")
-    return pieces.groupBy(id_col).agg(F.concat(F.lit(before), body, F.lit(behind)).alias("text"))
+    return rows.groupBy(id_col).agg(F.concat(F.lit(before), body, F.lit(behind)).alias("text"))
 
 
 def write_text(df: DataFrame, path: str, text_col: str = "text") -> None:

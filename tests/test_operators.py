@@ -264,6 +264,28 @@ def test_every_format_has_every_text(spark, fmt):
     assert wanted[fmt] in out
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("fmt", ["markdown", "marp", "rtf"])
+def test_pieces_are_dealt_as_short_rows(spark, fmt):
+    """A task's memory: two sorts at most of rows without attributes, of documents dealt into many parts."""
+    text = "3. a\n   - b\n     7. c\n     8. d\n4. e\n\n> 1. f\n\n- g\n\n| x | y |\n|---|---|\n| 1 | 2 |\n\n| z |\n|---|\n| [l ![i](u)](v) |\n"
+    out = sinks.render(events.parse_markdown(md(spark, text)), fmt)
+    told = plan(out)
+    assert told.count("Sort [") <= 2
+    assert "attrs" not in told[: told.index("Exchange")]
+    assert f", {16 * spark.sparkContext.defaultParallelism})" in told
+    body = out.first().text
+    marks = ["3. ", "7. ", "8. ", "4. ", "1. "]
+    at = -1
+    for mark in marks:
+        at = body.index(mark, at + 1)
+    if fmt != "rtf":
+        assert "| x | y |\n|---|---|\n" in body and "| z |\n|---|\n" in body and "[l ![i](u)](v)" in body
+
+
 def test_markdown_comes_back(spark):
     text = "# T\n\np **b**\n\n- x\n- y\n"
     first = events.parse_markdown(md(spark, text))
