@@ -22,10 +22,10 @@ def parse_markdown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "md"
         from docloom.md.parser import parse
 
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts = batch.column(0), batch.column(1)
             for at in range(0, len(texts), 64):
                 rows, owner = [], []
-                for k, text in enumerate(texts[at : at + 64], at):
+                for k, text in enumerate(texts.slice(at, 64).to_pylist(), at):
                     events = parse(text, extensions)
                     rows += enumerate(events)
                     owner += [k] * len(events)

@@ -7,6 +7,7 @@ from xml.etree import ElementTree
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.html.markdown import html_to_markdown
 from docloom.operators import citations, compare, events, extras, geometry, graph, library
 from docloom.schemas import as_references
 from docloom.sinks import text as sinks
@@ -286,6 +287,13 @@ def test_pieces_are_dealt_as_short_rows(spark, fmt):
         assert "| x | y |\n|---|---|\n" in body and "| z |\n|---|\n" in body and "[l ![i](u)](v)" in body
 
 
+def test_pages_go_to_python_by_hundreds(spark):
+    """A batch of Arrow's has ten thousand pages."""
+    pages = spark.createDataFrame([("<p>a <b>b</b></p>",), (None,)], "html string").select(html_to_markdown(F.col("html")).alias("md"))
+    assert "BatchEvalPython" in plan(pages) and "ArrowEvalPython" not in plan(pages)
+    assert [r.md for r in pages.collect()] == ["a **b**", None]
+
+
 def test_markdown_comes_back(spark):
     text = "# T\n\np **b**\n\n- x\n- y\n"
     first = events.parse_markdown(md(spark, text))
