@@ -105,7 +105,7 @@ def open_document_xml(events: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def packed(files: Column) -> Column:
     """An archive of (name, content) pairs, in order; the first is stored as it is."""
 
-    @F.udf("binary", useArrow=True)
+    @F.udf("binary", useArrow=False)  # files are large: a hundred rows at a time
     def pack(entries):
         import io
         import zipfile

@@ -55,7 +55,7 @@ def package_nodes(files: DataFrame, path_col: str = "path", content_col: str = "
 
         for batch in batches:
             rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, content in ((p.as_py(), c.as_py()) for p, c in zip(batch.column(0), batch.column(1), strict=True)):
                 try:
                     package = zipfile.ZipFile(io.BytesIO(content or b""))
                 except zipfile.BadZipFile:

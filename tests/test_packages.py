@@ -4,7 +4,9 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
+from docloom.sinks import packed
 from docloom.sources import packages
 
 W = 'xmlns:w="w" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -45,3 +47,11 @@ def test_links_comments_and_notes(spark, monkeypatch, cell):
     found = [(r.comment_id, r.author, r.content, r.text) for r in packages.comments(nodes).orderBy("pre").collect()]
     assert found == [("1", "A", "one", "ab"), ("2", "B", "new", "bc"), ("3", "C", "open", "ef")]
     assert [(r.note_id, r.content) for r in packages.footnotes(nodes).orderBy("pre").collect()] == [("7", "seven"), ("8", None)]
+
+
+def test_files_are_packed_by_hundreds(spark):
+    """A batch of Arrow's has ten thousand files."""
+    files = spark.range(2).select(packed.packed(F.array(F.struct(F.lit("a").alias("name"), F.col("id").cast("string").alias("content")))).alias("content"))
+    told = files._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in told and "ArrowEvalPython" not in told
+    assert [zipfile.ZipFile(io.BytesIO(r.content)).read("a") for r in files.collect()] == [b"0", b"1"]
