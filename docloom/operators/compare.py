@@ -222,7 +222,7 @@ def word_diff(old: Column, new: Column) -> Column:
         out.append({"delete": "</del>", "insert": "</ins>"}.get(last, ""))
         return "".join(out)
 
-    return F.udf(of, "string", useArrow=True)(old, new)
+    return F.udf(of, "string", useArrow=False)(old, new)  # texts are large: a hundred rows at a time
 
 
 def diff_html(pairs: DataFrame, id_col: str = "doc_id", old: str = "old", new: str = "new") -> DataFrame:

@@ -49,7 +49,7 @@ def parse_markdown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "md"
 def top_level_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "md") -> DataFrame:
     """(``id_col``, pos, block): the sources of the outermost blocks."""
 
-    @F.udf("array<string>", useArrow=True)
+    @F.udf("array<string>", useArrow=False)  # texts are large: a hundred rows at a time
     def blocks(text: str):
         from docloom.md.parser import top_level_blocks
 

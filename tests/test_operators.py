@@ -220,6 +220,17 @@ def test_block_diff(spark):
     assert "<del>two</del><ins>2</ins>" in html and '<div class="diff-del">gone</div>' in html
 
 
+def test_texts_are_compared_by_hundreds(spark):
+    """A batch of Arrow's has ten thousand texts."""
+    texts = spark.createDataFrame([(0, "a b\n\nc", "a d")], "doc_id long, old string, new string")
+    blocks = events.top_level_blocks(texts, text_col="old")
+    words = texts.select(compare.word_diff(F.col("old"), F.col("new")).alias("t"))
+    for df in (blocks, words):
+        assert "BatchEvalPython" in plan(df) and "ArrowEvalPython" not in plan(df)
+    assert [r.block for r in blocks.orderBy("pos").collect()] == ["a b", "c"]
+    assert words.first().t == "a <del>b\n\nc</del><ins>d</ins>"
+
+
 def test_outline_contents_chapters_slides(spark):
     e = events.parse_markdown(md(spark, "intro\n\n# A *b*\n\n## C\n\n---\n\n# \n\ntext"))
     assert [(r.level, r.label) for r in events.outline(e).orderBy("seq").collect()] == [(1, "A b"), (2, "C"), (1, "")]
