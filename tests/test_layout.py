@@ -86,3 +86,51 @@ def test_spans_are_made_once(spark):
     rects = spark.createDataFrame([], "doc_id long, page int, llx double, lly double, urx double, ury double")
     assert layout.pages_to_markdown(spans, rects).count() == 1
     assert made.value == 3
+
+
+def test_spans_are_moved_once(spark, monkeypatch):
+    """What moves spans takes disk: they are packed to pages, and pages become text, with one exchange of each; documents' settings are small."""
+    made = {}
+
+    def moves(df, *small):
+        text = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        return sum("Exchange hashpartitioning" in line for line in text)
+
+    def kept(df, name, by=None, make=layout.storage.materialise):
+        made[name] = moves(df)
+        return make(df, name, by)
+
+    monkeypatch.setattr(layout.storage, "materialise", kept)
+    spans = spans_of(spark, *((p, 700 - 14 * k, 0, 400, f"line {k}", False, False) for p in range(3) for k in range(4)))
+    rects = spark.createDataFrame([(1, 0, 0.0, 650.0, 390.0, 651.0)], RECT)
+    result = layout.pages_to_markdown(spans, rects)
+    assert made.pop("pages") == 1 and moves(result) == 1 and set(made) == {"settings"}
+    dealt = spans.repartition("doc_id"), rects.repartition("doc_id")
+    assert moves(layout.packed(*dealt)) == 2  # those two themselves: pages are grouped where they are
+
+
+def test_packed_pages_say_what_rows_say(spark):
+    random.seed(8)
+    nan, rows, boxes = float("nan"), [], []
+    for page in range(40):
+        for k in range(random.choice([1, 5, 60])):
+            x, y, w = random.choice([0.0, 50.0, 300.0]), random.choice([700.0 - 14 * (k // 3), 700.0 - 3 * k, None, nan]), random.choice([40.0, 200.0, None])
+            rows.append((1, page, k, y, x, w, random.choice(["words", " ", "a  b", None]), random.random() < 0.3, random.choice([True, False, None]), random.choice([10.0, 10.0, 16.0, 4.0]), "Arial"))
+            if None not in (y, w) and random.random() < 0.6:
+                boxes.append((1, page, x, y + random.choice([-1.0, 4.0, 40.0]), x + w, y))
+        boxes.append((1, page, 0.0, random.choice([nan, 690.0, None]), 90.0, 1.0))
+    spans, rects = spark.createDataFrame(rows, SPAN), spark.createDataFrame(boxes, RECT)
+    marked = layout.ruled(spans, rects, layout.page_frames(spans))
+    want, got = {}, {}
+    for r in layout.inline(layout.geometry.cluster_lines(marked).selectExpr("*", "10d AS body")).filter("inline <> ''").orderBy("page", "line").collect():
+        want.setdefault(r.page, []).append(r.inline)
+    for r in layout.page_lines(layout.packed(spans, rects).selectExpr("*", "0d AS page_left", "10d AS body")).filter("size(shown) > 0").collect():
+        got[r.page] = [x.inline for x in r.shown]
+    assert got == want and len(want) > 25 and all(any(m in t for page in want.values() for t in page) for m in ("<u>", "<s>", "<b>"))
+
+
+def test_rules_above_a_pages_first_line(spark):
+    spans = spans_of(spark, (0, 700, 0, 400, "high on the page,", False, False), (0, 650, 0, 400, "and lower.", False, False), (1, 300, 0, 400, "below that", False, False))
+    rects = spark.createDataFrame([(1, 1, 0.0, y, 390.0, y + 1) for y in (320.0, 500.0, 660.0, 305.0)] + [(1, 0, 0.0, 750.0, 390.0, 751.0)], RECT)
+    (row,) = layout.pages_to_markdown(spans, rects).collect()
+    assert row.md.endswith("---\n\nhigh on the page,\n\nand lower.\n\n---\n\n---\n\nbelow that")
