@@ -410,8 +410,9 @@ def _next_page(acc: Column, p: Column) -> Column:
 
 def pages_to_markdown(spans: DataFrame, rects: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, md) of each document with visible text: settings, then its lines in order."""
-    pages = storage.materialise(packed(spans, rects, key), "pages")
-    of_docs = storage.materialise(settings(pages, key), "settings")
+    with storage.freed(spans.sparkSession):
+        pages = storage.materialise(packed(spans, rects, key), "pages")
+        of_docs = storage.materialise(settings(pages, key), "settings")
     lines = page_lines(pages.filter("page is not null").join(of_docs.drop("font_name"), key))
     row = F.when(F.col("top").isNotNull(), F.struct("page", "top", "above", "last_y", "heads", "common", "behind"))
     # Pages without lines go here: a filter before would be moved down, with all that it names worked out once more.

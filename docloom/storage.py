@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 import weakref
@@ -48,6 +49,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def freed(spark: SparkSession):
+    """Shuffle files of what is run within go with its end; else they stay until the driver's memory is cleaned.
+
+    For tables of these functions: what reads them needs no shuffle of those that made them.
+    """
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREED) if before is None else spark.conf.set(_FREED, before)
+
+
 def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes ``df`` as a table in the shared folder, in folders by its column ``by``, and reads it back.
 

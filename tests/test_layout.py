@@ -134,3 +134,19 @@ def test_rules_above_a_pages_first_line(spark):
     rects = spark.createDataFrame([(1, 1, 0.0, y, 390.0, y + 1) for y in (320.0, 500.0, 660.0, 305.0)] + [(1, 0, 0.0, 750.0, 390.0, 751.0)], RECT)
     (row,) = layout.pages_to_markdown(spans, rects).collect()
     assert row.md.endswith("---\n\nhigh on the page,\n\nand lower.\n\n---\n\n---\n\nbelow that")
+
+
+def test_shuffle_files_go_with_the_table_they_made(spark):
+    """Else they stay until the driver's memory is cleaned: all shuffles of a job together."""
+    from docloom import storage
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    was, before = spark.conf.get(storage._FREED, None), files()
+    with storage.freed(spark):
+        table = storage.materialise(spark.range(1000).repartition(3, "id"), "dealt")
+    assert not files() - before and spark.conf.get(storage._FREED, None) == was and table.count() == 1000
+    spans = spans_of(spark, (0, 700, 0, 400, "words", False, False)).repartition("doc_id")
+    before = files()
+    layout.pages_to_markdown(spans, spark.createDataFrame([], RECT))
+    assert not files() - before
